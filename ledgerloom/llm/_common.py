@@ -84,6 +84,6 @@ def parts(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
-def schema_with(df: DataFrame, name: str, kind: str | DataType) -> StructType:
+def schema_with(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of ``df`` and one more column."""
-    return StructType(list(df.schema.fields)).add(name, kind)
+    return StructType(list(df.schema.fields)).add(name, DataType.fromDDL(kind))

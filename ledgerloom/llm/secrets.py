@@ -18,7 +18,6 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ledgerloom.llm._common import schema_with, slices
 
@@ -78,11 +77,6 @@ def spans_of(text: str | None, path: str | None = None, ratio: float = RATIO) ->
     return sorted(found)
 
 
-def span_type() -> ArrayType:
-    fields = [StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]
-    return ArrayType(StructType(fields))
-
-
 def with_spans(docs: DataFrame, text: str, out: str, path: str | None = None, ratio: float = RATIO) -> DataFrame:
     """``docs`` and the spans of its text column as an array of (kind, start, end) named ``out``."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -95,7 +89,7 @@ def with_spans(docs: DataFrame, text: str, out: str, path: str | None = None, ra
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, span)], [*batch.schema.names, out])
 
-    return docs.mapInArrow(add, schema_with(docs, out, span_type()))
+    return docs.mapInArrow(add, schema_with(docs, out, "array<struct<kind:string,start:int,end:int>>"))
 
 
 def counted(spans: Column, kind: str) -> Column:
