@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, media, secrets, simhash
+from ledgerloom.llm import bpe, media, mixing, secrets, sharding, simhash, toxicity
 from ledgerloom.llm._common import read_table
+from ledgerloom.llm.mixing_sql import MIX
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,19 +28,35 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits.alias("fingerprint"), "component_id")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.text_media(documents(spark, sf_dir))).drop("tile_npy")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+    return found.withColumn("passages", F.to_json("passages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
+    "op5_sharding": op5_sharding,
     "op7_media": op7_media,
+    "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_mixing": MIX}
