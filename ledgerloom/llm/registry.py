@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, media, mixing, quality, secrets, sharding, simhash, toxicity
+from ledgerloom.llm import bpe, langid, lm, media, mixing, quality, secrets, sharding, simhash, toxicity
 from ledgerloom.llm._common import read_table
 from ledgerloom.llm.mixing_sql import MIX
 
@@ -40,6 +40,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.text_media(documents(spark, sf_dir))).drop("tile_npy")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
+    "op6_language_model": op6_language_model,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
