@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import slices
+from ledgerloom.llm._common import schema_with, slices
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -289,7 +289,7 @@ def with_tokens(docs: DataFrame, text: str, out: str, path: str | None = None) -
             rest = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*rest, column], [*keep, out])
 
-    return docs.mapInArrow(add, docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(out, "array<int>"))
+    return docs.mapInArrow(add, schema_with(docs.select(*[F.col(f"`{c}`") for c in keep]), out, "array<int>"))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -92,14 +92,14 @@ def order_key(id_column: Column) -> Column:
     return F.md5(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules: tuple = SCHEDULES, keep_row: bool = False) -> DataFrame:
-    """Per document: size, source_size, target, taken words, first and second position; ``row`` tells rows apart if kept.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules: tuple = SCHEDULES, row_col: str | None = None) -> DataFrame:
+    """Per document: size, source_size, target, taken words, first and second position; and ``row``, the column that tells rows apart, if named.
 
     Running sums of a source are cut into blocks by the order key: blocks are
     summed first, so no task numbers more than about ``BLOCK`` rows however large a source is.
     """
     text, source = F.col(text_col), F.col(source_col).cast("string")
-    base = docs.select(F.col(id_col).alias("id"), source.alias("source"), word_count(text).alias("size"), order_key(F.col(id_col)).alias("key"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")).alias("digest"), *([F.col("__row").alias("row")] if keep_row else [F.lit(0).alias("row")]))
+    base = docs.select(F.col(id_col).alias("id"), source.alias("source"), word_count(text).alias("size"), order_key(F.col(id_col)).alias("key"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")).alias("digest"), *([F.col(row_col).alias("row")] if row_col else [F.lit(0).alias("row")]))
     stored = shared_table(base, "mix-sizes")
     # One more hex digit of the key divides blocks by sixteen.
     digits, blocks = 1, parts(rows_in(stored), BLOCK)
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         for i, knots in enumerate(schedules):
             time = F.when(F.col("place") % len(schedules) == i, time_of(middle, knots)).otherwise(time)
         positions.append(F.when(F.col(f"taken_{p}") > 0, F.round(time, 9)).alias(f"position_{p + 1}"))
-    return chosen.select(F.col("id").alias(id_col), *(["row"] if keep_row else []), "key", "size", "source_size", "target", (F.col("taken_0") + F.col("taken_1")).alias("taken"), *positions)
+    return chosen.select(F.col("id").alias(id_col), *(["row"] if row_col else []), "key", "size", "source_size", "target", (F.col("taken_0") + F.col("taken_1")).alias("taken"), *positions, *([F.col(f"taken_{p}").alias(f"taken_{p + 1}") for p in range(REPEATS)] if row_col else []))
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -135,3 +135,17 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     mixed = mix(docs, id_col, text_col, source_col)
     return mixed.orderBy(F.col("position_1").asc_nulls_last(), "key").drop("key")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``docs``, each as often as the mix takes it, range-sorted by training position.
+
+    A document that the mix takes in part only stands for its part if that is half of it or more.
+    A document without words, which has no position, stays once, at the end.
+    """
+    stored = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
+    mixed = mix(stored, id_col, text_col, source_col, row_col="__row")
+    copies = F.filter(F.array(F.when(2 * F.col("taken_1") >= F.col("size"), F.col("position_1")), F.when(2 * F.col("taken_2") >= F.col("size"), F.col("position_2"))), lambda p: p.isNotNull())
+    placed = mixed.select(F.col("row").alias("__row"), F.col("key").alias("__key"), F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(copies).alias("__at"))
+    taken = placed.select("__row", "__key", F.explode("__at").alias("__at"))
+    return stored.join(taken, "__row").orderBy("__at", "__key").select(*[F.col(f"`{c}`") for c in docs.columns])

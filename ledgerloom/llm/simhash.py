@@ -189,3 +189,21 @@ def classes(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
     joined = components(close_links(distinct.where("id is not null"), distance))
     least = distinct.join(joined, distinct["id"] == joined["node"], "left").select("mark", F.coalesce("component", "id").alias("least"))
     return marked.join(least, "mark", "left")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """One document of each class: that of least id, and one row of it.
+
+    Rows are numbered as they are stored with their fingerprints, so each text
+    is hashed once and repeated ids are told apart. Ids that are null come
+    after all others; such rows are told apart by their number alone.
+    """
+    marked = with_fingerprint(docs, text_col, words, "__mark").withColumn("__row", F.monotonically_increasing_id())
+    stored = shared_table(marked, "marked-documents")
+    # Ranks of (id, row) would need a sort; the least pair of each mark is enough.
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row")))
+    by_mark = shared_table(stored.groupBy("__mark").agg(first.alias("first")), "marks")
+    joined = components(close_links(by_mark.select(F.col("__mark").alias("mark"), F.col("first.row").alias("id")), distance))
+    of_class = by_mark.join(joined, by_mark["first"]["row"] == joined["node"], "left").select("first", F.coalesce("component", "first.row").alias("class"))
+    kept = of_class.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return stored.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,6 +40,8 @@ DRIFT = 0.5
 SURE = 3.0
 #: Passages with a larger E-value are not reported.
 E_VALUE = 0.01
+#: Scores from here on are predicted to be toxic.
+THRESHOLD = 0.7
 PUNCTUATION = b".,;:!?\"'()[]"
 REMEMBERED = 200_000
 
@@ -271,7 +273,7 @@ def with_score(docs: DataFrame, model: Model, text: str, out: str, passages: str
     return docs.mapInArrow(add, schema)
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: whether it was held out, its score, the prediction and the toxic passages."""
     model = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
