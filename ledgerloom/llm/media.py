@@ -168,7 +168,7 @@ def tiles(media: DataFrame, id_col: str, data_col: str, shape: tuple[int, int] =
             columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    schema = media.select(F.col(id_col)).schema.add("height", "int").add("width", "int").add("channels", "int")
+    schema = media.select(F.col(id_col)).schema.add("height", "integer").add("width", "integer").add("channels", "integer")
     return rows.mapInArrow(read, schema.add("tile_npy", "binary").add("dhash", "string").add("error", "string"))
 
 

@@ -167,9 +167,10 @@ def close_links(marks: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS
         found = links if found is None else found.union(links)
         if not hot:
             return found
-        finer = {m: finer_masks(m, distance) for m in masks}
+        # Masks of large buckets: block choices times (distance + 1) for each level, a few thousand at most.
+        crowded = [r["mask"] % (1 << 64) for r in large.select("mask").distinct().collect()]
+        finer = {m: finer_masks(m, distance) for m in crowded}
         pairs = [(_signed(m), _signed(x)) for m, xs in finer.items() for x in xs]
-        # A few thousand rows at most: block choices times (distance + 1) for each level.
         step = spark.createDataFrame(pairs, "mask long, finer long")
         hot_rows = routed.where("hot").select("mark", "id", "mask").join(F.broadcast(step), "mask")
         rows = shared_table(hot_rows.select("mark", "id", F.col("finer").alias("mask")).distinct(), "finer-rows")
