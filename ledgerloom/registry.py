@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from ledgerloom.operators import graph, lookups, marts, models, scores, segments, series, texts, validation  # noqa: F401  each registers its queries
+from ledgerloom.plans.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
