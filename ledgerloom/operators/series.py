@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
@@ -16,7 +16,11 @@ HORIZON = 24
 TRAIN_ENDS = (624, 648, 672, 696)
 REFERENCE, OBSERVED = (601, 660), (661, 720)
 DRIFT_QUANTILES = [0.25, 0.5, 0.75, 0.9, 0.99]
-BY_STEP = Window.orderBy("step")  # one row per hour, so one task sorts little
+
+
+def by_step() -> WindowSpec:
+    """All hours in order: one row per hour, so one task sorts little."""
+    return Window.orderBy("step")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ G = f"WITH {EV}, {HOURLY}"
 
 @query("win01_win03_series", f"{G} SELECT step, transaction_count, round(avg(transaction_count) OVER (ORDER BY step ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS moving_average, CAST((step - min(step) OVER ()) % 24 AS BIGINT) AS simulated_hour FROM gold")
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moving = F.avg("transaction_count").over(BY_STEP.rowsBetween(1 - PERIOD, 0))
+    moving = F.avg("transaction_count").over(by_step().rowsBetween(1 - PERIOD, 0))
     hour = (F.col("step") - F.min("step").over(Window.partitionBy())) % PERIOD
     return gold(spark, sf_dir).select("step", "transaction_count", F.round(moving, 6).alias("moving_average"), hour.alias("simulated_hour"))
 
@@ -42,7 +46,7 @@ def cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win02_autocorrelation", f"{G}, l AS (SELECT transaction_count AS y, lag(transaction_count, 1) OVER (ORDER BY step) AS a, lag(transaction_count, 24) OVER (ORDER BY step) AS b, lag(transaction_count, 168) OVER (ORDER BY step) AS c FROM gold) SELECT round(corr(y, a), 6) AS lag_1, round(corr(y, b), 6) AS lag_24, round(corr(y, c), 6) AS lag_168 FROM l")
 def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lags = (1, PERIOD, 7 * PERIOD)
-    rows = gold(spark, sf_dir).select("transaction_count", *[F.lag("transaction_count", k).over(BY_STEP).alias(f"y{k}") for k in lags])
+    rows = gold(spark, sf_dir).select("transaction_count", *[F.lag("transaction_count", k).over(by_step()).alias(f"y{k}") for k in lags])
     return rows.agg(*[F.round(F.corr("transaction_count", f"y{k}"), 6).alias(f"lag_{k}") for k in lags])
 
 
@@ -52,15 +56,16 @@ def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold(spark, sf_dir).agg(F.round(F.avg(c), 6).alias("mean"), F.median(c).alias("median"), F.round(F.stddev_samp(c), 6).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("most"))
 
 
-@query("agg09_agg40_fraud_tail", f"{G}, o AS (SELECT max(step) FILTER (WHERE NOT (transaction_count > 0 AND transaction_count = fraud_count)) AS last_other FROM gold) SELECT max(step) FILTER (WHERE fraud_count < transaction_count) AS last_genuine_step, max(step) FILTER (WHERE fraud_count > 0) AS last_fraud_step, count(*) FILTER (WHERE transaction_count > 0 AND fraud_count = transaction_count) AS fraud_only_steps, min(step) FILTER (WHERE step > coalesce((SELECT last_other FROM o), -1)) AS tail_start FROM gold")
+@query("agg09_agg40_fraud_tail", f"{G}, o AS (SELECT max(step) FILTER (WHERE NOT (transaction_count > 0 AND transaction_count = fraud_count)) AS last_other FROM gold) SELECT max(step) FILTER (WHERE fraud_count < transaction_count) AS last_genuine_step, max(step) FILTER (WHERE fraud_count > 0) AS last_fraud_step, count(*) FILTER (WHERE transaction_count > 0 AND fraud_count = transaction_count) AS fraud_only_steps, coalesce(min(step) FILTER (WHERE step > coalesce((SELECT last_other FROM o), -1)), -1) AS tail_start FROM gold")
 def fraud_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last genuine and last fraud step, and where the run of fraud-only steps at the end starts (-1: there is none)."""
     rows = gold(spark, sf_dir).withColumn("only", (F.col("transaction_count") > 0) & (F.col("transaction_count") == F.col("fraud_count")))
     last = rows.agg(F.max(F.when(~F.col("only"), F.col("step"))).alias("other"))
     return rows.crossJoin(F.broadcast(last)).agg(
         F.max(F.when(F.col("fraud_count") < F.col("transaction_count"), F.col("step"))).alias("last_genuine_step"),
         F.max(F.when(F.col("fraud_count") > 0, F.col("step"))).alias("last_fraud_step"),
         F.count_if("only").alias("fraud_only_steps"),
-        F.min(F.when(F.col("step") > F.coalesce("other", F.lit(-1)), F.col("step"))).alias("tail_start"),
+        F.coalesce(F.min(F.when(F.col("step") > F.coalesce("other", F.lit(-1)), F.col("step"))), F.lit(-1)).alias("tail_start"),
     )
 
 
