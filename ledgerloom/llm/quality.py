@@ -139,7 +139,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         mine = F.transform(F.array(*[F.get("times", i) for i in own]), lambda x: x / F.greatest(F.col("n_words"), F.lit(1)))
         others = 1 - F.aggregate(mine, F.lit(0.0), lambda s, x: s + x)
         common.append(divergence(F.concat(mine, F.array(F.greatest(others, F.lit(0.0)))), expected))
-    nearest = lambda found: F.round(F.least(*found, F.lit(1.0)), 9) if found else F.lit(0.0)
+    nearest = lambda found: F.round(F.least(*found, F.lit(1.0)), 6) if found else F.lit(0.0)
     result = stored.withColumn("base_failed", failed).withColumn("char_distance", nearest(characters)).withColumn("word_distance", nearest(common))
     limits = [low + noise / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))) for low, noise in (CHARACTER_DISTANCE, WORD_DISTANCE)]
     far = (F.col("n_words") >= LEAST_WORDS) & ((F.col("char_distance") > limits[0]) | (F.col("word_distance") > limits[1]))

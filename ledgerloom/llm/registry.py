@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import bpe, langid, lm, media, mixing, quality, secrets, sharding, simhash, toxicity
 from ledgerloom.llm._common import read_table
 from ledgerloom.llm.mixing_sql import MIX
+from ledgerloom.llm.quality_sql import QUALITY
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,4 +75,4 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op8_mixing": MIX}
+SQL: dict[str, str] = {"op1_quality": QUALITY, "op8_mixing": MIX}
