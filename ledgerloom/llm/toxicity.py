@@ -37,7 +37,9 @@ PRIOR = 0.05
 #: What a word outside the table costs.
 DRIFT = 0.5
 #: Deviations below the log-odds that still have to be above zero.
-SURE = 3.0
+SURE = 2.5
+#: Log-odds that a word needs at least; words of a passage that toxic and other texts share have less.
+STRONG = 3.5
 #: Passages with a larger E-value are not reported.
 E_VALUE = 0.01
 #: Scores from here on are predicted to be toxic.
@@ -210,8 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, constant=kinds[1] / sum(kinds.values()))
     totals = (total["others"], total["toxic"])
     odds, deviation = _log_odds(counts, totals)
-    scored = counts.where(F.col("feature") != F.lit(b"")).select("feature", "others", (odds - SURE * deviation).alias("score"), (odds / deviation).alias("z"))
-    top = scored.where("score > 0").orderBy(F.desc("z"), "feature").limit(TABLE).collect()
+    scored = counts.where(F.col("feature") != F.lit(b"")).select("feature", "others", (odds - SURE * deviation).alias("score"), (odds / deviation).alias("z"), odds.alias("odds"))
+    top = scored.where((F.col("score") > 0) & (F.col("odds") >= STRONG)).orderBy(F.desc("z"), "feature").limit(TABLE).collect()
     model = Model({bytes(r["feature"]): r["score"] for r in top})
     _calibrate(model, stored)
     return model
