@@ -41,7 +41,7 @@ HEAD = 100_000
 HELD = 200_000
 DIMENSIONS = 24
 NOISE = 20
-STEPS = 300
+STEPS = 200
 SEED = 11
 END = b""  # no word is empty
 
@@ -195,31 +195,36 @@ def train(counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
     expectation replaces the draw. Steps are Adam's.
     """
     n = counts.shape[0]
-    seen = np.flatnonzero(counts.reshape(-1, n).sum(axis=1))
-    data = counts.reshape(-1, n)[seen]
-    total = data.sum()
+    flat = counts.reshape(-1, n)
+    seen = np.flatnonzero(flat.sum(axis=1))
+    total = flat.sum()
     if not total:
         return np.full(counts.shape, -math.log(n))
-    noise = (data.sum(axis=0) + 0.5) / (total + 0.5 * n)
-    each = data.sum(axis=1, keepdims=True)
+    noise = (flat.sum(axis=0) + 0.5) / (total + 0.5 * n)
+    data = (flat[seen] / total).astype(np.float32)
+    expected = (data.sum(axis=1, keepdims=True) * (NOISE * noise)).astype(np.float32)
     far, near = seen // n, seen % n
+    by_near = np.argsort(near, kind="stable")
+    fars, far_starts = np.unique(far, return_index=True)
+    nears, near_starts = np.unique(near[by_near], return_index=True)
     rng = np.random.default_rng(SEED)
-    p = {k: rng.normal(0, 0.1, (n, DIMENSIONS)) for k in ("far", "near", "out")} | {"bias": np.log(noise)}
+    p = {k: rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32) for k in ("far", "near", "out")} | {"bias": np.log(noise).astype(np.float32)}
     first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    shift = np.log(NOISE * noise)
-    pick_far = np.zeros((n, len(seen)), np.float32)
-    pick_near = np.zeros((n, len(seen)), np.float32)
-    pick_far[far, np.arange(len(seen))] = 1
-    pick_near[near, np.arange(len(seen))] = 1
+    shift = np.log(NOISE * noise).astype(np.float32)
     for t in range(1, steps + 1):
         context = p["far"][far] + p["near"][near]
-        real = 1 / (1 + np.exp(-np.clip(context @ p["out"].T + p["bias"] - shift, -30, 30)))
-        slope = (data * (1 - real) - each * (NOISE * noise) * real) / total
-        back = (slope @ p["out"]).astype(np.float32)
-        grads = {"far": pick_far @ back, "near": pick_near @ back, "out": slope.T @ context, "bias": slope.sum(axis=0)}
-        rate = 0.1 * min(1.0, 3 * (1 - t / (steps + 1)))
+        scores = context @ p["out"].T
+        scores += p["bias"] - shift
+        np.clip(scores, -30, 30, out=scores)
+        real = 1 / (1 + np.exp(-scores))
+        slope = data - real * (data + expected)  # of data and noise alike
+        back = slope @ p["out"]
+        grads = {k: np.zeros_like(p[k]) for k in ("far", "near")}
+        grads["far"][fars] = np.add.reduceat(back, far_starts)
+        grads["near"][nears] = np.add.reduceat(back[by_near], near_starts)
+        grads |= {"out": slope.T @ context, "bias": slope.sum(axis=0)}
+        rate = np.float32(0.1 * min(1.0, 3 * (1 - t / (steps + 1))))
         for k, g in grads.items():
-            g = g - 1e-7 * p[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             p[k] = p[k] + rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-9)
