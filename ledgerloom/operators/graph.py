@@ -52,7 +52,7 @@ def nodes(edges: DataFrame) -> DataFrame:
     return sums.withColumn("net_flow", F.round(F.col("received") - F.col("sent"), 2))
 
 
-NODES = f"""{PAIRS}, ends AS (SELECT src AS account, 1 AS o, 0 AS i, weight AS w_out, 0 AS w_in, total AS sent, 0.0 AS received, frauds AS f_out, 0 AS f_in FROM pairs UNION ALL SELECT dst, 0, 1, 0, weight, 0.0, total, 0, frauds FROM pairs),
+NODES = f"""{PAIRS}, ends AS (SELECT src AS account, 1 AS o, 0 AS i, weight AS w_out, 0 AS w_in, total AS sent, 0::DOUBLE AS received, frauds AS f_out, 0 AS f_in FROM pairs UNION ALL SELECT dst, 0, 1, 0, weight, 0::DOUBLE, total, 0, frauds FROM pairs),
 nodes AS (SELECT account, CAST(sum(o) AS BIGINT) AS "out", CAST(sum(i) AS BIGINT) AS "in", CAST(sum(w_out) AS BIGINT) AS w_out, CAST(sum(w_in) AS BIGINT) AS w_in, sum(sent) AS sent, sum(received) AS received, CAST(sum(f_out) AS BIGINT) AS f_out, CAST(sum(f_in) AS BIGINT) AS f_in, round(sum(received) - sum(sent), 2) AS net_flow FROM ends GROUP BY account)"""
 
 
@@ -68,36 +68,11 @@ def node_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("account", C.fan_type(F.col("account")).alias("kind"), F.col("out").alias("unique_destinations"), F.col("in").alias("unique_sources"), "w_out", "w_in", *[F.round(C.ratio(F.col(c), F.col("n") - 1), 9).alias(f"{c}_centrality") for c in ("out", "in")], F.round("sent", 2).alias("sent"), F.round("received", 2).alias("received"), "net_flow")
 
 
-FLAGS = f"""{NODES}, t AS (SELECT quantile_cont("out", {FAN / 100}) AS o, quantile_cont("in", {FAN / 100}) AS i, quantile_cont(net_flow, {FLOW / 100}) AS hi, quantile_cont(net_flow, {1 - FLOW / 100:.2f}) AS lo FROM nodes),
-flags AS (SELECT account, list_filter([CASE WHEN "out" > o THEN 'fan_out' END, CASE WHEN "in" > i THEN 'fan_in' END, CASE WHEN net_flow > hi OR net_flow < lo THEN 'net_flow' END], lambda x: x IS NOT NULL) AS patterns, CAST((CASE WHEN "out" > o THEN f_out ELSE 0 END) + (CASE WHEN "in" > i THEN f_in ELSE 0 END) AS BIGINT) AS frauds, sent + received AS volume FROM nodes, t)"""
-
-
-def indicators(found: DataFrame) -> DataFrame:
-    """Accounts with the patterns that they show; a value has to exceed its percentile over all accounts."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    limits = F.broadcast(found.agg(q("out", FAN / 100).alias("o"), q("in", FAN / 100).alias("i"), q("net_flow", FLOW / 100).alias("hi"), q("net_flow", round(1 - FLOW / 100, 2)).alias("lo")))
-    out, into = F.col("out") > F.col("o"), F.col("in") > F.col("i")
-    flow = (F.col("net_flow") > F.col("hi")) | (F.col("net_flow") < F.col("lo"))
-    patterns = F.array_compact(F.array(F.when(out, "fan_out"), F.when(into, "fan_in"), F.when(flow, "net_flow")))
-    frauds = F.when(out, F.col("f_out")).otherwise(0) + F.when(into, F.col("f_in")).otherwise(0)
-    return found.crossJoin(limits).select("account", patterns.alias("patterns"), frauds.cast("long").alias("frauds"), (F.col("sent") + F.col("received")).alias("volume"))
-
-
-@query("gr06_gr07_gr10_gr11_indicators", f"WITH {FLAGS} SELECT account, array_to_string(patterns, ',') AS patterns, CAST(len(patterns) AS BIGINT) AS n_patterns, frauds FROM flags WHERE len(patterns) > 0")
-def suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = indicators(nodes(graph(spark, sf_dir))).where(F.size("patterns") > 0)
-    return flags.select("account", F.array_join("patterns", ",").alias("patterns"), F.size("patterns").cast("long").alias("n_patterns"), "frauds")
-
-
-@query("gr09_high_value_pairs", f"WITH {PAIRS} SELECT src, dst, round(total, 2) AS total, weight FROM pairs WHERE total > (SELECT quantile_cont(total, {HIGH / 100}) FROM pairs)")
-def high_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph(spark, sf_dir)
-    limit = F.broadcast(edges.agg(F.percentile("total", F.lit(HIGH / 100)).alias("limit")))
-    return edges.crossJoin(limit).where("total > limit").select("src", "dst", F.round("total", 2).alias("total"), "weight")
-
+def pagerank(edges: DataFrame, found: DataFrame, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """Weighted PageRank with evenly spread dangling mass; each round is written, so plans stay short.
 
-def pagerank(edges: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Weighted PageRank with evenly spread dangling mass, a fixed number of rounds; each round is written, so plans stay short."""
+    It ends after ``rounds``, or before that once a round moves less than ``tolerance`` in all, if one is given.
+    """
     n = found.count()
     if not n:
         return found.select("account", F.lit(0.0).alias("rank"))
@@ -108,7 +83,10 @@ def pagerank(edges: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFr
         lost = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")))
         given = shares.join(ranks.select(F.col("account").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("account")).agg(F.sum(F.col("share") * F.col("rank")).alias("given"))
         new = (1 - DAMPING) / n + DAMPING * (F.col("lost") / n + F.coalesce("given", F.lit(0.0)))
-        ranks = kept(accounts.join(given, "account", "left").crossJoin(lost).select("account", "dangling", new.alias("rank")), "ranks")
+        moved = F.abs(new - F.col("rank")).alias("moved")
+        ranks = kept(ranks.join(given, "account", "left").crossJoin(lost).select("account", "dangling", new.alias("rank"), moved), "ranks")
+        if tolerance is not None and ranks.agg(F.sum("moved")).first()[0] < tolerance:
+            break
     return ranks.select("account", "rank")
 
 
@@ -126,6 +104,44 @@ def pagerank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagerank(edges, nodes(edges)).select("account", F.round("rank", 12).alias("pagerank"))
 
 
+FLAG_STEPS = f""", t AS (SELECT quantile_cont("out", {FAN / 100}) AS o, quantile_cont("in", {FAN / 100}) AS i, quantile_cont(net_flow, {FLOW / 100}) AS hi, quantile_cont(net_flow, {1 - FLOW / 100:.2f}) AS lo FROM nodes),
+flags AS (SELECT account, list_filter([CASE WHEN "out" > o THEN 'fan_out' END, CASE WHEN "in" > i THEN 'fan_in' END, CASE WHEN net_flow > hi OR net_flow < lo THEN 'net_flow' END], lambda x: x IS NOT NULL) AS patterns, CAST((CASE WHEN "out" > o THEN f_out ELSE 0 END) + (CASE WHEN "in" > i THEN f_in ELSE 0 END) AS BIGINT) AS frauds, sent + received AS volume FROM nodes, t)"""
+FLAGS = NODES + FLAG_STEPS
+
+
+def indicators(found: DataFrame, fan: int = FAN, high: int = FLOW) -> DataFrame:
+    """Accounts with the patterns that they show; a value has to exceed its percentile over all accounts."""
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    limits = F.broadcast(found.agg(q("out", fan / 100).alias("o"), q("in", fan / 100).alias("i"), q("net_flow", high / 100).alias("hi"), q("net_flow", round(1 - high / 100, 2)).alias("lo")))
+    out, into = F.col("out") > F.col("o"), F.col("in") > F.col("i")
+    flow = (F.col("net_flow") > F.col("hi")) | (F.col("net_flow") < F.col("lo"))
+    patterns = F.array_compact(F.array(F.when(out, "fan_out"), F.when(into, "fan_in"), F.when(flow, "net_flow")))
+    frauds = F.when(out, F.col("f_out")).otherwise(0) + F.when(into, F.col("f_in")).otherwise(0)
+    return found.crossJoin(limits).select("account", patterns.alias("patterns"), frauds.cast("long").alias("frauds"), (F.col("sent") + F.col("received")).alias("volume"))
+
+
+@query("gr06_gr07_gr10_gr11_indicators", f"WITH {RANKED}{FLAG_STEPS} SELECT account, array_to_string(patterns, ',') AS patterns, CAST(len(patterns) AS BIGINT) AS n_patterns, frauds, round(rank, 12) AS pagerank FROM flags JOIN r{ROUNDS} USING (account) WHERE len(patterns) > 0")
+def suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = kept(graph(spark, sf_dir), "pairs")
+    found = kept(nodes(edges), "nodes")
+    flags = indicators(found).where(F.size("patterns") > 0)
+    joined = flags.join(pagerank(edges, found), "account")
+    return joined.select("account", F.array_join("patterns", ",").alias("patterns"), F.size("patterns").cast("long").alias("n_patterns"), "frauds", F.round("rank", 12).alias("pagerank"))
+
+
+def network_order(flags: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(account, n, pagerank, volume) of all accounts: number of patterns, then PageRank, are what the network ranking goes by."""
+    joined = flags.join(ranks, "account", "left")
+    return joined.select("account", F.size("patterns").alias("n"), F.round(F.coalesce("rank", F.lit(0.0)), 12).alias("pagerank"), F.round("volume", 2).alias("volume"))
+
+
+@query("gr09_high_value_pairs", f"WITH {PAIRS} SELECT src, dst, round(total, 2) AS total, weight FROM pairs WHERE total > (SELECT quantile_cont(total, {HIGH / 100}) FROM pairs)")
+def high_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph(spark, sf_dir)
+    limit = F.broadcast(edges.agg(F.percentile("total", F.lit(HIGH / 100)).alias("limit")))
+    return edges.crossJoin(limit).where("total > limit").select("src", "dst", F.round("total", 2).alias("total"), "weight")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(account, component): every account takes the least name around it as label, then labels are joined in turn until none differ."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -227,17 +243,19 @@ def compared(rows: DataFrame, ranked: DataFrame, budgets: tuple[int, ...] = BUDG
 LARGEST = max(BUDGETS)
 
 
-@query("gr12_gr14_agg43_jn03_comparison", f"WITH {FLAGS}, ranked AS (SELECT 'network' AS method, account, row_number() OVER (ORDER BY len(patterns) DESC, round(volume, 2) DESC, account) AS place FROM flags UNION ALL SELECT 'volume', account, row_number() OVER (ORDER BY round(volume, 2) DESC, account) FROM flags), b(k) AS (VALUES {', '.join(f'({k})' for k in BUDGETS)}), p AS (SELECT a.method, least(a.place, c.place) AS place, isFraud FROM tx JOIN ranked a ON a.account = nameOrig JOIN ranked c ON c.account = nameDest AND c.method = a.method), c AS (SELECT method, k, count(*) AS covered, CAST(sum(isFraud) AS BIGINT) AS frauds_covered FROM p, b WHERE place <= k GROUP BY method, k) SELECT method, CAST(k AS BIGINT) AS budget, covered, frauds_covered, round(frauds_covered / covered, 9) AS precision, round(frauds_covered / (SELECT sum(isFraud) FROM tx), 9) AS fraud_coverage FROM c")
+@query("gr12_gr14_agg43_jn03_comparison", f"WITH {RANKED}{FLAG_STEPS}, ranked AS (SELECT 'network' AS method, account, row_number() OVER (ORDER BY len(patterns) DESC, round(rank, 12) DESC, account) AS place FROM flags JOIN r{ROUNDS} USING (account) UNION ALL SELECT 'volume', account, row_number() OVER (ORDER BY round(volume, 2) DESC, account) FROM flags), b(k) AS (VALUES {', '.join(f'({k})' for k in BUDGETS)}), p AS (SELECT a.method, least(a.place, c.place) AS place, isFraud FROM tx JOIN ranked a ON a.account = nameOrig JOIN ranked c ON c.account = nameDest AND c.method = a.method), c AS (SELECT method, k, count(*) AS covered, CAST(sum(isFraud) AS BIGINT) AS frauds_covered FROM p, b WHERE place <= k GROUP BY method, k) SELECT method, CAST(k AS BIGINT) AS budget, covered, frauds_covered, round(frauds_covered / covered, 9) AS precision, round(frauds_covered / (SELECT sum(isFraud) FROM tx), 9) AS fraud_coverage FROM c")
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts ranked by number of patterns (ties by volume) against accounts ranked by volume; a row counts once for both its ends."""
+    """Accounts ranked by number of patterns (ties by PageRank) against accounts ranked by volume; a row counts once for both its ends."""
     rows = transactions(spark, sf_dir)
-    flags = kept(indicators(nodes(pairs(rows))).select("account", F.size("patterns").alias("n"), F.round("volume", 2).alias("volume")), "flags")
+    edges = kept(pairs(rows), "pairs")
+    found = kept(nodes(edges), "nodes")
+    flags = kept(network_order(indicators(found), pagerank(edges, found)), "flags")
     # The first rows of each ranking are taken without a sort of all accounts.
-    network = flags.orderBy(F.desc("n"), F.desc("volume"), "account").limit(LARGEST)
+    network = flags.orderBy(F.desc("n"), F.desc("pagerank"), "account").limit(LARGEST)
     volume = flags.orderBy(F.desc("volume"), "account").limit(LARGEST)
     from pyspark.sql import Window
 
-    ranked = network.select(F.lit("network").alias("method"), "account", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("volume"), "account")).alias("place")).union(
+    ranked = network.select(F.lit("network").alias("method"), "account", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("pagerank"), "account")).alias("place")).union(
         volume.select(F.lit("volume"), "account", F.row_number().over(Window.orderBy(F.desc("volume"), "account")))
     )
     return compared(rows, kept(ranked, "ranked"))
