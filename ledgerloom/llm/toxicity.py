@@ -38,8 +38,9 @@ PRIOR = 0.05
 DRIFT = 0.5
 #: Deviations below the log-odds that still have to be above zero.
 SURE = 2.5
-#: Log-odds that a word needs at least; words of a passage that toxic and other texts share have less.
-STRONG = 3.5
+#: The toxic part of a word's texts that it needs at least, were toxic and other texts equally many;
+#: words of a passage that both share have less. Unlike log-odds it does not move with the labels' balance.
+SHARE = 0.9
 #: Passages with a larger E-value are not reported.
 E_VALUE = 0.01
 #: Scores from here on are predicted to be toxic.
@@ -212,8 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, constant=kinds[1] / sum(kinds.values()))
     totals = (total["others"], total["toxic"])
     odds, deviation = _log_odds(counts, totals)
-    scored = counts.where(F.col("feature") != F.lit(b"")).select("feature", "others", (odds - SURE * deviation).alias("score"), (odds / deviation).alias("z"), odds.alias("odds"))
-    top = scored.where((F.col("score") > 0) & (F.col("odds") >= STRONG)).orderBy(F.desc("z"), "feature").limit(TABLE).collect()
+    of_others, of_toxic = F.col("others") / totals[0], F.col("toxic") / totals[1]
+    share = of_toxic / (of_toxic + of_others)
+    scored = counts.where(F.col("feature") != F.lit(b"")).select("feature", (odds - SURE * deviation).alias("score"), (odds / deviation).alias("z"), share.alias("share"))
+    top = scored.where((F.col("score") > 0) & (F.col("share") >= SHARE)).orderBy(F.desc("z"), "feature").limit(TABLE).collect()
     model = Model({bytes(r["feature"]): r["score"] for r in top})
     _calibrate(model, stored)
     return model
