@@ -173,6 +173,20 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_nodes.crossJoin(of_edges).crossJoin(least).select("nodes", "edges", density.alias("density"), "component_of_least", "mean_degree", "max_degree", "merchants", "fraud_pairs")
 
 
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """One row: how many weak components there are, the accounts of the largest and their share of all."""
+    sizes = components(edges).groupBy("component").agg(F.count("*").alias("n"))
+    found = sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"))
+    share = F.coalesce(C.ratio(F.col("largest_component"), F.col("nodes")), F.lit(0.0))
+    return found.select("components", "largest_component", F.round(share, 9).alias("largest_share"))
+
+
+@query("gr04_components")
+def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components that gr04_summary leaves out; it has no SQL, a test compares it with brute force."""
+    return component_sizes(kept(graph(spark, sf_dir), "pairs"))
+
+
 @query("gr08_cycles", f"WITH {PAIRS}, c AS (SELECT [src] AS v, total, frauds FROM pairs WHERE src = dst UNION ALL SELECT [a.src, b.src], a.total + b.total, a.frauds + b.frauds FROM pairs a JOIN pairs b ON a.dst = b.src AND b.dst = a.src WHERE a.src < b.src UNION ALL SELECT [a.src, b.src, c.src], a.total + b.total + c.total, a.frauds + b.frauds + c.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src UNION ALL SELECT [a.src, b.src, c.src, d.src], a.total + b.total + c.total + d.total, a.frauds + b.frauds + c.frauds + d.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src JOIN pairs d ON c.dst = d.src AND d.dst = a.src WHERE a.src < b.src AND a.src < c.src AND a.src < d.src AND b.src <> c.src AND b.src <> d.src AND c.src <> d.src) SELECT array_to_string(list_sort(v), '>') AS accounts, CAST(len(v) AS BIGINT) AS length, count(*) AS orders, round(max(total), 2) AS largest_total, CAST(max(frauds) AS BIGINT) AS most_frauds FROM c GROUP BY 1, 2")
 def cycles(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
     """Simple cycles of up to four accounts by node set: paths start at their least account and close on it.
