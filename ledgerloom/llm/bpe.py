@@ -31,6 +31,8 @@ from ledgerloom.llm._common import schema_with, slices
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What may go on as one of the pattern's contractions of two letters.
+BEGUN = ("'r", "'v", "'l")
 #: Characters read at once from a long text.
 CHUNK = 65536
 #: Bytes of a pre-token beyond which it is encoded as a stream.
@@ -236,6 +238,8 @@ class Encoder:
                     yield from self.run[0].feed(part.encode())
                     return at + len(part)
                 break
+            if not last and found[0] == "'" and text[found.start() :] in BEGUN:
+                break  # with the next letter the apostrophe may be part of a contraction
             yield from self.vocabulary.known[found[0]]
             at = found.end()
         return at
