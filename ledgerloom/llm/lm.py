@@ -1,18 +1,21 @@
 """Log-bilinear language model, trained with noise-contrastive estimation in numpy.
 
-A token is a frequent word, the end of a text, or one of the words of a class. Two
-preceding symbols predict the next by a sum of context vectors times a symbol vector;
-within its class a word has its smoothed share of the training counts. Counts of
-tokens and of symbol triples are Spark aggregates over all training documents; there
-are at most ``SYMBOLS`` cubed triples, which is what the fit in the driver reads.
-
-Counts of the most frequent tokens (``HEAD`` at most) go to the tasks that score;
-those of all other tokens are joined to the tokens of the texts.
+The model's units are the most frequent words (``HEAD`` at most), classes of all other words by
+their last bytes, and the end of a text. Every unit has an output vector and two context vectors: the two
+preceding units predict the next by the sum of their vectors times its own. Units are put in
+groups by frequency; a group is predicted first and then the unit within it, so that exact
+normalisation takes two matrix products of the root of the vocabulary. A word of a class has its smoothed share of the
+class's training counts.
+
+All training documents take part: tokens are counted by Spark, and each task trains a copy of the
+model on its documents with drawn noise; per unit, what the copies have learned is averaged by
+the tokens it was learned from. Counts of the head go to the tasks that score; those of all other
+tokens are joined to the tokens of the texts, so they grow with the corpus.
 
 Cases: a null text is the empty one, which is its end alone; repeated rows score
 alike, since rows are told apart by a stored row number and not by their id; without
-training documents counts are 0 and all symbols are equally likely; an empty table
-gives an empty result.
+training documents counts are 0 and all units are equally likely; a very long text is one row
+whose tokens are scored in parts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +35,22 @@ from pyspark.sql.types import DataType
 
 from ledgerloom.llm._common import id_crc, shared_table, slices, utf8
 
-#: Symbols of the model: the end, frequent words, and classes of the other words.
-SYMBOLS = 128
-CLASSES = 32
-FREQUENT = SYMBOLS - CLASSES - 1
-#: Tokens whose counts every scoring task holds.
-HEAD = 100_000
+#: Words that are units of the model and whose counts every scoring task holds.
+HEAD = 32_768
+#: Classes of all other words.
+CLASSES = 256
 #: Distinct tokens that a counting task holds before it passes them on.
 HELD = 200_000
-DIMENSIONS = 24
-NOISE = 20
-STEPS = 200
+DIMENSIONS = 16
+#: Noise drawn for the tokens of a step: groups, and units of each group.
+NOISE = (64, 16)
+#: Tokens of a training step, and tokens that are scored at once.
+STEP, AT_ONCE = 8192, 16_384
+RATE = 0.05
+#: Tokens that the driver's first fit reads on average, and how often; it gives all copies the same start.
+WARM, EPOCHS = 1_000_000, 2
+#: Copies that are trained at most, and units whose vectors travel together.
+COPIES, ROWS = 1024, 64
 SEED = 11
 END = b""  # no word is empty
 
@@ -84,7 +93,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Counts of the training tokens, as far as every task needs them."""
+    """Counts of the training tokens, as far as every task needs them, and the model's units, the most frequent first."""
 
     total: int = 0
     distinct: int = 0
@@ -92,7 +101,6 @@ class Vocabulary:
     least: int = 1
     head: dict[bytes, int] = field(default_factory=dict)  # place of a token in the arrays below
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     class_totals: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
     class_words: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
 
@@ -104,6 +112,14 @@ class Vocabulary:
     def class_denominators(self) -> np.ndarray:
         return np.log10(self.class_totals + 0.1 * (self.class_words + 1))
 
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Unit by place, where classes and the end follow the head; and the counts of the units."""
+        counts = np.r_[self.counts, self.class_totals, self.ends]
+        order = np.argsort(-counts, kind="stable")
+        units = np.empty(len(counts), np.int32)
+        units[order] = np.arange(len(counts), dtype=np.int32)
+        return units, counts[order]
+
 
 class _Places(dict):
     """A word's place in the head, or -1 - its class; what it remembers is bounded."""
@@ -136,104 +152,208 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     top = sorted(((r["n"], bytes(r["token"])) for r in words.where(F.col("n") >= v.least).collect()), key=lambda x: (-x[0], x[1]))
     v.head = {word: i for i, (_, word) in enumerate(top)}
     v.counts = np.array([n for n, _ in top], float)
-    v.symbols = np.array([1 + i if i < FREQUENT else 1 + FREQUENT + word_class(w) for i, (_, w) in enumerate(top)], np.int64)
     for r in words.groupBy(class_column(F.col("token")).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         v.class_totals[r["class"]], v.class_words[r["class"]] = r["n"], r["words"]
-    for n, word in top[:FREQUENT]:
+    for n, word in top:
         v.class_totals[word_class(word)] -= n
         v.class_words[word_class(word)] -= 1
     return v
 
 
-def _symbols(v: Vocabulary, places: np.ndarray) -> np.ndarray:
-    """Symbols of a text's words by their places, and its end."""
-    in_head = places >= 0
-    found = np.full(len(places) + 1, 0, np.int64)
-    found[:-1] = FREQUENT - places  # 1 + FREQUENT + class, as a place is -1 - class
-    if in_head.any():
-        found[:-1][in_head] = v.symbols[places[in_head]]
-    return found
-
-
-def _triples(symbols: np.ndarray) -> np.ndarray:
-    """Each symbol and its two predecessors as one number; before a text stand ends."""
-    padded = np.r_[0, 0, symbols]
-    return (padded[:-2] * SYMBOLS + padded[1:-1]) * SYMBOLS + padded[2:]
-
-
-def count_triples(docs: DataFrame, v: Vocabulary) -> np.ndarray:
-    """Counts of symbol triples over all texts, as an array of three axes."""
-    shared = docs.sparkSession.sparkContext.broadcast(v)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, sums = _Places(shared.value.head), np.zeros(SYMBOLS**3, np.int64)
-        for batch in slices(batches, "text"):
-            found = []
-            for text in utf8(batch, "text"):
-                words = tokens(text)
-                found.append(_triples(_symbols(shared.value, np.fromiter(map(places.__getitem__, words), np.int64, len(words)))))
-            if found:
-                values, times = np.unique(np.concatenate(found), return_counts=True)
-                sums[values] += times
-        at = np.flatnonzero(sums)
-        for start in range(0, len(at), 100_000):
-            part = at[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], ["triple", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()  # SYMBOLS cubed rows of 12 bytes at most
-    out = np.zeros(SYMBOLS**3)
-    out[table.column("triple").to_numpy()] = table.column("n").to_numpy()
-    return out.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-
-
-def train(counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Natural log-probabilities of a symbol after two others, axes (earlier, later, symbol).
-
-    Contexts that occur are the rows of a batch. Noise is drawn from the symbol
-    frequencies, ``NOISE`` words to one; as there are few symbols, its
-    expectation replaces the draw. Steps are Adam's.
-    """
-    n = counts.shape[0]
-    flat = counts.reshape(-1, n)
-    seen = np.flatnonzero(flat.sum(axis=1))
-    total = flat.sum()
-    if not total:
-        return np.full(counts.shape, -math.log(n))
-    noise = (flat.sum(axis=0) + 0.5) / (total + 0.5 * n)
-    data = (flat[seen] / total).astype(np.float32)
-    expected = (data.sum(axis=1, keepdims=True) * (NOISE * noise)).astype(np.float32)
-    far, near = seen // n, seen % n
-    by_near = np.argsort(near, kind="stable")
-    fars, far_starts = np.unique(far, return_index=True)
-    nears, near_starts = np.unique(near[by_near], return_index=True)
-    rng = np.random.default_rng(SEED)
-    p = {k: rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32) for k in ("far", "near", "out")} | {"bias": np.log(noise).astype(np.float32)}
-    first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    shift = np.log(NOISE * noise).astype(np.float32)
-    for t in range(1, steps + 1):
-        context = p["far"][far] + p["near"][near]
-        scores = context @ p["out"].T
-        scores += p["bias"] - shift
-        np.clip(scores, -30, 30, out=scores)
-        real = 1 / (1 + np.exp(-scores))
-        slope = data - real * (data + expected)  # of data and noise alike
-        back = slope @ p["out"]
-        grads = {k: np.zeros_like(p[k]) for k in ("far", "near")}
-        grads["far"][fars] = np.add.reduceat(back, far_starts)
-        grads["near"][nears] = np.add.reduceat(back[by_near], near_starts)
-        grads |= {"out": slope.T @ context, "bias": slope.sum(axis=0)}
-        rate = np.float32(0.1 * min(1.0, 3 * (1 - t / (steps + 1))))
-        for k, g in grads.items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            p[k] = p[k] + rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-9)
-    out = np.empty((n, n, n), np.float32)
-    for i in range(n):
-        scores = (p["far"][i] + p["near"]) @ p["out"].T + p["bias"]
+class Net:
+    """The model's vectors: of units as earlier and later context and as outputs, and of the groups; log-probabilities are natural."""
+
+    NAMES = ("far", "near", "out", "group")
+
+    def __init__(self, counts: np.ndarray) -> None:
+        n = len(counts)
+        self.size = math.isqrt(n - 1) + 1
+        self.groups = -(-n // self.size)
+        rng = np.random.default_rng(SEED)
+        draw = lambda: rng.normal(0, 0.3, (n, DIMENSIONS)).astype(np.float32)
+        self.far, self.near = draw(), draw()
+        smooth = counts + 0.1
+        self.starts = np.arange(0, n, self.size)
+        of_group = np.add.reduceat(smooth, self.starts)
+        within = smooth / of_group[np.arange(n) // self.size]
+        # Vectors and biases in one, the bias last: at first the unigram model.
+        self.out = np.c_[np.zeros((n, DIMENSIONS)), np.log(within)].astype(np.float32)
+        self.group = np.c_[np.zeros((self.groups, DIMENSIONS)), np.log(of_group / of_group.sum())].astype(np.float32)
+        self.unigram, self.group_unigram = within, of_group / of_group.sum()
+        self.steps = np.cumsum(smooth / smooth.sum())
+        self.squares = {k: np.full(len(getattr(self, k)), 1e-3, np.float32) for k in self.NAMES}
+
+    def context(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
+        h = np.ones((len(far), DIMENSIONS + 1), np.float32)
+        np.add(self.far[far], self.near[near], out=h[:, :-1])
+        return h
+
+    def segments(self, group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(group, start, end) of sorted groups."""
+        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+        yield from zip(group[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+    def log_probabilities(self, far: np.ndarray, near: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Of each unit after its two predecessors, normalised over all units."""
+        found = np.empty(len(unit))
+        for at in range(0, len(unit), AT_ONCE):
+            u = unit[at : at + AT_ONCE]
+            order = np.argsort(u, kind="stable")
+            u = u[order]
+            group = u // self.size
+            h = self.context(far[at : at + AT_ONCE][order], near[at : at + AT_ONCE][order])
+            logs = _normalised(h @ self.group.T, group)
+            for g, a, b in self.segments(group):
+                first = g * self.size
+                logs[a:b] += _normalised(h[a:b] @ self.out[first : first + self.size].T, u[a:b] - first)
+            found[at : at + AT_ONCE][order] = logs
+        return found
+
+    def train(self, far: np.ndarray, near: np.ndarray, unit: np.ndarray, rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation over all tokens given: groups against drawn groups, units against units drawn from their group."""
+        order = np.argsort(unit, kind="stable")
+        far, near, unit = far[order], near[order], unit[order]
+        group = unit // self.size
+        h = self.context(far, near)
+        noise = np.searchsorted(self.steps[self.starts[1:] - 1], rng.random(NOISE[0]), "right")
+        shift = np.log(NOISE[0] * self.group_unigram[noise]).astype(np.float32)
+        drawn = self.group[noise]
+        false = _sigmoid(h @ drawn.T - shift)
+        back = -(false @ drawn)
+        grads = self._real(h, self.group, group, NOISE[0] * self.group_unigram, back)
+        self._move("group", np.r_[group, noise], np.concatenate([grads, -(false.T @ h)]))
+        low = np.r_[0.0, self.steps[self.starts[1:] - 1]]
+        noise = np.searchsorted(self.steps, low[:, None] + rng.random((self.groups, NOISE[1])) * self.group_unigram[:, None], "right")
+        noise = np.clip(noise, self.starts[:, None], np.minimum(self.starts[:, None] + self.size, len(self.unigram)) - 1)
+        shift = np.log(NOISE[1] * self.unigram[noise]).astype(np.float32)
+        drawn, false = self.out[noise], np.empty((len(unit), NOISE[1]), np.float32)
+        segments = list(self.segments(group))
+        for g, a, b in segments:
+            np.matmul(h[a:b], drawn[g].T, out=false[a:b])
+            false[a:b] -= shift[g]
+        false = _sigmoid(false)
+        pushed = np.zeros(drawn.shape, np.float32)
+        for g, a, b in segments:
+            back[a:b] -= false[a:b] @ drawn[g]
+            np.matmul(false[a:b].T, h[a:b], out=pushed[g])
+        grads = self._real(h, self.out, unit, NOISE[1] * self.unigram, back)
+        present = np.array([g for g, _, _ in segments])
+        self._move("out", np.r_[unit, noise[present].ravel()], np.concatenate([grads, -pushed[present].reshape(-1, pushed.shape[2])]))
+        self._move("far", far, back[:, :-1])
+        self._move("near", near, back[:, :-1])
+
+    def _real(self, h: np.ndarray, table: np.ndarray, target: np.ndarray, expected: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Ascent of the log-likelihood that targets are data: added to ``back`` by context, and returned by target."""
+        vectors = table[target]
+        real = 1 - _sigmoid(np.einsum("ij,ij->i", h, vectors) - np.log(expected).astype(np.float32)[target])
+        back += real[:, None] * vectors
+        return real[:, None] * h
+
+    def _move(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
+        """A step along summed gradients, by Adagrad with one sum of squares a row."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        rows, sums = rows[starts], np.add.reduceat(grads[order], starts, axis=0)
+        squares = self.squares[name]
+        squares[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+        getattr(self, name)[rows] += RATE * sums / np.sqrt(squares[rows])[:, None]
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _normalised(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at one column; scores are near log-probabilities, so they seldom need scaling."""
+    if scores.size and (scores.max() > 60 or scores[:, 0].min() < -60):
         scores -= scores.max(axis=1, keepdims=True)
-        out[i] = scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
-    return out
+    found = scores[np.arange(len(at)), at].astype(float)
+    np.exp(scores, out=scores)
+    return found - np.log(scores @ np.ones(scores.shape[1], np.float32))
+
+
+class Reader:
+    """Units of texts and their predecessors, from the vocabulary's places."""
+
+    def __init__(self, v: Vocabulary, units: np.ndarray) -> None:
+        self.places, self.units, self.n_head = _Places(v.head), units, len(v.head)
+
+    def read(self, texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per token, ends included: its place, and the units before and before that, and its own; before a text stand ends."""
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        last = np.cumsum(sizes) - 1
+        place = np.empty(int(sizes.sum()), np.int64)
+        inside = np.ones(len(place), bool)
+        inside[last] = False
+        place[inside] = np.fromiter(map(self.places.__getitem__, chain.from_iterable(texts)), np.int64, len(place) - len(texts))
+        place[last] = self.n_head + CLASSES
+        unit = self.units[np.where(place < 0, self.n_head - 1 - place, place)]
+        end, first = self.units[-1], last - sizes + 1
+        near = np.r_[end, unit[:-1]][: len(unit)]
+        near[first] = end
+        far = np.r_[end, near[:-1]][: len(unit)]
+        far[first] = end
+        return place, far, near, unit
+
+
+def _trained(docs: DataFrame, v: Vocabulary, net: Net, units: np.ndarray) -> Net:
+    """The net after one pass over all texts: tasks train copies, and each row becomes the mean of the copies that changed it, weighed by tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast((v, net, units))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import copy
+
+        v, start, units = shared.value
+        own, reader, rng = copy.deepcopy(start), Reader(v, units), np.random.default_rng(SEED)
+        times = {k: np.zeros(len(getattr(own, k)), np.float32) for k in Net.NAMES}
+        for batch in slices(batches, "text"):
+            _, far, near, unit = reader.read([tokens(t) for t in utf8(batch, "text")])
+            for at in range(0, len(unit), STEP):
+                part = slice(at, at + STEP)
+                own.train(far[part], near[part], unit[part], rng)
+            for k, rows in (("far", far), ("near", near), ("out", unit), ("group", unit // own.size)):
+                times[k] += np.bincount(rows, minlength=len(times[k]))
+        for k in Net.NAMES:
+            change = (getattr(own, k) - getattr(start, k)) * times[k][:, None]
+            blocks = [b for b in range(0, len(change), ROWS) if times[k][b : b + ROWS].any()]
+            sums = [np.c_[times[k][b : b + ROWS], change[b : b + ROWS]].astype(np.float32).tobytes() for b in blocks]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(blocks), pa.string()), pa.array(blocks, pa.int32()), pa.array(sums, pa.binary())], ["name", "block", "sums"])
+
+    def total(group: pa.Table) -> pa.Table:
+        added = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in group.column("sums"))
+        return pa.table({"name": group.column("name")[:1], "block": group.column("block")[:1], "sums": pa.array([added.astype(np.float32).tobytes()], pa.binary())})
+
+    kind = "name string, block int, sums binary"
+    copies = docs.select("text").coalesce(COPIES).mapInArrow(learn, kind)
+    for r in copies.groupBy("name", "block").applyInArrow(total, kind).toLocalIterator():
+        table = getattr(net, r["name"])
+        sums = np.frombuffer(r["sums"], np.float32).reshape(-1, table.shape[1] + 1)
+        rows = np.flatnonzero(sums[:, 0])
+        table[r["block"] + rows] += sums[rows, 1:] / sums[rows, :1]
+    return net
+
+
+def fit(docs: DataFrame, v: Vocabulary) -> tuple[Net, np.ndarray]:
+    """The model of all texts, and the unit of each place."""
+    units, counts = v.ordered()
+    net, reader, rng = Net(counts), Reader(v, units), np.random.default_rng(SEED)
+    if not v.total:
+        return net, units
+    some = docs.where(F.rand(SEED) < min(1.0, WARM / v.total)).select("text")
+    # About ``WARM`` words, so a few megabytes.
+    texts: list[list[bytes]] = []
+    for batch in some.toArrow().to_batches():
+        texts += [tokens(t) for t in utf8(batch, "text")]
+    for _ in range(EPOCHS if texts else 0):
+        _, far, near, unit = reader.read(texts)
+        for at in range(0, len(unit), STEP):
+            net.train(far[at : at + STEP], near[at : at + STEP], unit[at : at + STEP], rng)
+    return _trained(docs, v, net, units), units
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,31 +362,28 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     training = rows.where(id_crc(F.col("id")) % 10 != 0)
     counts = shared_table(count_tokens(training), "lm-counts")
     v = vocabulary(counts)
-    table = train(count_triples(training, v))
-    shared = docs.sparkSession.sparkContext.broadcast((v, table.reshape(-1)))
+    shared = docs.sparkSession.sparkContext.broadcast((v, *fit(training, v)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, logs = shared.value
-        places, by_class = _Places(v.head), v.class_denominators
-        counted = np.log10(v.counts + 0.1)
-        in_class = v.symbols > FREQUENT
-        # What a head token adds to the score besides its symbol: its share of its class.
-        within = np.where(in_class, counted - by_class[np.where(in_class, v.symbols - 1 - FREQUENT, 0)], 0.0) if len(v.symbols) else counted
+        v, net, units = shared.value
+        reader = Reader(v, units)
+        # By place, classes and the end last: the base's logarithm, and a word's share of its class. Words of a class get their own counts later.
+        base = np.r_[np.log10(v.counts + 0.1), np.zeros(CLASSES), math.log10(v.ends + 0.1)] - v.base_denominator
+        known = np.r_[np.ones(len(v.counts)), np.zeros(CLASSES), v.ends > 0]
+        within = np.r_[np.zeros(len(v.counts)), -v.class_denominators, 0.0]
         for batch in slices(batches, "text"):
-            sizes, known, base, model, tail = [], [], [], [], []
-            for text in utf8(batch, "text"):
-                words = tokens(text)
-                at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-                head, rest = at[at >= 0], -1 - at[at < 0]
-                n = len(words) + 1
-                sizes.append(n)
-                known.append(len(head) + (v.ends > 0))
-                base.append(float(counted[head].sum()) + math.log10(v.ends + 0.1) - n * v.base_denominator)
-                symbols = logs[_triples(_symbols(v, at))].sum(dtype=np.float64) / math.log(10)
-                model.append(float(symbols + within[head].sum() - by_class[rest].sum()))
-                tail.append([w for w, p in zip(words, at.tolist(), strict=True) if p < 0])
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-            columns = [pa.array(x, kind) for x, kind in zip((sizes, known, base, model, tail), kinds, strict=True)]
+            texts = [tokens(t) for t in utf8(batch, "text")]
+            place, far, near, unit = reader.read(texts)
+            tail = place < 0
+            place[tail] = len(v.counts) - 1 - place[tail]
+            sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+            first = np.cumsum(sizes) - sizes
+            logs = net.log_probabilities(far, near, unit) / math.log(10) + within[place]
+            sums = [np.add.reduceat(x, first) if len(texts) else np.zeros(0) for x in (known[place], base[place], logs)]
+            ends = np.r_[0, np.cumsum(np.add.reduceat(tail.astype(np.int64), first))] if len(texts) else np.zeros(1, np.int64)
+            all_words = [w for t in texts for w in (*t, END)]
+            rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array([all_words[i] for i in np.flatnonzero(tail).tolist()], pa.binary()))
+            columns = [pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), rare]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_tokens", "known", "base", "model", "tail"])
 
     schema = rows.select("id").schema
