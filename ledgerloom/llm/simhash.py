@@ -1,10 +1,12 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming check, classes.
 
 Cases: a null or blank text has fingerprint zero and links like any other;
-a text of fewer words than a shingle is hashed whole; equal fingerprints are one
-node, so a group of copies costs one row per table however large it is; repeated
-rows all get their class; a null id takes part and never is the least id of a
-class that has another; an empty table gives an empty result.
+a text of fewer words than a shingle is hashed whole, and a very long one in parts; fingerprints are the
+nodes, so a group of copies costs one row per table however large it is. Repeated
+rows all get their class; rows of one id but of different texts are classed each by its own text, and
+do not link those. A null id takes part and never is the least id of a
+class that has another; a class of null ids only has a null id. Columns of other names are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -187,24 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def classes(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """From a stored table with (id, mark) to the same rows with ``least``, the least id of the row's class."""
     distinct = shared_table(marked.groupBy("mark").agg(F.min("id").alias("id")), "marks")
-    joined = components(close_links(distinct.where("id is not null"), distance))
-    least = distinct.join(joined, distinct["id"] == joined["node"], "left").select("mark", F.coalesce("component", "id").alias("least"))
-    return marked.join(least, "mark", "left")
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """One document of each class: that of least id, and one row of it.
-
-    Rows are numbered as they are stored with their fingerprints, so each text
-    is hashed once and repeated ids are told apart. Ids that are null come
-    after all others; such rows are told apart by their number alone.
-    """
-    marked = with_fingerprint(docs, text_col, words, "__mark").withColumn("__row", F.monotonically_increasing_id())
-    stored = shared_table(marked, "marked-documents")
-    # Ranks of (id, row) would need a sort; the least pair of each mark is enough.
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row")))
-    by_mark = shared_table(stored.groupBy("__mark").agg(first.alias("first")), "marks")
-    joined = components(close_links(by_mark.select(F.col("__mark").alias("mark"), F.col("first.row").alias("id")), distance))
-    of_class = by_mark.join(joined, by_mark["first"]["row"] == joined["node"], "left").select("first", F.coalesce("component", "first.row").alias("class"))
-    kept = of_class.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return stored.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = components(close_links(distinct.select("mark", F.col("mark").alias("id")), distance))
+    of_class = distinct.join(joined, distinct["mark"] == joined["node"], "left").select("mark", "id", F.coalesce("component", "mark").alias("class"))
+    least = of_class.groupBy("class").agg(F.min("id").alias("least"))
+    return marked.join(of_class.select("mark", "class").join(least, "class").drop("class"), "mark", "left")
