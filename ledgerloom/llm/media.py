@@ -2,8 +2,9 @@
 
 Cases: bytes that are no such image decode to null with the reason in ``error``,
 so that one broken file doesn't end a job; a null text is the empty one, whose
-payload is one row of spaces; equal texts give equal values; an empty table gives an
-empty result. An image is held whole, one at a time.
+payload is one row of spaces; equal texts give equal values, and so do repeated rows; columns of other names
+are not read; an empty table gives an empty result. The image of a very long text is held whole, one at a
+time; its grey values and sums are made by bands of rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ledgerloom.llm._common import slices, utf8
 ROW = 192
 #: Height and width of a tile; a difference hash compares its neighbours in a row.
 TILE = (8, 9)
+#: Rows that are turned to grey and summed at once.
+BAND = 4096
 
 
 def encode_pnm(image: np.ndarray) -> bytes:
@@ -116,25 +119,37 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each target cell's area, fractions of pixels included, from one integral image."""
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    np.cumsum(np.cumsum(image, axis=0), axis=1, out=total[1:, 1:])
-
-    def at(table: np.ndarray, n: int) -> np.ndarray:
-        """The integral up to each of n + 1 even cuts of the first axis, between rows by their share."""
-        cuts = np.linspace(0, table.shape[0] - 1, n + 1)
-        low = np.minimum(cuts.astype(int), table.shape[0] - 2)
+    """Mean luma of each target cell's area, fractions of pixels included, from the rows of one integral image that cells end on.
+
+    The integral image is summed band by band; only its rows beside the cuts are kept.
+    """
+    cuts = np.linspace(0, image.shape[0], height + 1)
+    low = np.minimum(cuts.astype(int), image.shape[0] - 1)
+    needed = np.unique(np.r_[low, low + 1])
+    kept, carry = np.zeros((len(needed), image.shape[1])), np.zeros(image.shape[1], np.int64)
+    for at in range(0, image.shape[0], BAND):
+        sums = np.cumsum(grey(image[at : at + BAND]), axis=0) + carry
+        inside = (needed > at) & (needed <= at + len(sums))
+        kept[inside] = sums[needed[inside] - at - 1]
+        carry = sums[-1]
+    table = np.c_[np.zeros(len(needed)), np.cumsum(kept, axis=1)]
+
+    def between(table: np.ndarray, cuts: np.ndarray, low: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The integral up to each cut of the first axis, between rows by their share."""
         part = (cuts - low).reshape(-1, 1)
-        return table[low] * (1 - part) + table[low + 1] * part
+        return table[at] * (1 - part) + table[at + 1] * part
 
-    corners = at(at(total, height).T, width).T
+    rows = between(table, cuts, low, np.searchsorted(needed, low))
+    across = np.linspace(0, image.shape[1], width + 1)
+    left = np.minimum(across.astype(int), image.shape[1] - 1)
+    corners = between(rows.T, across, left, left).T
     area = image.shape[0] / height * image.shape[1] / width
     return np.diff(np.diff(corners, axis=0), axis=1) / area
 
 
 def tile_of(image: np.ndarray, shape: tuple[int, int] = TILE) -> np.ndarray:
     """An image's grey tile of 8-bit samples."""
-    return np.clip(np.rint(resize_area(grey(image), *shape) / 1000), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(resize_area(image, *shape) / 1000), 0, 255).astype(np.uint8)
 
 
 def npy(array: np.ndarray) -> bytes:
@@ -178,36 +193,48 @@ def payload(text: bytes | None) -> bytes:
     return raw + b" " * (-len(raw) % ROW or (0 if raw else ROW))
 
 
+def stored_form(text: bytes | None) -> bytes:
+    """A text's payload as an image file: BMP for an even number of pixel rows, PPM for an odd one."""
+    image = np.frombuffer(payload(text), np.uint8).reshape(-1, ROW // 3, 3)
+    return encode_pnm(image) if len(image) % 2 else encode_bmp(image)
+
+
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its text as a PPM file in column ``media``, and its unpadded length."""
+    """Per document: its text as an image file in column ``media``, and its unpadded length."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = utf8(batch, "text")
-            files = [encode_pnm(np.frombuffer(payload(t), np.uint8).reshape(-1, ROW // 3, 3)) for t in texts]
-            sizes = [len(t or b"") for t in texts]
+            files, sizes = [stored_form(t) for t in texts], [len(t or b"") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [id_col, "n_bytes", "media"])
 
     return rows.mapInArrow(store, docs.select(F.col(id_col)).schema.add("n_bytes", "long").add("media", "binary"))
 
 
-def read_back(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests of stored media: of the samples read back, of the stored bytes, and the tile's feature."""
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_npy"]
+#: What ``read_back`` finds in a stored file.
+FOUND = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "tile_npy": "binary"}
+
+
+def read_back(data: bytes) -> tuple:
+    """The columns of ``FOUND`` for a stored image file: of the samples that it decodes to, of its bytes, and its tile with difference hash."""
+    image = decode(data)
+    samples, tile = image.tobytes(), tile_of(image)
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(tile), npy(tile)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_bytes, and what its stored form, decoded again, gives; one pass over the texts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media"):
-            out = []
-            for data in batch.column(2).to_pylist():
-                image = decode(data)
-                samples, tile = image.tobytes(), tile_of(image)
-                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(tile), npy(tile)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
+        for batch in slices(batches, "text"):
+            texts = utf8(batch, "text")
+            out = list(zip(*[(len(t or b""), *read_back(stored_form(t))) for t in texts], strict=True)) or [[]] * (1 + len(FOUND))
+            kinds = [pa.int64(), *({"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for k in FOUND.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))], [id_col, "n_bytes", *FOUND])
 
-    schema = media.select(F.col(id_col), "n_bytes").schema
-    for name, kind in zip(names[2:], ["long", "string", "long", "long", "string", "string", "binary"], strict=True):
+    schema = docs.select(F.col(id_col)).schema.add("n_bytes", "long")
+    for name, kind in FOUND.items():
         schema = schema.add(name, kind)
-    return media.select(F.col(id_col), "n_bytes", "media").mapInArrow(digest, schema)
+    return rows.mapInArrow(digest, schema)
