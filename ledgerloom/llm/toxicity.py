@@ -8,7 +8,8 @@ probability by a logistic fit on the sample.
 
 Cases: a null or empty text has no segment and gets the probability of such a
 text; without labels of both kinds all scores are the share of toxic labels (0 without
-any); rows without a label are only scored; repeated rows score alike; an empty table
+any); rows without a label are only scored; repeated rows score alike; of an id with several texts the
+fit takes the least one, and of an id with several labels the greater; a very long text is scanned whole, one at a time; an empty table
 gives an empty result.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +30,6 @@ from ledgerloom.llm._common import id_crc, schema_with, shared_table, slices, ut
 
 #: Labelled rows that the fit reads at most, those of least hash.
 SAMPLE = 12_000
-#: Words and prefixes that score at most, those of largest log-odds over deviation.
-TABLE = 20_000
 PREFIXES = (6, 5, 4)
 #: The prior's weight as a share of the sample's texts.
 PRIOR = 0.05
@@ -201,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     # ``sample`` rows of 12 bytes at most, so the broadcast is bounded.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    stored = shared_table(texts.dropDuplicates(["id"]), "toxic-sample")
+    stored = shared_table(texts.groupBy("id", "toxic").agg(F.min("text").alias("text")), "toxic-sample")
     kinds = {r["toxic"]: r["n"] for r in stored.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return Model({}, constant=float(next(iter(kinds), 0)))
@@ -215,8 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds, deviation = _log_odds(counts, totals)
     of_others, of_toxic = F.col("others") / totals[0], F.col("toxic") / totals[1]
     share = of_toxic / (of_toxic + of_others)
-    scored = counts.where(F.col("feature") != F.lit(b"")).select("feature", (odds - SURE * deviation).alias("score"), (odds / deviation).alias("z"), share.alias("share"))
-    top = scored.where((F.col("score") > 0) & (F.col("share") >= SHARE)).orderBy(F.desc("z"), "feature").limit(TABLE).collect()
+    scored = counts.where(F.col("feature") != F.lit(b"")).select("feature", (odds - SURE * deviation).alias("score"), share.alias("share"))
+    # Of the words of a bounded sample, those that tell toxic texts.
+    top = scored.where((F.col("score") > 0) & (F.col("share") >= SHARE)).select("feature", "score").collect()
     model = Model({bytes(r["feature"]): r["score"] for r in top})
     _calibrate(model, stored)
     return model
@@ -224,34 +224,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _calibrate(model: Model, stored: DataFrame) -> None:
     """Set the extreme-value parameters from the other texts of the sample, and the logistic weights from all."""
+    found = scanned(model, stored, hits, "score double, times long, words long, passages long, least double")
+    by_score = found.groupBy("score").agg(*[F.sum(c).alias(c) for c in ("times", "words", "passages")], F.min("least").alias("least")).collect()  # a row for each score of the table
+    whole = next((r for r in by_score if r["score"] is None), None)
+    background, clean, least = (whole["words"] or 1, whole["passages"], whole["least"] or 1.0) if whole else (1, 0, 1.0)
+    hit, times = (np.array([r[c] for r in by_score if r["score"] is not None], float) for c in ("score", "times"))
+    # Each table entry is taken to occur now and then in other texts even if the sample has none there.
+    unseen = np.array([v for v in model.table.values()])
+    scores = np.r_[-DRIFT, hit, unseen]
+    weights = np.r_[max(background - times.sum(), 1), times, np.full(len(unseen), 0.1)]
+    model.rate = _positive_root(scores, weights / weights.sum()) if len(scores) > 1 else 1.0
+    model.scale = (clean + 1) / (background * math.exp(-model.rate * least))
+    rows = scanned(model, stored, evidence, "toxic int, a double, b double").collect()  # two numbers for each text of the sample
+    model.weights = tuple(logistic(np.array([(r["a"], r["b"]) for r in rows]), np.array([r["toxic"] for r in rows], float)))
+
+
+def scanned(model: Model, stored: DataFrame, what: Callable, schema: str) -> DataFrame:
+    """Rows that ``what`` makes of each text's label, word scores and segments."""
     shared = stored.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(shared.value.table)
         for batch in slices(batches, "text"):
-            hits, found, sizes = [], [], []
-            for text in utf8(batch, "text"):
-                scores = shared.value.scores(text, known)
-                hits.append(np.stack(np.unique(scores[scores > 0], return_counts=True), axis=1).ravel().tolist())
-                found.append([s for _, _, s in segments(scores)])
-                sizes.append(len(scores))
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), pa.array(sizes, pa.int64()), pa.array(hits, kind), pa.array(found, kind)], ["toxic", "n", "hits", "found"])
-
-    rows = stored.mapInArrow(scan, "toxic int, n long, hits array<double>, found array<double>").collect()
-    background = sum(r["n"] for r in rows if not r["toxic"]) or 1
-    hits, times = np.array([h for r in rows if not r["toxic"] for h in r["hits"]]).reshape(-1, 2).T
-    # Each table entry is taken to occur now and then in other texts even if the sample has none there.
-    unseen = np.array([v for v in model.table.values()])
-    scores = np.r_[-DRIFT, hits, unseen]
-    weights = np.r_[max(background - times.sum(), 1), times, np.full(len(unseen), 0.1)]
-    model.rate = _positive_root(scores, weights / weights.sum()) if len(scores) > 1 else 1.0
-    clean = [s for r in rows if not r["toxic"] for s in r["found"]]
-    least = min(clean, default=1.0)
-    model.scale = (len(clean) + 1) / (background * math.exp(-model.rate * least))
-    x = np.array([model.evidence([(0, 0, s) for s in r["found"]], r["n"]) for r in rows])
-    y = np.array([r["toxic"] for r in rows], float)
-    model.weights = tuple(logistic(x, y))
+            labels = batch.column(batch.schema.get_field_index("toxic")).to_pylist()
+            scores = [shared.value.scores(t, known) for t in utf8(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in what(shared.value, labels, scores)], [f.split()[0] for f in schema.split(", ")])
+
+    return stored.mapInArrow(scan, schema)
+
+
+def hits(model: Model, labels: list[int], scores: list[np.ndarray]) -> list[tuple]:
+    """Of the texts that aren't toxic: how often each score occurs, and in a row without a score their words, passages and the least passage's score."""
+    own = [s for s, toxic in zip(scores, labels, strict=True) if not toxic]
+    values, times = np.unique(np.concatenate([s[s > 0] for s in own] or [np.zeros(0)]), return_counts=True)
+    found = [x for s in own for _, _, x in segments(s)]
+    rest = [None] * len(values)
+    return [([*values, None], pa.float64()), ([*times, 0], pa.int64()), ([*rest, sum(map(len, own))], pa.int64()), ([*rest, len(found)], pa.int64()), ([*rest, min(found, default=None)], pa.float64())]
+
+
+def evidence(model: Model, labels: list[int], scores: list[np.ndarray]) -> list[tuple]:
+    found = [model.evidence(segments(s), len(s)) for s in scores]
+    return [(labels, pa.int32()), ([a for a, _ in found], pa.float64()), ([b for _, b in found], pa.float64())]
 
 
 def with_score(docs: DataFrame, model: Model, text: str, out: str, passages: str | None = None) -> DataFrame:
