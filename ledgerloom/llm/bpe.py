@@ -5,8 +5,12 @@ chunks. Pre-tokens leave the buffer once no later character can change them, and
 inside a pre-token a token leaves once ``lookahead`` further bytes are known,
 so working memory does not depend on a text's or a run's length.
 
+Every text goes through ``Encoder`` and every pre-token through ``RunEncoder``; a worker
+remembers the ids of short pre-tokens, each of which has been through it once.
+
 Cases: a null text encodes as the empty one, which has no tokens; special tokens
-in a text are matched as the library does; repeated rows each get their result;
+in a text are matched as the library does; repeated rows each get their result; a very long
+text is read by chunks; columns of any name but the output's pass through ``with_tokens``;
 an empty table gives an empty result.
 """
 
@@ -35,10 +39,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BEGUN = ("'r", "'v", "'l")
 #: Characters read at once from a long text.
 CHUNK = 65536
-#: Bytes of a pre-token beyond which it is encoded as a stream.
-LONG = 512
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Bytes, besides two lookaheads, that a pre-token's encoder merges at once.
+STEP = 512
+#: Pre-tokens whose ids a worker remembers, and how long they are at most.
+REMEMBERED, SHORT = 300_000, 256
+NEVER = 1 << 30
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,9 +74,11 @@ class Vocabulary:
         for pair in spec["model"]["merges"]:
             a, b = (bytes(letters[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges.append((self.ids[a], self.ids[b], self.ids[a + b]))
-        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(self.merges)}
+        self.rank = {(a, b): r for r, (a, b, _) in enumerate(self.merges)}
         self.longest = max(map(len, self.ids))
         self.lookahead = self._lookahead()
+        self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.guard = max(map(len, self.special), default=1) - 1
         self.known: dict[str, tuple[int, ...]] = _Remembered(self)
 
     def _lookahead(self) -> int:
@@ -104,34 +111,34 @@ class Vocabulary:
         return most
 
     def encode_bytes(self, piece: bytes) -> list[int]:
-        """Tokens of a whole pre-token: the lowest rank joins first, from the left."""
+        """Tokens of bytes that are all known: the lowest rank joins first, from the left."""
         ids = [self.of_byte[b] for b in piece]
-        rank = self.rank
-        if len(ids) <= 48:
-            while len(ids) > 1:
-                best, at = None, -1
-                for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                    found = rank.get(pair)
-                    if found is not None and (best is None or found < best):
-                        best, at = found, i
-                if best is None:
-                    break
-                ids[at : at + 2] = [best[1]]
+        rank, merges = self.rank, self.merges
+        if len(ids) <= SHORT:
+            ranks = [rank.get(pair, NEVER) for pair in zip(ids, ids[1:], strict=False)]
+            while ranks and (best := min(ranks)) < NEVER:
+                i = ranks.index(best)
+                ids[i : i + 2] = [merges[best][2]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank.get((ids[i - 1], ids[i]), NEVER)
+                if i < len(ranks):
+                    ranks[i] = rank.get((ids[i], ids[i + 1]), NEVER)
             return ids
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        queue = [(rank[pair], i, pair) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in rank]
+        queue = [(rank[pair], i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in rank]
         heapify(queue)
         while queue:
-            (_, joined), i, pair = heappop(queue)
-            j = after[i] if ids[i] == pair[0] else -1
-            if j < 0 or ids[j] != pair[1]:
+            best, i = heappop(queue)
+            j, (first, second, joined) = after[i], merges[best]
+            if j < 0 or ids[i] != first or ids[j] != second:
                 continue
             ids[i], ids[j], after[i] = joined, -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (found := rank.get((ids[left], ids[right]))):
-                    heappush(queue, (found, left, (ids[left], ids[right])))
+                if left >= 0 and right >= 0 and (found := rank.get((ids[left], ids[right]))) is not None:
+                    heappush(queue, (found, left))
         return [x for x in ids if x >= 0]
 
 
@@ -143,13 +150,12 @@ class _Remembered(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        if len(raw) > LONG:
-            run = RunEncoder(self.vocabulary)
-            return (*run.feed(raw), *run.finish())
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = ids = tuple(self.vocabulary.encode_bytes(raw))
+        run = RunEncoder(self.vocabulary)
+        ids = (*run.feed(piece.encode()), *run.finish())
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -161,7 +167,7 @@ class RunEncoder:
 
     def feed(self, part: bytes) -> list[int]:
         out: list[int] = []
-        v, step = self.vocabulary, 2 * (self.vocabulary.lookahead + self.vocabulary.longest) + LONG
+        v, step = self.vocabulary, 2 * (self.vocabulary.lookahead + self.vocabulary.longest) + STEP
         for at in range(0, len(part), step):
             self.held += part[at : at + step]
             if len(self.held) < step:
@@ -189,30 +195,33 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.buffer = vocabulary, ""
         self.run: tuple[RunEncoder, regex.Pattern, bool] | None = None
-        self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) or "(?!)")
-        self.guard = max(map(len, vocabulary.special), default=1) - 1
+        self.special, self.guard = vocabulary.special_pattern, vocabulary.guard
 
-    def feed(self, chunk: str) -> Iterator[int]:
+    def feed(self, chunk: str) -> list[int]:
+        """The ids that are settled with this chunk."""
         self.buffer += chunk
-        yield from self._drain(False)
+        return self._drain(False)
 
-    def finish(self) -> Iterator[int]:
-        yield from self._drain(True)
+    def finish(self, rest: str = "") -> list[int]:
+        """The ids that are left, after a last chunk."""
+        self.buffer += rest
+        return self._drain(True)
 
-    def _drain(self, last: bool) -> Iterator[int]:
+    def _drain(self, last: bool) -> list[int]:
+        out: list[int] = []
         while found := self.special.search(self.buffer):
-            yield from self._plain(self.buffer[: found.start()], True)
-            yield self.vocabulary.special[found[0]]
+            self._plain(self.buffer[: found.start()], True, out)
+            out.append(self.vocabulary.special[found[0]])
             self.buffer = self.buffer[found.end() :]
         if last:
-            yield from self._plain(self.buffer, True)
+            self._plain(self.buffer, True, out)
             self.buffer = ""
         else:  # the last characters may begin a special token
-            cut = max(0, len(self.buffer) - self.guard)
-            used = yield from self._plain(self.buffer[:cut], False)
+            used = self._plain(self.buffer[: max(0, len(self.buffer) - self.guard)], False, out)
             self.buffer = self.buffer[used:]
+        return out
 
-    def _plain(self, text: str, last: bool) -> Iterator[int]:
+    def _plain(self, text: str, last: bool, out: list[int]) -> int:
         """Encode what of ``text`` is settled; returns how many characters that was."""
         at = 0
         if self.run:
@@ -222,25 +231,29 @@ class Encoder:
             ended = last or at < len(text)
             if spaces and not (last and at == len(text)):
                 at = max(0, at - 1)  # the last space of a run belongs to what follows
-            yield from run.feed(text[:at].encode())
+            out += run.feed(text[:at].encode())
             if not ended:
                 return at
-            yield from run.finish()
+            out += run.finish()
             self.run = None
+        known = self.vocabulary.known
+        if last:
+            out += chain.from_iterable(map(known.__getitem__, self._split.findall(text, at)))
+            return len(text)
         for found in self._split.finditer(text, at):
-            if found.end() == len(text) and not last:
+            if found.end() == len(text):
                 piece = found[0]
                 if len(piece) > CHUNK:
                     more = next(p for p, _ in self._class if p.fullmatch(piece[-1]))
                     spaces = piece[-1].isspace()
                     part = piece[:-1] if spaces else piece
                     self.run = (RunEncoder(self.vocabulary), more, spaces)
-                    yield from self.run[0].feed(part.encode())
+                    out += self.run[0].feed(part.encode())
                     return at + len(part)
                 break
-            if not last and found[0] == "'" and text[found.start() :] in BEGUN:
+            if found[0] == "'" and text[found.start() :] in BEGUN:
                 break  # with the next letter the apostrophe may be part of a contraction
-            yield from self.vocabulary.known[found[0]]
+            out += known[found[0]]
             at = found.end()
         return at
 
@@ -270,13 +283,11 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 
 def encode(text: str, v: Vocabulary) -> Iterator[list[int]]:
     """Ids of a text in lists of bounded length."""
-    if len(text) <= CHUNK and not any(s in text for s in v.special):
-        yield list(chain.from_iterable(map(v.known.__getitem__, Encoder._split.findall(text))))
-        return
-    encoder = Encoder(v)
-    for at in range(0, len(text), CHUNK):
-        yield list(encoder.feed(text[at : at + CHUNK]))
-    yield list(encoder.finish())
+    encoder, at = Encoder(v), 0
+    while len(text) - at > CHUNK:
+        yield encoder.feed(text[at : at + CHUNK])
+        at += CHUNK
+    yield encoder.finish(text[at:])
 
 
 def with_tokens(docs: DataFrame, text: str, out: str, path: str | None = None) -> DataFrame:
