@@ -5,11 +5,14 @@ text's hashed character n-grams. Decoding weighs each bit by how well its classi
 documents left out of its fit, and chooses the codeword of least loss; a small gap
 to the next one marks the result as ambiguous.
 
-The fit reads a bounded sample: about ``PER_LANGUAGE`` documents of each language,
-chosen by hash. Cases: null and letterless texts are ``und`` with score 0; with one
+The fit reads a bounded sample, about ``PER_LANGUAGE`` documents of each language; tasks sum the cross products of its
+features, so the driver solves one system of ``SLOTS`` unknowns however many languages and documents there are.
+
+Cases: null and letterless texts are ``und`` with score 0; with one
 language learned that one is predicted for all others, with none ``und``; rows with
-null or blank language are only predicted; repeated rows agree; an empty table gives an
-empty result.
+null or blank language are only predicted; repeated rows agree, and null or repeated ids are drawn for
+the sample row by row; n-grams of a very long text are counted window by window; columns of any name but
+the outputs' pass through ``with_language``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import id_crc, schema_with, slices
+from ledgerloom.llm._common import id_crc, parts, rows_in, schema_with, shared_table, slices
 
-#: Documents per language that the fit reads on average, and languages at most (the most frequent).
+#: Documents per language that the fit reads on average.
 PER_LANGUAGE = 400
-LANGUAGES = 200
+#: Sampled documents whose cross products a task sums.
+EACH = 2000
 #: Hash slots of n-grams, and their lengths.
-SLOTS = 4096
+SLOTS = 2048
 LENGTHS = (1, 2, 3)
+#: Characters of a text that are counted at once.
+WINDOW = 1 << 20
 RIDGE = 1.0
 #: Results whose best two codewords are closer than this share of the loss are ambiguous.
 AMBIGUOUS = 0.1
@@ -55,20 +61,24 @@ def histogram(text: str | None) -> np.ndarray | None:
     """
     if not text:
         return None
+    text = text.lower()
     counts, any_letter = np.zeros(SLOTS), False
-    step, most = 1 << 20, max(LENGTHS)
-    for at in range(0, len(text), step):
-        part = text[at : at + step + most - 1].lower()
-        codes = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    most, spaced = max(LENGTHS), False
+    for at in range(0, len(text), WINDOW):
+        codes = np.frombuffer(text[at : at + WINDOW + 2 * most].encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         is_letter = letters()[codes]
-        any_letter |= bool(is_letter[:step].any())
+        any_letter |= bool(is_letter[:WINDOW].any())
         codes = np.where(is_letter, codes, 32)
-        codes = codes[(codes != 32) | np.r_[True, codes[:-1] != 32]]
+        keep = (codes != 32) | np.r_[not spaced, codes[:-1] != 32]
+        spaced = codes[min(WINDOW, len(codes)) - 1] == 32
+        starts = int(keep[:WINDOW].sum())  # n-grams that start later are the next window's
+        codes = codes[keep]
         rolled = np.zeros(len(codes), np.int64)
         for n in range(1, most + 1):
             rolled = (rolled[: len(codes) - n + 1] * 31 + codes[n - 1 :] * 2654435761) & 0xFFFFFFFF
             if n in LENGTHS:
-                counts += np.bincount((rolled ^ rolled >> 15) % SLOTS, minlength=SLOTS)
+                own = rolled[:starts]
+                counts += np.bincount((own ^ own >> 15) % SLOTS, minlength=SLOTS)
     if not any_letter:
         return None
     roots = np.sqrt(counts)
@@ -84,7 +94,7 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(50):
         code = rng.choice([-1, 1], (n, 10 * int(np.ceil(np.log2(n)))))
         code = code[:, np.abs(code.sum(axis=0)) < n]  # a bit that is the same for all says nothing
-        distance = min((code[i] != code[j]).sum() for i, j in combinations(range(n), 2))
+        distance = (code.shape[1] - (code @ code.T - 2 * code.shape[1] * np.eye(n, dtype=int)).max()) // 2
         if distance > most:
             best, most = code, distance
     return best
@@ -110,53 +120,102 @@ class Model:
         return best, shares[np.arange(len(best)), best], close
 
 
-def _ridge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Linear classifiers for all bits at once, by the dual of a ridge regression; the last row is the intercept."""
-    means_x, means_y = x.mean(axis=0), y.mean(axis=0)
-    xc = x - means_x
-    solved = xc.T @ np.linalg.solve(xc @ xc.T + RIDGE * np.eye(len(x)), y - means_y)
-    return np.vstack([solved, means_y - means_x @ solved])
-
-
-def train(names: list[str], features: np.ndarray, classes: np.ndarray) -> Model:
-    code = codewords(len(names))
-    bits = code[classes].astype(float)
-    # Bits are weighted by their accuracy on every fifth document, left out of a first fit.
-    out = np.arange(len(features)) % 5 == 0
-    if out.all() or not out.any() or len(features) < 10:
-        trust = np.ones(code.shape[1])
-    else:
-        w = _ridge(features[~out], bits[~out])
-        right = np.sign(features[out] @ w[:-1] + w[-1]) == bits[out]
-        rate = np.clip(right.mean(axis=0), 0.51, 0.999)
-        trust = np.log(rate / (1 - rate))
-    return Model(names, code, _ridge(features, bits), trust)
+@dataclass
+class Sums:
+    """What a ridge regression of any targets by class needs of a set of documents."""
+
+    products: np.ndarray  # of the features with each other, and with 1 in the last row and column
+    by_class: np.ndarray  # features and 1, summed by class
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.products + other.products, self.by_class + other.by_class)
+
+    def solve(self, code: np.ndarray) -> np.ndarray:
+        """Linear classifiers for all bits at once; the last row is the intercept, which is not held small."""
+        n = max(self.products[-1, -1], 1.0)
+        mean_x, mean_y = self.products[-1, :-1] / n, self.by_class[:, -1] @ code / n
+        centred = self.products[:-1, :-1] - n * np.outer(mean_x, mean_x)
+        w = np.linalg.solve(centred + RIDGE * np.eye(len(centred)), self.by_class[:, :-1].T @ code - n * np.outer(mean_x, mean_y))
+        return np.vstack([w, mean_y - mean_x @ w])
+
+
+def cross_products(sample: DataFrame, n_classes: int) -> list[Sums]:
+    """The sums of each fold of a stored sample (fold, class, features): tasks add up documents, and rows of their sums are added by Spark."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [Sums(np.zeros((SLOTS + 1, SLOTS + 1)), np.zeros((n_classes, SLOTS + 1))) for _ in range(2)]
+        for batch in batches:
+            fold, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, SLOTS).astype(float)
+            x = np.c_[x, np.ones(len(x))]
+            for f in (0, 1):
+                sums[f].products += x[fold == f].T @ x[fold == f]
+                np.add.at(sums[f].by_class, kind[fold == f], x[fold == f])
+        for f in (0, 1):
+            table = np.vstack([sums[f].products, sums[f].by_class])
+            at = np.flatnonzero(table[:, -1])
+            for i in range(0, len(at), 64):
+                rows = at[i : i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([r.tobytes() for r in table[rows]], pa.binary())], ["fold", "row", "sums"])
+
+    def total(group: pa.Table) -> pa.Table:
+        added = sum(np.frombuffer(x.as_py()) for x in group.column("sums"))
+        return pa.table({"fold": group.column("fold")[:1], "row": group.column("row")[:1], "sums": pa.array([added.tobytes()], pa.binary())})
+
+    kind = "fold int, row int, sums binary"
+    out = [np.zeros((SLOTS + 1 + n_classes, SLOTS + 1)) for _ in range(2)]
+    # A row for each slot and class; none has more than SLOTS + 1 numbers.
+    for r in sample.mapInArrow(add, kind).groupBy("fold", "row").applyInArrow(total, kind).toLocalIterator():
+        out[r["fold"]][r["row"]] = np.frombuffer(r["sums"])
+    return [Sums(x[: SLOTS + 1], x[SLOTS + 1 :]) for x in out]
+
+
+def right_bits(sample: DataFrame, weights: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The share of the left-out documents on which each bit's classifier is right."""
+    shared = sample.sparkSession.sparkContext.broadcast((weights, code))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, code = shared.value
+        right, n = np.zeros(code.shape[1]), 0
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, SLOTS)
+            right += (np.sign(x @ weights[:-1] + weights[-1]) == code[batch.column(1).to_numpy()]).sum(axis=0)
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right)), pa.int32()), pa.array(right), pa.array(np.full(len(right), float(n)))], ["bit", "right", "n"])
+
+    counted = sample.where("fold = 1").mapInArrow(judge, "bit int, right double, n double").groupBy("bit").agg((F.sum("right") / F.sum("n")).alias("share"))
+    return np.array([r["share"] for r in counted.orderBy("bit").collect()])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = PER_LANGUAGE) -> Model | None:
     """Fit on documents with a language whose id's crc32 leaves a remainder other than 1 by 3."""
-    lang = F.col(lang_col).cast("string")
-    known = docs.where(lang.isNotNull() & (F.trim(lang) != "") & (id_crc(F.col(id_col)) % 3 != 1))
-    counts = known.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    names = sorted(r["lang"] for r in counts)
-    # A hash below the language's share of the range; the sample then holds about ``each`` of every language.
-    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["n"])))]), lang)
-    point = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(SEED)), 11) / float(1 << 53)
-    chosen = known.where(lang.isin(names) & (point < share)).select(lang.alias("lang"), F.col(text_col).alias("text"))
+    spark, lang = docs.sparkSession, F.col(lang_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    known = rows.where(F.col("lang").isNotNull() & (F.trim("lang") != "") & (id_crc(F.col("id")) % 3 != 1))
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), each / F.count("*")).alias("share"))
+    # Rows are drawn one by one, so the sample is bounded whatever ids repeat; what was drawn is stored.
+    drawn = known.join(shares, "lang").where(F.rand(SEED) < F.col("share")).select("lang", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [(name, h.astype(np.float32).tobytes()) for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (h := histogram(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in ((0, pa.string()), (1, pa.binary()))], ["lang", "features"])
 
-    rows = sorted(chosen.mapInArrow(describe, "lang string, features binary").collect(), key=lambda r: (bytes(r["features"]), r["lang"]))
-    if not rows:
+    described = shared_table(drawn.mapInArrow(describe, "lang string, features binary"), "language-sample")
+    names = sorted(r["lang"] for r in described.select("lang").distinct().collect())
+    if not names:
         return None
-    features = np.stack([np.frombuffer(r["features"], np.float32) for r in rows]).astype(float)
-    names = sorted({r["lang"] for r in rows})
-    return train(names, features, np.array([names.index(r["lang"]) for r in rows]))
+    numbers = spark.createDataFrame(list(enumerate(names)), "class int, lang string")
+    # Every fifth document is left out of the fit that weighs the bits.
+    fold = (F.pmod(F.xxhash64("features"), F.lit(5)) == 0).cast("int").alias("fold")
+    sample = described.join(F.broadcast(numbers), "lang").select(fold, "class", "features")
+    sample = shared_table(sample.repartition(parts(rows_in(described), EACH)), "language-features")
+    code, (kept, left_out) = codewords(len(names)), cross_products(sample, len(names))
+    trust = np.ones(code.shape[1])
+    if kept.products[-1, -1] and left_out.products[-1, -1] and kept.products[-1, -1] + left_out.products[-1, -1] >= 10:
+        rate = np.clip(right_bits(sample, kept.solve(code), code), 0.51, 0.999)
+        trust = np.log(rate / (1 - rate))
+    return Model(names, code, (kept + left_out).solve(code), trust)
 
 
 def with_language(docs: DataFrame, model: Model | None, text: str, prefix: str = "lang_") -> DataFrame:
