@@ -2,10 +2,13 @@
 
 A string that a byte-pair vocabulary can only cut into very short tokens is
 random: words and names compress to four or so characters a token, keys to
-fewer than two. Known digests and identifiers are excluded from that test.
+fewer than two. Known digests and identifiers are excluded from that test. It judges strings
+outside pattern spans, and the values inside ``assign`` and ``access`` spans, which get a
+span of their own if they are random.
 
-Cases: a null text is the empty one and has no spans; texts are searched whole;
-repeated rows each get their spans; an empty table gives an empty result.
+Cases: a null text is the empty one and has no spans; texts are searched whole, and a very long
+string is counted in parts, which adds a token a part at most;
+repeated rows each get their spans; columns of any name but the output's pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,23 +56,23 @@ def encoding(path: str | None):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def looks_random(string: str, path: str | None = None, ratio: float = RATIO) -> bool:
-    """Whether a string is neither digest nor identifier and has few characters per token.
+def token_ratio(string: str, path: str | None = None) -> float | None:
+    """Characters per token of a string, as a part of what counts as random for its letters; None for digests and identifiers.
 
     A string of the form of a name is one if its longer parts compress like words, or if short parts make up most of it.
     """
     if any(known.match(string) for known in (DIGEST, UUID, NUMBERS)):
-        return False
-    judged = [string]
+        return None
+    judged, scale = [string], 1.0
     if NAME.match(string):
         judged = PARTS.findall(string)
         if 2 * sum(map(len, judged)) < len(string):
-            return False
+            return None
     if not re.search(r"[0-9]", string) and (string.islower() or string.isupper()):
-        ratio *= ONE_CASE
+        scale = ONE_CASE
     # Parts of bounded length, as the test needs no more and merging is not linear.
     tokens = sum(len(encoding(path).encode_ordinary(part[at : at + 4096])) for part in judged for at in range(0, len(part), 4096))
-    return sum(map(len, judged)) < ratio * tokens
+    return sum(map(len, judged)) / (tokens * scale)
 
 
 def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -85,35 +88,51 @@ def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator
 
 def spans_of(text: str | None, path: str | None = None, ratio: float = RATIO) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of every secret in a text, in order; positions are code points."""
+    return judged_spans(text, path, ratio)[0]
+
+
+def judged_spans(text: str | None, path: str | None = None, ratio: float = RATIO) -> tuple[list[tuple[int, int, int]], float | None]:
+    """The spans of ``spans_of``, and the least token ratio of all strings that the token test took."""
     if not text:
-        return []
+        return [], None
     lower = text.lower() if text.isascii() else text.casefold()
-    found = []
+    found, values = [], []
     if any(w in lower for w in ("passw", "secret", "token", "api")):
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        for m in ASSIGN.finditer(text):
+            if len(m[2]) >= 12:
+                found.append((m.start(), 0, m.end()))
+                values.append(m.span(2))
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+        keys = [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+        found += [(a, 1, b) for a, b in keys]
+        values += keys
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     fixed = list(found)
     for m in CANDIDATE.finditer(text):
         patterns = [x for x in fixed if x[0] < m.end() and m.start() < x[2]]
-        found += [(a, 3, b) for a, b in outside(m.start(), m.end(), patterns) if b - a >= PIECE and looks_random(text[a:b], path, ratio)]
-    return sorted(found)
-
-
-def with_spans(docs: DataFrame, text: str, out: str, path: str | None = None, ratio: float = RATIO) -> DataFrame:
-    """``docs`` and the spans of its text column as an array of (kind, start, end) named ``out``."""
+        values += [(a, b) for a, b in outside(m.start(), m.end(), patterns) if b - a >= PIECE]
+    least = None
+    for a, b in values:
+        if (found_ratio := token_ratio(text[a:b], path)) is not None:
+            least = found_ratio if least is None else min(least, found_ratio)
+            if found_ratio < ratio:
+                found.append((a, 3, b))
+    return sorted(set(found)), least
+
+
+def with_spans(docs: DataFrame, text: str, out: str, path: str | None = None, ratio: float = RATIO, least: str | None = None) -> DataFrame:
+    """``docs`` and the spans of its text column as an array of (kind, start, end) named ``out``; and the least token ratio if a name for it is given."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            found = [
-                [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(t, path, ratio)]
-                for t in batch.column(batch.schema.get_field_index(text)).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, span)], [*batch.schema.names, out])
+            judged = [judged_spans(t, path, ratio) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans, _ in judged]
+            columns = [pa.array(found, span), *([pa.array([r for _, r in judged], pa.float64())] if least else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, out, *([least] if least else [])])
 
-    return docs.mapInArrow(add, schema_with(docs, out, "array<struct<kind:string,start:int,end:int>>"))
+    schema = schema_with(docs, out, "array<struct<kind:string,start:int,end:int>>")
+    return docs.mapInArrow(add, schema.add(least, "double") if least else schema)
 
 
 def counted(spans: Column, kind: str) -> Column:
@@ -144,11 +163,11 @@ def masked(docs: DataFrame, text: str, out: str, mask: str = "[SECRET]", path: s
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Per document: counts of the pattern kinds, a digest of their spans, and all spans."""
+    """Per document: counts of each kind, a digest of the pattern spans, all spans, and the least token ratio found."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = with_spans(rows, "text", "found", path).select("id", "found")
+    found = with_spans(rows, "text", "found", path, least="least_ratio").select("id", "found", "least_ratio")
     counts = [counted(F.col("found"), k).alias(f"n_{k}") for k in KINDS]
     base = F.filter("found", lambda s: s["kind"] != "random")
     return found.select(
-        F.col("id").alias(id_col), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans")
+        F.col("id").alias(id_col), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "least_ratio"
     )
