@@ -23,10 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, as in
-    tests, the warehouse folder serves.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset and everything runs in
+    one process, as in tests, the warehouse folder serves.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
 
 
@@ -84,6 +88,14 @@ def parts(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def schema_with(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of ``df`` and one more column."""
     return StructType(list(df.schema.fields)).add(name, DataType.fromDDL(kind))

@@ -143,9 +143,11 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document that the mix takes in part only stands for its part if that is half of it or more.
     A document without words, which has no position, stays once, at the end.
     """
-    stored = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    mixed = mix(stored, id_col, text_col, source_col, row_col="__row")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no name of docs can clash
+    id_at, text_at, source_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    stored = shared_table(plain.withColumn("row", F.monotonically_increasing_id()), "mix-documents")
+    mixed = mix(stored, id_at, text_at, source_at, row_col="row")
     copies = F.filter(F.array(F.when(2 * F.col("taken_1") >= F.col("size"), F.col("position_1")), F.when(2 * F.col("taken_2") >= F.col("size"), F.col("position_2"))), lambda p: p.isNotNull())
-    placed = mixed.select(F.col("row").alias("__row"), F.col("key").alias("__key"), F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(copies).alias("__at"))
-    taken = placed.select("__row", "__key", F.explode("__at").alias("__at"))
-    return stored.join(taken, "__row").orderBy("__at", "__key").select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = mixed.select("row", "key", F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(copies).alias("at"))
+    taken = placed.select("row", "key", F.explode("at").alias("at"))
+    return stored.join(taken, "row").orderBy("at", "key").select(*plain.columns).toDF(*docs.columns)
