@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.exact import quantiles
+from ledgerloom.plans.stored import stored as kept
 from ledgerloom.sources.adapters import TX, transactions
 
 DAMPING, ROUNDS = 0.85, 20
 FAN, FLOW, HIGH = 95, 95, 99
 BUDGETS = (10, 50, 100)
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """A table written to the folder that the cluster shares, and read back; ends the lineage of a loop."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/graph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Names of the patterns.
+PATTERNS = ("high_fanout", "high_fanin", "net_flow_anomaly")
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -105,19 +98,20 @@ def pagerank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAG_STEPS = f""", t AS (SELECT quantile_cont("out", {FAN / 100}) AS o, quantile_cont("in", {FAN / 100}) AS i, quantile_cont(net_flow, {FLOW / 100}) AS hi, quantile_cont(net_flow, {1 - FLOW / 100:.2f}) AS lo FROM nodes),
-flags AS (SELECT account, list_filter([CASE WHEN "out" > o THEN 'fan_out' END, CASE WHEN "in" > i THEN 'fan_in' END, CASE WHEN net_flow > hi OR net_flow < lo THEN 'net_flow' END], lambda x: x IS NOT NULL) AS patterns, CAST((CASE WHEN "out" > o THEN f_out ELSE 0 END) + (CASE WHEN "in" > i THEN f_in ELSE 0 END) AS BIGINT) AS frauds, sent + received AS volume FROM nodes, t)"""
+flags AS (SELECT account, list_filter([CASE WHEN "out" > o THEN 'high_fanout' END, CASE WHEN "in" > i THEN 'high_fanin' END, CASE WHEN net_flow > hi OR net_flow < lo THEN 'net_flow_anomaly' END], lambda x: x IS NOT NULL) AS patterns, CAST((CASE WHEN "out" > o THEN f_out ELSE 0 END) + (CASE WHEN "in" > i THEN f_in ELSE 0 END) AS BIGINT) AS frauds, sent + received AS volume FROM nodes, t)"""
 FLAGS = NODES + FLAG_STEPS
 
 
 def indicators(found: DataFrame, fan: int = FAN, high: int = FLOW) -> DataFrame:
     """Accounts with the patterns that they show; a value has to exceed its percentile over all accounts."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    limits = F.broadcast(found.agg(q("out", fan / 100).alias("o"), q("in", fan / 100).alias("i"), q("net_flow", high / 100).alias("hi"), q("net_flow", round(1 - high / 100, 2)).alias("lo")))
-    out, into = F.col("out") > F.col("o"), F.col("in") > F.col("i")
-    flow = (F.col("net_flow") > F.col("hi")) | (F.col("net_flow") < F.col("lo"))
-    patterns = F.array_compact(F.array(F.when(out, "fan_out"), F.when(into, "fan_in"), F.when(flow, "net_flow")))
+    (o,), (i,) = (quantiles(found, c, [fan / 100])[None] for c in ("out", "in"))
+    most, least = quantiles(found, "net_flow", [high / 100, round(1 - high / 100, 2)])[None]
+    limits = [F.lit(x).cast("double") for x in (o, i, most, least)]
+    out, into = F.col("out") > limits[0], F.col("in") > limits[1]
+    flow = (F.col("net_flow") > limits[2]) | (F.col("net_flow") < limits[3])
+    patterns = F.array_compact(F.array(*[F.when(shown, name) for shown, name in zip((out, into, flow), PATTERNS, strict=True)]))
     frauds = F.when(out, F.col("f_out")).otherwise(0) + F.when(into, F.col("f_in")).otherwise(0)
-    return found.crossJoin(limits).select("account", patterns.alias("patterns"), frauds.cast("long").alias("frauds"), (F.col("sent") + F.col("received")).alias("volume"))
+    return found.select("account", patterns.alias("patterns"), frauds.cast("long").alias("frauds"), (F.col("sent") + F.col("received")).alias("volume"))
 
 
 @query("gr06_gr07_gr10_gr11_indicators", f"WITH {RANKED}{FLAG_STEPS} SELECT account, array_to_string(patterns, ',') AS patterns, CAST(len(patterns) AS BIGINT) AS n_patterns, frauds, round(rank, 12) AS pagerank FROM flags JOIN r{ROUNDS} USING (account) WHERE len(patterns) > 0")
@@ -137,9 +131,9 @@ def network_order(flags: DataFrame, ranks: DataFrame) -> DataFrame:
 
 @query("gr09_high_value_pairs", f"WITH {PAIRS} SELECT src, dst, round(total, 2) AS total, weight FROM pairs WHERE total > (SELECT quantile_cont(total, {HIGH / 100}) FROM pairs)")
 def high_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph(spark, sf_dir)
-    limit = F.broadcast(edges.agg(F.percentile("total", F.lit(HIGH / 100)).alias("limit")))
-    return edges.crossJoin(limit).where("total > limit").select("src", "dst", F.round("total", 2).alias("total"), "weight")
+    edges = kept(graph(spark, sf_dir), "pairs")
+    (limit,) = quantiles(edges, "total", [HIGH / 100])[None]
+    return edges.where(F.col("total") > F.lit(limit).cast("double")).select("src", "dst", F.round("total", 2).alias("total"), "weight")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,54 +151,83 @@ def components(edges: DataFrame) -> DataFrame:
             return lone.join(total, "account", "left").select("account", F.coalesce("label", "account").alias("component"))
 
 
-COMPONENTS = f"""RECURSIVE {NODES}, link AS (SELECT src AS a, dst AS b FROM pairs UNION SELECT dst, src FROM pairs), reach(account, component) AS (SELECT account, account FROM nodes WHERE account = (SELECT min(account) FROM nodes) UNION SELECT b, component FROM reach JOIN link ON a = account)"""
+#: The least account that each account reaches, by labels that spread until none falls.
+COMPONENTS = f"""RECURSIVE {NODES}, link AS MATERIALIZED (SELECT src AS a, dst AS b FROM pairs UNION SELECT dst, src FROM pairs),
+reach(account, component) USING KEY (account) AS (SELECT account, account FROM nodes UNION SELECT link.b, min(reach.component) FROM reach JOIN link ON link.a = reach.account JOIN recurring.reach AS now ON now.account = link.b WHERE reach.component < now.component GROUP BY link.b),
+sizes AS (SELECT count(*) AS n FROM reach GROUP BY component)"""
 
 
-@query("gr04_summary", f"WITH {COMPONENTS} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM pairs) AS edges, round((SELECT count(*) FROM pairs) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1.0)), 9) AS density, (SELECT count(*) FROM reach) AS component_of_least, round((SELECT avg(\"in\" + \"out\") FROM nodes), 6) AS mean_degree, CAST((SELECT max(\"in\" + \"out\") FROM nodes) AS BIGINT) AS max_degree, (SELECT count(*) FROM nodes WHERE account LIKE 'M%') AS merchants, (SELECT count(*) FROM pairs WHERE frauds > 0) AS fraud_pairs")
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """One row: how many weak components there are, the accounts of the largest and their share of all."""
+    sizes = components(edges).groupBy("component").agg(F.count("*").alias("n"))
+    found = sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"))
+    share = F.coalesce(C.ratio(F.col("largest_component"), F.col("nodes")), F.lit(0.0))
+    return found.select("components", "largest_component", F.round(share, 9).alias("largest_share"))
+
+
+@query("gr04_summary", f"""WITH {COMPONENTS} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM pairs) AS edges, round((SELECT count(*) FROM pairs) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1.0)), 9) AS density, (SELECT count(*) FROM sizes) AS components, (SELECT max(n) FROM sizes) AS largest_component, round((SELECT max(n) / sum(n) FROM sizes), 9) AS largest_share, round((SELECT avg("in" + "out") FROM nodes), 6) AS mean_degree, CAST((SELECT max("in" + "out") FROM nodes) AS BIGINT) AS max_degree, (SELECT count(*) FROM nodes WHERE account LIKE 'M%') AS merchants, (SELECT count(*) FROM pairs WHERE frauds > 0) AS fraud_pairs""")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the graph; of the components, that of the least account."""
+    """Sizes of the graph, its degrees and weak components."""
     edges = kept(graph(spark, sf_dir), "pairs")
     found = nodes(edges)
     degree = F.col("in") + F.col("out")
     of_nodes = found.agg(F.count("*").alias("nodes"), F.round(F.avg(degree), 6).alias("mean_degree"), F.max(degree).alias("max_degree"), F.count_if(F.col("account").startswith("M")).alias("merchants"))
     of_edges = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("frauds") > 0).alias("fraud_pairs"))
-    least = components(edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.min_by("n", "component").alias("component_of_least"))
     density = F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1.0)), 9)
-    return of_nodes.crossJoin(of_edges).crossJoin(least).select("nodes", "edges", density.alias("density"), "component_of_least", "mean_degree", "max_degree", "merchants", "fraud_pairs")
+    one = of_nodes.crossJoin(of_edges).crossJoin(component_sizes(edges))
+    return one.select("nodes", "edges", density.alias("density"), "components", "largest_component", "largest_share", "mean_degree", "max_degree", "merchants", "fraud_pairs")
 
 
-def component_sizes(edges: DataFrame) -> DataFrame:
-    """One row: how many weak components there are, the accounts of the largest and their share of all."""
-    sizes = components(edges).groupBy("component").agg(F.count("*").alias("n"))
-    found = sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"))
-    share = F.coalesce(C.ratio(F.col("largest_component"), F.col("nodes")), F.lit(0.0))
-    return found.select("components", "largest_component", F.round(share, 9).alias("largest_share"))
+#: An account graph of several islands: lines of a customer's nation link it to the next customer of that nation's parity.
+ISLANDS = "links AS (SELECT 'C' || c_custkey AS src, 'C' || (c_custkey + 25 * (1 + c_custkey % 3)) AS dst FROM customer WHERE c_nationkey % 2 = 0)"
 
 
-@query("gr04_components")
+@query("gr04_components", f"WITH RECURSIVE {ISLANDS}, link AS MATERIALIZED (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), reach(account, component) USING KEY (account) AS (SELECT DISTINCT a, a FROM link UNION SELECT link.b, min(reach.component) FROM reach JOIN link ON link.a = reach.account JOIN recurring.reach AS now ON now.account = link.b WHERE reach.component < now.component GROUP BY link.b), sizes AS (SELECT count(*) AS n FROM reach GROUP BY component) SELECT count(*) AS components, max(n) AS largest_component, round(max(n) / sum(n), 9) AS largest_share FROM sizes")
 def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The components that gr04_summary leaves out; it has no SQL, a test compares it with brute force."""
-    return component_sizes(kept(graph(spark, sf_dir), "pairs"))
+    """Components of a graph that has many."""
+    from ledgerloom.sources.adapters import table
 
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0")
+    return component_sizes(rows.select(F.concat(F.lit("C"), key).alias("src"), F.concat(F.lit("C"), key + 25 * (1 + key % 3)).alias("dst")))
 
-@query("gr08_cycles", f"WITH {PAIRS}, c AS (SELECT [src] AS v, total, frauds FROM pairs WHERE src = dst UNION ALL SELECT [a.src, b.src], a.total + b.total, a.frauds + b.frauds FROM pairs a JOIN pairs b ON a.dst = b.src AND b.dst = a.src WHERE a.src < b.src UNION ALL SELECT [a.src, b.src, c.src], a.total + b.total + c.total, a.frauds + b.frauds + c.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src UNION ALL SELECT [a.src, b.src, c.src, d.src], a.total + b.total + c.total + d.total, a.frauds + b.frauds + c.frauds + d.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src JOIN pairs d ON c.dst = d.src AND d.dst = a.src WHERE a.src < b.src AND a.src < c.src AND a.src < d.src AND b.src <> c.src AND b.src <> d.src AND c.src <> d.src) SELECT array_to_string(list_sort(v), '>') AS accounts, CAST(len(v) AS BIGINT) AS length, count(*) AS orders, round(max(total), 2) AS largest_total, CAST(max(frauds) AS BIGINT) AS most_frauds FROM c GROUP BY 1, 2")
-def cycles(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
-    """Simple cycles of up to four accounts by node set: paths start at their least account and close on it.
 
-    Only accounts that both send and receive can lie on one, so all others are dropped before the joins.
+def cycle_core(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Pairs whose ends both send and receive; accounts that can't lie on a cycle are dropped so many times."""
+    core = edges
+    for _ in range(rounds):
+        both = core.select(F.col("src").alias("x")).intersect(core.select(F.col("dst").alias("x")))
+        core = kept(core.join(both.withColumnRenamed("x", "src"), "src", "left_semi").join(both.withColumnRenamed("x", "dst"), "dst", "left_semi").select(*edges.columns), "core")
+    return core
+
+
+def simple_cycles(edges: DataFrame) -> DataFrame:
+    """(v, total, frauds) of all simple cycles of up to four accounts in pairs (src, dst, total, frauds).
+
+    Each cycle is found at its account of highest degree, ``top``. Paths of two steps out of and into it through
+    accounts of lower degree number, per link, at most the lesser degree of its ends, so a hub's neighbours are
+    never paired with each other; a cycle of three closes such a path with a pair, one of four joins two paths with the same ends.
     """
-    edges = graph(spark, sf_dir).select("src", "dst", "total", "frauds")
-    both = edges.select(F.col("src").alias("x")).intersect(edges.select(F.col("dst").alias("x")))
-    core = kept(edges.join(both.withColumnRenamed("x", "src"), "src", "left_semi").join(both.withColumnRenamed("x", "dst"), "dst", "left_semi").select("src", "dst", "total", "frauds"), "core")
-    paths = core.select(F.array("src").alias("v"), F.col("src").alias("start"), F.col("dst").alias("end"), "total", "frauds")
-    found = None
-    for length in range(1, most + 1):
-        closed = paths.where("end = start").select("v", "total", "frauds")
-        found = closed if found is None else found.union(closed)
-        if length < most:
-            step = core.select(F.col("src").alias("end"), F.col("dst").alias("next"), F.col("total").alias("t"), F.col("frauds").alias("f"))
-            longer = paths.where("end > start").join(step, "end").where((F.col("next") >= F.col("start")) & ~F.array_contains(F.slice("v", 2, length), F.col("next")) & (F.col("next") != F.col("end")))
-            paths = longer.select(F.concat("v", F.array("end")).alias("v"), "start", F.col("next").alias("end"), (F.col("total") + F.col("t")).alias("total"), (F.col("frauds") + F.col("f")).alias("frauds"))
+    core = cycle_core(edges.select("src", "dst", "total", "frauds"))
+    degree = core.select(F.explode(F.array("src", "dst")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+    ranked = core.join(degree.select(F.col("x").alias("src"), F.struct("d", "x").alias("rs")), "src").join(degree.select(F.col("x").alias("dst"), F.struct("d", "x").alias("rd")), "dst")
+    ranked = kept(ranked, "ranked")
+    down, up = ranked.where("rs > rd"), ranked.where("rs < rd")
+    add = lambda *names: [sum((F.col(f"{c}.{k}") for c in names[1:]), F.col(f"{names[0]}.{k}")).alias(k) for k in ("total", "frauds")]
+    ones = core.where("src = dst").select(F.array("src").alias("v"), "total", "frauds")
+    twos = down.alias("a").join(up.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.array("a.src", "a.dst").alias("v"), *add("a", "b"))
+    # top -> near -> far, and far -> near -> top.
+    out = kept(down.alias("a").join(ranked.where("src <> dst").alias("b"), F.col("a.dst") == F.col("b.src")).where("b.rd < a.rs").select(F.col("a.src").alias("top"), F.col("a.dst").alias("near"), F.col("b.dst").alias("far"), *add("a", "b")), "paths-out")
+    into = kept(up.alias("b").join(ranked.where("src <> dst").alias("a"), F.col("a.dst") == F.col("b.src")).where("a.rs < b.rd").select(F.col("b.dst").alias("top"), F.col("b.src").alias("near"), F.col("a.src").alias("far"), *add("a", "b")), "paths-into")
+    threes = out.alias("a").join(up.alias("b"), (F.col("a.far") == F.col("b.src")) & (F.col("a.top") == F.col("b.dst"))).select(F.array("a.top", "a.near", "a.far").alias("v"), *add("a", "b"))
+    fours = out.alias("a").join(into.alias("b"), (F.col("a.top") == F.col("b.top")) & (F.col("a.far") == F.col("b.far")) & (F.col("a.near") != F.col("b.near"))).select(F.array("a.top", "a.near", "a.far", "b.near").alias("v"), *add("a", "b"))
+    return ones.union(twos).union(threes).union(fours)
+
+
+@query("gr08_cycles", f"WITH {PAIRS}, c AS (SELECT [src] AS v, total, frauds FROM pairs WHERE src = dst UNION ALL SELECT [a.src, b.src], a.total + b.total, a.frauds + b.frauds FROM pairs a JOIN pairs b ON a.dst = b.src AND b.dst = a.src WHERE a.src < b.src UNION ALL SELECT [a.src, b.src, c.src], a.total + b.total + c.total, a.frauds + b.frauds + c.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src UNION ALL SELECT [a.src, b.src, c.src, d.src], a.total + b.total + c.total + d.total, a.frauds + b.frauds + c.frauds + d.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src JOIN pairs d ON c.dst = d.src AND d.dst = a.src WHERE a.src < b.src AND a.src < c.src AND a.src < d.src AND b.src <> c.src AND b.src <> d.src AND c.src <> d.src) SELECT array_to_string(list_sort(v), '>') AS accounts, CAST(len(v) AS BIGINT) AS length, count(*) AS orders, round(max(total), 2) AS largest_total, CAST(max(frauds) AS BIGINT) AS most_frauds FROM c GROUP BY 1, 2")
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple cycles of up to four accounts by node set."""
+    found = simple_cycles(graph(spark, sf_dir))
     return found.groupBy(F.array_join(F.array_sort("v"), ">").alias("accounts"), F.size("v").cast("long").alias("length")).agg(F.count("*").alias("orders"), F.round(F.max("total"), 2).alias("largest_total"), F.max("frauds").alias("most_frauds"))
 
 
@@ -241,23 +264,68 @@ def top_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(graph(spark, sf_dir)).select("account", F.col("in").alias("unique_sources")).orderBy(F.desc("unique_sources"), "account").limit(20)
 
 
-def compared(rows: DataFrame, ranked: DataFrame, budgets: tuple[int, ...] = BUDGETS) -> DataFrame:
-    """How much of the transactions and frauds the first k accounts of each ranking cover.
+def effective_budgets(asked: tuple[int, ...], accounts: int) -> list[int]:
+    """Budgets no greater than the number of accounts, each once, rising; none without accounts."""
+    if any(isinstance(k, bool) or not isinstance(k, int) or k < 1 for k in asked) or not asked:
+        raise ValueError("budgets have to be positive integers")
+    return sorted({min(k, accounts) for k in asked}) if accounts else []
+
+
+#: Ratios of a selection: numerator, denominator, and why there is none.
+RATIOS = {
+    "account_precision": ("positives_selected", "selected", "no accounts selected"),
+    "account_recall": ("positives_selected", "positives", "no positive accounts"),
+    "precision": ("frauds_covered", "covered", "no transaction covered"),
+    "fraud_coverage": ("frauds_covered", "frauds", "no frauds"),
+}
+
+
+def compared(rows: DataFrame, ranked: DataFrame, budgets: tuple[int, ...] | list[int] = BUDGETS) -> DataFrame:
+    """What the first k accounts of each ranking cover of the transactions, the frauds and the accounts with frauds, and how the network's ratios differ.
 
     ``ranked`` has (method, account, place) of at most the largest budget's rows a method, so both lookups are broadcast.
+    A transaction counts once for both its ends.
     """
-    places = ranked.groupBy("account").agg(F.min(F.when(F.col("method") == "network", F.col("place"))).alias("network"), F.min(F.when(F.col("method") == "volume", F.col("place"))).alias("volume"))
-    src, dst = (F.broadcast(places.select(F.col("account").alias(k), F.col("network").alias(f"{k}_network"), F.col("volume").alias(f"{k}_volume"))) for k in ("nameOrig", "nameDest"))
+    if not budgets:
+        raise ValueError("there are no accounts to choose from")
+    methods = ("network", "volume")
+    places = ranked.groupBy("account").agg(*[F.min(F.when(F.col("method") == m, F.col("place"))).alias(m) for m in methods])
+    src, dst = (F.broadcast(places.select(F.col("account").alias(k), *[F.col(m).alias(f"{k}_{m}") for m in methods])) for k in ("nameOrig", "nameDest"))
     joined = rows.join(src, "nameOrig", "left").join(dst, "nameDest", "left")
-    found = [F.struct(F.lit(m).alias("method"), F.lit(k).cast("long").alias("budget"), F.count_if(F.least(f"nameOrig_{m}", f"nameDest_{m}") <= k).alias("covered"), F.count_if((F.least(f"nameOrig_{m}", f"nameDest_{m}") <= k) & (F.col("isFraud") == 1)).alias("frauds_covered")) for m in ("network", "volume") for k in budgets]
-    one = joined.agg(F.count("*").alias("n"), F.sum("isFraud").cast("long").alias("frauds"), F.array(*found).alias("r")).select("n", "frauds", F.inline("r"))
-    return one.select("method", "budget", "covered", "frauds_covered", F.round(C.ratio(F.col("frauds_covered"), F.col("covered")), 9).alias("precision"), F.round(C.ratio(F.col("frauds_covered"), F.col("frauds")), 9).alias("fraud_coverage"))
+    fraud = F.col("isFraud") == 1
+    within = {(m, k): F.least(f"nameOrig_{m}", f"nameDest_{m}") <= k for m in methods for k in budgets}
+    covers = [F.struct(F.lit(m).alias("method"), F.lit(k).cast("long").alias("budget"), F.count_if(x).alias("covered"), F.count_if(x & fraud).alias("frauds_covered")) for (m, k), x in within.items()]
+    of_rows = joined.agg(F.coalesce(F.sum("isFraud"), F.lit(0)).cast("long").alias("frauds"), F.array(*covers).alias("r")).select("frauds", F.inline("r"))
+    ends = joined.where(fraud).select(F.inline(F.array(*[F.struct(F.col(k).alias("account"), *[F.col(f"{k}_{m}").alias(m) for m in methods]) for k in ("nameOrig", "nameDest")]))).distinct()
+    hits = [F.struct(F.lit(m).alias("method"), F.lit(k).cast("long").alias("budget"), F.count_if(F.col(m) <= k).alias("positives_selected")) for m in methods for k in budgets]
+    of_accounts = ends.agg(F.count("*").alias("positives"), F.array(*hits).alias("r")).select("positives", F.inline("r"))
+    chosen = [F.struct(F.lit(m).alias("method"), F.lit(k).cast("long").alias("budget"), F.count_if((F.col("method") == m) & (F.col("place") <= k)).alias("selected")) for m in methods for k in budgets]
+    selected = ranked.agg(F.array(*chosen).alias("r")).select(F.inline("r"))
+    one = of_rows.join(F.broadcast(of_accounts), ["method", "budget"]).join(F.broadcast(selected), ["method", "budget"])  # a row a method and budget
+    ratios = {name: F.round(C.ratio(F.col(a), F.col(b)), 9) for name, (a, b, _) in RATIOS.items()}
+    reasons = F.nullif(F.concat_ws("; ", *[F.when(F.col(b) == 0, F.lit(f"{name}: {why}")) for name, (_, b, why) in RATIOS.items()]), F.lit(""))
+    whole = one.select("method", "budget", "selected", "positives_selected", "covered", "frauds_covered", *[r.alias(n) for n, r in ratios.items()], reasons.alias("null_reasons"))
+    other = F.broadcast(whole.where("method = 'volume'").select("budget", *[F.col(n).alias(f"volume_{n}") for n in RATIOS]))
+    differences = [F.when(F.col("method") == "network", F.round(F.col(n) - F.col(f"volume_{n}"), 9)).alias(f"{n}_difference") for n in RATIOS]
+    return whole.join(other, "budget").select(*whole.columns, *differences)
 
 
 LARGEST = max(BUDGETS)
 
 
-@query("gr12_gr14_agg43_jn03_comparison", f"WITH {RANKED}{FLAG_STEPS}, ranked AS (SELECT 'network' AS method, account, row_number() OVER (ORDER BY len(patterns) DESC, round(rank, 12) DESC, account) AS place FROM flags JOIN r{ROUNDS} USING (account) UNION ALL SELECT 'volume', account, row_number() OVER (ORDER BY round(volume, 2) DESC, account) FROM flags), b(k) AS (VALUES {', '.join(f'({k})' for k in BUDGETS)}), p AS (SELECT a.method, least(a.place, c.place) AS place, isFraud FROM tx JOIN ranked a ON a.account = nameOrig JOIN ranked c ON c.account = nameDest AND c.method = a.method), c AS (SELECT method, k, count(*) AS covered, CAST(sum(isFraud) AS BIGINT) AS frauds_covered FROM p, b WHERE place <= k GROUP BY method, k) SELECT method, CAST(k AS BIGINT) AS budget, covered, frauds_covered, round(frauds_covered / covered, 9) AS precision, round(frauds_covered / (SELECT sum(isFraud) FROM tx), 9) AS fraud_coverage FROM c")
+_COMPARED = ", ".join(f"round({a} / nullif({b}, 0), 9) AS {n}" for n, (a, b, _) in RATIOS.items())
+_REASONS = "nullif(concat_ws('; ', " + ", ".join(f"CASE WHEN {b} = 0 THEN '{n}: {why}' END" for n, (_, b, why) in RATIOS.items()) + "), '')"
+
+
+@query("gr12_gr14_agg43_jn03_comparison", f"""WITH {RANKED}{FLAG_STEPS}, pos AS MATERIALIZED (SELECT nameOrig AS account FROM tx WHERE isFraud = 1 UNION SELECT nameDest FROM tx WHERE isFraud = 1),
+ranked AS MATERIALIZED (SELECT 'network' AS method, account, row_number() OVER (ORDER BY len(patterns) DESC, round(rank, 12) DESC, account) AS place FROM flags JOIN r{ROUNDS} USING (account) UNION ALL SELECT 'volume', account, row_number() OVER (ORDER BY round(volume, 2) DESC, account) FROM flags),
+b(k) AS (SELECT DISTINCT least(x, (SELECT count(*) FROM nodes)) FROM (VALUES {', '.join(f'({k})' for k in BUDGETS)}) v(x)),
+p AS (SELECT a.method, least(a.place, c.place) AS place, isFraud FROM tx JOIN ranked a ON a.account = nameOrig JOIN ranked c ON c.account = nameDest AND c.method = a.method),
+c AS (SELECT method, k, count(*) AS covered, CAST(sum(isFraud) AS BIGINT) AS frauds_covered FROM p, b WHERE place <= k GROUP BY method, k),
+s AS (SELECT method, k, count(*) AS selected, count(*) FILTER (WHERE account IN (SELECT account FROM pos)) AS positives_selected FROM ranked, b WHERE place <= k GROUP BY method, k),
+tot AS (SELECT c.method, CAST(c.k AS BIGINT) AS budget, selected, positives_selected, covered, frauds_covered, (SELECT count(*) FROM pos) AS positives, (SELECT sum(isFraud) FROM tx) AS frauds FROM c JOIN s ON c.method = s.method AND c.k = s.k),
+w AS (SELECT method, budget, selected, positives_selected, covered, frauds_covered, {_COMPARED}, {_REASONS} AS null_reasons FROM tot)
+SELECT w.*, {", ".join(f"CASE WHEN w.method = 'network' THEN round(w.{n} - o.{n}, 9) END AS {n}_difference" for n in RATIOS)} FROM w JOIN w o ON o.budget = w.budget AND o.method = 'volume'""")
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts ranked by number of patterns (ties by PageRank) against accounts ranked by volume; a row counts once for both its ends."""
     rows = transactions(spark, sf_dir)
@@ -272,15 +340,30 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = network.select(F.lit("network").alias("method"), "account", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("pagerank"), "account")).alias("place")).union(
         volume.select(F.lit("volume"), "account", F.row_number().over(Window.orderBy(F.desc("volume"), "account")))
     )
-    return compared(rows, kept(ranked, "ranked"))
+    return compared(rows, kept(ranked, "ranked"), effective_budgets(BUDGETS, found.count()))
+
+
+POSITIVE = "pos AS (SELECT nameOrig AS account FROM tx WHERE isFraud = 1 UNION SELECT nameDest FROM tx WHERE isFraud = 1)"
+
+
+def positive_accounts(edges: DataFrame) -> DataFrame:
+    """Accounts at either end of a pair with a fraud."""
+    return edges.where("frauds > 0").select(F.explode(F.array("src", "dst")).alias("account")).distinct()
 
 
-@query("agg42_pattern_coverage", f"WITH {FLAGS}, b(k) AS (VALUES (1), (2), (3)), m AS (SELECT account, len(patterns) AS n FROM flags), p AS (SELECT greatest(coalesce(a.n, 0), coalesce(c.n, 0)) AS n, isFraud FROM tx LEFT JOIN m a ON a.account = nameOrig LEFT JOIN m c ON c.account = nameDest) SELECT CAST(k AS BIGINT) AS min_patterns, count(*) AS covered, CAST(sum(isFraud) AS BIGINT) AS frauds FROM p, b WHERE n >= k GROUP BY k")
+@query("agg42_pattern_coverage", f"WITH {FLAGS}, {POSITIVE}, b(k) AS (VALUES (1), (2), (3)), m AS (SELECT account, len(patterns) AS n FROM flags), p AS (SELECT greatest(coalesce(a.n, 0), coalesce(c.n, 0)) AS n, isFraud FROM tx LEFT JOIN m a ON a.account = nameOrig LEFT JOIN m c ON c.account = nameDest), c AS (SELECT k, count(*) AS covered, CAST(sum(isFraud) AS BIGINT) AS frauds FROM p, b WHERE n >= k GROUP BY k), s AS (SELECT k, count(*) AS flagged, count(*) FILTER (WHERE account IN (SELECT account FROM pos)) AS hit FROM m, b WHERE n >= k GROUP BY k) SELECT CAST(k AS BIGINT) AS min_patterns, covered, frauds, flagged AS flagged_accounts, hit AS flagged_with_fraud, round(hit / flagged, 6) AS precision_at_account, round(frauds / covered, 6) AS precision_at_txn, round(frauds / (SELECT sum(isFraud) FROM tx), 6) AS coverage_fraud FROM c JOIN s USING (k)")
 def pattern_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions with an account of at least k patterns at either end; pairs carry the counts, so transactions aren't joined."""
+    """Accounts of at least k patterns, and transactions with one at either end; pairs carry the counts, so transactions aren't joined."""
     edges = kept(graph(spark, sf_dir), "pairs")
-    n = kept(indicators(nodes(edges)).select("account", F.size("patterns").alias("n")).where("n > 0"), "patterns")
+    n = indicators(kept(nodes(edges), "nodes")).select("account", F.size("patterns").alias("n")).where("n > 0")
+    hit = positive_accounts(edges).withColumn("hit", F.lit(1))
+    n = kept(n.join(hit, "account", "left"), "patterns")
     joined = edges.join(n.select(F.col("account").alias("src"), F.col("n").alias("a")), "src", "left").join(n.select(F.col("account").alias("dst"), F.col("n").alias("b")), "dst", "left")
     most = F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))
     sums = joined.where(most > 0).groupBy(most.alias("most")).agg(F.sum("weight").alias("w"), F.sum("frauds").alias("f"))
-    return sums.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("most").cast("long"))).alias("min_patterns"), "w", "f").groupBy("min_patterns").agg(F.sum("w").alias("covered"), F.sum("f").alias("frauds"))
+    least = F.explode(F.sequence(F.lit(1).cast("long"), F.col("most").cast("long"))).alias("min_patterns")
+    covered = sums.select(least, "w", "f").groupBy("min_patterns").agg(F.sum("w").alias("covered"), F.sum("f").alias("frauds"))
+    accounts = n.groupBy(F.col("n").alias("most")).agg(F.count("*").alias("a"), F.count("hit").alias("h")).select(least, "a", "h").groupBy("min_patterns").agg(F.sum("a").alias("flagged_accounts"), F.sum("h").alias("flagged_with_fraud"))
+    total = edges.agg(F.sum("frauds").alias("total"))  # one row
+    rounded = lambda a, b: F.round(C.ratio_or_zero(F.col(a), F.col(b)), 6)
+    return covered.join(accounts, "min_patterns").crossJoin(F.broadcast(total)).select("min_patterns", "covered", "frauds", "flagged_accounts", "flagged_with_fraud", rounded("flagged_with_fraud", "flagged_accounts").alias("precision_at_account"), rounded("frauds", "covered").alias("precision_at_txn"), rounded("frauds", "total").alias("coverage_fraud"))

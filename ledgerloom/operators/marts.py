@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.exact import quantiles
+from ledgerloom.plans.stored import stored
 from ledgerloom.sources.adapters import CUTS, EV, TX, events_by_hour, table, transactions
 
 #: Quantiles of the silver report and of the bins.
@@ -65,17 +67,29 @@ def by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM q",
 )
 def amount_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact quantiles by linear interpolation; one histogram of distinct values per task is merged."""
-    q = transactions(spark, sf_dir).agg(F.min("amount").alias("least"), F.max("amount").alias("most"), F.round(F.avg("amount"), 4).alias("mean"), F.percentile("amount", F.array(*[F.lit(x) for x in QUANTILES])).alias("v"))
-    return q.select("least", "most", "mean", *[F.round(F.get("v", i), 6).alias(f"p{str(x * 100).replace('.', '_')}") for i, x in enumerate(QUANTILES)])
+    rows = stored(transactions(spark, sf_dir).select("amount"), "amounts")
+    found = quantiles(rows, "amount", QUANTILES)[None]
+    q = rows.agg(F.min("amount").alias("least"), F.max("amount").alias("most"), F.round(F.avg("amount"), 4).alias("mean"))
+    return q.select("least", "most", "mean", *[F.round(F.lit(v).cast("double"), 6).alias(f"p{str(x * 100).replace('.', '_')}") for v, x in zip(found, QUANTILES, strict=True)])
 
 
-@query("agg05_exact_duplicates", f"WITH {TX} SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, count(*) AS distinct_rows FROM (SELECT count(*) AS n FROM tx GROUP BY ALL) g".replace("SELECT count(*) AS n FROM tx GROUP BY ALL", "SELECT count(*) AS n FROM tx GROUP BY step, type, nameOrig, nameDest"))
-def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = transactions(spark, sf_dir).groupBy("step", "type", "nameOrig", "nameDest").agg(F.count("*").alias("n"))
+#: The transactions with every seventh order's lines once more, so that whole rows repeat.
+TWICE = f"{TX}, twice AS (SELECT * FROM tx UNION ALL SELECT * FROM tx WHERE l_orderkey % 7 = 0)"
+COLUMNS = "step, type, amount, oldbalanceOrg, nameOrig, nameDest, isFraud, l_orderkey, l_partkey, l_linenumber, l_discount, l_tax, l_quantity, l_returnflag"
+
+
+def duplicates(rows: DataFrame) -> DataFrame:
+    """How many rows repeat an equal one, in all columns, and how many are distinct; copies of a row are counted on the map side."""
+    groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"), F.count("*").alias("distinct_rows"))
 
 
+@query("agg05_exact_duplicates", f"WITH {TWICE} SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, count(*) AS distinct_rows FROM (SELECT count(*) AS n FROM twice GROUP BY {COLUMNS}) g")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transactions(spark, sf_dir)
+    return duplicates(rows.union(rows.where("l_orderkey % 7 = 0")))
+
+
 @query("agg06_set01_accounts", f"WITH {TX} SELECT count(DISTINCT nameOrig) AS origins, count(DISTINCT nameDest) AS destinations, (SELECT count(*) FROM (SELECT nameOrig FROM tx UNION SELECT nameDest FROM tx)) AS accounts FROM tx")
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account names are reduced to one row each before they are counted."""
@@ -105,25 +119,21 @@ def gold_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fitted_edges(rows: DataFrame, column: str, quantiles: list[float] = TERCILES) -> DataFrame:
-    """One row with the interior edges of a column."""
-    found = rows.agg(F.percentile(column, F.array(*[F.lit(q) for q in quantiles])).alias("q"), F.min(column).alias("a"), F.max(column).alias("b"))
-    return found.select(F.coalesce(C.interior_edges(F.col("q"), F.col("a"), F.col("b")), F.array().cast("array<double>")).alias(f"{column}_edges"))
+def fitted_edges(rows: DataFrame, column: str, asked: list[float] = TERCILES) -> list[float]:
+    """The quantiles of a column that lie inside its range, each once."""
+    least, *found, most = quantiles(rows, column, [0.0, *asked, 1.0])[None]
+    return sorted({q for q in found if q is not None and least < q < most})
 
 
 def analytics(rows: DataFrame, cuts: tuple[int, int, int] = CUTS) -> DataFrame:
     """Rows with partition and bins; bins are fitted on the train partition alone, labels play no part."""
-    train = rows.where(F.col("step") <= cuts[0])
-    amount, balance = fitted_edges(train, "amount"), fitted_edges(train, "oldbalanceOrg")
-    # Each side is one row of a few numbers.
-    with_edges = rows.crossJoin(F.broadcast(amount)).crossJoin(F.broadcast(balance))
-    return with_edges.withColumns(
-        {
-            "partition": C.partition_of(F.col("step"), cuts),
-            "amount_bin": C.bin_label(F.col("amount"), F.col("amount_edges")),
-            "origin_balance_bin": C.bin_label(F.col("oldbalanceOrg"), F.col("oldbalanceOrg_edges")),
-        }
-    ).drop("amount_edges", "oldbalanceOrg_edges")
+    train = stored(rows.where(F.col("step") <= cuts[0]).select("amount", "oldbalanceOrg"), "train-values")
+    bins = {}
+    for name, column in (("amount_bin", "amount"), ("origin_balance_bin", "oldbalanceOrg")):
+        edges = fitted_edges(train, column)
+        below = [F.when(F.col(column) > e, 1).otherwise(0) for e in edges]
+        bins[name] = F.concat(F.lit("b"), sum(below[1:], below[0]).cast("string") if below else F.lit("0"))
+    return rows.withColumns({"partition": C.partition_of(F.col("step"), cuts), **bins})
 
 
 def _edges_sql(column: str) -> str:
@@ -149,16 +159,23 @@ def partition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("partition").alias("partition_name")).agg(F.count("*").alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.sum("isFraud").cast("long").alias("frauds"), bins.alias("bins"))
 
 
+def median_guess(train: DataFrame, known: str = "true") -> Column:
+    """The median amount of a row's type among the train rows that a condition admits, of all train rows for other types."""
+    train = stored(train.select("type", "amount"), "train-amounts")
+    medians = quantiles(train.where(known), "amount", [0.5], "type")
+    whole = F.lit(quantiles(train, "amount", [0.5])[None][0])
+    guess = whole
+    for kind, (m,) in medians.items():
+        guess = F.when(F.col("type") == kind, F.lit(m)).otherwise(guess)
+    return guess
+
+
 @query("jn06_agg29_median_by_type", f"WITH {TX}, m AS (SELECT type, median(amount) AS m FROM tx WHERE step <= {CUTS[0]} AND type <> 'DEBIT' GROUP BY type), g AS (SELECT median(amount) AS g FROM tx WHERE step <= {CUTS[0]}) SELECT tx.type, count(*) AS n, round(any_value(coalesce(m, g)), 6) AS prediction, round(avg(abs(amount - coalesce(m, g))), 4) AS mae FROM tx LEFT JOIN m ON tx.type = m.type, g WHERE step > {CUTS[0]} GROUP BY tx.type")
 def median_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of the train rows of a type, of all train rows where a type has none (DEBIT is left out of the fit)."""
     rows = transactions(spark, sf_dir)
-    train = rows.where(F.col("step") <= CUTS[0])
-    medians = train.where("type <> 'DEBIT'").groupBy("type").agg(F.median("amount").alias("m"))
-    # As many rows as types; the vocabulary is closed.
-    joined = rows.where(F.col("step") > CUTS[0]).join(F.broadcast(medians), "type", "left").crossJoin(F.broadcast(train.agg(F.median("amount").alias("g"))))
-    guess = F.coalesce("m", "g")
-    return joined.groupBy("type").agg(F.count("*").alias("n"), F.round(F.first(guess), 6).alias("prediction"), F.round(F.avg(F.abs(F.col("amount") - guess)), 4).alias("mae"))
+    guess = median_guess(rows.where(F.col("step") <= CUTS[0]), "type <> 'DEBIT'")
+    return rows.where(F.col("step") > CUTS[0]).groupBy("type").agg(F.count("*").alias("n"), F.round(F.first(guess), 6).alias("prediction"), F.round(F.avg(F.abs(F.col("amount") - guess)), 4).alias("mae"))
 
 
 @query("agg37_split_steps", f"WITH {TX}, s AS (SELECT step, count(*) AS n FROM tx GROUP BY step), c AS (SELECT step, sum(n) OVER (ORDER BY step) AS c, sum(n) OVER () AS t FROM s) SELECT min(step) FILTER (WHERE c >= 0.70 * t) AS train_end, min(step) FILTER (WHERE c >= 0.85 * t) AS validation_end FROM c")
@@ -217,30 +234,46 @@ def rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ITEMS = ["type", "amount_bin", "origin_balance_bin", "exceeds", "equals"]
+#: Least support and antecedent rows of a rule on the train rows, least confidence and lift there and on the validation rows, most rules.
+SUPPORT, ANTECEDENT, CONFIDENCE, LIFT, RULES_KEPT = 0.0001, 50, 0.5, 2.0, 50
 
 
-@query(
-    "ml14_associations",
-    f"WITH {D1}, i AS (SELECT ['type=' || type, 'amount_bin=' || amount_bin, 'origin_balance_bin=' || origin_balance_bin, 'exceeds=' || (amount > oldbalanceOrg)::INT, 'equals=' || (amount > 0 AND amount = oldbalanceOrg)::INT] AS items, isFraud FROM d1 WHERE part = 'train'), "
-    "c AS (SELECT list_filter([CASE WHEN m // 1 % 2 = 1 THEN items[1] END, CASE WHEN m // 2 % 2 = 1 THEN items[2] END, CASE WHEN m // 4 % 2 = 1 THEN items[3] END, CASE WHEN m // 8 % 2 = 1 THEN items[4] END, CASE WHEN m // 16 % 2 = 1 THEN items[5] END], lambda x: x IS NOT NULL) AS s, isFraud FROM i, range(1, 32) t(m) WHERE bit_count(m::INT) <= 3), "
-    "t AS (SELECT count(*) AS n, sum(isFraud) AS f FROM i), g AS (SELECT array_to_string(s, ' & ') AS rule, count(*) AS antecedent, CAST(sum(isFraud) AS BIGINT) AS hits FROM c GROUP BY 1) "
-    "SELECT rule, antecedent, hits, round(hits / n, 9) AS support, round(hits / antecedent, 9) AS confidence, round((hits / antecedent) / (f / n), 6) AS lift FROM g, t WHERE antecedent >= 50 AND hits / n >= 0.0001 AND hits / antecedent >= 0.1",
-)
-def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item sets of up to three attributes and how often they are fraud: each row yields its 25 sets, which are summed at once."""
-    rows = analytics(transactions(spark, sf_dir)).where("partition = 'train'")
+def association_rules(rows: DataFrame, label: str) -> DataFrame:
+    """Rules of up to three items that foretell a 0/1 label: found on train rows, kept if they hold on validation rows, with their figures on all partitions.
+
+    ``rows`` has partition, the bins, amounts and the label. Sums of whole item combinations come first: there
+    are few, so their 25 item sets each stay few, too.
+    """
     flags = rows.withColumn("exceeds", (F.col("amount") > F.col("oldbalanceOrg")).cast("int")).withColumn("equals", ((F.col("amount") > 0) & (F.col("amount") == F.col("oldbalanceOrg"))).cast("int"))
     items = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ITEMS]
-    # Sums of whole item combinations first: there are few, so the 25-fold rows stay few.
-    whole = flags.groupBy(*[i.alias(c) for i, c in zip(items, ITEMS, strict=True)]).agg(F.count("*").alias("n"), F.sum("isFraud").alias("f"))
+    whole = stored(flags.groupBy("partition", *[i.alias(c) for i, c in zip(items, ITEMS, strict=True)]).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("f")), "item-combinations")
     sets = [F.concat_ws(" & ", *[F.col(c) for k, c in enumerate(ITEMS) if m >> k & 1]) for m in range(1, 32) if m.bit_count() <= 3]
-    found = whole.select("n", "f", F.explode(F.array(*sets)).alias("rule")).groupBy("rule").agg(F.sum("n").alias("antecedent"), F.sum("f").cast("long").alias("hits"))
-    totals = whole.agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
-    joined = found.crossJoin(F.broadcast(totals))
+    found = whole.select("partition", "n", "f", F.explode(F.array(*sets)).alias("rule")).groupBy("rule", "partition").agg(F.sum("n").alias("antecedent"), F.sum("f").alias("hits"))
+    totals = F.broadcast(whole.groupBy("partition").agg(F.sum("n").alias("n"), F.sum("f").alias("f")))  # a row a partition
     confidence = F.col("hits") / F.col("antecedent")
-    return joined.where((F.col("antecedent") >= 50) & (F.col("hits") / F.col("n") >= 0.0001) & (confidence >= 0.1)).select(
-        "rule", "antecedent", "hits", F.round(F.col("hits") / F.col("n"), 9).alias("support"), F.round(confidence, 9).alias("confidence"), F.round(confidence / (F.col("f") / F.col("n")), 6).alias("lift")
-    )
+    figures = found.join(totals, "partition").select("rule", "partition", "antecedent", "hits", (F.col("hits") / F.col("n")).alias("support"), confidence.alias("confidence"), F.try_divide(confidence, F.col("f") / F.col("n")).alias("lift"))
+    strong = (F.col("confidence") >= CONFIDENCE) & (F.col("lift") >= LIFT)
+    train = figures.where((F.col("partition") == "train") & strong & (F.col("antecedent") >= ANTECEDENT) & (F.col("support") >= SUPPORT))
+    held = figures.where((F.col("partition") == "validation") & strong).select("rule")
+    # The number of rules is a limit of the report.
+    best = train.join(held, "rule", "left_semi").orderBy(F.desc(F.round("lift", 9)), F.desc("support"), "rule").limit(RULES_KEPT).select("rule")
+    rounded = [F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")]
+    return figures.join(F.broadcast(best), "rule").select("rule", F.col("partition").alias("partition_name"), "antecedent", "hits", *rounded)
+
+
+@query(
+    "ml14_associations",
+    f"WITH {D1}, i AS (SELECT part, ['type=' || type, 'amount_bin=' || amount_bin, 'origin_balance_bin=' || origin_balance_bin, 'exceeds=' || (amount > oldbalanceOrg)::INT, 'equals=' || (amount > 0 AND amount = oldbalanceOrg)::INT] AS items, (l_returnflag = 'R')::INT AS y FROM d1), "
+    "c AS (SELECT part, list_filter([CASE WHEN m // 1 % 2 = 1 THEN items[1] END, CASE WHEN m // 2 % 2 = 1 THEN items[2] END, CASE WHEN m // 4 % 2 = 1 THEN items[3] END, CASE WHEN m // 8 % 2 = 1 THEN items[4] END, CASE WHEN m // 16 % 2 = 1 THEN items[5] END], lambda x: x IS NOT NULL) AS s, y FROM i, range(1, 32) t(m) WHERE bit_count(m::INT) <= 3), "
+    "t AS (SELECT part, count(*) AS n, sum(y) AS f FROM i GROUP BY part), g AS (SELECT array_to_string(s, ' & ') AS rule, part, count(*) AS antecedent, CAST(sum(y) AS BIGINT) AS hits FROM c GROUP BY 1, 2), "
+    "r AS (SELECT rule, g.part, antecedent, hits, hits / n AS support, hits / antecedent AS confidence, (hits / antecedent) / nullif(f / n, 0) AS lift FROM g JOIN t USING (part)), "
+    f"b AS (SELECT rule FROM r WHERE part = 'train' AND confidence >= {CONFIDENCE} AND lift >= {LIFT} AND antecedent >= {ANTECEDENT} AND support >= {SUPPORT} AND rule IN (SELECT rule FROM r WHERE part = 'validation' AND confidence >= {CONFIDENCE} AND lift >= {LIFT}) ORDER BY round(lift, 9) DESC, support DESC, rule LIMIT {RULES_KEPT}) "
+    "SELECT rule, part AS partition_name, antecedent, hits, round(support, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift FROM r WHERE rule IN (SELECT rule FROM b)",
+)
+def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for returned lines, which the items foretell well."""
+    rows = analytics(transactions(spark, sf_dir)).withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return association_rules(rows, "y")
 
 
 @query("src09_pushed_filter", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-01-31'")

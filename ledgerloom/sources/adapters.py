@@ -35,6 +35,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount",
         "l_tax",
         "l_quantity",
+        "l_returnflag",
     )
 
 
@@ -43,7 +44,7 @@ TX = """tx AS (SELECT date_diff('day', DATE '1995-01-01', l_shipdate::DATE) AS s
   l_extendedprice AS amount,
   CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN l_extendedprice ELSE greatest(c_acctbal, 0.0) END AS oldbalanceOrg,
   'C' || o_custkey AS nameOrig, (CASE WHEN l_suppkey % 2 = 1 THEN 'M' ELSE 'C' END) || l_suppkey AS nameDest,
-  (l_returnflag = 'R' AND l_linestatus = 'F')::INT AS isFraud, l_orderkey, l_partkey, l_linenumber, l_discount, l_tax, l_quantity
+  (l_returnflag = 'R' AND l_linestatus = 'F')::INT AS isFraud, l_orderkey, l_partkey, l_linenumber, l_discount, l_tax, l_quantity, l_returnflag
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
