@@ -9,6 +9,8 @@ from ledgerloom.functions import columns as C
 from ledgerloom.operators.graph import graph, indicators, kept, nodes, NODES, FLAGS
 from ledgerloom.operators.scores import SCORED, scored
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.exact import quantiles
+from ledgerloom.plans.stored import stored
 from ledgerloom.sources.adapters import CUTS, TX, TYPES, table, transactions
 
 
@@ -100,15 +102,15 @@ def _sigmoid_sql(replaced: str | None) -> str:
 )
 def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a score moves when one feature is set to its median: one variant per feature and row, never shuffled as such."""
-    rows = transactions(spark, sf_dir)
-    medians = F.broadcast(rows.agg(*[F.median(c).alias(f"m_{c}") for c in WEIGHTS]))
+    rows = stored(transactions(spark, sf_dir).select(*WEIGHTS), "occlusion-rows")
+    medians = {c: quantiles(rows, c, [0.5])[None][0] for c in WEIGHTS}
 
     def score(replaced: str | None):
-        terms = [w * F.log1p(F.col(f"m_{c}" if c == replaced else c)) for c, w in WEIGHTS.items()]
+        terms = [w * F.log1p(F.lit(medians[c]).cast("double") if c == replaced else F.col(c)) for c, w in WEIGHTS.items()]
         return 1 / (1 + F.exp(-(sum(terms[1:], terms[0]) - 1)))
 
     variants = F.array(*[F.struct(F.lit(c).alias("feature"), (score(None) - score(c)).alias("effect")) for c in WEIGHTS])
-    return rows.crossJoin(medians).select(F.inline(variants)).groupBy("feature").agg(F.round(F.avg(F.abs("effect")), 9).alias("mean_effect"), F.round(F.max("effect"), 9).alias("largest"))
+    return rows.select(F.inline(variants)).groupBy("feature").agg(F.round(F.avg(F.abs("effect")), 9).alias("mean_effect"), F.round(F.max("effect"), 9).alias("largest"))
 
 
 @query("agg34_confidence_buckets", f"WITH {SCORED} SELECT CASE WHEN score < 0.4 THEN '[0,.4)' WHEN score < 0.6 THEN '[.4,.6)' WHEN score < 0.8 THEN '[.6,.8)' ELSE '[.8,1]' END AS bucket, count(*) AS n, round(avg(y), 9) AS accuracy FROM s GROUP BY 1")
@@ -118,11 +120,12 @@ def confidence_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("y"), 9).alias("accuracy"))
 
 
-@query("agg36_account_audit", f"WITH {TX}, a AS (SELECT nameOrig, bool_or(step <= {CUTS[0]}) AS train, bool_or(step > {CUTS[0]} AND step <= {CUTS[1]}) AS validation, bool_or(step > {CUTS[1]}) AS test FROM tx GROUP BY 1) SELECT train, validation, test, count(*) AS accounts FROM a GROUP BY 1, 2, 3")
+@query("agg36_account_audit", f"WITH {TX}, e AS (SELECT nameOrig AS a, step FROM tx UNION ALL SELECT nameDest, step FROM tx), a AS (SELECT a, bool_or(step <= {CUTS[0]}) AS train, bool_or(step > {CUTS[0]} AND step <= {CUTS[1]}) AS validation, bool_or(step > {CUTS[1]}) AS test FROM e GROUP BY 1) SELECT train, validation, test, count(*) AS accounts FROM a GROUP BY 1, 2, 3")
 def account_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts by the parts in which they occur; all of them, where a sample would do for an audit."""
+    """Accounts, at either end, by the parts in which they occur; all of them, where a sample would do for an audit."""
     step = F.col("step")
-    seen = transactions(spark, sf_dir).groupBy("nameOrig").agg(F.bool_or(step <= CUTS[0]).alias("train"), F.bool_or((step > CUTS[0]) & (step <= CUTS[1])).alias("validation"), F.bool_or(step > CUTS[1]).alias("test"))
+    ends = transactions(spark, sf_dir).select("step", F.explode(F.array("nameOrig", "nameDest")).alias("a"))
+    seen = ends.groupBy("a").agg(F.bool_or(step <= CUTS[0]).alias("train"), F.bool_or((step > CUTS[0]) & (step <= CUTS[1])).alias("validation"), F.bool_or(step > CUTS[1]).alias("test"))
     return seen.groupBy("train", "validation", "test").agg(F.count("*").alias("accounts"))
 
 

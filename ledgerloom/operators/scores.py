@@ -2,55 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.exact import equal_groups, running
 from ledgerloom.sources.adapters import TX, table, transactions
 
-#: Scores are whole thousandths, so that curves run over a thousand rows however many rows are scored.
-STEPS = 1000
 FALSE_ALARM, MISSED = 1.0, 20.0
-SCORED = f"{TX}, s AS (SELECT round(least(amount / (oldbalanceOrg + 1), 10.0) / 10, 3) AS score, isFraud AS y FROM tx)"
+SCORED = f"{TX}, s AS (SELECT least(amount / (oldbalanceOrg + 1), 10.0) / 10 AS score, isFraud AS y FROM tx)"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transactions(spark, sf_dir)
-    return rows.select(F.round(F.least(F.col("amount") / (F.col("oldbalanceOrg") + 1), F.lit(10.0)) / 10, 3).alias("score"), F.col("isFraud").alias("y"))
+    return rows.select((F.least(F.col("amount") / (F.col("oldbalanceOrg") + 1), F.lit(10.0)) / 10).alias("score"), F.col("isFraud").alias("y"))
 
 
-@query("agg22_confusion", f"WITH {SCORED}, c AS (SELECT count(*) FILTER (WHERE y = 0 AND score < 0.5) AS tn, count(*) FILTER (WHERE y = 0 AND score >= 0.5) AS fp, count(*) FILTER (WHERE y = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS tp FROM s) SELECT *, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, {FALSE_ALARM} * fp + {MISSED} * fn AS cost FROM c".replace("1.0 * fp + 20.0 * fn", "(fp + 20 * fn)::DOUBLE"))
-def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alarm, y = F.col("score") >= 0.5, F.col("y") == 1
-    c = scored(spark, sf_dir).agg(F.count_if(~y & ~alarm).alias("tn"), F.count_if(~y & alarm).alias("fp"), F.count_if(y & ~alarm).alias("fn"), F.count_if(y & alarm).alias("tp"))
+def checked(rows: DataFrame) -> DataFrame:
+    """The same rows, if there are any, labels are 0 or 1 and both occur, and scores are finite and between 0 and 1."""
+    bad = ~F.coalesce(F.col("y").isin(0, 1) & F.col("score").between(0, 1) & ~F.isnan("score"), F.lit(False))
+    seen = rows.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.min("y").alias("least"), F.max("y").alias("most")).first()
+    if not seen["n"] or seen["bad"]:
+        raise ValueError("labels have to be 0 or 1 and scores between 0 and 1")
+    if seen["least"] == seen["most"]:
+        raise ValueError("there is only one class of labels")
+    return rows
+
+
+def confusion_of(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Counts at a threshold, their ratios (0 where undefined) and the cost, in all and for a thousand rows."""
+    alarm, y = F.col("score") >= threshold, F.col("y") == 1
+    c = checked(rows).agg(F.count_if(~y & ~alarm).alias("tn"), F.count_if(~y & alarm).alias("fp"), F.count_if(y & ~alarm).alias("fn"), F.count_if(y & alarm).alias("tp"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select("tn", "fp", "fn", "tp", F.round(C.ratio(tp, tp + fp), 9).alias("precision"), F.round(C.ratio(tp, tp + fn), 9).alias("recall"), F.round(C.ratio(2 * tp, 2 * tp + fp + fn), 9).alias("f1"), (FALSE_ALARM * fp + MISSED * fn).alias("cost"))
+    cost = FALSE_ALARM * fp + MISSED * fn
+    rounded = lambda a, b: F.round(C.ratio_or_zero(a, b), 9)
+    return c.select("tn", "fp", "fn", "tp", rounded(tp, tp + fp).alias("precision"), rounded(tp, tp + fn).alias("recall"), rounded(2 * tp, 2 * tp + fp + fn).alias("f1"), cost.alias("cost"), F.round(1000 * cost / (tp + fp + fn + F.col("tn")), 6).alias("cost_per_1000"))
+
+
+@query("agg22_confusion", f"WITH {SCORED}, c AS (SELECT count(*) FILTER (WHERE y = 0 AND score < 0.5) AS tn, count(*) FILTER (WHERE y = 0 AND score >= 0.5) AS fp, count(*) FILTER (WHERE y = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS tp FROM s) SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall, round(CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1, (fp + 20 * fn)::DOUBLE AS cost, round(1000.0 * (fp + 20 * fn) / (tn + fp + fn + tp), 6) AS cost_per_1000 FROM c")
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusion_of(scored(spark, sf_dir))
 
 
 def curve(rows: DataFrame) -> DataFrame:
-    """Per distinct score, falling: rows and positives at it, above and including it, and in all. The window sees distinct scores only."""
+    """Per distinct score: rows and positives at it (n, p), above it (bn, bp), with it (cn, cp), and in all (tn, tp). Scores are ranges of one falling order."""
     counts = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("p"))
-    falling = Window.orderBy(F.desc("score"))
-    every = Window.partitionBy()
-    return counts.select("score", "n", "p", F.sum("n").over(falling).alias("cn"), F.sum("p").over(falling).alias("cp"), F.sum("n").over(every).alias("tn"), F.sum("p").over(every).alias("tp"))
+    run = running(counts, [F.desc("score")], ["n", "p"])
+    totals = F.broadcast(rows.agg(F.count("*").alias("tn"), F.sum("y").cast("long").alias("tp")))  # one row
+    before = run.crossJoin(totals).withColumnsRenamed({"before_n": "bn", "before_p": "bp"})
+    return before.withColumns({"cn": F.col("bn") + F.col("n"), "cp": F.col("bp") + F.col("p")})
 
 
 CURVE = f"{SCORED}, k AS (SELECT score, count(*) AS n, CAST(sum(y) AS BIGINT) AS p FROM s GROUP BY score), c AS (SELECT score, n, p, sum(n) OVER (ORDER BY score DESC) AS cn, sum(p) OVER (ORDER BY score DESC) AS cp, sum(n) OVER () AS tn, sum(p) OVER () AS tp FROM k)"
 
 
-@query("win04_cost_threshold", f"WITH {CURVE}, o AS (SELECT score AS threshold, CAST(cn - cp AS BIGINT) AS fp, CAST(tp - cp AS BIGINT) AS fn FROM c UNION ALL SELECT 2.0, 0, CAST(max(tp) AS BIGINT) FROM c) SELECT threshold::DOUBLE AS threshold, fp, fn, (fp + 20 * fn)::DOUBLE AS cost FROM o ORDER BY cost, threshold DESC LIMIT 1")
+@query("win04_cost_threshold", f"WITH {CURVE}, o AS (SELECT score AS threshold, CAST(cn - cp AS BIGINT) AS fp, CAST(tp - cp AS BIGINT) AS fn FROM c UNION ALL SELECT 2.0, 0, CAST(max(tp) AS BIGINT) FROM c) SELECT round(threshold::DOUBLE, 9) AS threshold, fp, fn, (fp + 20 * fn)::DOUBLE AS cost FROM o ORDER BY cost, threshold DESC LIMIT 1")
 def cost_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest threshold, no alarm at all (2.0) included; of equal costs the highest."""
-    c = curve(scored(spark, sf_dir))
-    options = c.select(F.col("score").alias("threshold"), (F.col("cn") - F.col("cp")).alias("fp"), (F.col("tp") - F.col("cp")).alias("fn")).union(c.agg(F.lit(2.0).alias("threshold"), F.lit(0).cast("long"), F.max("tp")))
-    return options.withColumn("cost", FALSE_ALARM * F.col("fp") + MISSED * F.col("fn")).orderBy("cost", F.desc("threshold")).limit(1)
+    rows = scored(spark, sf_dir)
+    c = curve(rows)
+    options = c.select(F.col("score").alias("threshold"), (F.col("cn") - F.col("cp")).alias("fp"), (F.col("tp") - F.col("cp")).alias("fn")).union(rows.agg(F.lit(2.0).alias("threshold"), F.lit(0).cast("long"), F.sum("y").cast("long")))
+    best = options.withColumn("cost", FALSE_ALARM * F.col("fp") + MISSED * F.col("fn")).orderBy("cost", F.desc("threshold")).limit(1)
+    return best.withColumn("threshold", F.round("threshold", 9))
 
 
 @query("agg23_agg24_curves", f"WITH {CURVE}, l AS (SELECT *, lag(cp, 1, 0) OVER (ORDER BY score DESC) AS bp, lag(cn, 1, 0) OVER (ORDER BY score DESC) AS bn FROM c) SELECT round(sum((cp - bp) / tp * cp / cn), 9) AS average_precision, round(sum((cp - bp) / tp * (cp / cn + CASE WHEN bn = 0 THEN 1 ELSE bp / bn END) / 2), 9) AS pr_area, round(sum(((cn - cp) - (bn - bp)) / (tn - tp) * (cp + bp) / tp / 2), 9) AS roc_area FROM l")
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    falling = Window.orderBy(F.desc("score"))
-    c = curve(scored(spark, sf_dir)).withColumns({"bp": F.lag("cp", 1, 0).over(falling), "bn": F.lag("cn", 1, 0).over(falling)})
+    """Areas over all distinct scores, as they are."""
+    c = curve(checked(scored(spark, sf_dir)))
     cp, bp, cn, bn, tp, tn = (F.col(x) for x in ("cp", "bp", "cn", "bn", "tp", "tn"))
     before = F.when(bn == 0, 1.0).otherwise(F.try_divide(bp, bn))
     return c.agg(
@@ -60,19 +80,23 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("agg24_probability_losses", f"WITH {SCORED}, p AS (SELECT *, greatest(least(score, 1 - 1e-6), 1e-6) AS q FROM s) SELECT round(avg((score - y) * (score - y)), 9) AS brier, round(avg(CASE WHEN y = 1 THEN -ln(q) ELSE -ln(1 - q) END), 9) AS log_loss FROM p")
+@query("agg24_probability_losses", f"WITH {SCORED}, p AS (SELECT *, greatest(least(score, 1 - 1e-6), 1e-6) AS q FROM s), b AS (SELECT least(floor(score * 10), 9) AS bin, count(*) AS n, avg(score) AS p, avg(y) AS r FROM s GROUP BY 1) SELECT round(avg((score - y) * (score - y)), 9) AS brier, round(avg(CASE WHEN y = 1 THEN -ln(q) ELSE -ln(1 - q) END), 9) AS log_loss, (SELECT round(sum(n * abs(p - r)) / sum(n), 9) FROM b) AS calibration_error FROM p")
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier score, log loss, and the expected calibration error over ten equal widths."""
+    rows = scored(spark, sf_dir)
     q = F.greatest(F.least("score", F.lit(1 - 1e-6)), F.lit(1e-6))
     e = F.col("score") - F.col("y")
-    return scored(spark, sf_dir).agg(F.round(F.avg(e * e), 9).alias("brier"), F.round(F.avg(F.when(F.col("y") == 1, -F.log(q)).otherwise(-F.log(1 - q))), 9).alias("log_loss"))
+    bins = rows.groupBy(F.least(F.floor(F.col("score") * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("p"), F.avg("y").alias("r"))
+    error = bins.agg(F.round(F.sum(F.col("n") * F.abs(F.col("p") - F.col("r"))) / F.sum("n"), 9).alias("calibration_error"))
+    return rows.agg(F.round(F.avg(e * e), 9).alias("brier"), F.round(F.avg(F.when(F.col("y") == 1, -F.log(q)).otherwise(-F.log(1 - q))), 9).alias("log_loss")).crossJoin(F.broadcast(error))
 
 
-@query("agg24_agg25_calibration", f"WITH {SCORED}, b AS (SELECT CAST(least(floor(score * 10 + 1e-9), 9) AS BIGINT) AS bin, count(*) AS n, avg(score) AS p, avg(y) AS r FROM s GROUP BY 1) SELECT bin, n, round(p, 9) AS mean_score, round(r, 9) AS rate, round(n / sum(n) OVER () * abs(p - r), 9) AS ece_part FROM b")
+@query("agg24_agg25_calibration", f"WITH {SCORED.replace('isFraud AS y FROM', 'isFraud AS y, l_orderkey, l_linenumber, l_partkey FROM')}, r AS (SELECT *, CAST(greatest(0, ceil((row_number() OVER (ORDER BY score, l_orderkey, l_linenumber, l_partkey, y) - 1) * 10 / greatest(count(*) OVER () - 1, 1)) - 1) AS BIGINT) AS bin FROM s) SELECT bin, count(*) AS n, round(avg(score), 9) AS mean_score, round(avg(y), 9) AS rate FROM r GROUP BY bin")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = F.least(F.floor(F.col("score") * 10 + 1e-9), F.lit(9)).cast("long")
-    b = scored(spark, sf_dir).groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("p"), F.avg("y").alias("r"))
-    part = F.col("n") / F.sum("n").over(Window.partitionBy()) * F.abs(F.col("p") - F.col("r"))
-    return b.select("bin", "n", F.round("p", 9).alias("mean_score"), F.round("r", 9).alias("rate"), F.round(part, 9).alias("ece_part"))
+    """Mean score and observed rate by deciles of rank; ties by the rows' keys."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = transactions(spark, sf_dir).select((F.least(F.col("amount") / (F.col("oldbalanceOrg") + 1), F.lit(10.0)) / 10).alias("score"), F.col("isFraud").alias("y"), *keys)
+    return equal_groups(rows, ["score", *keys, "y"], 10, "bin").groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score"), F.round(F.avg("y"), 9).alias("rate"))
 
 
 @query("agg26_multiclass", "WITH s AS (SELECT lang AS y, CASE WHEN length(text) % 7 = 0 THEN 'en' ELSE lang END AS p FROM documents), m AS (SELECT y, p, count(*) AS n FROM s GROUP BY 1, 2), t AS (SELECT coalesce(a.c, b.c) AS class, coalesce(a.n, 0) AS support, coalesce(b.n, 0) AS predicted, coalesce((SELECT n FROM m WHERE m.y = coalesce(a.c, b.c) AND m.p = m.y), 0) AS hits FROM (SELECT y AS c, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1) a FULL JOIN (SELECT p AS c, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1) b ON a.c = b.c) SELECT class, support, predicted, hits, round(CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END, 9) AS precision, round(CASE WHEN support > 0 THEN hits / support ELSE 0 END, 9) AS recall, round(CASE WHEN support + predicted > 0 THEN 2 * hits / (support + predicted) ELSE 0 END, 9) AS f1 FROM t")
@@ -84,3 +108,38 @@ def multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
     h, s, p = F.col("hits"), F.col("support"), F.col("predicted")
     return t.select("class", "support", "predicted", "hits", F.round(C.ratio_or_zero(h, p), 9).alias("precision"), F.round(C.ratio_or_zero(h, s), 9).alias("recall"), F.round(C.ratio_or_zero(2 * h, s + p), 9).alias("f1"))
+
+
+#: Three guesses for each text, the first of which is the prediction.
+GUESSES = "SELECT lang AS y, CASE WHEN length(text) % 7 = 0 THEN ['en', 'de', lang] WHEN length(text) % 11 = 0 THEN ['fr', 'es', 'en'] ELSE [lang, 'en', 'fr'] END AS g FROM documents"
+
+
+def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, guesses = F.length("text"), lambda *xs: F.array(*[F.lit(x) if x else F.col("lang") for x in xs])
+    g = F.when(n % 7 == 0, guesses("en", "de", None)).when(n % 11 == 0, guesses("fr", "es", "en")).otherwise(guesses(None, "en", "fr"))
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("y"), g.alias("g"))
+
+
+def multiclass_summary(rows: DataFrame) -> DataFrame:
+    """Accuracy, macro and weighted F1 over the classes that occur, and how often the class is among the guesses; from counts of (class, prediction)."""
+    counts = rows.groupBy("y", F.get("g", 0).alias("p")).agg(F.count("*").alias("n"), F.count_if(F.array_contains("g", F.col("y"))).alias("top"))
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
+    truly = counts.groupBy(F.col("y").alias("class")).agg(F.sum("n").alias("support"), F.sum(hit).alias("hits"), F.sum("top").alias("top"))
+    named = counts.groupBy(F.col("p").alias("class")).agg(F.sum("n").alias("predicted"))
+    f1 = 2 * F.col("hits") / (F.col("support") + F.coalesce("predicted", F.lit(0)))
+    each = truly.join(named, "class", "left").withColumn("f1", f1)
+    total = F.sum("support")
+    return each.agg(total.cast("long").alias("n"), F.round(F.sum("hits") / total, 9).alias("accuracy"), F.round(F.avg("f1"), 9).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / total, 9).alias("weighted_f1"), F.round(F.sum("top") / total, 9).alias("top3_accuracy"))
+
+
+@query("agg26_multiclass_summary", f"WITH s AS ({GUESSES}), t AS (SELECT y AS class, count(*) AS support, count(*) FILTER (WHERE g[1] = y) AS hits, count(*) FILTER (WHERE list_contains(g, y)) AS top FROM s GROUP BY y), n AS (SELECT g[1] AS class, count(*) AS predicted FROM s GROUP BY 1), f AS (SELECT t.*, 2 * hits / (support + coalesce(predicted, 0)) AS f1 FROM t LEFT JOIN n ON t.class = n.class) SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(hits) / sum(support), 9) AS accuracy, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1, round(sum(top) / sum(support), 9) AS top3_accuracy FROM f")
+def multiclass_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiclass_summary(guessed(spark, sf_dir))
+
+
+@query("agg34_confused_pairs", f"WITH s AS ({GUESSES}), c AS (SELECT y AS class, g[1] AS predicted, count(*) AS n FROM s GROUP BY 1, 2), t AS (SELECT class, sum(n) AS support FROM c GROUP BY 1) SELECT c.class, predicted, n AS errors, round(n / support, 9) AS share_of_class FROM c JOIN t ON c.class = t.class WHERE predicted <> c.class ORDER BY errors DESC, c.class, predicted LIMIT 4")
+def confused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four most frequent confusions: a top-k report."""
+    counts = guessed(spark, sf_dir).groupBy(F.col("y").alias("class"), F.get("g", 0).alias("predicted")).agg(F.count("*").alias("errors"))
+    support = counts.groupBy("class").agg(F.sum("errors").alias("support"))
+    return counts.join(support, "class").where("predicted <> class").orderBy(F.desc("errors"), "class", "predicted").limit(4).select("class", "predicted", "errors", F.round(F.col("errors") / F.col("support"), 9).alias("share_of_class"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.exact import equal_groups
 from ledgerloom.sources.adapters import TX, TYPES, transactions
 
 LEAST = 10
@@ -43,15 +44,14 @@ def account_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(transactions(spark, sf_dir))
 
 
-def quantile_segments(found: DataFrame, column: str = "total_received", groups: int = GROUPS) -> DataFrame:
-    """Equal-frequency groups by rank, ties by account. The window holds one row per account; ranks over all need one order."""
-    order = Window.orderBy(column, "account")
-    n = F.count("*").over(Window.partitionBy())
-    place = F.ceil((F.row_number().over(order) - 1) * groups / F.greatest(n - 1, F.lit(1))) - 1
-    return found.withColumn("segment", F.greatest(F.lit(0), place).cast("long"))
+def quantile_segments(found: DataFrame, column: str = "n_received", groups: int = GROUPS) -> DataFrame:
+    """Groups of equal frequency by rank of activity, ties by account."""
+    if groups < 1:
+        raise ValueError("there has to be a group")
+    return equal_groups(found, [column, "account"], groups, "segment")
 
 
-SEGMENTED = f"{FEATURES}, g AS (SELECT *, CAST(greatest(0, ceil((row_number() OVER (ORDER BY total_received, account) - 1) * {GROUPS} / greatest(count(*) OVER () - 1, 1)) - 1) AS BIGINT) AS segment FROM f)"
+SEGMENTED = f"{FEATURES}, g AS (SELECT *, CAST(greatest(0, ceil((row_number() OVER (ORDER BY n_received, account) - 1) * {GROUPS} / greatest(count(*) OVER () - 1, 1)) - 1) AS BIGINT) AS segment FROM f)"
 
 
 @query("ml12_win07_agg30_segments", f"WITH {SEGMENTED} SELECT segment, count(*) AS accounts, round(avg(n_received), 6) AS mean_n, round(avg(total_received), 2) AS mean_total, round(avg(fraud_rate), 9) AS mean_fraud_rate, min(total_received) AS least, max(total_received) AS most FROM g GROUP BY segment")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import columns as C
 from ledgerloom.operators.marts import HOURLY, hourly
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.exact import quantiles
 from ledgerloom.sources.adapters import EV, events_by_hour
 
 PERIOD = 24
@@ -15,6 +16,8 @@ HORIZON = 24
 #: Last train steps of the backtest windows, and the drift windows.
 TRAIN_ENDS = (624, 648, 672, 696)
 REFERENCE, OBSERVED = (601, 660), (661, 720)
+#: Kinds of events.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 DRIFT_QUANTILES = [0.25, 0.5, 0.75, 0.9, 0.99]
 
 
@@ -184,12 +187,19 @@ def spans(rows: DataFrame) -> DataFrame:
     return rows.withColumn("span", F.when(F.col("step").between(*REFERENCE), "reference").when(F.col("step").between(*OBSERVED), "observed")).where("span is not null")
 
 
-@query("agg18_window_summary", f"{SPANS} SELECT span, count(*) AS n, count(DISTINCT step) AS steps, round(sum(amount), 2) AS total, round(avg(amount), 6) AS mean, round(avg(isFraud), 9) AS fraud_rate, " + ", ".join(f"round(quantile_cont(amount, {q}), 6) AS p{int(q * 100)}" for q in DRIFT_QUANTILES) + " FROM s GROUP BY span")
+LENGTH = f"CASE WHEN span = 'reference' THEN {REFERENCE[1] - REFERENCE[0] + 1} ELSE {OBSERVED[1] - OBSERVED[0] + 1} END"
+
+
+@query("agg18_window_summary", f"{SPANS} SELECT span, count(*) AS n, count(DISTINCT step) AS steps, CAST({LENGTH} - count(DISTINCT step) AS BIGINT) AS missing_steps, round(count(*) / {LENGTH}, 6) AS n_per_step, round(round(sum(amount), 2) / {LENGTH}, 6) AS total_per_step, round(sum(amount), 2) AS total, round(avg(amount), 6) AS mean, round(avg(isFraud), 9) AS fraud_rate, concat_ws(',', {', '.join(f"CASE WHEN count(*) FILTER (WHERE type = '{t}') > 0 THEN '{t}=' || round(count(*) FILTER (WHERE type = '{t}') / count(*), 6)::DECIMAL(8,6)::VARCHAR END" for t in EVENT_TYPES)}) AS type_mix, " + ", ".join(f"round(quantile_cont(amount, {q}), 6) AS p{int(q * 100)}" for q in DRIFT_QUANTILES) + " FROM s GROUP BY span")
 def window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(events_by_hour(spark, sf_dir))
-    v = F.percentile("amount", F.array(*[F.lit(q) for q in DRIFT_QUANTILES]))
-    sums = rows.groupBy("span").agg(F.count("*").alias("n"), F.count_distinct("step").alias("steps"), F.round(F.sum("amount"), 2).alias("total"), F.round(F.avg("amount"), 6).alias("mean"), F.round(F.avg("isFraud"), 9).alias("fraud_rate"), v.alias("v"))
-    return sums.select("span", "n", "steps", "total", "mean", "fraud_rate", *[F.round(F.get("v", i), 6).alias(f"p{int(q * 100)}") for i, q in enumerate(DRIFT_QUANTILES)])
+    found = quantiles(rows, "amount", DRIFT_QUANTILES, "span")
+    kinds = [F.count_if(F.col("type") == t).alias(f"n_{t}") for t in EVENT_TYPES]
+    sums = rows.groupBy("span").agg(F.count("*").alias("n"), F.count_distinct("step").alias("steps"), F.round(F.sum("amount"), 2).alias("total"), F.round(F.avg("amount"), 6).alias("mean"), F.round(F.avg("isFraud"), 9).alias("fraud_rate"), *kinds)
+    length = F.when(F.col("span") == "reference", REFERENCE[1] - REFERENCE[0] + 1).otherwise(OBSERVED[1] - OBSERVED[0] + 1)
+    values = [F.coalesce(*[F.when(F.col("span") == k, F.lit(v[i]).cast("double")) for k, v in found.items()]) for i in range(len(DRIFT_QUANTILES))] if found else [F.lit(None).cast("double")] * len(DRIFT_QUANTILES)
+    mix = F.concat_ws(",", *[F.when(F.col(f"n_{t}") > 0, F.concat(F.lit(f"{t}="), F.round(F.col(f"n_{t}") / F.col("n"), 6).cast("decimal(8,6)").cast("string"))) for t in EVENT_TYPES])
+    return sums.select("span", "n", "steps", (length - F.col("steps")).cast("long").alias("missing_steps"), F.round(F.col("n") / length, 6).alias("n_per_step"), F.round(F.col("total") / length, 6).alias("total_per_step"), "total", "mean", "fraud_rate", mix.alias("type_mix"), *[F.round(v, 6).alias(f"p{int(q * 100)}") for v, q in zip(values, DRIFT_QUANTILES, strict=True)])
 
 
 def total_variation(rows: DataFrame, key: str) -> DataFrame:
@@ -203,8 +213,8 @@ def total_variation(rows: DataFrame, key: str) -> DataFrame:
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes between two equal spans and whether each is an alert: counts, amounts, shares of amounts and types, fraud rate."""
     rows = spans(events_by_hour(spark, sf_dir))
-    edges = rows.where("span = 'reference'").agg(F.array_sort(F.array_distinct(F.percentile("amount", F.array(*[F.lit(q) for q in DRIFT_QUANTILES])))).alias("edges"))
-    binned = rows.crossJoin(F.broadcast(edges)).withColumn("bin", C.bin_left(F.col("amount"), F.col("edges")))
+    edges = sorted({q for q in quantiles(rows.where("span = 'reference'"), "amount", DRIFT_QUANTILES)[None] if q is not None})
+    binned = rows.withColumn("bin", C.bin_left(F.col("amount"), F.array(*[F.lit(e) for e in edges]).cast("array<double>")))
     amounts, types = total_variation(binned, "bin").withColumnRenamed("tvd", "a"), total_variation(rows, "type").withColumnRenamed("tvd", "t")
     both = rows.groupBy().pivot("span", ["reference", "observed"]).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("amount").alias("s"), F.avg("isFraud").alias("f"))
     one = both.crossJoin(amounts).crossJoin(types)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.exact import quantiles
 from ledgerloom.sources.adapters import CUTS, TX, table, transactions
 
 #: Reasons for which a credit application is refused, in the order in which they are tried.
@@ -78,16 +79,16 @@ def credit_reason(age: Column, income: Column, amount: Column, employment: Colum
     tests += [
         ("age_out_of_range", age.between(18, 100)),
         ("income_not_positive", income > 0),
-        ("amount_not_positive", amount > 0),
+        ("loan_amount_not_positive", amount > 0),
         ("emp_length_impossible", employment.isNull() | ((employment >= 0) & (employment <= age - 14))),
-        ("history_impossible", (history >= 0) & (history <= age - 13)),
+        ("credit_history_impossible", (history >= 0) & (history <= age - 13)),
     ]
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason)) for reason, ok in tests])
 
 
 @query(
     "prj05_credit_reasons",
-    "WITH a AS (SELECT 16 + c_custkey % 90 AS age, c_acctbal AS income, c_custkey % 50 AS employment, c_nationkey AS history FROM customer), r AS (SELECT CASE WHEN age NOT BETWEEN 18 AND 100 THEN 'age_out_of_range' WHEN income <= 0 THEN 'income_not_positive' WHEN employment > age - 14 THEN 'emp_length_impossible' WHEN history > age - 13 THEN 'history_impossible' ELSE 'valid' END AS reason FROM a) SELECT reason, count(*) AS n FROM r GROUP BY reason",
+    "WITH a AS (SELECT 16 + c_custkey % 90 AS age, c_acctbal AS income, c_custkey % 50 AS employment, c_nationkey AS history FROM customer), r AS (SELECT CASE WHEN age NOT BETWEEN 18 AND 100 THEN 'age_out_of_range' WHEN income <= 0 THEN 'income_not_positive' WHEN employment > age - 14 THEN 'emp_length_impossible' WHEN history > age - 13 THEN 'credit_history_impossible' ELSE 'valid' END AS reason FROM a) SELECT reason, count(*) AS n FROM r GROUP BY reason",
 )
 def credit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
@@ -121,12 +122,17 @@ def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.agg(F.count_if(F.col("train") & F.col("later")).alias("both_parts"), F.count_if(F.col("later") & ~F.col("train")).alias("only_later"), F.count("*").alias("accounts"))
 
 
+def with_first_seen(rows: DataFrame) -> DataFrame:
+    """``rows`` with the least id of those with an equal text, and whether there are several; null texts are equal."""
+    marked = rows.withColumn("digest", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))
+    firsts = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), (F.count("*") > 1).alias("repeated"))
+    return marked.join(firsts, "digest").drop("digest")
+
+
 @query("win06_first_seen", "SELECT doc_id, lang, CAST(min(doc_id) OVER (PARTITION BY text) AS BIGINT) AS first_id, count(*) OVER (PARTITION BY text) > 1 AS repeated FROM documents")
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First id of each text on all its rows: grouped by digest and joined back, so copies of one text needn't meet in a task."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.unhex(F.sha2("text", 256)).alias("digest"))
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), (F.count("*") > 1).alias("repeated"))
-    return rows.join(firsts, "digest").select("doc_id", "lang", "first_id", "repeated")
+    return with_first_seen(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text")
 
 
 @query("agg34_contradictory_texts", "SELECT count(*) AS texts, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE langs > 1) AS contradictory FROM (SELECT count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY text) t")
@@ -169,17 +175,21 @@ def date_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("day", share.alias("share")).agg(F.min(F.when(F.col("share") >= 0.70, F.col("day"))).alias("train_end"), F.min(F.when(F.col("share") >= 0.85, F.col("day"))).alias("validation_end"))
 
 
-@query("agg11_credit_profile", "SELECT c_mktsegment AS grade, count(*) AS n, round(min(c_acctbal), 2) AS least, round(median(c_acctbal), 4) AS median, round(max(c_acctbal), 2) AS most, count(*) FILTER (WHERE c_acctbal < 0) AS negative, round(corr(c_acctbal, c_nationkey), 6) AS correlation FROM customer GROUP BY 1")
+@query("agg11_credit_profile", "SELECT c_mktsegment AS grade, count(*) AS n, count(*) FILTER (WHERE c_acctbal IS NULL) AS nulls, round(min(c_acctbal), 2) AS least, round(median(c_acctbal), 4) AS median, round(max(c_acctbal), 2) AS most, count(*) FILTER (WHERE c_acctbal < 0) AS negative, round(corr(c_acctbal, c_nationkey), 6) AS correlation FROM customer GROUP BY 1")
 def credit_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("c_acctbal")
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("grade")).agg(F.count("*").alias("n"), F.round(F.min(c), 2).alias("least"), F.round(F.median(c), 4).alias("median"), F.round(F.max(c), 2).alias("most"), F.count_if(c < 0).alias("negative"), F.round(F.corr(c, F.col("c_nationkey").cast("double")), 6).alias("correlation"))
+    c, rows = F.col("c_acctbal"), table(spark, sf_dir, "customer")
+    medians = [F.when(F.col("grade") == k, F.lit(v).cast("double")) for k, (v,) in quantiles(rows, "c_acctbal", [0.5], "c_mktsegment").items()]
+    median = F.round(F.coalesce(*medians, F.lit(None).cast("double")), 4).alias("median")
+    found = rows.groupBy(F.col("c_mktsegment").alias("grade")).agg(F.count("*").alias("n"), F.count_if(c.isNull()).alias("nulls"), F.round(F.min(c), 2).alias("least"), F.round(F.max(c), 2).alias("most"), F.count_if(c < 0).alias("negative"), F.round(F.corr(c, F.col("c_nationkey").cast("double")), 6).alias("correlation"))
+    return found.withColumn("median", median)
 
 
 @query("agg35_reference_values", "SELECT median(c_acctbal) AS balance, (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS segment FROM customer")
 def reference_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     counts = rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    return rows.agg(F.median("c_acctbal").alias("balance")).crossJoin(counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "c_mktsegment"))["c_mktsegment"].alias("segment")))
+    (median,) = quantiles(rows, "c_acctbal", [0.5])[None]
+    return counts.agg(F.lit(median).cast("double").alias("balance"), F.min(F.struct((-F.col("n")).alias("n"), "c_mktsegment"))["c_mktsegment"].alias("segment"))
 
 
 @query("agg08_contingency", f"WITH {TX} SELECT isFraud, (amount > oldbalanceOrg)::INT AS flagged, count(*) AS n, round(avg(amount), 4) AS mean, min(amount) AS least, max(amount) AS most FROM tx GROUP BY 1, 2")

@@ -115,3 +115,11 @@ def running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
     inside = ranges.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
     joined = inside.join(F.broadcast(offsets), "range_")  # a row a range, so one for every ``RANGE`` rows
     return joined.select(*rows.columns, *[(F.col(f"before_{c}") + F.col(f"all_{c}")).alias(f"before_{c}") for c in sums])
+
+
+def equal_groups(rows: DataFrame, order: list[str], groups: int, out: str) -> DataFrame:
+    """``rows`` and their group of equal frequency by rank in a total order, from 0."""
+    ranked = running(rows.withColumn("one_", F.lit(1)), [F.col(c) for c in order], ["one_"])
+    n = F.broadcast(rows.agg(F.count("*").alias("n_")))  # one row
+    place = F.ceil(F.col("before_one_") * groups / F.greatest(F.col("n_") - 1, F.lit(1))) - 1
+    return ranked.crossJoin(n).withColumn(out, F.greatest(F.lit(0), place).cast("long")).drop("one_", "before_one_", "n_")
