@@ -13,8 +13,17 @@ RESIDUAL = r"(?<![a-z])x{2,}(?![a-z])"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def blank(c: Column) -> Column:
-    return c.isNull() | (F.regexp_replace(c, r"(?U)^\s+|\s+$", "") == "")
+    return c.isNull() | (trimmed(c) == "")
+
+
+def filled(c: Column) -> Column:
+    """The trimmed text, null if nothing is left."""
+    return F.nullif(trimmed(c), F.lit(""))
 
 
 def number(c: Column) -> Column:
