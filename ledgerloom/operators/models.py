@@ -1,24 +1,35 @@
-"""Models on MLlib: fraud, credit, segments, regression; sampling and splits. Fits depend on the library, so these are run and tested by property."""
+"""Models on MLlib: fraud, credit, segments, regression; sampling and splits. Fits depend on the library, so ``tests/test_models.py`` checks them by property."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from collections.abc import Callable, Iterable
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
+from ledgerloom.operators.marts import PARTITION, median_guess
 from ledgerloom.operators.segments import features
 from ledgerloom.plans.catalog import query
+from ledgerloom.plans.stored import stored
 from ledgerloom.sources.adapters import CUTS, TX, TYPES, table, transactions
 
 SEED = 42
 SAMPLE = 200_000
+#: Rounds of boosting.
+ITERATIONS = 80
+
+
+#: Rows of a block of the split.
+EACH = 20_000
 
 
 def by_hash(rows: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -37,34 +48,96 @@ def encoder(spark: SparkSession) -> list:
     return [index, OneHotEncoder(inputCol="type_index", outputCol="type_vector", dropLast=False)]
 
 
+FRAUD_COLUMNS = ["type", "amount", "oldbalanceOrg"]
+
+
+def fit_fraud(train: DataFrame, iterations: int = ITERATIONS) -> PipelineModel:
+    """Gradient-boosted trees on type, amount, balance and what follows from them."""
+    stages = [*encoder(train.sparkSession), VectorAssembler(inputCols=["type_vector", "amount", "oldbalanceOrg", "ratio", "exceeds"], outputCol="features"), GBTClassifier(maxIter=iterations, maxDepth=4, stepSize=0.1, seed=SEED, featureSubsetStrategy="all")]
+    return Pipeline(stages=stages).fit(train)
+
+
+def probability() -> Column:
+    return F.get(vector_to_array("probability"), 1)
+
+
 @query("ml03_fraud_model")
-def fraud_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted trees fitted on the train partition; mean score by partition and label."""
-    rows = fraud_frame(transactions(spark, sf_dir))
+def fraud_model(spark: SparkSession, sf_dir: str, iterations: int = ITERATIONS) -> DataFrame:
+    """Fitted on the train partition; mean score and the prior's by partition and label."""
+    rows = stored(fraud_frame(transactions(spark, sf_dir)), "fraud-rows")
     train = by_hash(rows.where(F.col("step") <= CUTS[0]), SAMPLE, "l_orderkey", "l_linenumber", "l_partkey")
-    stages = [*encoder(spark), VectorAssembler(inputCols=["type_vector", "amount", "oldbalanceOrg", "ratio", "exceeds"], outputCol="features"), GBTClassifier(maxIter=10, maxDepth=4, seed=SEED, featureSubsetStrategy="all")]
-    scored = Pipeline(stages=stages).fit(train).transform(rows)
+    scored = fit_fraud(train, iterations).transform(rows)
+    prior = train.agg(F.avg("label")).first()[0]
     part = C.partition_of(F.col("step"), CUTS)
-    return scored.groupBy(part.alias("partition_name"), "isFraud").agg(F.count("*").alias("n"), F.avg(F.get(vector_to_array("probability"), 1)).alias("mean_score"))
+    return scored.groupBy(part.alias("partition_name"), "isFraud").agg(F.count("*").alias("n"), F.avg(probability()).alias("mean_score"), F.lit(prior).alias("prior"))
+
+
+@query("ml03_prior_baseline", f"WITH {TX}, p AS (SELECT avg(isFraud) AS p FROM tx WHERE step <= {CUTS[0]}), s AS (SELECT {PARTITION} AS part, isFraud AS y, p FROM tx, p) SELECT part AS partition_name, count(*) AS n, round(avg((p - y) * (p - y)), 9) AS brier, round(avg(CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END), 9) AS log_loss FROM s GROUP BY part")
+def prior_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of frauds among the train rows as everyone's score."""
+    rows = transactions(spark, sf_dir)
+    p = F.broadcast(rows.where(F.col("step") <= CUTS[0]).agg(F.avg("isFraud").alias("p")))  # one row
+    e, y = F.col("p") - F.col("isFraud"), F.col("isFraud")
+    loss = F.when(y == 1, -F.log("p")).otherwise(-F.log(1 - F.col("p")))
+    return rows.crossJoin(p).groupBy(C.partition_of(F.col("step"), CUTS).alias("partition_name")).agg(F.count("*").alias("n"), F.round(F.avg(e * e), 9).alias("brier"), F.round(F.avg(loss), 9).alias("log_loss"))
+
+
+#: Columns of each set: amounts are logged; the second set has what a lender adds.
+CREDIT_SETS = {"applicant": ["income", "employment", "age"], "with_loan": ["income", "employment", "age", "loan", "percent_income"]}
+LOGGED = {"income", "loan"}
+
+
+def credit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as applications: income from the balance, missing where that is negative, the mean order as the loan; those whose balance is below 3000 or missing are bad with most."""
+    key, balance = F.col("c_custkey"), F.col("c_acctbal")
+    loans = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("loan"))
+    rows = table(spark, sf_dir, "customer").join(loans, "c_custkey", "left")
+    label = F.when(key % 10 == 0, balance >= 3000).otherwise(balance < 3000).cast("double")
+    income = F.when(balance >= 0, balance)
+    return rows.select("c_custkey", "c_mktsegment", label.alias("label"), income.alias("income"), F.nullif((key % 40).cast("double"), F.lit(7.0)).alias("employment"), (18 + key % 60).cast("double").alias("age"), "loan", F.try_divide(F.col("loan"), income).alias("percent_income"))
+
+
+def credit_stages(columns: list[str], kind: str, n: int) -> list:
+    """Medians for missing values and marks of them, logs, one-hot segments, scaling; then the classifier."""
+    marks = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in columns) + " FROM __THIS__")
+    filled = Imputer(strategy="median", inputCols=columns, outputCols=[f"{c}_filled" for c in columns])
+    logs = SQLTransformer(statement="SELECT *, " + ", ".join(f"{f'ln(1 + {c}_filled)' if c in LOGGED else f'{c}_filled'} AS {c}_used" for c in columns) + " FROM __THIS__")
+    segment = [StringIndexer(inputCol="c_mktsegment", outputCol="segment", handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol="segment", outputCol="segment_vector")]
+    vector = VectorAssembler(inputCols=["segment_vector", *[f"{c}_used" for c in columns], *[f"{c}_missing" for c in columns]], outputCol="raw")
+    classifier = LogisticRegression(regParam=1.0 / n) if kind == "logistic" else GBTClassifier(maxIter=10, maxDepth=3, seed=SEED)
+    return [marks, filled, logs, *segment, vector, StandardScaler(inputCol="raw", outputCol="features", withMean=True), classifier]
+
+
+def calibrated(scored: DataFrame) -> DataFrame:
+    """``scored`` (part, label, probability) and ``platt``: a logistic fit on the logit of the validation rows, hardly held small."""
+    p = F.least(F.greatest(probability(), F.lit(1e-6)), F.lit(1 - 1e-6))
+    rows = scored.withColumn("logit", F.log(p / (1 - p))).select("part", "label", probability().alias("p"), "logit")
+    held = rows.where("part = 'validation'")
+    stages = [VectorAssembler(inputCols=["logit"], outputCol="features"), LogisticRegression(regParam=1e-6 / max(1, held.count()), standardization=False)]
+    return Pipeline(stages=stages).fit(held).transform(rows).withColumn("platt", probability()).select("part", "label", "p", "platt")
 
 
 @query("ml04_ml05_credit_model")
 def credit_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaled logistic regression on customers, then Platt scaling on the validation part of a stratified split."""
-    rows = table(spark, sf_dir, "customer").withColumns({"label": (F.col("c_acctbal") < 3000).cast("double"), "log_key": F.log1p(F.col("c_custkey").cast("double")), "nation": F.col("c_nationkey").cast("double")})
-    split = stratified(rows, "label", "c_custkey")
-    stages = [VectorAssembler(inputCols=["log_key", "nation"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(regParam=0.01)]
-    model = Pipeline(stages=stages).fit(split.where("part = 'train'"))
-    p = F.least(F.greatest(F.get(vector_to_array("probability"), 1), F.lit(1e-6)), F.lit(1 - 1e-6))
-    scored = model.transform(split).withColumn("logit", F.log(p / (1 - p))).select("part", "label", "logit")
-    platt = Pipeline(stages=[VectorAssembler(inputCols=["logit"], outputCol="features"), LogisticRegression(regParam=1e-6)])
-    calibrated = platt.fit(scored.where("part = 'validation'")).transform(scored)
-    return calibrated.groupBy("part", "label").agg(F.count("*").alias("n"), F.avg(F.get(vector_to_array("probability"), 1)).alias("mean_probability"))
+    """Prior, logistic and boosted candidates on both sets of columns, the best by log loss on the validation rows, and Platt scaling of each."""
+    split = stored(stratified(credit_rows(spark, sf_dir), "label", "c_custkey"), "credit-split")
+    train = split.where("part = 'train'")
+    seen = train.agg(F.count("*").alias("n"), F.avg("label").alias("prior")).first()
+    loss = lambda p: F.avg(F.when(F.col("label") == 1, -F.log(F.greatest(p, F.lit(1e-6)))).otherwise(-F.log(F.greatest(1 - p, F.lit(1e-6)))))
+    found = [("prior", "none", split.select("part", "label", F.lit(seen["prior"]).alias("p"), F.lit(seen["prior"]).alias("platt")))]
+    found += [(kind, name, calibrated(Pipeline(stages=credit_stages(columns, kind, seen["n"])).fit(train).transform(split))) for name, columns in CREDIT_SETS.items() for kind in ("logistic", "boosted")]
+    out = []
+    for place, (kind, name, rows) in enumerate(found):
+        by_part = {r["part"]: r for r in rows.groupBy("part").agg(F.count("*").alias("n"), loss(F.col("p")).alias("loss"), loss(F.col("platt")).alias("platt")).collect()}
+        out.append((place, kind, name, by_part["validation"]["loss"], by_part["test"]["loss"], by_part["test"]["platt"]))
+    best = min(out, key=lambda r: (round(r[3], 9), r[0]))[0]
+    return spark.createDataFrame([(*r[1:], r[0] == best) for r in out], "model string, columns string, validation_log_loss double, test_log_loss double, calibrated_log_loss double, chosen boolean")
 
 
 def stratified(rows: DataFrame, label: str, key: str) -> DataFrame:
-    """70/15/15 within each label by rank of the key's hash: blocks of the hash are counted first, so that no label meets in one task."""
-    hashed = rows.withColumns({"__h": F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")}).withColumn("__b", F.shiftright("__h", 20))
+    """70/15/15 within each label by rank of the key's hash: blocks of the hash, ``EACH`` rows on average, are counted first, so that no label meets in one task."""
+    bits = min(32, max(0, rows.count() // EACH).bit_length())
+    hashed = rows.withColumns({"__h": F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")}).withColumn("__b", F.shiftright("__h", 32 - bits))
     counts = hashed.groupBy(label, "__b").agg(F.count("*").alias("__n"))
     running = counts.withColumns({"__start": F.coalesce(F.sum("__n").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum("__n").over(Window.partitionBy(label))}).drop("__n")
     place = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key)) - 1
@@ -85,36 +158,103 @@ def train_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").cast("binary")), "l_orderkey").limit(500).groupBy("step").agg(F.count("*").alias("n"))
 
 
+LOGGED_BEHAVIOUR = ["n_received", "mean_received", "cv"]
+PLAIN_BEHAVIOUR = ["amount_concentration", "activity_density", *[f"share_{t.lower()}" for t in sorted(TYPES)]]
+#: Numbers of segments that are tried, and resamples of half the accounts.
+SEGMENTS, RESAMPLES = range(2, 8), 3
+
+
+def scaled_behaviour(found: DataFrame) -> DataFrame:
+    """(account, features): heavy-tailed columns logged, all scaled by mean and population deviation."""
+    rows = found.withColumns({c: C.log_of_positive(F.col(c)) for c in LOGGED_BEHAVIOUR})
+    n = rows.count()
+    stages = [VectorAssembler(inputCols=LOGGED_BEHAVIOUR + PLAIN_BEHAVIOUR, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), ElementwiseProduct(inputCol="scaled", outputCol="features", scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * len(LOGGED_BEHAVIOUR + PLAIN_BEHAVIOUR)))]
+    return stored(Pipeline(stages=stages).fit(rows).transform(rows).select("account", "features"), "behaviour")
+
+
+def silhouettes(scaled: DataFrame, tried: Iterable[int] = SEGMENTS) -> list[tuple[int, float]]:
+    return [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=SEED).fit(scaled).transform(scaled)))) for k in tried]
+
+
+def best_k(found: list[tuple[int, float]]) -> int:
+    """The k of greatest silhouette, of equal ones the least."""
+    return min(found, key=lambda x: (-round(x[1], 9), x[0]))[0]
+
+
 @query("ml10_segments_kmeans")
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-means over logged and scaled behaviour for several k; the squared-distance silhouette of each."""
-    logged = ["n_received", "mean_received", "cv"]
-    plain = ["amount_concentration", "activity_density", *[f"share_{t.lower()}" for t in sorted(TYPES)]]
-    rows = features(transactions(spark, sf_dir)).withColumns({c: C.log_of_positive(F.col(c)) for c in logged})
-    stages = [VectorAssembler(inputCols=logged + plain, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    scaled = Pipeline(stages=stages).fit(rows).transform(rows).select("account", "features").cache()
-    out = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=SEED).fit(scaled).transform(scaled)))) for k in range(2, 5)]
-    return spark.createDataFrame(out, "k int, silhouette double").orderBy(F.desc(F.round("silhouette", 6)), "k")
+    """K-means over logged and scaled behaviour for k from 2 to 7: the squared-distance silhouette of each, and which is chosen."""
+    found = silhouettes(scaled_behaviour(features(transactions(spark, sf_dir))))
+    return spark.createDataFrame([(k, s, k == best_k(found)) for k, s in found], "k int, silhouette double, chosen boolean")
 
 
-@query("ml11_adjusted_rand", "WITH n AS (SELECT a, b, count(*) AS n FROM (SELECT label % 3 AS a, label % 2 AS b FROM embeddings) t GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS i, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM n GROUP BY a)) AS r, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM n GROUP BY b)) AS c, (SELECT sum(n) * (sum(n) - 1) / 2 FROM n) AS t) SELECT round((i - r * c / t) / ((r + c) / 2 - r * c / t), 9) AS ari FROM s")
-def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of two labellings from their contingency counts."""
-    n = table(spark, sf_dir, "embeddings").groupBy((F.col("label") % 3).alias("a"), (F.col("label") % 2).alias("b")).agg(F.count("*").cast("double").alias("n"))
-    pairs = lambda c: F.sum(c * (c - 1) / 2)
+def rand_index(labels: DataFrame) -> DataFrame:
+    """One row with the adjusted Rand index of two labellings (a, b), from their contingency counts."""
+    n = labels.groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
+    pairs = lambda c: F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0.0))
     i = n.agg(pairs(F.col("n")).alias("i"), (F.sum("n") * (F.sum("n") - 1) / 2).alias("t"))
     r = n.groupBy("a").agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("r"))
     c = n.groupBy("b").agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("c"))
-    chance = F.col("r") * F.col("c") / F.col("t")
-    return i.crossJoin(r).crossJoin(c).select(F.round((F.col("i") - chance) / ((F.col("r") + F.col("c")) / 2 - chance), 9).alias("ari"))
+    chance = F.try_divide(F.col("r") * F.col("c"), F.col("t"))
+    agreed = F.try_divide(F.col("i") - chance, (F.col("r") + F.col("c")) / 2 - chance)
+    return i.crossJoin(r).crossJoin(c).select(F.round(F.coalesce(agreed, F.lit(1.0)), 9).alias("ari"))
 
 
-@query("ml08_amount_regression")
-def amount_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge on log1p(amount) from type and logged balance, predictions at least 0; errors by partition."""
-    rows = transactions(spark, sf_dir).withColumns({"label": F.log1p("amount"), "log_balance": F.log1p("oldbalanceOrg"), "zero": (F.col("oldbalanceOrg") == 0).cast("double")})
-    train = by_hash(rows.where(F.col("step") <= CUTS[0]), SAMPLE, "l_orderkey", "l_linenumber", "l_partkey")
-    stages = [*encoder(spark), VectorAssembler(inputCols=["type_vector", "log_balance", "zero"], outputCol="features"), LinearRegression(regParam=0.001, elasticNetParam=0.0)]
+@query("ml11_adjusted_rand", "WITH n AS (SELECT a, b, count(*) AS n FROM (SELECT label % 3 AS a, label % 2 AS b FROM embeddings) t GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS i, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM n GROUP BY a)) AS r, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM n GROUP BY b)) AS c, (SELECT sum(n) * (sum(n) - 1) / 2 FROM n) AS t) SELECT round((i - r * c / t) / ((r + c) / 2 - r * c / t), 9) AS ari FROM s")
+def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two given labellings."""
+    return rand_index(table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("a"), (F.col("label") % 2).alias("b")))
+
+
+def stability(scaled: DataFrame, k: int, resamples: int = RESAMPLES) -> list[tuple[int, int, float]]:
+    """(resample, accounts, agreement) of the labels of a fit on all accounts with those of fits on halves of them, which are drawn by hash."""
+    whole = KMeans(k=k, seed=SEED).fit(scaled).transform(scaled).select("account", "features", F.col("prediction").alias("a"))
+    out = []
+    for i in range(resamples):
+        half = stored(whole.where(F.pmod(F.xxhash64("account", F.lit(i)), F.lit(2)) == 0), "half")
+        again = KMeans(k=k, seed=SEED + i).fit(half).transform(half)
+        out.append((i, half.count(), rand_index(again.select("a", F.col("prediction").alias("b"))).first()["ari"]))
+    return out
+
+
+@query("ml11_segment_stability")
+def segment_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the best number of segments holds on halves of the accounts."""
+    scaled = scaled_behaviour(features(transactions(spark, sf_dir)))
+    k = best_k(silhouettes(scaled))
+    return spark.createDataFrame([(k, *r) for r in stability(scaled, k)], "k int, resample int, accounts long, ari double")
+
+
+#: Weights of the ridge candidates.
+ALPHAS = (1.0, 10.0)
+
+
+def regression_candidates(train: DataFrame, iterations: int = 20) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """From the simplest to the least simple: functions that add ``guess`` to rows; all but the median predict log1p(amount)."""
+    n = train.count()
+    median = median_guess(train)
+    stages = [*encoder(train.sparkSession), VectorAssembler(inputCols=["type_vector", "log_balance", "zero"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    fits = [(f"ridge_{alpha:g}", LinearRegression(regParam=alpha / max(1, n), elasticNetParam=0.0, standardization=False)) for alpha in ALPHAS] + [("boosted", GBTRegressor(maxIter=iterations, maxDepth=4, seed=SEED))]
     guess = F.greatest(F.lit(0.0), F.expm1("prediction"))
-    scored = Pipeline(stages=stages).fit(train).transform(rows).where(F.col("step") > CUTS[0])
-    return scored.groupBy(C.partition_of(F.col("step"), CUTS).alias("partition_name")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("amount") - guess)).alias("mae"))
+    models = [(name, Pipeline(stages=[*stages, last]).fit(train)) for name, last in fits]
+    return [("median_by_type", lambda rows: rows.withColumn("guess", median)), *[(name, lambda rows, m=m: m.transform(rows).withColumn("guess", guess)) for name, m in models]]
+
+
+def first_best(errors: list[float]) -> int:
+    """The place of the first error that is the least, but for 1e-9."""
+    return next(i for i, e in enumerate(errors) if e <= min(errors) + 1e-9)
+
+
+@query("ml08_amount_regression")
+def amount_regression(spark: SparkSession, sf_dir: str, iterations: int = 20) -> DataFrame:
+    """Errors of each candidate by partition, and which the validation rows choose."""
+    rows = transactions(spark, sf_dir).withColumns({"label": F.log1p("amount"), "log_balance": F.log1p("oldbalanceOrg"), "zero": (F.col("oldbalanceOrg") == 0).cast("double"), "part": C.partition_of(F.col("step"), CUTS)})
+    rows = stored(rows, "regression-rows")
+    train = stored(by_hash(rows.where("part = 'train'"), SAMPLE, "l_orderkey", "l_linenumber", "l_partkey"), "regression-train")
+    out = []
+    for name, guess in regression_candidates(train, iterations):
+        e = F.col("amount") - F.col("guess")
+        out += [(name, r["part"], r["n"], r["mae"], r["rmse"]) for r in guess(rows.where("part <> 'train'")).groupBy("part").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")).collect()]
+    held = [r for r in out if r[1] == "validation"]
+    best = held[first_best([r[3] for r in held])][0]
+    return spark.createDataFrame([(*r, r[0] == best) for r in out], "model string, partition_name string, n long, mae double, rmse double, chosen boolean")
