@@ -231,10 +231,12 @@ ALPHAS = (1.0, 10.0)
 
 def regression_candidates(train: DataFrame, iterations: int = 20) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
     """From the simplest to the least simple: functions that add ``guess`` to rows; all but the median predict log1p(amount)."""
-    n = train.count()
+    seen = train.agg(F.count("*").alias("n"), F.coalesce(F.stddev_pop("label"), F.lit(1.0)).alias("deviation")).first()
+    # The library divides the weight by the label's deviation.
+    unit = seen["deviation"] / max(1, seen["n"])
     median = median_guess(train)
     stages = [*encoder(train.sparkSession), VectorAssembler(inputCols=["type_vector", "log_balance", "zero"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    fits = [(f"ridge_{alpha:g}", LinearRegression(regParam=alpha / max(1, n), elasticNetParam=0.0, standardization=False)) for alpha in ALPHAS] + [("boosted", GBTRegressor(maxIter=iterations, maxDepth=4, seed=SEED))]
+    fits = [(f"ridge_{alpha:g}", LinearRegression(regParam=alpha * unit, elasticNetParam=0.0, standardization=False)) for alpha in ALPHAS] + [("boosted", GBTRegressor(maxIter=iterations, maxDepth=4, seed=SEED))]
     guess = F.greatest(F.lit(0.0), F.expm1("prediction"))
     models = [(name, Pipeline(stages=[*stages, last]).fit(train)) for name, last in fits]
     return [("median_by_type", lambda rows: rows.withColumn("guess", median)), *[(name, lambda rows, m=m: m.transform(rows).withColumn("guess", guess)) for name, m in models]]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -103,10 +107,12 @@ def backtest_rows(series: DataFrame, ends: tuple[int, ...] = TRAIN_ENDS, horizon
     return joined.select("train_end", "target", "step", "y", F.inline(models))
 
 
-def forecast_errors() -> list:
+def forecast_errors(digits: int | None = 6) -> list:
+    """MAE, RMSE and sMAPE of y and p, the last 0 where both are 0."""
     a, p = F.col("y"), F.col("p")
     smape = F.when(F.abs(a) + F.abs(p) == 0, 0.0).otherwise(200 * F.abs(a - p) / (F.abs(a) + F.abs(p)))
-    return [F.round(F.avg(F.abs(a - p)), 6).alias("mae"), F.round(F.sqrt(F.avg((a - p) * (a - p))), 6).alias("rmse"), F.round(F.avg(smape), 6).alias("smape")]
+    found = {"mae": F.avg(F.abs(a - p)), "rmse": F.sqrt(F.avg((a - p) * (a - p))), "smape": F.avg(smape)}
+    return [(x if digits is None else F.round(x, digits)).alias(name) for name, x in found.items()]
 
 
 @query("fc04_agg28_win11_backtest", f"{BACKTEST} SELECT train_end, target, model, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 200 * abs(y - p) / (abs(y) + abs(p)) END), 6) AS smape FROM m GROUP BY train_end, target, model".replace("train_end, target, model, count", "CAST(train_end AS BIGINT) AS train_end, target, model, count"))
@@ -130,50 +136,77 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.crossJoin(F.broadcast(last)).select((F.col("s") + F.col("h")).alias("step"), F.col("y").alias("forecast"), F.round(F.greatest(F.lit(0.0), F.least(F.col("y").cast("double"), lower)), 6).alias("lower"), F.round(F.greatest(F.col("y").cast("double"), upper), 6).alias("upper"))
 
 
-def holt_winters(series: DataFrame, ends: tuple[int, ...] = TRAIN_ENDS, horizon: int = HORIZON, period: int = PERIOD) -> DataFrame:
-    """Additive trend and season per (target, train_end), weights from a small grid by one-step error, results at least 0.
-
-    There is no built-in recursion, so each window, which is one short series, is one pandas group.
-    """
-    import itertools
-
-    import numpy as np
-    import pandas as pd
-
+def smoothed(y: np.ndarray, weights: np.ndarray, period: int, horizon: int, trend: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Errors of one step ahead, squared and summed, and forecasts, for each row (alpha, beta, gamma, phi) of ``weights``: additive season, trend damped by phi or none."""
+    a, b, g, phi = weights.T if trend else (*weights.T[:1], np.zeros(len(weights)), weights.T[2], np.zeros(len(weights)))
+    # The first period, freed of the trend to the second, gives the season; the level stands at its end.
+    first, rise = y[:period].mean(), (y[period : 2 * period].mean() - y[:period].mean()) / period if trend else 0.0
+    line = first + rise * (np.arange(period) - (period - 1) / 2)
+    level, slope = np.full(len(weights), line[-1]), np.full(len(weights), rise)
+    season, error = [np.full(len(weights), v) for v in y[:period] - line], np.zeros(len(weights))
+    for t in range(period, len(y)):
+        s, ahead = season[t - period], level + phi * slope
+        error += (y[t] - ahead - s) ** 2
+        new = a * (y[t] - s) + (1 - a) * ahead
+        slope = b * (new - level) + (1 - b) * phi * slope
+        level = new
+        season.append(g * (y[t] - level) + (1 - g) * s)
+    steps = np.cumsum(phi[:, None] ** np.arange(1, horizon + 1), axis=1)
+    last = np.stack([season[len(y) - period + (h - 1) % period] for h in range(1, horizon + 1)], axis=1)
+    return error, level[:, None] + steps * slope[:, None] + last
+
+
+def holt_winters_forecast(y: np.ndarray, horizon: int, period: int = PERIOD, trend: bool = True, damped: bool = False) -> np.ndarray:
+    """Forecasts of one series with the weights of least error: a grid, narrowed around its best three times; at least 0."""
+    if len(y) < 2 * period:
+        raise ValueError("two periods of history are needed")
+    if not np.isfinite(y).all():
+        raise ValueError("the history has to be finite")
+    centre, width = np.array([0.5, 0.5, 0.5, 0.9 if damped else 1.0]), np.array([0.5, 0.5 if trend else 0.0, 0.5, 0.1 if trend and damped else 0.0])
+    for _ in range(4):
+        axes = [np.unique(np.clip(np.linspace(c - w, c + w, 5), 1e-4, 1.0 if i == 3 else 0.9999)) for i, (c, w) in enumerate(zip(centre, width, strict=True))]
+        weights = np.stack([x.ravel() for x in np.meshgrid(*axes)], axis=1)
+        error, ahead = smoothed(y, weights, period, horizon, trend)
+        best = int(np.nanargmin(error))
+        centre, width = weights[best], width / 2.5
+    if not np.isfinite(ahead[best]).all():
+        raise ValueError("the fit does not converge")
+    return ahead[best].clip(0.0)
+
+
+def holt_winters(series: DataFrame, ends: tuple[int, ...] = TRAIN_ENDS, horizon: int = HORIZON, period: int = PERIOD, trend: bool = True, damped: bool = False) -> DataFrame:
+    """Forecasts per (target, train_end). There is no built-in recursion, so each window, which is one short series, is one pandas group."""
     spark = series.sparkSession
-    long = series.select("step", F.explode(F.create_map(F.lit("count"), F.col("transaction_count").cast("double"), F.lit("amount"), F.col("total_amount"))).alias("target", "y"))
     windows = F.broadcast(spark.createDataFrame([(e,) for e in ends], "train_end long"))
-    train = long.join(windows, F.col("step") <= F.col("train_end"))
-
-    def smooth(y: np.ndarray, a: float, b: float, g: float) -> tuple[float, np.ndarray]:
-        level, trend = y[:period].mean(), (y[period : 2 * period].mean() - y[:period].mean()) / period
-        season, error = list(y[:period] - level), 0.0
-        for t in range(period, len(y)):
-            s = season[t - period]
-            error += (y[t] - level - trend - s) ** 2
-            before, level = level, a * (y[t] - s) + (1 - a) * (level + trend)
-            trend = b * (level - before) + (1 - b) * trend
-            season.append(g * (y[t] - level) + (1 - g) * s)
-        return error, np.array([level + h * trend + season[len(y) - period + (h - 1) % period] for h in range(1, horizon + 1)])
+    train = by_target(series).join(windows, F.col("step") <= F.col("train_end"))
 
     def forecast(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("step")
-        y = group["y"].to_numpy()
-        if len(y) < 2 * period:
-            raise ValueError("two periods of history are needed")
-        best = min((smooth(y, a, b, g) for a, b, g in itertools.product((0.05, 0.2, 0.5), (0.0, 0.02), (0.05, 0.2))), key=lambda x: x[0])[1]
+        ahead = holt_winters_forecast(group.sort_values("step")["y"].to_numpy(float), horizon, period, trend, damped)
         end = int(group["train_end"].iloc[0])
-        return pd.DataFrame({"train_end": end, "target": group["target"].iloc[0], "step": [end + h for h in range(1, horizon + 1)], "p": best.clip(0.0)})
+        return pd.DataFrame({"train_end": end, "target": group["target"].iloc[0], "step": [end + h for h in range(1, horizon + 1)], "p": ahead})
 
     return train.groupBy("train_end", "target").applyInPandas(forecast, "train_end long, target string, step long, p double")
 
 
+def by_target(series: DataFrame) -> DataFrame:
+    """(step, target, y): counts and amounts of a series one below the other."""
+    return series.select("step", F.explode(F.create_map(F.lit("count"), F.col("transaction_count").cast("double"), F.lit("amount"), F.col("total_amount"))).alias("target", "y"))
+
+
 @query("fc03_holt_winters")
 def holt_winters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors per window of the three variants: no trend, trend, damped trend; fits have no SQL, a test holds goldens."""
     rows = gold(spark, sf_dir)
-    guesses = holt_winters(rows)
-    actual = rows.select("step", F.explode(F.create_map(F.lit("count"), F.col("transaction_count").cast("double"), F.lit("amount"), F.col("total_amount"))).alias("target", "y"))
-    return guesses.join(actual, ["step", "target"]).groupBy("train_end", "target").agg(F.count("*").alias("n"), *forecast_errors())
+    variants = {"holt_winters_level": (False, False), "holt_winters": (True, False), "holt_winters_damped": (True, True)}
+    guesses = reduce(DataFrame.union, [holt_winters(rows, trend=t, damped=d).withColumn("model", F.lit(m)) for m, (t, d) in variants.items()])
+    return guesses.join(by_target(rows), ["step", "target"]).groupBy("train_end", "target", "model").agg(F.count("*").alias("n"), *forecast_errors())
+
+
+@query("fc04_agg28_backtest_means", f"{BACKTEST}, e AS (SELECT train_end, target, model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 200 * abs(y - p) / (abs(y) + abs(p)) END) AS smape FROM m GROUP BY train_end, target, model) SELECT target, model, count(*) AS windows, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(smape), 6) AS smape FROM e GROUP BY target, model")
+def backtest_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of each window's metrics, by target and model."""
+    by_window = backtest_rows(gold(spark, sf_dir)).groupBy("train_end", "target", "model").agg(*forecast_errors(None))
+    return by_window.groupBy("target", "model").agg(F.count("*").alias("windows"), *[F.round(F.avg(c), 6).alias(c) for c in ("mae", "rmse", "smape")])
 
 
 def _window(name: str, bounds: tuple[int, int]) -> str:
