@@ -233,17 +233,29 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gr05_jn07_jn08_ego_graph", f"WITH {PAIRS}, hub AS (SELECT min(src) AS a FROM pairs), ego AS (SELECT a FROM hub UNION SELECT dst FROM pairs, hub WHERE src = a UNION SELECT src FROM pairs, hub WHERE dst = a) SELECT src, dst, weight, round(total, 2) AS total FROM pairs WHERE src IN (SELECT a FROM ego) AND dst IN (SELECT a FROM ego)")
 def ego_graph(spark: SparkSession, sf_dir: str, depth: int = 1) -> DataFrame:
-    """Pairs among an account (here the first by name) and all accounts within ``depth`` steps either way."""
     edges = kept(graph(spark, sf_dir), "pairs")
-    reached = edges.agg(F.min("src").alias("account"))
+    return ego(edges, edges.agg(F.min("src")).first()[0], depth, most=None)
+
+
+def ego(edges: DataFrame, account: str | None, depth: int = 1, most: int | None = 500) -> DataFrame:
+    """Pairs among an account and all accounts within ``depth`` steps either way; more than ``most`` accounts are refused, as a view of them tells nothing."""
+    reached = edges.select(F.explode(F.array("src", "dst")).alias("account")).where(F.col("account") == F.lit(account)).distinct()
     for _ in range(depth):
         out = edges.join(reached.withColumnRenamed("account", "src"), "src").select(F.col("dst").alias("account"))
         into = edges.join(reached.withColumnRenamed("account", "dst"), "dst").select(F.col("src").alias("account"))
         reached = kept(reached.union(out).union(into).distinct(), "reached")
+    if most is not None and (n := reached.count()) > most:
+        raise ValueError(f"{n} accounts lie within {depth} steps of {account}; {most} at most are shown")
     inner = edges.join(reached.withColumnRenamed("account", "src"), "src", "left_semi").join(reached.withColumnRenamed("account", "dst"), "dst", "left_semi")
     return inner.select("src", "dst", "weight", F.round("total", 2).alias("total"))
 
 
+@query("gr08_largest_cycles", f"WITH {PAIRS}, c AS (SELECT [src] AS v, total, frauds FROM pairs WHERE src = dst UNION ALL SELECT [a.src, b.src], a.total + b.total, a.frauds + b.frauds FROM pairs a JOIN pairs b ON a.dst = b.src AND b.dst = a.src WHERE a.src < b.src UNION ALL SELECT [a.src, b.src, c.src], a.total + b.total + c.total, a.frauds + b.frauds + c.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src UNION ALL SELECT [a.src, b.src, c.src, d.src], a.total + b.total + c.total + d.total, a.frauds + b.frauds + c.frauds + d.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src JOIN pairs d ON c.dst = d.src AND d.dst = a.src WHERE a.src < b.src AND a.src < c.src AND a.src < d.src AND b.src <> c.src AND b.src <> d.src AND c.src <> d.src), g AS (SELECT array_to_string(list_sort(v), '>') AS accounts, CAST(len(v) AS BIGINT) AS length, round(max(total), 2) AS largest_total, CAST(max(frauds) AS BIGINT) AS most_frauds FROM c GROUP BY 1, 2) SELECT * FROM g ORDER BY largest_total DESC, accounts LIMIT 100")
+def largest_cycles(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
+    """The cycles of greatest total, each node set once: a top-k report."""
+    return cycles(spark, sf_dir).drop("orders").orderBy(F.desc("largest_total"), "accounts").limit(limit)
+
+
 @query("gr15_neighbourhood", f"WITH {PAIRS}, hub AS (SELECT min(dst) AS a FROM pairs) SELECT 'in' AS direction, src AS other, weight, round(total, 2) AS total FROM pairs, hub WHERE dst = a UNION ALL SELECT 'out', dst, weight, round(total, 2) FROM pairs, hub WHERE src = a")
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph(spark, sf_dir)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
@@ -73,6 +75,18 @@ def edge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.sum("amount").cast("bigint").alias("total"), F.sum("isFraud").cast("long").alias("frauds"), F.count_distinct("nameOrig").alias("origins"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 
 
+@query("agg13_edge_totals", f"WITH {TX} SELECT count(*) AS edges, count(DISTINCT nameOrig) AS origins, count(DISTINCT nameDest) AS destinations, (SELECT count(*) FROM (SELECT nameOrig FROM tx UNION SELECT nameDest FROM tx)) AS accounts, count(DISTINCT step) AS steps, min(step) AS first_step, max(step) AS last_step, round(sum(amount), 2) AS total, round(avg(amount), 6) AS mean, max(amount) AS largest, CAST(sum(isFraud) AS BIGINT) AS frauds, round(avg(isFraud), 9) AS fraud_rate FROM tx")
+def edge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges in one row; account names are reduced to one row each before they are counted."""
+    rows = transactions(spark, sf_dir)
+    roles = rows.select(F.inline(F.array(F.struct(F.col("nameOrig").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("d")), F.struct(F.col("nameDest").alias("name"), F.lit(0).alias("o"), F.lit(1).alias("d")))))
+    names = roles.groupBy("name").agg(F.max("o").alias("o"), F.max("d").alias("d")).agg(F.sum("o").cast("long").alias("origins"), F.sum("d").cast("long").alias("destinations"), F.count("*").alias("accounts"))
+    steps = rows.groupBy("step").agg(F.count("*").alias("n"), F.sum("amount").alias("a"), F.max("amount").alias("m"), F.sum("isFraud").alias("f"))
+    sums = steps.agg(F.sum("n").alias("edges"), F.count("*").alias("steps"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.sum("a").alias("a"), F.max("m").alias("largest"), F.sum("f").cast("long").alias("frauds"))
+    n = F.col("edges")
+    return sums.crossJoin(names).select("edges", "origins", "destinations", "accounts", "steps", "first_step", "last_step", F.round("a", 2).alias("total"), F.round(F.col("a") / n, 6).alias("mean"), "largest", "frauds", F.round(F.col("frauds") / n, 9).alias("fraud_rate"))
+
+
 @query("prj11_prj22_regression_features", f"WITH {TX} SELECT l_orderkey, l_linenumber, l_partkey, round(ln(1 + oldbalanceOrg), 9) AS log_balance, (oldbalanceOrg = 0)::DOUBLE AS zero_balance, round(sign(oldbalanceOrg - amount) * ln(1 + abs(oldbalanceOrg - amount)), 9) AS signed_gap FROM tx")
 def regression_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("oldbalanceOrg") - F.col("amount")
@@ -113,6 +127,37 @@ def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.inline(variants)).groupBy("feature").agg(F.round(F.avg(F.abs("effect")), 9).alias("mean_effect"), F.round(F.max("effect"), 9).alias("largest"))
 
 
+def top_effects(rows: DataFrame, keys: list[str], score: Callable[[str | None], Column], columns: list[str], top: int = 5) -> DataFrame:
+    """Per record the features whose replacement moves the score most: (keys, place, feature, effect); ties in the order of ``columns``."""
+    effects = F.array(*[F.struct((-F.abs(score(None) - score(c))).alias("size"), F.lit(i).alias("order"), F.lit(c).alias("feature"), (score(None) - score(c)).alias("effect")) for i, c in enumerate(columns)])
+    return rows.select(*keys, F.posexplode(F.slice(F.array_sort(effects), 1, top)).alias("place", "e")).select(*keys, "place", "e.feature", "e.effect")
+
+
+@query(
+    "ml06_top_effects",
+    f"WITH {TX}, n AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM tx), m AS (SELECT {', '.join(f'median({c}) AS m_{c}' for c in WEIGHTS)} FROM tx), v AS ("
+    + " UNION ALL ".join(f"SELECT rid, '{c}' AS feature, {i} AS o, round({_sigmoid_sql(None)}, 15) - round({_sigmoid_sql(c)}, 15) AS effect FROM n, m" for i, c in enumerate(WEIGHTS))
+    + "), k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(effect) DESC, o) AS place FROM v) SELECT feature, CAST(place - 1 AS INT) AS place, count(*) AS n, round(avg(effect), 9) AS mean_effect FROM k WHERE place <= 2 GROUP BY 1, 2",
+)
+def leading_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which features lead each record's explanation, counted over all records."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = stored(transactions(spark, sf_dir).select(*keys, *WEIGHTS), "explained-rows")
+    medians = {c: quantiles(rows, c, [0.5])[None][0] for c in WEIGHTS}
+
+    def score(replaced: str | None) -> Column:
+        terms = [w * F.log1p(F.lit(medians[c]).cast("double") if c == replaced else F.col(c)) for c, w in WEIGHTS.items()]
+        return F.round(1 / (1 + F.exp(-(sum(terms[1:], terms[0]) - 1))), 15)
+
+    return top_effects(rows, keys, score, list(WEIGHTS), 2).groupBy("feature", "place").agg(F.count("*").alias("n"), F.round(F.avg("effect"), 9).alias("mean_effect"))
+
+
+def same_confusion(counts: dict[str, int], expected: dict[str, int]) -> None:
+    """Raise unless the outcomes counted are those that a model's report states."""
+    if wrong := sorted(k for k in {*counts, *expected} if counts.get(k, 0) != expected.get(k, 0)):
+        raise ValueError(f"outcomes differ from the report: {', '.join(wrong)}")
+
+
 @query("agg34_confidence_buckets", f"WITH {SCORED} SELECT CASE WHEN score < 0.4 THEN '[0,.4)' WHEN score < 0.6 THEN '[.4,.6)' WHEN score < 0.8 THEN '[.6,.8)' ELSE '[.8,1]' END AS bucket, count(*) AS n, round(avg(y), 9) AS accuracy FROM s GROUP BY 1")
 def confidence_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("score")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.plans.catalog import query
-from ledgerloom.plans.exact import quantiles
+from ledgerloom.plans.exact import quantiles, running
+from ledgerloom.plans.stored import stored
 from ledgerloom.sources.adapters import CUTS, TX, table, transactions
 
 #: Reasons for which a credit application is refused, in the order in which they are tried.
@@ -19,6 +20,18 @@ CREDIT_CATEGORIES = {
 }
 
 
+def record_issues(rows: DataFrame, numbers: list[str], whole: list[str], flags: list[str], kinds: tuple[str, list[str]]) -> DataFrame:
+    """Issues of single records: unlike in ``transaction_issues``, whole columns and flags have to be written as whole numbers, so 1.0 is invalid."""
+    found = [F.when(C.blank(F.col(c)), F.lit(f"missing:{c}")) for c in [*numbers, *whole, *flags, kinds[0]]]
+    found += [F.when(~C.blank(F.col(c)) & F.coalesce(C.number(F.col(c)) < 0, F.lit(True)), F.lit(f"invalid:{c}")) for c in numbers]
+    for c in [*whole, *flags]:
+        value = F.when(F.col(c).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(c)).try_cast("long")
+        ok = value.isin(0, 1) if c in flags else value >= 0
+        found.append(F.when(~C.blank(F.col(c)) & ~F.coalesce(ok, F.lit(False)), F.lit(f"invalid:{c}")))
+    found.append(F.when(~C.blank(F.col(kinds[0])) & ~F.col(kinds[0]).isin(kinds[1]), F.lit(f"invalid:{kinds[0]}")))
+    return rows.withColumn("issues", F.array_compact(F.array(*found)))
+
+
 def transaction_issues(rows: DataFrame, numbers: list[str], whole: list[str], flags: list[str], kinds: tuple[str, list[str]]) -> DataFrame:
     """Raw string rows with an array of their issues; a row may have several."""
     found: list[Column] = []
@@ -213,8 +226,50 @@ def top_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
 
 
-@query("fpr02_table_digest", "SELECT sha256(string_agg(n_name || '|' || n_regionkey, chr(10) ORDER BY n_nationkey)) AS digest FROM nation")
-def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of a small dimension's rows in key order."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws("|", "n_name", "n_regionkey").alias("line")))), lambda x: x["line"])
-    return table(spark, sf_dir, "nation").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+def table_digest(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row: a digest of all rows in a total order.
+
+    Rows are dealt to ranges of the order, each range to blocks of ``DIGESTED`` rows by rank; a block's digest is that of its lines,
+    a level's digests are the lines of the next, until one is left. So no task joins more than a block.
+    """
+    line = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in rows.columns])
+    level = running(rows.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)], line.alias("line"), F.lit(1).alias("one")), [F.col(f"k{i}") for i in range(len(order))], ["one"])
+    level = level.select(F.col("before_one").alias("place"), "line")
+    while True:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+        level = stored(level.groupBy(F.floor(F.col("place") / DIGESTED).alias("place")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("line")), "digests")
+        if level.count() <= 1:
+            return level.agg(F.coalesce(F.max("line"), F.sha2(F.lit(""), 256)).alias("digest"))
+
+
+#: Rows whose lines are digested together.
+DIGESTED = 1000
+_LINE = "concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority)"
+
+
+@query("fpr02_table_digest", f"WITH RECURSIVE l0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, {_LINE} AS line FROM orders), up(level, place, line) AS (SELECT 0, place, line FROM l0 UNION ALL SELECT level + 1, place // {DIGESTED}, sha256(string_agg(line, chr(10) ORDER BY place)) FROM up WHERE (SELECT count(*) FROM up) > 1 OR level = 0 GROUP BY level, place // {DIGESTED}) SELECT arg_max(line, level) AS digest FROM up WHERE place = 0")
+def orders_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_digest(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
+
+
+def ids_sha256(ids: list[int]) -> str:
+    """Digest of chosen row ids as little-endian 64-bit numbers, in the order given."""
+    import hashlib
+
+    return hashlib.sha256(b"".join(i.to_bytes(8, "little", signed=True) for i in ids)).hexdigest()
+
+
+@query("agg10_text_coverage", r"WITH d AS (SELECT lang, source, text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) AS words FROM documents), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE words > 0) AS with_text, min(words) AS least_words, max(words) AS most_words, quantile_cont(words, 0.5) AS median_words, count(DISTINCT text) AS distinct_texts FROM d), s AS (SELECT source, count(*) AS c FROM d GROUP BY source ORDER BY c DESC, source LIMIT 10), l AS (SELECT lang, count(*) AS c FROM d GROUP BY lang ORDER BY c DESC, lang LIMIT 10) SELECT n, with_text, round(with_text / n, 6) AS coverage, CAST(least_words AS BIGINT) AS least_words, CAST(most_words AS BIGINT) AS most_words, median_words, distinct_texts, (SELECT string_agg(source || '=' || c, ',' ORDER BY c DESC, source) FROM s) AS top_sources, (SELECT string_agg(lang || '=' || c, ',' ORDER BY c DESC, lang) FROM l) AS top_languages FROM t".replace("\\\\", "\\"))
+def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage, lengths, distinct texts, and the ten most frequent sources and languages."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")).cast("long")
+    rows = stored(table(spark, sf_dir, "documents").select("lang", "source", F.sha2("text", 256).alias("digest"), words.alias("words")), "text-profile")
+    (median,) = quantiles(rows, "words", [0.5])[None]
+    distinct = rows.where("digest is not null").select("digest").distinct().agg(F.count("*").alias("distinct_texts"))
+
+    def top(c: str) -> DataFrame:
+        first = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).limit(10)
+        return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(c).alias("k")))), lambda x: F.concat_ws("=", x["k"], -x["m"])), ",").alias(f"top_{c}"))
+
+    one = rows.agg(F.count("*").alias("n"), F.count_if(F.col("words") > 0).alias("with_text"), F.min("words").alias("least_words"), F.max("words").alias("most_words")).crossJoin(distinct).crossJoin(top("source")).crossJoin(top("lang"))
+    return one.select("n", "with_text", F.round(C.ratio_or_zero(F.col("with_text"), F.col("n")), 6).alias("coverage"), "least_words", "most_words", F.lit(median).cast("double").alias("median_words"), "distinct_texts", F.col("top_source").alias("top_sources"), F.col("top_lang").alias("top_languages"))

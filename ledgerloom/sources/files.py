@@ -1,4 +1,4 @@
-"""Scans and sinks: string CSV with checked headers, ordinals, Parquet, reports, digests."""
+"""Scans and sinks: string CSV with checked headers, Parquet, reports, digests."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: The columns of raw transactions.
 TRANSACTION_COLUMNS = ["step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest", "oldbalanceDest", "newbalanceDest", "isFraud", "isFlaggedFraud"]
@@ -35,13 +35,6 @@ def read_strings(spark: SparkSession, path: str, columns: list[str], exact_order
     return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in header])
 
 
-def with_ordinal(rows: DataFrame, name: str = "row_id", start: int = 1) -> DataFrame:
-    """Rows numbered in file order; meant for ingestion, where the result is stored."""
-    schema = StructType([*rows.schema.fields, StructField(name, LongType(), False)])
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start))
-    return rows.sparkSession.createDataFrame(numbered, schema)
-
-
 def first_rows(rows: DataFrame, ordinal: str, limit: int) -> DataFrame:
     """The first rows of a table in its stored order."""
     return rows.where(F.col(ordinal) <= limit)
