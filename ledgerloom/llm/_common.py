@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from ledgerloom.plans.stored import stored as shared_table  # noqa: F401  the operators' name for it
+
 #: ASCII white space that separates words, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -20,39 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset and everything runs in
-    one process, as in tests, the warehouse folder serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut.
-
-    A lost executor costs only the tasks that were running on it, since what is
-    written no longer depends on shuffle files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shared(spark: SparkSession) -> None:
-    """Delete this application's shared tables, when no result of it is read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_crc(column: Column) -> Column:
     """crc32 of an id written as decimal text; null ids count as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
