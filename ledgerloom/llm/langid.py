@@ -164,8 +164,8 @@ def cross_products(sample: DataFrame, n_classes: int) -> list[Sums]:
 
     kind = "fold int, row int, sums binary"
     out = [np.zeros((SLOTS + 1 + n_classes, SLOTS + 1)) for _ in range(2)]
-    # A row for each slot and class; none has more than SLOTS + 1 numbers.
-    for r in sample.mapInArrow(add, kind).groupBy("fold", "row").applyInArrow(total, kind).toLocalIterator():
+    # A row for each slot and class; none has more than SLOTS + 1 numbers. As many tasks add as documents need, since each sends all its sums.
+    for r in sample.coalesce(parts(rows_in(sample), EACH)).mapInArrow(add, kind).groupBy("fold", "row").applyInArrow(total, kind).toLocalIterator():
         out[r["fold"]][r["row"]] = np.frombuffer(r["sums"])
     return [Sums(x[: SLOTS + 1], x[SLOTS + 1 :]) for x in out]
 
