@@ -13,6 +13,7 @@ from ledgerloom.functions import columns as C
 from ledgerloom.operators.marts import HOURLY, hourly
 from ledgerloom.plans.catalog import query
 from ledgerloom.plans.exact import quantiles
+from ledgerloom.plans.stored import stored
 from ledgerloom.sources.adapters import EV, events_by_hour
 
 PERIOD = 24
@@ -136,6 +137,49 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.crossJoin(F.broadcast(last)).select((F.col("s") + F.col("h")).alias("step"), F.col("y").alias("forecast"), F.round(F.greatest(F.lit(0.0), F.least(F.col("y").cast("double"), lower)), 6).alias("lower"), F.round(F.greatest(F.col("y").cast("double"), upper), 6).alias("upper"))
 
 
+def validated_series(rows: DataFrame, target: str) -> DataFrame:
+    """(step, y) of a series whose steps are whole, follow one another and occur once, and whose values are finite and not below 0; else a ValueError."""
+    y, step = F.col("y"), F.col("step")
+    if missing := sorted({"step", target} - set(rows.columns)):
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    found = rows.select(F.col("step").try_cast("double").alias("step"), F.col(target).try_cast("double").alias("y"))
+    good = F.coalesce(step.isNotNull() & (step % 1 == 0) & ~F.isnan(y) & (y >= 0) & (y < float("inf")), F.lit(False))
+    seen = found.agg(F.count("*").alias("n"), F.count_if(~good).alias("bad"), F.count_distinct("step").alias("steps"), F.min("step").alias("a"), F.max("step").alias("b")).first()
+    if not seen["n"] or seen["bad"] or seen["steps"] != seen["n"] or seen["b"] - seen["a"] + 1 != seen["n"]:
+        raise ValueError("the series has to have consecutive whole steps, each once, and finite values of 0 or more")
+    return found.select(step.cast("long").alias("step"), "y")
+
+
+def projected(series: DataFrame, target: str, horizon: int = HORIZON, history: int = 7 * PERIOD) -> DataFrame:
+    """The last ``history`` values of a series and, after them, its last value carried on for ``horizon`` steps with quantiles of past changes over the same distance."""
+    if not 1 <= horizon <= 168 or not 1 <= history <= 718:
+        raise ValueError("horizon or history is out of range")
+    rows = validated_series(series, target)
+    if rows.count() <= horizon:
+        raise ValueError("the history is too short for the horizon")
+    shifted = rows.select(F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "step", F.col("y").alias("before")).withColumn("step", F.col("step") + F.col("h"))
+    # One row a step, so a horizon's changes are few.
+    changes = rows.join(shifted, "step").groupBy("h").agg(F.percentile(F.col("y") - F.col("before"), F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    last = F.broadcast(rows.agg(F.max("step").alias("s"), F.max_by("y", "step").alias("v")))
+    none = F.lit(None).cast("double")
+    past = rows.crossJoin(last).where(F.col("step") > F.col("s") - history).select(F.lit("history").alias("kind"), "step", F.col("y").alias("value"), none.alias("lower"), none.alias("upper"))
+    lower, upper = F.greatest(F.lit(0.0), F.least(F.col("v"), F.col("v") + F.get("q", 0))), F.greatest(F.col("v"), F.col("v") + F.get("q", 1))
+    ahead = changes.crossJoin(last).select(F.lit("forecast"), (F.col("s") + F.col("h")).alias("step"), "v", lower, upper)
+    return past.union(ahead)
+
+
+def _projection_sql(target: str) -> str:
+    return f"SELECT '{target}' AS target, 'history' AS kind, step, {target}::DOUBLE AS value, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM gold WHERE step > (SELECT max(step) FROM gold) - {7 * PERIOD} UNION ALL SELECT '{target}', 'forecast', s + h, y::DOUBLE, greatest(0.0, least(y, y + lo)), greatest(y, y + hi) FROM (SELECT h, quantile_cont(a.{target} - b.{target}, 0.1) AS lo, quantile_cont(a.{target} - b.{target}, 0.9) AS hi FROM (SELECT unnest(generate_series(1, {HORIZON})) AS h) hs, gold a JOIN gold b ON true WHERE b.step = a.step - h GROUP BY h) q, (SELECT max(step) AS s, arg_max({target}, step) AS y FROM gold) l"
+
+
+@query("fc05_projection_with_history", f"{G}, p AS ({' UNION ALL '.join(_projection_sql(t) for t in ('transaction_count', 'total_amount'))}) SELECT target, kind, CAST(step AS BIGINT) AS step, round(value, 4) AS value, round(lower, 4) AS lower, round(upper, 4) AS upper FROM p")
+def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both targets."""
+    rows = stored(gold(spark, sf_dir), "gold")
+    found = [projected(rows, t).select(F.lit(t).alias("target"), "kind", "step", *[F.round(c, 4).alias(c) for c in ("value", "lower", "upper")]) for t in ("transaction_count", "total_amount")]
+    return found[0].union(found[1])
+
+
 def smoothed(y: np.ndarray, weights: np.ndarray, period: int, horizon: int, trend: bool) -> tuple[np.ndarray, np.ndarray]:
     """Errors of one step ahead, squared and summed, and forecasts, for each row (alpha, beta, gamma, phi) of ``weights``: additive season, trend damped by phi or none."""
     a, b, g, phi = weights.T if trend else (*weights.T[:1], np.zeros(len(weights)), weights.T[2], np.zeros(len(weights)))
@@ -242,7 +286,10 @@ def total_variation(rows: DataFrame, key: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(totals)).agg((F.sum(F.abs(F.col("r") / F.col("tr") - F.col("o") / F.col("to"))) / 2).alias("tvd"))
 
 
-@query("agg19_agg20_agg21_drift", f"{SPANS}, e AS (SELECT list_sort(list_distinct(quantile_cont(amount, {DRIFT_QUANTILES}))) AS edges FROM s WHERE span = 'reference'), b AS (SELECT s.*, len(list_filter(edges, lambda x: x <= amount)) AS bin FROM s, e), n AS (SELECT count(*) FILTER (WHERE span = 'reference')::DOUBLE AS r, count(*) FILTER (WHERE span = 'observed')::DOUBLE AS o, avg(isFraud) FILTER (WHERE span = 'reference') AS fr, avg(isFraud) FILTER (WHERE span = 'observed') AS fo, sum(amount) FILTER (WHERE span = 'reference') AS ar, sum(amount) FILTER (WHERE span = 'observed') AS ao FROM s), ta AS (SELECT sum(abs(x / r - y / o)) / 2 AS v FROM (SELECT bin, count(*) FILTER (WHERE span = 'reference') AS x, count(*) FILTER (WHERE span = 'observed') AS y FROM b GROUP BY bin), n), tt AS (SELECT sum(abs(x / r - y / o)) / 2 AS v FROM (SELECT type, count(*) FILTER (WHERE span = 'reference') AS x, count(*) FILTER (WHERE span = 'observed') AS y FROM b GROUP BY type), n), m AS (SELECT 'count' AS metric, (o - r) / abs(r) AS value, 0.5 AS threshold FROM n UNION ALL SELECT 'amount', (ao - ar) / abs(ar), 0.5 FROM n UNION ALL SELECT 'amount_tvd', v, 0.2 FROM ta UNION ALL SELECT 'type_tvd', v, 0.2 FROM tt UNION ALL SELECT 'fraud_rate', (fo - fr), 0.2 FROM n) SELECT metric, round(value, 6) AS value, threshold::DOUBLE AS threshold, (value IS NULL OR abs(value) >= threshold) AS alert FROM m")
+DRIFT = f"{SPANS}, e AS (SELECT list_sort(list_distinct(quantile_cont(amount, {DRIFT_QUANTILES}))) AS edges FROM s WHERE span = 'reference'), b AS (SELECT s.*, len(list_filter(edges, lambda x: x <= amount)) AS bin FROM s, e), n AS (SELECT count(*) FILTER (WHERE span = 'reference')::DOUBLE AS r, count(*) FILTER (WHERE span = 'observed')::DOUBLE AS o, avg(isFraud) FILTER (WHERE span = 'reference') AS fr, avg(isFraud) FILTER (WHERE span = 'observed') AS fo, sum(amount) FILTER (WHERE span = 'reference') AS ar, sum(amount) FILTER (WHERE span = 'observed') AS ao FROM s), ta AS (SELECT sum(abs(x / r - y / o)) / 2 AS v FROM (SELECT bin, count(*) FILTER (WHERE span = 'reference') AS x, count(*) FILTER (WHERE span = 'observed') AS y FROM b GROUP BY bin), n), tt AS (SELECT sum(abs(x / r - y / o)) / 2 AS v FROM (SELECT type, count(*) FILTER (WHERE span = 'reference') AS x, count(*) FILTER (WHERE span = 'observed') AS y FROM b GROUP BY type), n), m AS (SELECT 'count' AS metric, (o - r) / abs(r) AS value, 0.5 AS threshold FROM n UNION ALL SELECT 'amount', (ao - ar) / abs(ar), 0.5 FROM n UNION ALL SELECT 'amount_tvd', v, 0.2 FROM ta UNION ALL SELECT 'type_tvd', v, 0.2 FROM tt UNION ALL SELECT 'fraud_rate', (fo - fr), 0.2 FROM n)"
+
+
+@query("agg19_agg20_agg21_drift", f"{DRIFT} SELECT metric, round(value, 6) AS value, threshold::DOUBLE AS threshold, (value IS NULL OR abs(value) >= threshold) AS alert FROM m")
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes between two equal spans and whether each is an alert: counts, amounts, shares of amounts and types, fraud rate."""
     rows = spans(events_by_hour(spark, sf_dir))
@@ -259,3 +306,23 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = [("count", change("n"), 0.5), ("amount", change("s"), 0.5), ("amount_tvd", F.col("a"), 0.2), ("type_tvd", F.col("t"), 0.2), ("fraud_rate", F.col("observed_f") - F.col("reference_f"), 0.2)]
     listed = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value"), F.lit(t).alias("threshold")) for n, v, t in metrics])))
     return listed.select("metric", F.round("value", 6).alias("value"), "threshold", (F.col("value").isNull() | (F.abs("value") >= F.col("threshold"))).alias("alert"))
+
+
+STATUS = "SELECT CAST(count(*) FILTER (WHERE alert) AS BIGINT) AS alert_count, string_agg(metric, ',' ORDER BY metric) FILTER (WHERE alert) AS alerts, CASE WHEN bool_or(alert) THEN 'change_detected' ELSE 'stable' END AS status FROM d"
+
+
+def monitoring_summary(changes: DataFrame) -> DataFrame:
+    """One row of a drift run's (metric, value, threshold, alert): how many alerts, which, and the status; a run without metrics is refused."""
+    if missing := sorted({"metric", "value", "threshold", "alert"} - set(changes.columns)):
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    # As many rows as metrics.
+    names = F.array_join(F.array_sort(F.collect_list(F.when(F.col("alert"), F.col("metric")))), ",")
+    found = changes.agg(F.count_if("alert").alias("alert_count"), F.nullif(names, F.lit("")).alias("alerts"), F.when(F.max("alert"), "change_detected").otherwise("stable").alias("status"), F.count("*").alias("metrics"))
+    if not found.first()["metrics"]:
+        raise ValueError("the run has no metrics")
+    return found.drop("metrics")
+
+
+@query("fc06_monitoring_summary", DRIFT + ", d AS (SELECT metric, (value IS NULL OR abs(value) >= threshold) AS alert FROM m) " + STATUS)
+def monitoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitoring_summary(drift(spark, sf_dir))

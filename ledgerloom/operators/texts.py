@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
@@ -106,32 +106,64 @@ def scorable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorable(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", known).select("doc_id", "refused")
 
 
-@query(
-    "jn10_nearest_benchmark",
-    r"""WITH d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> ''))) AS w FROM documents),
+#: Similarities by which the search for the nearest text comes down; what has none is searched in full.
+STEPS_DOWN = (0.5, 0.25, 0.1, 0.0)
+
+
+def terms(rows: DataFrame, key: str) -> DataFrame:
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\x0b\f\r]+"), lambda w: w != ""))
+    return rows.select(F.col(key).alias(key), F.explode(words).alias("w"))
+
+
+def nearest(docs: DataFrame, items: DataFrame, steps: tuple[float, ...] = STEPS_DOWN) -> DataFrame:
+    """(item_id, doc_id, similarity): for each item that shares a word with a document, the document of greatest TF-IDF cosine, ties to the least id; a term counts once a text.
+
+    A document can only reach similarity t if it shares one of the item's rarest terms: those that come before the rest's squared weights
+    fall below t * t of all. So candidates are joined on rare terms only; an item that finds nothing at t goes on to a lower t,
+    and frequent words join only for items that nothing resembles.
+    """
+    doc_terms = stored(terms(docs, "doc_id"), "document-terms")
+    total = docs.count()
+    idf = doc_terms.groupBy("w").agg(F.pow(F.log(F.lit(float(total)) / F.count("*")) + 1, F.lit(2.0)).alias("square"))
+    weighted = stored(doc_terms.join(idf, "w"), "weighted-terms")
+    norms = stored(weighted.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("doc_norm")), "document-norms")
+    rarest = Window.partitionBy("item_id").orderBy(F.desc("square"), "w")
+    of_item = stored(terms(items, "item_id").join(idf, "w"), "item-terms")
+    whole = F.sum("square").over(Window.partitionBy("item_id"))
+    before = F.coalesce(F.sum("square").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = stored(of_item.withColumns({"rest": (whole - before) / whole, "item_norm": F.sqrt(whole)}), "item-prefixes")
+    found = None
+    for t in steps:
+        candidates = weighted.select("doc_id", "w").join(left.where(F.col("rest") >= t * t * (1 - 1e-9)).select("item_id", "w"), "w").select("doc_id", "item_id").distinct()
+        shared = candidates.join(left.select("item_id", "w", "square", "item_norm"), "item_id").join(weighted.select("doc_id", "w"), ["doc_id", "w"])
+        dots = shared.groupBy("doc_id", "item_id").agg(F.sum("square").alias("dot"), F.first("item_norm").alias("item_norm")).join(norms, "doc_id")
+        ranked = dots.select("item_id", "doc_id", F.round(F.col("dot") / F.col("doc_norm") / F.col("item_norm"), 9).alias("similarity")).where(F.col("similarity") >= t)
+        best = stored(ranked.groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("doc_id")).alias("neg"))).alias("b")).select("item_id", (-F.col("b.neg")).alias("doc_id"), "b.similarity"), "nearest")
+        found = best if found is None else found.union(best)
+        left = stored(left.join(best.select("item_id"), "item_id", "left_anti"), "item-prefixes")
+        if left.isEmpty():
+            break
+    return found
+
+
+_NEAREST = r"""d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> ''))) AS w FROM documents),
 b AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> ''))) AS w FROM benchmark),
 f AS (SELECT w, ln((SELECT count(*) FROM documents) / count(*)) + 1 AS idf FROM d GROUP BY w),
 dn AS (SELECT doc_id, sqrt(sum(idf * idf)) AS norm FROM d JOIN f USING (w) GROUP BY 1), bn AS (SELECT item_id, sqrt(sum(idf * idf)) AS norm FROM b JOIN f USING (w) GROUP BY 1),
-p AS (SELECT doc_id, item_id, sum(idf * idf) AS dot FROM d JOIN f USING (w) JOIN b USING (w) GROUP BY 1, 2)
-SELECT item_id, round(max(dot / dn.norm / bn.norm), 6) AS similarity FROM p JOIN dn USING (doc_id) JOIN bn USING (item_id) GROUP BY item_id""",
-)
+p AS (SELECT doc_id, item_id, sum(idf * idf) AS dot FROM d JOIN f USING (w) JOIN b USING (w) GROUP BY 1, 2),
+s AS (SELECT item_id, doc_id, round(dot / dn.norm / bn.norm, 9) AS similarity FROM p JOIN dn USING (doc_id) JOIN bn USING (item_id)),
+n AS (SELECT item_id, doc_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS k FROM s) t WHERE k = 1)"""
+
+
+@query("jn10_nearest_benchmark", f"WITH {_NEAREST} SELECT item_id, doc_id, round(similarity, 6) AS similarity FROM n")
 def nearest_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each benchmark text the greatest TF-IDF cosine with any document (a term counts once a text).
+    """For each benchmark text the document that resembles it most."""
+    return nearest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "doc_id", F.round("similarity", 6).alias("similarity"))
 
-    Only terms of benchmark texts are joined; their sums per (document, item) are built from the items' terms, which are a fixed set
-    beside the documents. Norms are sums over a document's own terms.
-    """
 
-    def terms(name: str, key: str) -> DataFrame:
-        words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\x0b\f\r]+"), lambda w: w != ""))
-        return table(spark, sf_dir, name).select(key, F.explode(words).alias("w"))
-
-    docs, items = terms("documents", "doc_id"), terms("benchmark", "item_id")
-    total = table(spark, sf_dir, "documents").count()
-    idf = docs.groupBy("w").agg((F.log(F.lit(float(total)) / F.count("*")) + 1).alias("idf"))
-    weighted = docs.join(idf, "w").withColumn("square", F.col("idf") * F.col("idf"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("doc_norm"))
-    item_norms = items.join(idf, "w").groupBy("item_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("item_norm"))
-    dots = weighted.join(items, "w").groupBy("doc_id", "item_id").agg(F.sum("square").alias("dot"))
-    found = dots.join(norms, "doc_id").join(item_norms, "item_id")
-    return found.groupBy("item_id").agg(F.round(F.max(F.col("dot") / F.col("doc_norm") / F.col("item_norm")), 6).alias("similarity"))
+@query("jn10_near_share", f"WITH {_NEAREST} SELECT count(*) AS items, count(*) FILTER (WHERE similarity >= 0.9) AS near, round(count(*) FILTER (WHERE similarity >= 0.9) / count(*), 9) AS share FROM n")
+def near_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many benchmark texts have a document at 0.9 or more."""
+    found = nearest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    near = F.count_if(F.col("similarity") >= 0.9)
+    return found.agg(F.count("*").alias("items"), near.alias("near"), F.round(C.ratio_or_zero(near, F.count("*")), 9).alias("share"))
