@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from ledgerloom.plans.stored import stored as shared_table  # noqa: F401  the operators' name for it
+from ledgerloom.plans.stored import discard, stored as shared_table  # noqa: F401  the operators take them from here
 
 #: ASCII white space that separates words, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"

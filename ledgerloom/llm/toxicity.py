@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from ledgerloom.llm._common import id_crc, schema_with, shared_table, slices, utf8
+from ledgerloom.llm._common import discard, id_crc, schema_with, shared_table, slices, utf8
 
 #: Labelled rows that the fit reads at most, those of least hash.
 SAMPLE = 12_000
@@ -219,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     top = scored.where((F.col("score") > 0) & (F.col("share") >= SHARE)).select("feature", "score").collect()
     model = Model({bytes(r["feature"]): r["score"] for r in top})
     _calibrate(model, stored)
+    discard(stored, counts)
     return model
 
 
