@@ -87,9 +87,13 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None,
     stages = [F.length(c) for c in ("text", "rest1", "rest2", "rest3", "rest4", "rest5", "rest6")]
     classes = F.array(*[(a - b).cast("double") for a, b in zip(stages, stages[1:], strict=False)], stages[-1].cast("double"))
     listed = sorted({w for ws in languages.values() for w in ws})
+    if len(listed) > 127:
+        raise ValueError("127 common words at most")
+    # Common words as one byte each, so that counting them is a pass over few bytes.
+    code = F.create_map(*[x for i, w in enumerate(listed) for x in (F.lit(w), F.lit(chr(1 + i)))])
     common = F.filter(F.transform("words", lambda w: F.rtrim(F.lower(w), F.lit(PUNCTUATION))), lambda w: w.isin(listed))
-    rows = rows.withColumn("common", F.concat(F.lit("|"), F.array_join(common, "||"), F.lit("|")))
-    times = [((F.length("common") - F.length(F.replace("common", F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)).cast("double") for w in listed]
+    rows = rows.withColumn("common", F.array_join(F.transform(common, lambda w: F.element_at(code, w)), ""))
+    times = [(F.octet_length("common") - F.octet_length(F.replace("common", F.lit(chr(1 + i)), F.lit("")))).cast("double") for i in range(len(listed))]
     return rows.select(
         "id",
         "lang",
