@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, lm, media, mixing, quality, secrets, sharding, simhash, toxicity
+from ledgerloom.llm import bpe, langid, lm, media, mixing, quality, secrets, sharding, simhash, spelling, toxicity, weighted, whitening
 from ledgerloom.llm._common import read_table
 from ledgerloom.llm.mixing_sql import MIX
 from ledgerloom.llm.quality_sql import QUALITY
@@ -62,6 +62,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("passages", F.to_json("passages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), damage=spelling.DAMAGED)
+
+
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.compared_with_next(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_spelling": op12_spelling,
+    "op13_fingerprint": op13_fingerprint,
 }
 
 SQL: dict[str, str] = {"op1_quality": QUALITY, "op8_mixing": MIX}
