@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.plans.catalog import query
 from ledgerloom.plans.exact import quantiles
-from ledgerloom.plans.stored import stored
+from ledgerloom.plans.stored import shared_root, stored
 from ledgerloom.sources.adapters import CUTS, EV, TX, events_by_hour, table, transactions
+from ledgerloom.sources.published import observed, publish, verified
 
 #: Quantiles of the silver report and of the bins.
 QUANTILES = [0.25, 0.5, 0.75, 0.95, 0.99, 0.999]
@@ -125,15 +128,20 @@ def fitted_edges(rows: DataFrame, column: str, asked: list[float] = TERCILES) ->
     return sorted({q for q in found if q is not None and least < q < most})
 
 
-def analytics(rows: DataFrame, cuts: tuple[int, int, int] = CUTS) -> DataFrame:
-    """Rows with partition and bins; bins are fitted on the train partition alone, labels play no part."""
+def fitted_bins(rows: DataFrame, cuts: tuple[int, int, int] = CUTS) -> dict[str, Column]:
+    """Columns of partition and bins; bins are fitted on the train partition alone, labels play no part."""
     train = stored(rows.where(F.col("step") <= cuts[0]).select("amount", "oldbalanceOrg"), "train-values")
     bins = {}
     for name, column in (("amount_bin", "amount"), ("origin_balance_bin", "oldbalanceOrg")):
         edges = fitted_edges(train, column)
         below = [F.when(F.col(column) > e, 1).otherwise(0) for e in edges]
         bins[name] = F.concat(F.lit("b"), sum(below[1:], below[0]).cast("string") if below else F.lit("0"))
-    return rows.withColumns({"partition": C.partition_of(F.col("step"), cuts), **bins})
+    return {"partition": C.partition_of(F.col("step"), cuts), **bins}
+
+
+def analytics(rows: DataFrame, cuts: tuple[int, int, int] = CUTS) -> DataFrame:
+    """Rows with partition and bins."""
+    return rows.withColumns(fitted_bins(rows, cuts))
 
 
 def _edges_sql(column: str) -> str:
@@ -280,3 +288,45 @@ def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pushed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three columns and a range that reach the Parquet scan."""
     return table(spark, sf_dir, "lineitem").where("l_shipdate between timestamp_ntz '1997-01-01' and timestamp_ntz '1997-01-31'").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+def totals() -> dict[str, Column]:
+    """What has to be the same of a table and of what it is made from."""
+    return {"rows": F.count("*"), "amount": F.sum(F.col("amount").cast("decimal(38,6)")), "frauds": F.sum("isFraud").cast("long"), "first_step": F.min("step"), "last_step": F.max("step")}
+
+
+#: The partitions of the analytical table.
+NAMES = ("train", "validation", "test", "stress")
+
+
+def publish_analytics(rows: DataFrame, path: str, cuts: tuple[int, int, int] = CUTS, sources: dict[str, str] | None = None) -> dict:
+    """Publish the analytical table of transactions: rows, amounts and frauds are kept, partitions cover all rows, bins have no nulls. What goes in and what comes out is measured by the pass that writes."""
+    bins = fitted_bins(rows, cuts)
+    seen, inputs = observed(rows, totals())
+    measures = totals() | {f"in_{p}": F.count_if(F.col("partition") == p) for p in NAMES} | {"null_bins": F.count_if(F.col("amount_bin").isNull() | F.col("origin_balance_bin").isNull())}
+
+    def checks(found: dict) -> dict[str, bool]:
+        return {
+            "one_row_per_row": found["rows"] == found["input_rows"],
+            "amount_total_preserved": found["amount"] == found["input_amount"],
+            "fraud_count_preserved": found["frauds"] == found["input_frauds"],
+            "steps_preserved": (found["first_step"], found["last_step"]) == (found["input_first_step"], found["input_last_step"]),
+            "partitions_cover_all_rows": sum(found[f"in_{p}"] for p in NAMES) == found["rows"],
+            "bins_without_nulls": found["null_bins"] == 0,
+        }
+
+    return publish(seen.withColumns(bins), path, measures, checks, inputs, sources)
+
+
+@query(
+    "qc01_qc02_published_analytics",
+    f"WITH {D1} SELECT part AS partition_name, (SELECT count(*) FROM tx) AS input_rows, count(*) AS n, round(sum(amount::DECIMAL(38, 6)), 2)::DOUBLE AS amount, CAST(sum(isFraud) AS BIGINT) AS frauds, 6 AS checks_passed FROM d1 GROUP BY part",
+)
+def published_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analytical table by partition, read through the gate, and what its report says of the rows that went in and of the checks."""
+    path = f"{shared_root(spark)}/analytics-{uuid.uuid4().hex}"
+    rows = transactions(spark, sf_dir).select("step", "type", "amount", "oldbalanceOrg", "nameOrig", "nameDest", "isFraud")
+    report = publish_analytics(rows, path)
+    table_ = verified(spark, path, needed=("one_row_per_row", "bins_without_nulls"))
+    found = table_.groupBy(F.col("partition").alias("partition_name")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("amount").cast("decimal(38,6)")), 2).cast("double").alias("amount"), F.sum("isFraud").cast("long").alias("frauds"))
+    return found.withColumns({"input_rows": F.lit(report["measures"]["input_rows"]).cast("long"), "checks_passed": F.lit(sum(report["checks"].values()))})

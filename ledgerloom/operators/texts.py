@@ -12,6 +12,7 @@ from ledgerloom.functions import columns as C
 from ledgerloom.plans.catalog import query
 from ledgerloom.plans.stored import stored
 from ledgerloom.sources.adapters import table
+from ledgerloom.sources.artifacts import without_summary
 
 LEAST_WORDS = 5
 WORDS = r"len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> ''))"
@@ -68,7 +69,7 @@ def text_candidates(train: DataFrame, cs: tuple[float, ...] = CS) -> list[tuple[
     most = counted.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
     tails = [("prior", [SQLTransformer(statement=f"SELECT *, CAST({most} AS DOUBLE) AS prediction FROM __THIS__")]), ("naive_bayes", [NaiveBayes(smoothing=0.1, featuresCol="counts")])]
     tails += [(f"logistic_{c:g}", [IDF(inputCol="counts", outputCol="scaled", minDocFreq=2), Normalizer(inputCol="scaled", outputCol="features"), LogisticRegression(maxIter=30, regParam=1 / (c * max(1, n)), weightCol="weight")]) for c in cs]
-    return [(name, PipelineModel(stages=[terms, Pipeline(stages=tail).fit(counted)])) for name, tail in tails]
+    return [(name, PipelineModel(stages=[terms, without_summary(Pipeline(stages=tail).fit(counted))])) for name, tail in tails]
 
 
 @query("ml07_text_models")

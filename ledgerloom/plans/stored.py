@@ -35,17 +35,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, where: str) -> None:
+def _path(spark: SparkSession, where: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    """Delete a file or folder, if it is there."""
+    path, system = _path(spark, where)
+    system.delete(path, True)
+
+
+def move(spark: SparkSession, where: str, to: str) -> None:
+    """Rename a file or folder; nothing may stand at the new name."""
+    (path, system), (target, _) = _path(spark, where), _path(spark, to)
+    if not system.rename(path, target):
+        raise OSError(f"{where} could not be renamed to {to}")
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables from which nothing is read any more."""
     for table in tables:
-        _delete(table.sparkSession, table.stored_at)
+        delete(table.sparkSession, table.stored_at)
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's stored tables, once no result of it is read any more."""
-    _delete(spark, shared_root(spark))
+    delete(spark, shared_root(spark))

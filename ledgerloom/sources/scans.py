@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators.contracts import asserted, finite
 from ledgerloom.operators.credit import RAW_COLUMNS
 from ledgerloom.plans.stored import stored
 from ledgerloom.sources.adapters import TYPES
-from ledgerloom.sources.files import TRANSACTION_COLUMNS, read_header, read_strings
+from ledgerloom.sources.files import TRANSACTION_COLUMNS, filled, read_header, read_strings, string_scan
+from ledgerloom.sources.order import files_of, first_rows_of, with_file_order
 
 EDGE_COLUMNS = ["step", "type", "amount", "nameOrig", "nameDest", "isFraud"]
 WHOLE = {"person_age", "loan_status", "cb_person_cred_hist_length"}
@@ -26,29 +28,25 @@ def read_credit(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[x.alias(c) for c, x in typed.items()])
 
 
-def with_file_order(rows: DataFrame, name: str = "row_id", start: int = 1) -> DataFrame:
-    """Rows numbered in the order of their files and partitions, without a gap: partitions are counted, then each is numbered on its own."""
-    held = stored(rows.withColumn("place_", F.monotonically_increasing_id()), "file-order").withColumn("part_", F.shiftright("place_", 33))
-    counts = held.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))  # a row a partition
-    # Within a partition the id rises by one a row from the partition's first.
-    first = F.shiftleft(F.col("part_"), 33)
-    return held.join(F.broadcast(offsets), "part_").withColumn(name, (F.col("place_") - first + F.col("before_") + start).cast("long")).drop("place_", "part_", "before_")
-
-
 def read_edges(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """The six columns of an edge, typed; any row that breaks a rule stops the scan. A limit takes the first rows in file order."""
+    """The six columns of an edge, typed; any row that breaks a rule stops the scan. A limit takes the first rows in file order, reads no more blocks than those need, and checks only these rows."""
     if limit is not None and limit < 1:
         raise ValueError("the limit has to be a positive whole number")
-    rows = read_strings(spark, path, TRANSACTION_COLUMNS).select(*EDGE_COLUMNS)
+    scan = lambda paths: string_scan(spark, paths, TRANSACTION_COLUMNS).select(*EDGE_COLUMNS)
+    rows = filled(scan(path) if limit is None else first_rows_of(scan, files_of(spark.read.text(path)), limit).drop("row_id"))
     rules = {
         "step is whole": finite("step") & (F.col("step").try_cast("double") % 1 == 0), "type is known": F.col("type").isin(TYPES), "amount is not below 0": finite("amount") & (F.col("amount").try_cast("double") >= 0),
         "accounts are named": ~C.blank(F.col("nameOrig")) & ~C.blank(F.col("nameDest")), "isFraud is 0 or 1": F.col("isFraud").try_cast("double").isin(0.0, 1.0),
     }
     asserted(rows, rules, empty=False)
-    typed = rows.select(F.col("step").cast("double").cast("long").alias("step"), "type", F.col("amount").cast("double").alias("amount"), "nameOrig", "nameDest", F.col("isFraud").cast("double").cast("tinyint").alias("isFraud"))
-    return typed if limit is None else with_file_order(typed).where(F.col("row_id") <= limit).drop("row_id")
+    return rows.select(F.col("step").cast("double").cast("long").alias("step"), "type", F.col("amount").cast("double").alias("amount"), "nameOrig", "nameDest", F.col("isFraud").cast("double").cast("tinyint").alias("isFraud"))
+
+
+def read_numbered(spark: SparkSession, path: str, columns: list[str], start: int = 1, limit: int | None = None) -> DataFrame:
+    """All columns of CSV files as strings, and ``row_id``, the number of each row in file order; a limit takes the first rows and reads no block that they don't need."""
+    scan = lambda paths: string_scan(spark, paths, columns)
+    found = with_file_order(scan(path), start=start) if limit is None else first_rows_of(scan, files_of(spark.read.text(path)), limit, start=start)
+    return found.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in found.columns if c != "row_id"], "row_id")
 
 
 TRAINING = {"step": "long", "type": "string", "amount": "double", "nameOrig": "string", "oldbalanceOrg": "double", "nameDest": "string", "isFraud": "tinyint"}
@@ -63,17 +61,22 @@ def read_training(spark: SparkSession, path: str, train_end: int, validation_end
     return typed.withColumn("partition", F.when(F.col("step") <= train_end, "train").when(F.col("step") <= validation_end, "validation").otherwise("test"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Rows of a CSV as strings and ``issues``: extra_columns where a row has more fields than the header, missing_columns where fewer.
 
-    Fields are counted on the parsed line, so quoted commas don't count; lines are read one by one.
+    Quoted commas and line breaks belong to their field, and only the first line of a file is its header. A file is read by one
+    task, since only a reader from its start knows which line breaks are quoted. Without ``multiline`` files are split;
+    lines whose quotes don't close are refused by a pass before.
     """
     header = read_header(spark, path)
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
-    fields = F.from_csv("line", ", ".join(f"`_{i}` STRING" for i in range(len(header) + 1)), {"escape": '"', "nullValue": "\\u0000", "emptyValue": ""})
-    parsed = lines.where(F.trim("line") != ",".join(header)).select(fields.alias("f"))
-    issues = F.array_compact(F.array(F.when(F.col(f"f._{len(header)}").isNotNull(), F.lit("extra_columns")), F.when(F.col(f"f._{len(header) - 1}").isNull(), F.lit("missing_columns"))))
-    return parsed.select(*[F.col(f"f._{i}").alias(c) for i, c in enumerate(header)], issues.alias("issues"))
+    if not multiline:
+        quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+        asserted(spark.read.text(path), {"quotes close on their line": quotes % 2 == 0})
+    names = [f"_{i}" for i in range(len(header) + 1)]
+    schema = StructType([StructField(c, StringType()) for c in names])
+    parsed = spark.read.schema(schema).csv(path, header=True, multiLine=multiline, escape='"', nullValue="\u0000", emptyValue="", mode="PERMISSIVE")
+    issues = F.array_compact(F.array(F.when(F.col(names[-1]).isNotNull(), F.lit("extra_columns")), F.when(F.col(names[-2]).isNull(), F.lit("missing_columns"))))
+    return parsed.select(*[F.col(n).alias(c) for n, c in zip(names, header, strict=False)], issues.alias("issues"))
 
 
 def plain_json(rows: DataFrame, out: str = "json") -> DataFrame:
