@@ -11,6 +11,7 @@ from ledgerloom.llm import bpe, langid, lm, media, mixing, quality, secrets, sha
 from ledgerloom.llm._common import read_table
 from ledgerloom.llm.mixing_sql import MIX
 from ledgerloom.llm.quality_sql import QUALITY
+from ledgerloom.llm.spelling_sql import VARIANTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,4 +91,4 @@ QUERIES: dict[str, Query] = {
     "op13_fingerprint": op13_fingerprint,
 }
 
-SQL: dict[str, str] = {"op1_quality": QUALITY, "op8_mixing": MIX}
+SQL: dict[str, str] = {"op1_quality": QUALITY, "op8_mixing": MIX, "op12_spelling": VARIANTS}

@@ -32,8 +32,8 @@ from ledgerloom.llm._common import schema_with, shared_table, slices
 SAMPLES = 128
 #: Words whose draws a worker remembers; it starts anew when there are more.
 HELD = 1 << 14
-#: Words of a text that are weighed at once.
-BLOCK = 2048
+#: Words of a text that are weighed at once, and words drawn for at once: their arrays stay in a core's cache.
+BLOCK, DRAWN = 2048, 96
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -59,26 +59,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(bits: np.ndarray) -> np.ndarray:
-    """Numbers between 0 and 1 from the low 24 bits."""
-    return ((bits & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    """Numbers between 0 and 1 from 24 bits each."""
+    return (bits.view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
 
 
 class Sampler:
     """Draws consistent weighted samples, and remembers the draws of recent words."""
 
     def __init__(self, samples: int = SAMPLES, held: int = HELD):
-        self.salts = mixed(np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, samples)
+        self.salts = mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.place: dict[bytes, int] = {}
         self.hashes = np.zeros(held, np.uint64)
-        self.step, self.cost, self.shift = (np.zeros((held, samples), np.float32) for _ in range(3))
+        self.step, self.cost, self.shift, self.once = (np.zeros((held, samples), np.float32) for _ in range(4))
 
     def draws(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each hash and sample a Gamma(2, 1) step, the logarithm of another Gamma(2, 1) draw, and a shift between 0 and 1."""
-        a, b = (mixed(hashes[:, None] + salt) for salt in self.salts)
-        low = np.uint64(24)
-        step = -np.log(uniform(a) * uniform(a >> low))
-        cost = np.log(-np.log(uniform(b) * uniform(b >> low)))
-        return step, cost, uniform((a >> np.uint64(48) << np.uint64(8)) | (b >> np.uint64(56)))
+        a = mixed(hashes[:, None] + self.salts)
+        b = (a ^ (a >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        high = np.uint64(32)
+        lanes = [x.astype(np.uint32) for x in (a, a >> high, (b >> np.uint64(8)), b >> high)]
+        eight, low = np.uint32(8), np.uint32(255)
+        u = [uniform(x >> eight) for x in lanes]
+        rest = (lanes[0] & low) << np.uint32(16) | (lanes[1] & low) << eight | (lanes[3] & low)
+        return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), uniform(rest)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Where the draws of words stand; ``words`` are distinct and at most as many as are held."""
@@ -88,27 +91,33 @@ class Sampler:
         if new:
             at = len(self.place)
             self.place.update(zip(new, range(at, at + len(new)), strict=True))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            span = slice(at, at + len(new))
-            self.hashes[span] = hashes
-            self.step[span], self.cost[span], self.shift[span] = self.draws(hashes)
+            self.hashes[at : at + len(new)] = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+            for start in range(at, at + len(new), DRAWN):
+                span = slice(start, min(start + DRAWN, at + len(new)))
+                self.step[span], self.cost[span], self.shift[span] = step, cost, shift = self.draws(self.hashes[span])
+                self.once[span] = cost - step * (1 - shift)  # what a word costs that stands once: its level is 0
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def signature(self, weights: Counter) -> np.ndarray:
         """16 bits of each sample's pick: the word of least cost at the level that its weight reaches."""
         words, best, pick = list(weights), None, None
-        columns = np.arange(self.salts.shape[1])
+        columns = np.arange(len(self.salts))
         each = min(BLOCK, len(self.hashes))
         for at in range(0, len(words), each):
             some = words[at : at + each]
             rows = self.rows(some)
-            weight = np.log(np.fromiter(map(weights.__getitem__, some), np.float32, len(some)))[:, None]
-            step, shift = self.step[rows], self.shift[rows]
-            level = np.floor(weight / step + shift)
-            cost = self.cost[rows] - step * (level - shift + 1)
+            count = np.fromiter(map(weights.__getitem__, some), np.float32, len(some))
+            cost, level = self.once[rows], np.zeros(len(columns), np.int64)
+            more = np.flatnonzero(count > 1)
+            step, shift = self.step[rows[more]], self.shift[rows[more]]
+            high = np.floor(np.log(count[more])[:, None] / step + shift)
+            cost[more] = self.cost[rows[more]] - step * (high - shift + 1)
             least = cost.argmin(axis=0)
-            cost, level = cost[least, columns], level[least, columns]
-            picked = mixed(self.hashes[rows[least]] + level.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            cost = cost[least, columns]
+            where = np.searchsorted(more, least)
+            own = np.flatnonzero(count[least] > 1)
+            level[own] = high[where[own], own]
+            picked = mixed(self.hashes[rows[least]] + level.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             if best is None:
                 best, pick = cost, picked
             else:

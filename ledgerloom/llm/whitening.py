@@ -37,8 +37,10 @@ class Moments:
     scatter: np.ndarray
 
     def merged(self, other: Moments) -> Moments:
-        """Chan's pairwise formula: the scatters, and the spread between both means."""
+        """Chan's pairwise formula: the scatters, and the spread between both means, which whole numbers' sums tell exactly."""
         n, step = self.n + other.n, other.mean - self.mean
+        if isinstance(self.sums[0], int):
+            step = np.array([(b * self.n - a * other.n) / (self.n * other.n) for a, b in zip(self.sums, other.sums, strict=True)])
         scatter = self.scatter + other.scatter + np.outer(step, step) * (self.n * other.n / n)
         return Moments(n, [a + b for a, b in zip(self.sums, other.sums, strict=True)], self.mean + step * (other.n / n), scatter)
 
