@@ -40,7 +40,7 @@ def error_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def example_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest frauds that do and don't end at a suspicious account."""
     rows = transactions(spark, sf_dir)
-    flagged = kept(indicators(nodes(graph(spark, sf_dir))).where(F.size("patterns") > 0).select(F.col("account").alias("nameDest"), F.lit(True).alias("hit")), "flagged")
+    flagged = kept(indicators(kept(nodes(graph(spark, sf_dir)), "nodes")).where(F.size("patterns") > 0).select(F.col("account").alias("nameDest"), F.lit(True).alias("hit")), "flagged")
     frauds = rows.where("isFraud = 1").join(flagged, "nameDest", "left")
     cases = frauds.select(F.when(F.col("hit"), "caught").otherwise("missed").alias("kind"), "nameDest", "nameOrig", "step", "amount", (-F.col("amount")).alias("neg"))
     return first_of_each(cases, ["kind"], ["neg", "step", "nameOrig", "nameDest"], 5).drop("neg")

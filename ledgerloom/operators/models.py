@@ -6,17 +6,15 @@ from collections.abc import Callable, Iterable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
-from ledgerloom.operators import boosting
+from ledgerloom.operators import boosting, clustering
 from ledgerloom.operators.contracts import asserted, finite
 from ledgerloom.operators.marts import PARTITION, TERCILES, median_guess
 from ledgerloom.operators.scores import evaluated, probability_losses
@@ -266,15 +264,24 @@ SEGMENTS, RESAMPLES = range(2, 8), 3
 
 
 def scaled_behaviour(found: DataFrame) -> DataFrame:
-    """(account, features): heavy-tailed columns logged, all scaled by mean and population deviation."""
-    rows = found.withColumns({c: C.log_of_positive(F.col(c)) for c in LOGGED_BEHAVIOUR})
-    n = rows.count()
-    stages = [VectorAssembler(inputCols=LOGGED_BEHAVIOUR + PLAIN_BEHAVIOUR, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), ElementwiseProduct(inputCol="scaled", outputCol="features", scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * len(LOGGED_BEHAVIOUR + PLAIN_BEHAVIOUR)))]
-    return stored(Pipeline(stages=stages).fit(rows).transform(rows).select("account", "features"), "behaviour")
+    """(account, vector): heavy-tailed columns logged, all less their mean and over their population deviation (1 where that is 0)."""
+    columns = LOGGED_BEHAVIOUR + PLAIN_BEHAVIOUR
+    rows = stored(found.select("account", *[(C.log_of_positive(F.col(c)) if c in LOGGED_BEHAVIOUR else F.col(c).cast("double")).alias(c) for c in columns]), "behaviour-rows")
+    seen = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"d_{c}") for c in columns]).first()  # one row
+    each = [(F.col(c) - F.lit(seen[f"m_{c}"] or 0.0)) / F.lit(seen[f"d_{c}"] or 1.0) for c in columns]
+    return stored(rows.select("account", F.array(*each).alias("vector")), "behaviour")
 
 
-def silhouettes(scaled: DataFrame, tried: Iterable[int] = SEGMENTS) -> list[tuple[int, float]]:
-    return [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=SEED).fit(scaled).transform(scaled)))) for k in tried]
+def silhouette(labelled: DataFrame) -> float:
+    """The library's silhouette of squared distances of (vector, prediction); -1 where there is but one cluster."""
+    rows = stored(labelled.select(array_to_vector("vector").alias("features"), F.col("prediction").cast("double").alias("prediction")), "labelled")
+    return float(ClusteringEvaluator().evaluate(rows)) if rows.select("prediction").distinct().count() > 1 else -1.0
+
+
+def silhouettes(scaled: DataFrame, tried: Iterable[int] = SEGMENTS) -> tuple[list[tuple[int, float]], dict[int, clustering.Model]]:
+    """(k, silhouette) of mini-batch k-means for each k, and the models."""
+    models = clustering.fit(scaled, "account", "vector", list(tried), SEED)
+    return [(k, silhouette(clustering.with_label(scaled, "vector", m))) for k, m in models.items()], models
 
 
 def best_k(found: list[tuple[int, float]]) -> int:
@@ -284,11 +291,19 @@ def best_k(found: list[tuple[int, float]]) -> int:
 
 @query("ml10_segments_kmeans")
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-means over logged and scaled behaviour for k from 2 to 7: the squared-distance silhouette of each, and which is chosen."""
-    found = silhouettes(scaled_behaviour(features(transactions(spark, sf_dir))))
+    """Mini-batch k-means over logged and scaled behaviour for k from 2 to 7: the squared-distance silhouette of each, and which is chosen."""
+    found, _ = silhouettes(scaled_behaviour(features(transactions(spark, sf_dir))))
     return spark.createDataFrame([(k, s, k == best_k(found)) for k, s in found], "k int, silhouette double, chosen boolean")
 
 
+@query("ml10_account_segments")
+def account_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every account and its segment under the chosen number of segments."""
+    scaled = scaled_behaviour(features(transactions(spark, sf_dir)))
+    found, models = silhouettes(scaled)
+    return clustering.with_label(scaled, "vector", models[best_k(found)], "segment").select("account", "segment")
+
+
 def rand_index(labels: DataFrame) -> DataFrame:
     """One row with the adjusted Rand index of two labellings (a, b), from their contingency counts."""
     n = labels.groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
@@ -307,14 +322,16 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rand_index(table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("a"), (F.col("label") % 2).alias("b")))
 
 
-def stability(scaled: DataFrame, k: int, resamples: int = RESAMPLES) -> list[tuple[int, int, float]]:
+def stability(scaled: DataFrame, k: int, model: clustering.Model | None = None, resamples: int = RESAMPLES) -> list[tuple[int, int, float]]:
     """(resample, accounts, agreement) of the labels of a fit on all accounts with those of fits on halves of them, which are drawn by hash."""
-    whole = KMeans(k=k, seed=SEED).fit(scaled).transform(scaled).select("account", "features", F.col("prediction").alias("a"))
+    model = model or clustering.fit(scaled, "account", "vector", [k], SEED)[k]
+    whole = stored(clustering.with_label(scaled, "vector", model, "a"), "segments")
     out = []
     for i in range(resamples):
         half = stored(whole.where(F.pmod(F.xxhash64("account", F.lit(i)), F.lit(2)) == 0), "half")
-        again = KMeans(k=k, seed=SEED + i).fit(half).transform(half)
-        out.append((i, half.count(), rand_index(again.select("a", F.col("prediction").alias("b"))).first()["ari"]))
+        again = clustering.fit(half, "account", "vector", [k], SEED + i + 1)[k]
+        labels = clustering.with_label(half, "vector", again, "b").select("a", "b")
+        out.append((i, half.count(), rand_index(labels).first()["ari"]))
     return out
 
 
@@ -322,8 +339,9 @@ def stability(scaled: DataFrame, k: int, resamples: int = RESAMPLES) -> list[tup
 def segment_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the best number of segments holds on halves of the accounts."""
     scaled = scaled_behaviour(features(transactions(spark, sf_dir)))
-    k = best_k(silhouettes(scaled))
-    return spark.createDataFrame([(k, *r) for r in stability(scaled, k)], "k int, resample int, accounts long, ari double")
+    found, models = silhouettes(scaled)
+    k = best_k(found)
+    return spark.createDataFrame([(k, *r) for r in stability(scaled, k, models[k])], "k int, resample int, accounts long, ari double")
 
 
 #: Weights of the ridge candidates.

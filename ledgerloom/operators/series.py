@@ -200,22 +200,116 @@ def smoothed(y: np.ndarray, weights: np.ndarray, period: int, horizon: int, tren
     return error, level[:, None] + steps * slope[:, None] + last
 
 
+#: Least and greatest smoothing weights, and the range of the damping factor.
+WEIGHTS, DAMPED = (1e-4, 0.9999), (0.8, 0.9999)
+#: Steps of the estimation at most, and the share by which a step has to lessen the error for another one.
+ESTIMATES, GAIN = 80, 1e-10
+
+
+def recursion(y: np.ndarray, at: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Errors of one step ahead from the second period on, their derivatives by all parameters, and the states at the end, for each row of ``at``.
+
+    Parameters are alpha, beta, gamma, phi, level, slope and one season a step of the period, as they stand after the first period. A slope's
+    derivatives go along with the states from step to step.
+    """
+    n, size = at.shape
+    unit = np.eye(size)
+    a, b, g, phi = (at[:, [k]] for k in range(4))
+    level, slope, season = at[:, [4]], at[:, [5]], at[:, 6:].copy()
+    d_level, d_slope = np.tile(unit[4], (n, 1)), np.tile(unit[5], (n, 1))
+    d_season = np.tile(unit[6:], (n, 1, 1))
+    errors, jacobian = np.empty((n, len(y) - period)), np.empty((n, len(y) - period, size))
+    for t in range(period, len(y)):
+        k = t % period
+        ahead, d_ahead = level + phi * slope, d_level + phi * d_slope + slope * unit[3]
+        e, d = y[t] - ahead - season[:, [k]], -d_ahead - d_season[:, k]
+        errors[:, t - period], jacobian[:, t - period] = e[:, 0], d
+        level, d_level = ahead + a * e, d_ahead + a * d + e * unit[0]
+        d_slope = phi * d_slope + slope * unit[3] + a * b * d + e * (b * unit[0] + a * unit[1])
+        slope = phi * slope + a * b * e
+        d_season[:, k] += g * (1 - a) * d + e * ((1 - a) * unit[2] - g * unit[0])
+        season[:, [k]] += g * (1 - a) * e
+    return errors, jacobian, np.concatenate([level, slope, season], axis=1)
+
+
+def first_states(y: np.ndarray, period: int, trend: bool) -> np.ndarray:
+    """Level, slope and seasons after the first period, freed of the trend to the second."""
+    first, rise = y[:period].mean(), (y[period : 2 * period].mean() - y[:period].mean()) / period if trend else 0.0
+    line = first + rise * (np.arange(period) - (period - 1) / 2)
+    return np.r_[line[-1], rise, y[:period] - line]
+
+
+def estimated(y: np.ndarray, start: np.ndarray, free: np.ndarray, low: np.ndarray, high: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters of least summed squared error, for each row of ``start`` on its own: (parameters, errors, states).
+
+    Damped Gauss-Newton steps along the derivatives of all errors, cut at the bounds; one that doesn't lessen the error is tried shorter, so it never grows.
+    """
+    at, damping = np.clip(start, low, high), np.full(len(start), 1e-3)
+    errors, jacobian, states = recursion(y, at, period)
+    sums, open_ = (errors**2).sum(axis=1), np.ones(len(at), bool)
+    for _ in range(ESTIMATES):
+        # A parameter at its bound that would leave it stays there.
+        slope = np.einsum("nt,ntp->np", errors, jacobian)
+        moves = free & ~((at <= low) & (slope > 0)) & ~((at >= high) & (slope < 0))
+        each = jacobian * moves[:, None, :]
+        square = np.einsum("ntp,ntq->npq", each, each)
+        scale = np.einsum("npp->np", square) + 1e-12 * (1 + np.einsum("npp->n", square))[:, None]
+        square[:, np.arange(at.shape[1]), np.arange(at.shape[1])] += damping[:, None] * scale + ~moves
+        step = -np.linalg.solve(square, (slope * moves)[:, :, None])[:, :, 0] * moves
+        trial = np.where(open_[:, None], np.clip(at + step, low, high), at)
+        found = recursion(y, trial, period)
+        after = (found[0] ** 2).sum(axis=1)
+        better = open_ & np.isfinite(after) & (after < sums)
+        damping = np.where(better, damping / 4, damping * 5)
+        open_ &= np.where(better, sums - after > GAIN * sums, damping < 1e12)
+        for now, new in ((at, trial), (errors, found[0]), (jacobian, found[1]), (states, found[2]), (sums, after)):
+            now[better] = new[better]
+        if not open_.any():
+            break
+    return at, errors, states
+
+
 def holt_winters_forecast(y: np.ndarray, horizon: int, period: int = PERIOD, trend: bool = True, damped: bool = False) -> np.ndarray:
-    """Forecasts of one series with the weights of least error: a grid, narrowed around its best three times; at least 0."""
+    """Forecasts of one series: weights and states of least error, estimated from the best weights of a grid; at least 0."""
     if len(y) < 2 * period:
         raise ValueError("two periods of history are needed")
     if not np.isfinite(y).all():
         raise ValueError("the history has to be finite")
+    at, _, states = fitted(y, period, trend, damped)
+    steps = np.cumsum(at[3] ** np.arange(1, horizon + 1)) if trend else np.zeros(horizon)
+    ahead = states[0] + steps * states[1] + np.array([states[2 + (len(y) + h) % period] for h in range(horizon)])
+    if not np.isfinite(ahead).all():
+        raise ValueError("the fit does not converge")
+    return ahead.clip(0.0)
+
+
+def fitted(y: np.ndarray, period: int, trend: bool, damped: bool) -> tuple[np.ndarray, float, np.ndarray]:
+    """Parameters, summed squared error and states at the end."""
+    weights = grid_weights(y, period, trend, damped)
+    start = np.r_[weights, first_states(y, period, trend)]
+    if not trend:
+        start[[1, 3]] = 0.0
+    size = len(start)
+    free = np.ones(size, bool)
+    free[[1, 5]], free[3] = trend, trend and damped
+    low, high = np.full(size, -np.inf), np.full(size, np.inf)
+    low[:3], high[:3] = WEIGHTS
+    if free[3]:
+        low[3], high[3] = DAMPED
+    low[~free], high[~free] = start[~free], start[~free]
+    at, errors, states = estimated(y, start[None], free[None], low, high, period)
+    return at[0], float((errors[0] ** 2).sum()), states[0]
+
+
+def grid_weights(y: np.ndarray, period: int, trend: bool, damped: bool) -> np.ndarray:
+    """The weights of least error of a coarse grid, narrowed around its best once."""
     centre, width = np.array([0.5, 0.5, 0.5, 0.9 if damped else 1.0]), np.array([0.5, 0.5 if trend else 0.0, 0.5, 0.1 if trend and damped else 0.0])
-    for _ in range(4):
+    for _ in range(2):
         axes = [np.unique(np.clip(np.linspace(c - w, c + w, 5), 1e-4, 1.0 if i == 3 else 0.9999)) for i, (c, w) in enumerate(zip(centre, width, strict=True))]
         weights = np.stack([x.ravel() for x in np.meshgrid(*axes)], axis=1)
-        error, ahead = smoothed(y, weights, period, horizon, trend)
-        best = int(np.nanargmin(error))
-        centre, width = weights[best], width / 2.5
-    if not np.isfinite(ahead[best]).all():
-        raise ValueError("the fit does not converge")
-    return ahead[best].clip(0.0)
+        error, _ = smoothed(y, weights, period, 1, trend)
+        centre, width = weights[int(np.nanargmin(error))], width / 2.5
+    return centre
 
 
 def holt_winters(series: DataFrame, ends: tuple[int, ...] = TRAIN_ENDS, horizon: int = HORIZON, period: int = PERIOD, trend: bool = True, damped: bool = False) -> DataFrame:
@@ -241,11 +335,37 @@ def by_target(series: DataFrame) -> DataFrame:
 def holt_winters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors per window of the three variants: no trend, trend, damped trend; fits have no SQL, a test holds goldens."""
     rows = gold(spark, sf_dir)
-    variants = {"holt_winters_level": (False, False), "holt_winters": (True, False), "holt_winters_damped": (True, True)}
-    guesses = reduce(DataFrame.union, [holt_winters(rows, trend=t, damped=d).withColumn("model", F.lit(m)) for m, (t, d) in variants.items()])
+    guesses = reduce(DataFrame.union, [holt_winters(rows, trend=t, damped=d).withColumn("model", F.lit(m)) for m, (t, d) in VARIANTS.items()])
     return guesses.join(by_target(rows), ["step", "target"]).groupBy("train_end", "target", "model").agg(F.count("*").alias("n"), *forecast_errors())
 
 
+#: Models from the simplest to the least simple: of equal errors the first is chosen.
+MODELS = ("naive", "seasonal_naive", "holt_winters_level", "holt_winters", "holt_winters_damped")
+VARIANTS = {"holt_winters_level": (False, False), "holt_winters": (True, False), "holt_winters_damped": (True, True)}
+
+
+def all_errors(rows: DataFrame, ends: tuple[int, ...] = TRAIN_ENDS, horizon: int = HORIZON, period: int = PERIOD) -> DataFrame:
+    """Metrics of every model on every window of each target."""
+    smooth = reduce(DataFrame.union, [holt_winters(rows, ends, horizon, period, t, d).withColumn("model", F.lit(m)) for m, (t, d) in VARIANTS.items()])
+    guesses = smooth.join(by_target(rows), ["step", "target"]).select("train_end", "target", "step", "y", "model", "p")
+    every = backtest_rows(rows, ends, horizon, period).unionByName(guesses)
+    return every.groupBy("train_end", "target", "model").agg(F.count("*").alias("n"), *forecast_errors(None))
+
+
+def chosen_models(errors: DataFrame) -> DataFrame:
+    """Means of each model's metrics over the windows of a target, and whether it has the least mean absolute error, of equal ones the simplest."""
+    means = errors.groupBy("target", "model").agg(F.count("*").alias("windows"), *[F.avg(c).alias(c) for c in ("mae", "rmse", "smape")])
+    place = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model"))
+    first = Window.partitionBy("target").orderBy(F.round("mae", 9), place)  # a row a model
+    return means.withColumn("chosen", F.row_number().over(first) == 1)
+
+
+@query("fc04_model_choice")
+def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All models' means over the windows and the choice for each target."""
+    return chosen_models(all_errors(stored(gold(spark, sf_dir), "gold")))
+
+
 @query("fc04_agg28_backtest_means", f"{BACKTEST}, e AS (SELECT train_end, target, model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 200 * abs(y - p) / (abs(y) + abs(p)) END) AS smape FROM m GROUP BY train_end, target, model) SELECT target, model, count(*) AS windows, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(smape), 6) AS smape FROM e GROUP BY target, model")
 def backtest_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of each window's metrics, by target and model."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +36,31 @@ def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_if(n < LEAST_WORDS).alias("too_short"), F.count_if(n >= LEAST_WORDS).alias("eligible"))
 
 
-def text_stages(features: int = 1 << 14, label: str = "lang") -> list:
-    """Tokens, one- and two-grams, hashed counts; the class as an index."""
+#: Texts that a term needs, the share of texts that it has at most, terms of the vocabulary, and the smoothing of naive Bayes.
+LEAST_TEXTS, MOST_TEXTS, MOST_TERMS, SMOOTHING = 5, 0.9, 100_000, 0.1
+
+
+def token_stages(label: str = "lang") -> list:
+    """Tokens, one- and two-grams; the class as an index."""
     return [
         StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol="clean", outputCol="ones", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
         NGram(n=2, inputCol="ones", outputCol="twos"),
         SQLTransformer(statement="SELECT *, concat(ones, twos) AS terms FROM __THIS__"),
-        HashingTF(inputCol="terms", outputCol="counts", numFeatures=features),
     ]
 
 
+def vocabulary(texts: DataFrame, terms: str, least: int = LEAST_TEXTS, most: float = MOST_TEXTS, size: int = MOST_TERMS) -> DataFrame:
+    """(term, texts, times) of the terms, in an array column, of at least ``least`` texts and at most a share ``most`` of them; of more than ``size`` those that occur most, ties in order of the term.
+
+    All terms are counted, with and without their repetitions in a text.
+    """
+    n = texts.count()
+    marked = F.explode(F.concat(F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))), F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))))).alias("x")
+    found = texts.select(marked).groupBy("x.term").agg(F.sum("x.first").alias("texts"), F.sum(1 - F.col("x.first")).alias("times"))
+    return found.where((F.col("texts") >= least) & (F.col("texts") <= most * n)).orderBy(F.desc("times"), "term").limit(size)
+
+
 #: Inverse weights of the logistic candidates.
 CS = (1.0, 5.0, 20.0)
 
@@ -64,11 +80,15 @@ def macro_f1(predicted: DataFrame) -> tuple[float, float]:
 def text_candidates(train: DataFrame, cs: tuple[float, ...] = CS) -> list[tuple[str, PipelineModel]]:
     """Fitted pipelines on (clean, label, weight): the most frequent class, naive Bayes on counts, TF-IDF with balanced logistic regression."""
     n = train.count()
-    terms = Pipeline(stages=text_stages()).fit(train)
+    tokens = Pipeline(stages=token_stages()).fit(train)
+    # At most ``MOST_TERMS`` terms, which every task holds; in their order, so that a rerun numbers them alike.
+    known = sorted(r["term"] for r in vocabulary(tokens.transform(train), "terms").select("term").collect())
+    counter = CountVectorizerModel.from_vocabulary(known or ["-"], inputCol="terms", outputCol="counts")
+    terms = PipelineModel(stages=[tokens, counter])
     counted = stored(terms.transform(train).select("label", "weight", "counts"), "text-counts")
     most = counted.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
-    tails = [("prior", [SQLTransformer(statement=f"SELECT *, CAST({most} AS DOUBLE) AS prediction FROM __THIS__")]), ("naive_bayes", [NaiveBayes(smoothing=0.1, featuresCol="counts")])]
-    tails += [(f"logistic_{c:g}", [IDF(inputCol="counts", outputCol="scaled", minDocFreq=2), Normalizer(inputCol="scaled", outputCol="features"), LogisticRegression(maxIter=30, regParam=1 / (c * max(1, n)), weightCol="weight")]) for c in cs]
+    tails = [("prior", [SQLTransformer(statement=f"SELECT *, CAST({most} AS DOUBLE) AS prediction FROM __THIS__")]), ("naive_bayes", [NaiveBayes(smoothing=SMOOTHING, featuresCol="counts")])]
+    tails += [(f"logistic_{c:g}", [IDF(inputCol="counts", outputCol="scaled"), Normalizer(inputCol="scaled", outputCol="features"), LogisticRegression(maxIter=30, regParam=1 / (c * max(1, n)), weightCol="weight")]) for c in cs]
     return [(name, PipelineModel(stages=[terms, without_summary(Pipeline(stages=tail).fit(counted))])) for name, tail in tails]
 
 
@@ -89,6 +109,65 @@ def text_models(spark: SparkSession, sf_dir: str, cs: tuple[float, ...] = CS) ->
     return spark.createDataFrame([(*r, i == best) for i, r in enumerate(out)], "model string, validation_macro_f1 double, test_accuracy double, test_macro_f1 double, chosen boolean")
 
 
+TOKEN = r"[\p{L}\p{N}_]{2,}"
+
+
+def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, times) of the words of each text in lower case."""
+    return texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("times"))
+
+
+def bayes(train: DataFrame, rest: DataFrame, key: str, text: str, label: str, smoothing: float = SMOOTHING, least: int = LEAST_TEXTS, most: float = MOST_TEXTS) -> DataFrame:
+    """``rest``'s keys with the class of greatest multinomial naive Bayes score, as joins and sums over (class, term) counts: no vector is as long as the vocabulary.
+
+    A class's score of a text is linear in the text's counts, and all terms that the class lacks weigh the same; so only terms that it has are joined.
+    Of equal scores (by nine digits) the first class is taken; a text without a known term has the score of the classes' shares.
+    """
+    seen = stored(term_counts(train.select(key, text), key, text).join(train.select(key, label), key), "bayes-counts")
+    n = train.count()
+    known = seen.groupBy("term").agg(F.count("*").alias("texts")).where((F.col("texts") >= least) & (F.col("texts") <= most * n)).select("term")
+    of_class = stored(seen.join(known, "term").groupBy(label, "term").agg(F.sum("times").alias("times")), "bayes-classes")
+    size = of_class.select("term").distinct().count()
+    totals = train.groupBy(label).agg(F.log(F.count("*") / F.lit(n)).alias("share"))
+    sums = of_class.groupBy(label).agg(F.sum("times").alias("total"))
+    classes = F.broadcast(stored(totals.join(sums, label, "left").select(label, "share", F.log(F.coalesce("total", F.lit(0)) + smoothing * size).alias("whole")), "bayes-shares"))  # a row a class
+    own = stored(term_counts(rest.select(key, text), key, text).join(known, "term", "left_semi"), "bayes-texts")
+    lengths = own.groupBy(key).agg(F.sum("times").alias("n"))
+    gains = own.withColumnRenamed("times", "here").join(of_class, "term").groupBy(key, label).agg(F.sum(F.col("here") * F.log((F.col("times") + smoothing) / smoothing)).alias("gain"))
+    every = rest.select(key).join(lengths, key, "left").crossJoin(classes).join(gains, [key, label], "left")
+    score = F.col("share") + F.coalesce("n", F.lit(0)) * (F.log(F.lit(smoothing)) - F.col("whole")) + F.coalesce("gain", F.lit(0.0))
+    best = F.min(F.struct((-F.round(score, 9)).alias("minus"), F.col(label).alias("class")))
+    return every.groupBy(key).agg(best.alias("best")).select(key, F.col("best.class").alias("predicted"), (-F.col("best.minus")).alias("score"))
+
+
+FIFTH = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5"
+
+
+@query(
+    "ml07_naive_bayes",
+    f"""WITH d AS (SELECT doc_id, lang, text, {FIFTH} AS fifth FROM documents WHERE lang IS NOT NULL),
+w AS (SELECT doc_id, term, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM d) t GROUP BY 1, 2),
+c AS (SELECT w.*, lang FROM w JOIN d ON w.doc_id = d.doc_id WHERE fifth > 0),
+k AS (SELECT term FROM c GROUP BY term HAVING count(*) >= {LEAST_TEXTS} AND count(*) <= {MOST_TEXTS} * (SELECT count(*) FROM d WHERE fifth > 0)),
+g AS (SELECT lang, c.term, CAST(sum(times) AS BIGINT) AS times FROM c JOIN k ON c.term = k.term GROUP BY 1, 2),
+s AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM d WHERE fifth > 0)) AS share FROM d WHERE fifth > 0 GROUP BY lang),
+l AS (SELECT s.lang, share, ln(coalesce((SELECT sum(times) FROM g WHERE g.lang = s.lang), 0) + {SMOOTHING} * (SELECT count(DISTINCT term) FROM g)) AS whole FROM s),
+o AS (SELECT w.doc_id, w.term, w.times FROM w JOIN d ON w.doc_id = d.doc_id JOIN k ON w.term = k.term WHERE fifth = 0),
+n AS (SELECT doc_id, sum(times) AS n FROM o GROUP BY 1),
+x AS (SELECT o.doc_id, g.lang, sum(o.times * ln((g.times + {SMOOTHING}) / {SMOOTHING})) AS gain FROM o JOIN g ON o.term = g.term GROUP BY 1, 2),
+r AS (SELECT d.doc_id, d.lang, l.lang AS class, round(share + coalesce(n.n, 0) * (ln({SMOOTHING}) - whole) + coalesce(gain, 0), 9) AS score FROM d CROSS JOIN l LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id AND x.lang = l.lang WHERE fifth = 0),
+b AS (SELECT doc_id, lang, class AS predicted, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class) AS i FROM r) t WHERE i = 1)
+SELECT lang, predicted, count(*) AS n, round(avg(score), 4) AS mean_score FROM b GROUP BY 1, 2""",
+)
+def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of a fifth of the documents by hash, learned from the others: how often each is taken for each, and the mean score."""
+    fifth = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5
+    rows = stored(table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "lang", "text", fifth.alias("fifth")), "bayes-rows")
+    rest = rows.where("fifth = 0")
+    found = bayes(rows.where("fifth > 0"), rest, "doc_id", "text", "lang")
+    return found.join(rest.select("doc_id", "lang"), "doc_id").groupBy("lang", "predicted").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
 def scorable(rows: DataFrame, text: str, known: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``rows`` and ``refused``: why a text can't be scored (too few words, none of them known), null if it can. ``known`` has distinct words ``w``."""
     words = F.filter(F.split(F.lower(text), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
@@ -107,8 +186,12 @@ def scorable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorable(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", known).select("doc_id", "refused")
 
 
-#: Similarities by which the search for the nearest text comes down; what has none is searched in full.
-STEPS_DOWN = (0.5, 0.25, 0.1, 0.0)
+#: Similarities by which the search for the nearest text comes down; below the last of them an item is held to its best so far.
+STEPS_DOWN = (0.5, 0.2)
+#: Ratio of the norms between which documents share a list.
+BAND = 1.25
+#: Similarities are compared as rounded; a bound has to leave room for that.
+ROOM = 2e-9
 
 
 def terms(rows: DataFrame, key: str) -> DataFrame:
@@ -116,35 +199,69 @@ def terms(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias(key), F.explode(words).alias("w"))
 
 
+def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, w, square, norm, band): inverted lists of all documents, cut by bands of the norm; and stored (w, square), the squared weights of all words."""
+    doc_terms = stored(terms(docs, "doc_id"), "document-terms")
+    total = docs.count()
+    squares = stored(doc_terms.groupBy("w").agg(F.pow(F.log(F.lit(float(total)) / F.count("*")) + 1, F.lit(2.0)).alias("square")), "word-squares")
+    weighted = doc_terms.join(squares, "w")
+    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("norm"))
+    return stored(weighted.join(norms, "doc_id").withColumn("band", F.floor(F.log("norm") / math.log(BAND)).cast("int")), "postings"), squares
+
+
+def item_terms(items: DataFrame, squares: DataFrame) -> DataFrame:
+    """Stored (item_id, w, square, rest, item_norm) of the words that documents have, too; ``rest`` sums the squares of a word and of those that come after it, rarest first."""
+    of_item = terms(items, "item_id").join(squares, "w")
+    whole = Window.partitionBy("item_id")
+    later = whole.orderBy(F.desc("square"), "w").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return stored(of_item.withColumns({"rest": F.sum("square").over(later), "item_norm": F.sqrt(F.sum("square").over(whole))}), "item-terms")
+
+
+def similarities(pairs: DataFrame, of_item: DataFrame, lists: DataFrame) -> DataFrame:
+    """(item_id, doc_id, similarity) of pairs: the squares of shared words over both norms."""
+    shared = pairs.join(of_item.select("item_id", "w", "square", "item_norm"), "item_id").join(lists.select("doc_id", "w", "norm"), ["doc_id", "w"])
+    dots = shared.groupBy("item_id", "doc_id").agg(F.sum("square").alias("dot"), F.first("norm").alias("norm"), F.first("item_norm").alias("item_norm"))
+    return dots.select("item_id", "doc_id", F.round(F.col("dot") / F.col("norm") / F.col("item_norm"), 9).alias("similarity"))
+
+
+def best_of(found: DataFrame) -> DataFrame:
+    return found.groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("doc_id")).alias("neg"))).alias("b")).select("item_id", (-F.col("b.neg")).alias("doc_id"), "b.similarity")
+
+
+def candidates(wanted: DataFrame, of_item: DataFrame, bands: DataFrame, lists: DataFrame) -> DataFrame:
+    """(item_id, doc_id) that hold every document which reaches ``least`` of (item_id, least), each once.
+
+    If a word is the rarest that a document shares with an item, what they share weighs ``rest`` at most. So the similarity is
+    at most rest / (both norms), and at most the root of rest over the item's norm. A list, of a word and a band of norms, is read
+    only if its shortest document could reach ``least``, and a document of it is taken only if it could itself.
+    """
+    asked = of_item.join(wanted, "item_id").where(F.sqrt("rest") / F.col("item_norm") >= F.col("least") - ROOM)
+    reach = F.col("rest") / F.col("item_norm")
+    read = asked.join(bands, "w").where(reach / F.col("shortest") >= F.col("least") - ROOM).select("item_id", "w", "band", reach.alias("reach"), "least")
+    return read.join(lists, ["w", "band"]).where(F.col("reach") / F.col("norm") >= F.col("least") - ROOM).select("item_id", "doc_id").distinct()
+
+
 def nearest(docs: DataFrame, items: DataFrame, steps: tuple[float, ...] = STEPS_DOWN) -> DataFrame:
     """(item_id, doc_id, similarity): for each item that shares a word with a document, the document of greatest TF-IDF cosine, ties to the least id; a term counts once a text.
 
-    A document can only reach similarity t if it shares one of the item's rarest terms: those that come before the rest's squared weights
-    fall below t * t of all. So candidates are joined on rare terms only; an item that finds nothing at t goes on to a lower t,
-    and frequent words join only for items that nothing resembles.
+    Every item starts from the shortest document of each of its words, so its best is above 0 from the first. Then lists are read
+    that may hold a document of a similarity of at least a step and of the item's best so far; an item whose best reaches that is done,
+    the others go on to the next step, and last to their own best, which ends it.
     """
-    doc_terms = stored(terms(docs, "doc_id"), "document-terms")
-    total = docs.count()
-    idf = doc_terms.groupBy("w").agg(F.pow(F.log(F.lit(float(total)) / F.count("*")) + 1, F.lit(2.0)).alias("square"))
-    weighted = stored(doc_terms.join(idf, "w"), "weighted-terms")
-    norms = stored(weighted.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("doc_norm")), "document-norms")
-    rarest = Window.partitionBy("item_id").orderBy(F.desc("square"), "w")
-    of_item = stored(terms(items, "item_id").join(idf, "w"), "item-terms")
-    whole = F.sum("square").over(Window.partitionBy("item_id"))
-    before = F.coalesce(F.sum("square").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = stored(of_item.withColumns({"rest": (whole - before) / whole, "item_norm": F.sqrt(whole)}), "item-prefixes")
-    found = None
-    for t in steps:
-        candidates = weighted.select("doc_id", "w").join(left.where(F.col("rest") >= t * t * (1 - 1e-9)).select("item_id", "w"), "w").select("doc_id", "item_id").distinct()
-        shared = candidates.join(left.select("item_id", "w", "square", "item_norm"), "item_id").join(weighted.select("doc_id", "w"), ["doc_id", "w"])
-        dots = shared.groupBy("doc_id", "item_id").agg(F.sum("square").alias("dot"), F.first("item_norm").alias("item_norm")).join(norms, "doc_id")
-        ranked = dots.select("item_id", "doc_id", F.round(F.col("dot") / F.col("doc_norm") / F.col("item_norm"), 9).alias("similarity")).where(F.col("similarity") >= t)
-        best = stored(ranked.groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("doc_id")).alias("neg"))).alias("b")).select("item_id", (-F.col("b.neg")).alias("doc_id"), "b.similarity"), "nearest")
-        found = best if found is None else found.union(best)
-        left = stored(left.join(best.select("item_id"), "item_id", "left_anti"), "item-prefixes")
-        if left.isEmpty():
+    lists, squares = postings(docs)
+    of_item = item_terms(items, squares)
+    bands = stored(lists.groupBy("w", "band").agg(F.min(F.struct("norm", "doc_id")).alias("first")).select("w", "band", F.col("first.norm").alias("shortest"), F.col("first.doc_id").alias("doc_id")), "list-maxima")
+    champions = bands.groupBy("w").agg(F.min_by("doc_id", F.struct("shortest", "doc_id")).alias("doc_id"))
+    best = stored(best_of(similarities(of_item.select("item_id", "w").join(champions, "w").select("item_id", "doc_id").distinct(), of_item, lists)), "nearest")
+    bands, open_ = bands.drop("doc_id"), best
+    for step in (*steps, 0.0):
+        wanted = stored(open_.select("item_id", F.greatest("similarity", F.lit(step)).alias("least")), "wanted")
+        found = similarities(candidates(wanted, of_item, bands, lists), of_item, lists)
+        best = stored(best_of(best.union(found)), "nearest")
+        open_ = best.join(wanted, "item_id").where(F.col("similarity") < F.col("least")).select("item_id", "similarity")
+        if open_.isEmpty():
             break
-    return found
+    return best
 
 
 _NEAREST = r"""d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> ''))) AS w FROM documents),
