@@ -36,7 +36,7 @@ from pyspark.sql.types import DataType
 from ledgerloom.llm._common import id_crc, shared_table, slices, utf8
 
 #: Words that are units of the model and whose counts every scoring task holds.
-HEAD = 20_000
+HEAD = 32_768
 #: Classes of all other words.
 CLASSES = 256
 #: Distinct tokens that a counting task holds before it passes them on.
@@ -45,8 +45,8 @@ DIMENSIONS = 16
 #: Noise drawn for the tokens of a step: groups, and units of each group.
 NOISE = (64, 16)
 #: Tokens of a training step, and tokens that are scored at once.
-STEP, AT_ONCE = 16_384, 32_768
-RATE = 0.06
+STEP, AT_ONCE = 8192, 16_384
+RATE = 0.05
 #: Tokens that the driver's first fit reads on average, and how often; it gives all copies the same start.
 WARM, EPOCHS = 1_000_000, 2
 #: Copies that are trained at most, and units whose vectors travel together.
