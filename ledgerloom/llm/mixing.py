@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import SPACE, SPACE_CHARS, parts, rows_in, shared_table
+from ledgerloom.llm._common import SPACE, SPACE_CHARS, discard, parts, rows_in, shared_table
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -95,23 +95,23 @@ def order_key(id_column: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules: tuple = SCHEDULES, row_col: str | None = None) -> DataFrame:
     """Per document: size, source_size, target, taken words, first and second position; and ``row``, the column that tells rows apart, if named.
 
-    Running sums of a source are cut into blocks by the order key: blocks are
-    summed first, so no task numbers more than about ``BLOCK`` rows however large a source is.
+    Running sums of a source are cut into ranges of the order: ranges are
+    summed first, so no task numbers more than about ``BLOCK`` rows however many a source or an id has.
     """
     text, source = F.col(text_col), F.col(source_col).cast("string")
-    base = docs.select(F.col(id_col).alias("id"), source.alias("source"), word_count(text).alias("size"), order_key(F.col(id_col)).alias("key"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")).alias("digest"), *([F.col(row_col).alias("row")] if row_col else [F.lit(0).alias("row")]))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    base = docs.select(F.col(id_col).alias("id"), source.alias("source"), word_count(text).alias("size"), order_key(F.col(id_col)).alias("key"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")).alias("digest"), row.alias("row"))
     stored = shared_table(base, "mix-sizes")
-    # One more hex digit of the key divides blocks by sixteen.
-    digits, blocks = 1, parts(rows_in(stored), BLOCK)
-    while 16**digits < blocks:
-        digits += 1
-    rows = stored.withColumn("block", F.substring("key", 1, digits))
+    # Ranges of the whole order, to which the row's number belongs: not even one id's copies of one text meet in a task.
+    order = ["key", "id", "digest", "row"]
+    rows = shared_table(stored.repartitionByRange(parts(rows_in(stored), BLOCK), "source", *order).withColumn("block", F.spark_partition_id()), "mix-ranges")
+    discard(stored)
     sums = shared_table(rows.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
     sources = targets(sums.groupBy("source").agg(F.sum("block_size").alias("source_size")))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("offset"))
     placed = shared_table(offsets.join(sources, offsets["source"].eqNullSafe(sources["source"])).select(offsets["source"], "block", "offset", "source_size", "place", "target"), "mix-offsets")
-    inside = Window.partitionBy("source", "block").orderBy("key", "id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = run.join(placed, run["source"].eqNullSafe(placed["source"]) & (run["block"] == placed["block"])).select("id", "row", "size", "key", run["source"], "source_size", "place", "target", (F.col("offset") + F.col("inside")).alias("start"))
     # The words of pass p that lie within the target; the document at its end is cut there.
