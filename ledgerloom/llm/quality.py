@@ -2,12 +2,13 @@
 
 A document's histograms of character classes and of common words are compared
 with those of each reference language by Jensen-Shannon distance. References are
-summed over all documents of a language that pass the base rule. A document is
+summed over all documents of a language that pass the base rule: one of character classes for every language
+that has enough words, one of common words for those whose common words are listed. A document is
 rejected if even the nearest language is far, by either histogram; short ones are not
-judged, as their histograms are noise.
+judged, as their histograms are noise, and neither are documents by a histogram of which their language has no reference.
 
-Cases: a null text has no words and fails the base rule; documents of another or no
-language take part in everything but the references; without references nothing is
+Cases: a null text has no words and fails the base rule; documents without a
+language take part in everything but the references, and are held against all of them; without references nothing is
 judged by divergence; a very long text is one row like any other; repeated rows each get
 their result; an empty table gives an empty result. Repeated windows are found by 64-bit
 hashes of their words, so two windows are taken for equal wrongly with a chance of about
@@ -30,6 +31,8 @@ COMMON_WORDS = {
 }
 #: Words that a document needs before its divergence is judged.
 LEAST_WORDS = 60
+#: Words of its documents that a language needs for a reference, and languages, those of most words, that have one at most.
+LEAST_REFERENCE, REFERENCES = 1_000, 64
 #: Largest Jensen-Shannon distances, on a scale to 1, to the nearest language: a limit for long
 #: documents, and what the noise of short ones adds, times the inverse root of their words.
 CHARACTER_DISTANCE = (0.16, 0.75)
@@ -130,13 +133,17 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     stored = shared_table(measured(docs, id_col, text_col, lang_col, languages), "quality-counts")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     sums = [F.sum(F.get("classes", i)).alias(f"c{i}") for i in range(7)] + [F.sum(F.get("times", i)).alias(f"w{i}") for i in range(len(listed))]
-    # One row of a few hundred sums for each language that the parameter names.
-    rows = stored.where(~failed & F.col("lang").isin(*languages)).groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect()
-    characters, common = [], []
+    # One row of a few hundred sums for each reference.
+    found = stored.where(~failed & F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n_words").alias("n"), *sums)
+    rows = found.where(F.col("n") >= LEAST_REFERENCE).orderBy(F.desc("n"), "lang").limit(REFERENCES).collect()
+    characters, common, listed_languages = [], [], []
     for r in sorted(rows, key=lambda r: r["lang"]):
-        own = [listed.index(w) for w in languages[r["lang"]]]
         reference = [r[f"c{i}"] for i in range(7)]
         characters.append(divergence(shares(F.col("classes")), F.array(*[F.lit(x / sum(reference)) for x in reference])))
+        if r["lang"] not in languages:
+            continue
+        listed_languages.append(r["lang"])
+        own = [listed.index(w) for w in languages[r["lang"]]]
         # Bins of its own common words, and one of all others.
         counts = [r[f"w{i}"] for i in own]
         expected = F.array(*[F.lit(x / r["n"]) for x in counts], F.lit(1 - sum(counts) / r["n"]))
@@ -146,7 +153,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     nearest = lambda found: F.round(F.least(*found, F.lit(1.0)), 6) if found else F.lit(0.0)
     result = stored.withColumn("base_failed", failed).withColumn("char_distance", nearest(characters)).withColumn("word_distance", nearest(common))
     limits = [low + noise / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))) for low, noise in (CHARACTER_DISTANCE, WORD_DISTANCE)]
-    far = (F.col("n_words") >= LEAST_WORDS) & ((F.col("char_distance") > limits[0]) | (F.col("word_distance") > limits[1]))
+    known = [F.col("lang").isNull() | F.col("lang").isin(names) for names in ([r["lang"] for r in rows], listed_languages)]
+    far = (F.col("n_words") >= LEAST_WORDS) & ((known[0] & (F.col("char_distance") > limits[0])) | (known[1] & (F.col("word_distance") > limits[1])))
     return result.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance"
     )

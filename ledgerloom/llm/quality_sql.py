@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm.quality import CHARACTER_DISTANCE, COMMON_WORDS, LEAST_WORDS, PUNCTUATION, WINDOW, WORD_DISTANCE
+from ledgerloom.llm.quality import CHARACTER_DISTANCE, COMMON_WORDS, LEAST_REFERENCE, LEAST_WORDS, PUNCTUATION, REFERENCES, WINDOW, WORD_DISTANCE
 
 LISTED = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 CLASSES = ["[a-z]+", r"[\x20\x09-\x0D]+", "[A-Z]+", r"[.,;:!?\"''()-]+", "[0-9]+", r"\p{L}+"]
@@ -31,13 +31,13 @@ m AS (SELECT s5.rid, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(leng
 j AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   list_transform({LISTED}, lambda k: len(list_filter(lw, lambda x: x = k))::DOUBLE) AS times FROM m),
 ref AS (SELECT lang AS ref_lang, sum(n_words) AS rn, [{", ".join(f"sum(classes[{i}])" for i in range(1, 8))}] AS rc, [{", ".join(f"sum(times[{i + 1}])" for i in range(len(LISTED)))}] AS rt
-  FROM j WHERE NOT base_failed AND lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) GROUP BY lang),
+  FROM j WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {LEAST_REFERENCE} ORDER BY sum(n_words) DESC, lang LIMIT {REFERENCES}),
 o AS (SELECT ref_lang, list_transform(rc, lambda x: x / list_sum(rc)) AS rc, MAP {{{_OWN}}}[ref_lang] AS own, rn, rt FROM ref),
 o2 AS (SELECT ref_lang, rc, own, list_transform(own, lambda i: rt[i] / rn) AS head FROM o),
 e AS (SELECT rid, classes, n_words, rc, own, list_append(head, 1 - list_sum(head)) AS rw, list_transform(own, lambda i: times[i] / greatest(n_words, 1)) AS mine FROM j, o2),
-d AS (SELECT rid, {_DISTANCE.format(_SHARES.format("classes"), "rc")} AS cd, {_DISTANCE.format("list_append(mine, greatest(1 - list_sum(mine), 0))", "rw")} AS wd FROM e),
+d AS (SELECT rid, {_DISTANCE.format(_SHARES.format("classes"), "rc")} AS cd, CASE WHEN own IS NOT NULL THEN {_DISTANCE.format("list_append(mine, greatest(1 - list_sum(mine), 0))", "rw")} END AS wd FROM e),
 n AS (SELECT rid, round(least(min(cd), 1.0), 6) AS cd, round(least(min(wd), 1.0), 6) AS wd FROM d GROUP BY rid),
 f AS (SELECT j.*, coalesce(cd, 0.0) AS char_distance, coalesce(wd, 0.0) AS word_distance FROM j LEFT JOIN n ON j.rid = n.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words >= {LEAST_WORDS} AND (char_distance > {_LIMITS[0]} OR word_distance > {_LIMITS[1]})) AS kept, char_distance, word_distance FROM f
+  NOT base_failed AND NOT (n_words >= {LEAST_WORDS} AND ((char_distance > {_LIMITS[0]} AND (lang IS NULL OR lang IN (SELECT ref_lang FROM o))) OR (word_distance > {_LIMITS[1]} AND (lang IS NULL OR lang IN (SELECT ref_lang FROM o WHERE own IS NOT NULL))))) AS kept, char_distance, word_distance FROM f
 """
