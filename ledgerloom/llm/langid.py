@@ -111,7 +111,7 @@ class Model:
         """Per row: the class, its share among exp(-loss) of all, whether it is ambiguous."""
         margins = features @ self.weights[:-1] + self.weights[-1]
         # Exponential loss of each bit against each codeword, weighted by trust in the bit.
-        losses = (np.exp(-np.clip(margins, -3, 3)[:, None, :] * self.code[None, :, :]) * self.trust).sum(axis=2) / self.trust.sum()
+        losses = (np.exp(-np.clip(margins, -3, 3)[:, None, :] * self.code[None, :, :]) * self.trust).sum(axis=2) / max(self.trust.sum(), 1e-300)  # one class has no bits, and loses nothing
         shares = np.exp(-8 * (losses - losses.min(axis=1, keepdims=True)))
         shares /= shares.sum(axis=1, keepdims=True)
         ordered = np.sort(losses, axis=1)
