@@ -1,8 +1,8 @@
-"""Near-duplicates by word shingles: MinHash bands find candidates, exact Jaccard similarity decides.
+"""Near-duplicates by word shingles: SimHash blocks and MinHash bands find candidates, exact Jaccard similarity decides.
 
-This is what the SimHash operator takes for a similarity threshold: at Jaccard 0.8 two SimHash
-fingerprints differ in about 10 of 64 bits, more than pigeonhole blocks can cover with keys that
-still tell documents apart. A pair at similarity 0.8 shares none of the ``BANDS`` with
+SimHash fingerprints of the five-word shingles go through the pigeonhole blocks of the SimHash operator, which finds the closest copies. At Jaccard 0.8
+two fingerprints differ in about 10 of 64 bits, more than pigeonhole blocks can cover with keys that
+still tell documents apart, so MinHash bands find the others: a pair at similarity 0.8 shares none of the ``BANDS`` with
 probability 5e-8; no other pair at or above ``SIMILAR`` is lost.
 
 Cases: a null or blank text has the empty shingle only, so such texts are alike; a text of
@@ -24,6 +24,7 @@ from pyspark.sql.types import DataType, StructType
 
 from ledgerloom.llm._common import discard, shared_table, slices, utf8
 from ledgerloom.llm.components import components
+from ledgerloom.llm.simhash import close_links, of_hashes
 
 SEED = 42
 #: Words of a shingle.
@@ -70,20 +71,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def with_bands(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``mark`` (digest of the words) and ``bands`` (a key for each band)."""
+    """``docs`` with ``mark`` (digest of the words), ``finger`` (SimHash of the shingles) and ``bands`` (a key for each band)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            marks, bands = [], []
+            marks, fingers, bands = [], [], []
             for t in utf8(batch, text):
                 joined, hashes = shingles(t)
                 least = minima(hashes)
                 marks.append(xxhash.xxh3_128_digest(joined, SEED))
+                fingers.append(of_hashes(hashes))
                 bands += [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
             keys = pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32), pa.array(np.array(bands, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary()), keys], [*batch.schema.names, "mark", "bands"])
+            finger = pa.array(np.frombuffer(b"".join(fingers), ">i8").astype("<i8"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary()), finger, keys], [*batch.schema.names, "mark", "finger", "bands"])
 
-    schema = StructType(list(docs.schema.fields)).add("mark", "binary").add("bands", DataType.fromDDL("array<long>"))
+    schema = StructType(list(docs.schema.fields)).add("mark", "binary").add("finger", "long").add("bands", DataType.fromDDL("array<long>"))
     return docs.mapInArrow(add, schema)
 
 
@@ -152,11 +155,18 @@ def found_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """From a stored table (row, text, size, bands) to links (a, b) that connect all rows of similar texts.
+def close_stars(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that SimHash proposes: nodes of one fingerprint and its least node, and least nodes of close fingerprints."""
+    of_mark = shared_table(nodes.groupBy(F.col("finger").alias("mark")).agg(F.min("row").alias("id"), F.count("*").alias("n")), "fingers")
+    alike = nodes.join(of_mark.where("n > 1").select(F.col("mark").alias("finger"), "id"), "finger").select(F.col("id").alias("a"), F.col("row").alias("b"))
+    return alike.union(close_links(of_mark.select("mark", "id")).select("a", "b")).where("a <> b")
+
+
+def links(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """From stored tables (row, size, finger, bands) and (row, text) to links (a, b) that connect all rows of similar texts.
 
     Every row of a bucket is first compared with the bucket's head, the row of most neighbours in
-    all its buckets, which is the middle of a crowd of edited copies. Then, in buckets whose rows are not all connected,
+    all its buckets, which is the middle of a crowd of edited copies; and with the row that SimHash finds close to it. Then, in buckets whose rows are not all connected,
     rows outside the largest class are compared with all rows, block by block; what
     that costs grows with the rows left over and not with the square of a bucket.
     """
@@ -164,9 +174,12 @@ def links(nodes: DataFrame) -> DataFrame:
     buckets = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = shared_table(bands.join(buckets, "key"), "buckets")
     weights = members.groupBy("row").agg(F.sum("n").alias("weight"))
-    texts = shared_table(nodes.join(weights.select("row"), "row", "left_semi").select("row", "text", "size"), "bucket-texts")
     heads = members.join(weights, "row").groupBy("key").agg(F.max(F.struct("weight", "row"))["row"].alias("head"))
-    stars = members.join(heads, "key").where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct()
+    of_bands = members.join(heads, "key").where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b"))
+    stars = shared_table(of_bands.union(close_stars(nodes)).distinct(), "stars")
+    compared_rows = members.select("row").union(stars.select(F.explode(F.array("a", "b")).alias("row"))).distinct()
+    texts = nodes.select("row", "size").join(compared_rows, "row", "left_semi").join(documents, "row")
+    texts = shared_table(texts.select("row", "text", "size"), "bucket-texts")
     first = shared_table(star_links(stars, texts.select("row", "text")), "star-links")
     label = components(first).select(F.col("node").alias("row"), "component")
     labelled = members.where("n > 2").join(label, "row", "left").join(texts.select("row", "size"), "row")
@@ -182,7 +195,7 @@ def links(nodes: DataFrame) -> DataFrame:
     probes = rest.where("label <> largest").select("key", upto("blocks").alias("block"), drawn(SEED + 1, "chunks").alias("chunk"), F.lit(True).alias("probe"), "row", "label", "text")
     later = compared.union(probes).groupBy("key", "block", "chunk").applyInArrow(found_links, "a long, b long")
     found = shared_table(first.union(later), "near-links")
-    discard(members, texts, first, labelled)
+    discard(members, stars, texts, first, labelled)
     return found
 
 
@@ -193,10 +206,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stored = shared_table(with_bands(plain, text_at).withColumn("row", F.monotonically_increasing_id()), "banded-documents")
     first = F.min(F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).cast("long").alias("id"), F.col("row").alias("row")))
     by_mark = shared_table(stored.groupBy("mark").agg(first.alias("first")), "marks")
-    nodes = stored.join(by_mark.select(F.col("first.row").alias("row")), "row", "left_semi")
     text = F.coalesce(F.col(text_at).cast("string"), F.lit(""))
-    nodes = shared_table(nodes.select("row", text.alias("text"), F.octet_length(text).cast("long").alias("size"), "bands"), "nodes")
-    found = links(nodes)
+    nodes = stored.select("row", F.octet_length(text).cast("long").alias("size"), "finger", "bands").join(by_mark.select(F.col("first.row").alias("row")), "row", "left_semi")
+    nodes = shared_table(nodes, "nodes")
+    found = links(nodes, stored.select("row", text.alias("text")))
     joined = components(found)
     of_class = by_mark.join(joined, by_mark["first"]["row"] == joined["node"], "left").select("first", F.coalesce("component", "first.row").alias("class"))
     kept = of_class.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

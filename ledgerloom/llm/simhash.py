@@ -47,12 +47,23 @@ def fingerprint(text: bytes | None, words: int = 3) -> bytes:
     digest = xxhash.xxh64_digest
     for at in range(0, len(starts), 65536):
         pieces = zip(starts[at : at + 65536].tolist(), ends[at : at + 65536].tolist(), strict=True)
-        hashed = b"".join([digest(joined[s:e], SEED) for s, e in pieces])
-        bits = np.unpackbits(np.frombuffer(hashed, np.uint8)).reshape(-1, 64)
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += set_bits(b"".join([digest(joined[s:e], SEED) for s, e in pieces]))
     return np.packbits(counts * 2 > len(starts)).tobytes()
 
 
+def set_bits(hashed: bytes) -> np.ndarray:
+    """How many of some hashes of eight bytes have each bit, highest first."""
+    return np.unpackbits(np.frombuffer(hashed, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def of_hashes(hashes: np.ndarray) -> bytes:
+    """SimHash of shingles by their hashes, as eight bytes, highest bit first."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += set_bits(hashes[at : at + 65536].astype(">u8").tobytes())
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
 def with_fingerprint(docs: DataFrame, text: str, words: int, out: str) -> DataFrame:
     """``docs`` and the fingerprint of its text column, as a signed long named ``out``."""
 
