@@ -22,7 +22,7 @@ def yes_no(c: Column) -> Column:
 
 
 def reasons(rows: DataFrame) -> Column:
-    """Why a raw row is refused, joined by commas; empty if it isn't."""
+    """Why a raw row is refused, joined by commas; empty if it isn't. The names of the reasons."""
     id_, received = F.col("complaint_id"), F.col("date_received")
     return F.concat_ws(
         ",",
@@ -57,7 +57,7 @@ def silver(bronze: DataFrame) -> DataFrame:
 
 
 def accounting(bronze: DataFrame, result: DataFrame) -> DataFrame:
-    """One row of counts and checks: rows and narratives in and out, counts by reason as a map, unique ids, no redaction left."""
+    """The names of the counts. One row of counts and checks: rows and narratives in and out, counts by reason as a map, unique ids, no redaction left."""
     parts = F.split(reasons(bronze), ",")
     by_reason = bronze.select(F.explode(parts).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
     # At most as many entries as there are reasons.
@@ -112,3 +112,23 @@ def complaint_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = accounting(bronze, silver(bronze))
     entries = F.array_join(F.transform(F.map_entries("reject_reasons"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return found.select("bronze_rows", "rejected_rows", "silver_rows", "duplicate_ids_removed", entries.alias("reject_reasons"), "silver_narratives", "sent_date_unparseable", "zipcode_format_invalid", "complaint_ids_unique", "row_ids_unique", "no_residual_redaction")
+
+
+def profile(bronze: DataFrame) -> DataFrame:
+    """(kind, key, rows, share, narratives, coverage) of the rows without an issue: by product and by year of receipt."""
+    valid = bronze.where(reasons(bronze) == "")
+    told = (~C.blank(F.col("consumer_complaint_narrative"))).alias("told")
+    year = F.year(C.day(C.trimmed(F.col("date_received")))).cast("string")
+    keyed = valid.select(told, F.inline(F.array(F.struct(F.lit("product").alias("kind"), C.trimmed(F.col("product")).alias("key")), F.struct(F.lit("year").alias("kind"), year.alias("key")))))
+    sums = keyed.groupBy("kind", "key").agg(F.count("*").alias("rows"), F.count_if("told").alias("narratives"))
+    whole = F.broadcast(valid.agg(F.count("*").alias("all_")))  # one row
+    rounded = lambda a, b: F.round(C.ratio_or_zero(a, b), 6)
+    return sums.crossJoin(whole).select("kind", "key", "rows", rounded(F.col("rows"), F.col("all_")).alias("share"), "narratives", rounded(F.col("narratives"), F.col("rows")).alias("coverage"))
+
+
+@query(
+    "agg10_profile_by_product_and_year",
+    f"WITH {SILVER}, k AS (SELECT 'product' AS kind, trim(product) AS key, trim(coalesce(consumer_complaint_narrative, '')) <> '' AS told FROM v UNION ALL SELECT 'year', year({_DAY.format('date_received')})::VARCHAR, trim(coalesce(consumer_complaint_narrative, '')) <> '' FROM v) SELECT kind, key, count(*) AS rows, round(count(*) / (SELECT count(*) FROM v), 6) AS share, count(*) FILTER (WHERE told) AS narratives, round(count(*) FILTER (WHERE told) / count(*), 6) AS coverage FROM k GROUP BY 1, 2",
+)
+def complaint_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile(bronze_of(spark, sf_dir))

@@ -228,21 +228,26 @@ def simple_cycles(edges: DataFrame) -> DataFrame:
     Each cycle is found at its account of highest degree, ``top``. Paths of two steps out of and into it through
     accounts of lower degree number, per link, at most the lesser degree of its ends, so a hub's neighbours are
     never paired with each other; a cycle of three closes such a path with a pair, one of four joins two paths with the same ends.
+    Paths carry accounts only; sums are joined to the links of the cycles that are found.
     """
     core = cycle_core(edges.select("src", "dst", "total", "frauds"))
-    degree = core.select(F.explode(F.array("src", "dst")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
-    ranked = core.join(degree.select(F.col("x").alias("src"), F.struct("d", "x").alias("rs")), "src").join(degree.select(F.col("x").alias("dst"), F.struct("d", "x").alias("rd")), "dst")
+    degree = kept(core.select(F.explode(F.array("src", "dst")).alias("x")).groupBy("x").agg(F.count("*").alias("d")), "degrees")
+    ranked = core.select("src", "dst").join(degree.select(F.col("x").alias("src"), F.struct("d", "x").alias("rs")), "src").join(degree.select(F.col("x").alias("dst"), F.struct("d", "x").alias("rd")), "dst")
     ranked = kept(ranked, "ranked")
-    down, up = ranked.where("rs > rd"), ranked.where("rs < rd")
-    add = lambda *names: [sum((F.col(f"{c}.{k}") for c in names[1:]), F.col(f"{names[0]}.{k}")).alias(k) for k in ("total", "frauds")]
-    ones = core.where("src = dst").select(F.array("src").alias("v"), "total", "frauds")
-    twos = down.alias("a").join(up.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.array("a.src", "a.dst").alias("v"), *add("a", "b"))
+    down, up, apart = ranked.where("rs > rd"), ranked.where("rs < rd"), ranked.where("src <> dst")
+    ones = core.where("src = dst").select(F.array("src").alias("v"))
+    twos = down.alias("a").join(up.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.array("a.src", "a.dst").alias("v"))
     # top -> near -> far, and far -> near -> top.
-    out = kept(down.alias("a").join(ranked.where("src <> dst").alias("b"), F.col("a.dst") == F.col("b.src")).where("b.rd < a.rs").select(F.col("a.src").alias("top"), F.col("a.dst").alias("near"), F.col("b.dst").alias("far"), *add("a", "b")), "paths-out")
-    into = kept(up.alias("b").join(ranked.where("src <> dst").alias("a"), F.col("a.dst") == F.col("b.src")).where("a.rs < b.rd").select(F.col("b.dst").alias("top"), F.col("b.src").alias("near"), F.col("a.src").alias("far"), *add("a", "b")), "paths-into")
-    threes = out.alias("a").join(up.alias("b"), (F.col("a.far") == F.col("b.src")) & (F.col("a.top") == F.col("b.dst"))).select(F.array("a.top", "a.near", "a.far").alias("v"), *add("a", "b"))
-    fours = out.alias("a").join(into.alias("b"), (F.col("a.top") == F.col("b.top")) & (F.col("a.far") == F.col("b.far")) & (F.col("a.near") != F.col("b.near"))).select(F.array("a.top", "a.near", "a.far", "b.near").alias("v"), *add("a", "b"))
-    return ones.union(twos).union(threes).union(fours)
+    out = kept(down.alias("a").join(apart.alias("b"), F.col("a.dst") == F.col("b.src")).where("b.rd < a.rs").select(F.col("a.src").alias("top"), F.col("a.dst").alias("near"), F.col("b.dst").alias("far")), "paths-out")
+    # Only paths back from where a path out ends can close a cycle.
+    ends = out.select("top", "far").distinct()
+    into = up.alias("b").join(apart.alias("a"), F.col("a.dst") == F.col("b.src")).where("a.rs < b.rd").select(F.col("b.dst").alias("top"), F.col("b.src").alias("near"), F.col("a.src").alias("far"))
+    into = kept(into.join(ends, ["top", "far"], "left_semi"), "paths-into")
+    threes = out.alias("a").join(up.alias("b"), (F.col("a.far") == F.col("b.src")) & (F.col("a.top") == F.col("b.dst"))).select(F.array("a.top", "a.near", "a.far").alias("v"))
+    fours = out.alias("a").join(into.alias("b"), (F.col("a.top") == F.col("b.top")) & (F.col("a.far") == F.col("b.far")) & (F.col("a.near") != F.col("b.near"))).select(F.array("a.top", "a.near", "a.far", "b.near").alias("v"))
+    found = kept(ones.union(twos).union(threes).union(fours), "cycles")
+    link = F.explode(F.transform("v", lambda x, i: F.struct(x.alias("src"), F.element_at("v", ((i + 1) % F.size("v") + 1).cast("int")).alias("dst")))).alias("l")
+    return found.select("v", link).select("v", "l.src", "l.dst").join(core, ["src", "dst"]).groupBy("v").agg(F.sum("total").alias("total"), F.sum("frauds").alias("frauds"))
 
 
 @query("gr08_cycles", f"WITH {PAIRS}, c AS (SELECT [src] AS v, total, frauds FROM pairs WHERE src = dst UNION ALL SELECT [a.src, b.src], a.total + b.total, a.frauds + b.frauds FROM pairs a JOIN pairs b ON a.dst = b.src AND b.dst = a.src WHERE a.src < b.src UNION ALL SELECT [a.src, b.src, c.src], a.total + b.total + c.total, a.frauds + b.frauds + c.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src UNION ALL SELECT [a.src, b.src, c.src, d.src], a.total + b.total + c.total + d.total, a.frauds + b.frauds + c.frauds + d.frauds FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src JOIN pairs d ON c.dst = d.src AND d.dst = a.src WHERE a.src < b.src AND a.src < c.src AND a.src < d.src AND b.src <> c.src AND b.src <> d.src AND c.src <> d.src) SELECT array_to_string(list_sort(v), '>') AS accounts, CAST(len(v) AS BIGINT) AS length, count(*) AS orders, round(max(total), 2) AS largest_total, CAST(max(frauds) AS BIGINT) AS most_frauds FROM c GROUP BY 1, 2")

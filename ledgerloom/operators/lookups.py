@@ -27,6 +27,12 @@ def first_of_each(rows: DataFrame, classes: list[str], order: list[str], n: int)
     return head.withColumn("__k", F.row_number().over(Window.partitionBy(*classes).orderBy(*order))).where(F.col("__k") <= n).drop("__slice", "__k")
 
 
+def drawn_of_each(rows: DataFrame, classes: list[str], keys: list[str], n: int, seed: int) -> DataFrame:
+    """``n`` rows of each class, drawn by a hash of their keys and a seed: the same ones on every run and however rows lie."""
+    drawn = rows.withColumn("__drawn", F.xxhash64(F.lit(seed), *keys))
+    return first_of_each(drawn, classes, ["__drawn", *keys], n).drop("__drawn")
+
+
 OUTCOME = "CASE WHEN isFraud = 1 AND amount > oldbalanceOrg THEN 'tp' WHEN isFraud = 1 THEN 'fn' WHEN amount > oldbalanceOrg THEN 'fp' ELSE 'tn' END"
 
 
@@ -174,6 +180,25 @@ def account_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("train", "validation", "test").agg(F.count("*").alias("accounts"))
 
 
+def account_overlap(rows: DataFrame, modulus: int = 100) -> DataFrame:
+    """Of the accounts whose digest is divisible by ``modulus``: per role how many occur in each of train, validation and test, and in each two of them."""
+    if modulus < 1:
+        raise ValueError("the modulus has to be 1 or more")
+    parts = ("train", "validation", "test")
+    part = F.when(F.col("step") <= CUTS[0], "train").when(F.col("step") <= CUTS[1], "validation").otherwise("test")
+    named = rows.select(part.alias("part"), F.inline(F.array(*[F.struct(F.lit(role).alias("role"), F.col(role).alias("account")) for role in ("nameOrig", "nameDest")])))
+    sampled = named.where(F.conv(F.substring(F.md5(F.col("account").cast("binary")), 1, 8), 16, 10).cast("long") % modulus == 0)
+    seen = sampled.groupBy("role", "account").agg(*[F.max((F.col("part") == p).cast("int")).alias(p) for p in parts])
+    both = [("train", "validation"), ("train", "test"), ("validation", "test")]
+    return seen.groupBy("role").agg(*[F.sum(p).alias(p) for p in parts], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in both])
+
+
+@query("src06_account_overlap", f"WITH {TX}, n AS (SELECT CASE WHEN step <= {CUTS[0]} THEN 'train' WHEN step <= {CUTS[1]} THEN 'validation' ELSE 'test' END AS part, unnest(['nameOrig', 'nameDest']) AS role, unnest([nameOrig, nameDest]) AS account FROM tx), s AS (SELECT role, account, max((part = 'train')::INT) AS a, max((part = 'validation')::INT) AS b, max((part = 'test')::INT) AS c FROM n WHERE CAST('0x' || substr(md5(account), 1, 8) AS BIGINT) % 10 = 0 GROUP BY 1, 2) SELECT role, CAST(sum(a) AS BIGINT) AS train, CAST(sum(b) AS BIGINT) AS validation, CAST(sum(c) AS BIGINT) AS test, CAST(sum(a * b) AS BIGINT) AS train_validation, CAST(sum(a * c) AS BIGINT) AS train_test, CAST(sum(b * c) AS BIGINT) AS validation_test FROM s GROUP BY role")
+def sampled_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the accounts by digest: the sample is the feature."""
+    return account_overlap(transactions(spark, sf_dir), 10)
+
+
 @query("ord12_top_three", f"WITH {TX}, n AS (SELECT nameDest, {', '.join(f'''count(*) FILTER (WHERE type = '{t}') AS n_{t}''' for t in TYPES)} FROM tx GROUP BY 1) SELECT nameDest, array_to_string(list_transform(list_sort([{', '.join(f'''(lpad((1000000000 - n_{t})::VARCHAR, 10, '0') || '{t}')''' for t in TYPES)}])[1:3], lambda x: substr(x, 11)), ',') AS top_types FROM n")
 def top_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most frequent types of each account, ties by name, from fixed counters instead of a sort of groups."""

@@ -77,6 +77,11 @@ def delete(spark: SparkSession, where: str) -> None:
     system.delete(path, True)
 
 
+def exists(spark: SparkSession, where: str) -> bool:
+    path, system = _path(spark, where)
+    return system.exists(path)
+
+
 def move(spark: SparkSession, where: str, to: str) -> None:
     """Rename a file or folder; nothing may stand at the new name."""
     (path, system), (target, _) = _path(spark, where), _path(spark, to)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.stored import delete, move
+from ledgerloom.plans.stored import delete, exists, move
 from ledgerloom.sources.files import canonical_sha256, schema_sha256
 
 #: The version of reports; a reader takes no other.
@@ -97,10 +97,9 @@ def content_sha256(found: Mapping) -> str:
 
 def report_of(spark: SparkSession, path: str) -> dict:
     """The report beside a table; a ValueError if there is none."""
-    try:
-        return json.loads(spark.read.text(f"{path}.report").first()["value"])
-    except Exception as error:
-        raise ValueError(f"{path} has no report") from error
+    if not exists(spark, f"{path}.report"):
+        raise ValueError(f"{path} has no report")
+    return json.loads(spark.read.text(f"{path}.report").first()["value"])
 
 
 def verified(spark: SparkSession, path: str, sources: Mapping[str, str] | None = None, needed: tuple[str, ...] = ()) -> DataFrame:
