@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from ledgerloom.llm._common import discard, shared_table, slices, utf8
+from ledgerloom.llm._common import discard, frugal, shared_table, slices, utf8
 from ledgerloom.llm.components import components
 from ledgerloom.llm.simhash import close_links, of_hashes
 
@@ -87,7 +87,7 @@ def with_bands(docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary()), finger, keys], [*batch.schema.names, "mark", "finger", "bands"])
 
     schema = StructType(list(docs.schema.fields)).add("mark", "binary").add("finger", "long").add("bands", DataType.fromDDL("array<long>"))
-    return docs.mapInArrow(add, schema)
+    return docs.mapInArrow(frugal(add), schema)
 
 
 def similar_to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def star_links(stars: DataFrame, texts: DataFrame) -> DataFrame:
     each = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
     heads = sizes.join(texts.withColumnRenamed("row", "a"), "a").select("a", each, F.lit(None).cast("long").alias("b"), "text")
     stream = heads.union(rows).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
-    return stream.select("a", "b", "text").mapInArrow(similar_to_heads, "a long, b long")
+    return stream.select("a", "b", "text").mapInArrow(frugal(similar_to_heads), "a long, b long")
 
 
 def found_links(group: pa.Table) -> pa.Table:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import schema_with, slices
+from ledgerloom.llm._common import frugal, schema_with, slices
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "random"]
@@ -159,7 +159,7 @@ def masked(docs: DataFrame, text: str, out: str, mask: str = "[SECRET]", path: s
                 done.append(t if not pieces else "".join([*pieces, t[at:]]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string())], [*batch.schema.names, out])
 
-    return docs.mapInArrow(add, schema_with(docs, out, "string"))
+    return docs.mapInArrow(frugal(add), schema_with(docs, out, "string"))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import rows_in, schema_with, shared_table, slices, utf8
+from ledgerloom.llm._common import frugal, rows_in, schema_with, shared_table, slices, utf8
 from ledgerloom.llm.components import components
 
 SEED = 42
@@ -176,7 +176,7 @@ def close_links(marks: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS
             routed = rows.join(large, ["mask", "key"], "left")
             cold = routed.where("hot is null")
         sorted_rows = cold.select("mask", "key", "mark", "id").repartition("mask", "key").sortWithinPartitions("mask", "key")
-        links = sorted_rows.mapInArrow(lambda it: bucket_links(it, distance), "a long, b long")
+        links = sorted_rows.mapInArrow(frugal(lambda it: bucket_links(it, distance)), "a long, b long")
         found = links if found is None else found.union(links)
         if not hot:
             return found

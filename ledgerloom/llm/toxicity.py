@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from ledgerloom.llm._common import discard, id_crc, schema_with, shared_table, slices, utf8
+from ledgerloom.llm._common import discard, frugal, id_crc, schema_with, shared_table, slices, utf8
 
 #: Labelled rows that the fit reads at most, those of least hash.
 SAMPLE = 12_000
@@ -289,7 +289,7 @@ def with_score(docs: DataFrame, model: Model, text: str, out: str, passages: str
     schema = schema_with(docs, out, "double")
     if passages:
         schema.add(passages, DataType.fromDDL("array<struct<start:int,end:int,score:double,e_value:double>>"))
-    return docs.mapInArrow(add, schema)
+    return docs.mapInArrow(frugal(add), schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
