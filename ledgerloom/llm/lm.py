@@ -9,7 +9,7 @@ class's training counts.
 
 All training documents take part: tokens are counted by Spark, and each task trains a copy of the
 model on its documents with drawn noise; per unit, what the copies have learned is averaged by
-the tokens it was learned from. Counts of the head go to the tasks that score; those of all other
+the tokens it was learned from. Counts of the head and of the next ``MORE`` words go to the tasks that score; those of all other
 tokens are joined to the tokens of the texts, so they grow with the corpus.
 
 Cases: a null text is the empty one, which is its end alone; repeated rows score
@@ -39,6 +39,8 @@ from ledgerloom.llm._common import id_crc, shared_table, slices, utf8
 HEAD = 32_768
 #: Classes of all other words.
 CLASSES = 256
+#: Words after the head, by frequency, whose counts every task holds, too; those of all others are joined.
+MORE = 131_072
 #: Distinct tokens that a counting task holds before it passes them on.
 HELD = 200_000
 DIMENSIONS = 16
@@ -101,6 +103,9 @@ class Vocabulary:
     least: int = 1
     head: dict[bytes, int] = field(default_factory=dict)  # place of a token in the arrays below
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    more: dict[bytes, int] = field(default_factory=dict)  # place of a word in the arrays of the words after the head
+    more_counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    more_class: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     class_totals: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
     class_words: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
 
@@ -122,16 +127,16 @@ class Vocabulary:
 
 
 class _Places(dict):
-    """A word's place in the head, or -1 - its class; what it remembers is bounded."""
+    """A word's place in the head, -1 - its class, or from -1 - CLASSES downwards its place after the head; what it remembers of other words is bounded."""
 
-    def __init__(self, head: dict[bytes, int]) -> None:
-        super().__init__(head)
-        self.head = head
+    def __init__(self, v: Vocabulary) -> None:
+        self.known = v.head | {word: -1 - CLASSES - j for word, j in v.more.items()}
+        super().__init__(self.known)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > HEAD + HELD:
+        if len(self) > len(self.known) + HELD:
             self.clear()
-            self.update(self.head)
+            self.update(self.known)
         self[word] = place = -1 - word_class(word)
         return place
 
@@ -141,17 +146,22 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum(F.when(F.col("token") == F.lit(END), F.col("n"))).alias("ends")).first()
     v = Vocabulary(sums["total"] or 0, sums["distinct"], sums["ends"] or 0)
     words = counts.where(F.col("token") != F.lit(END))
-    # At what count the head begins: from a histogram of a few hundred steps.
+    # At what counts the head begins and the words after it end: from a histogram of a few hundred steps.
     steps = words.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
-    held, v.least = 0, 1 << 62
+    held, head_from, v.least = 0, 1 << 62, 1 << 62
     for r in sorted(steps, key=lambda r: -r["step"]):
         held += r["words"]
-        if held > HEAD:
+        if held > HEAD + MORE:
             break
         v.least = r["least"]
-    top = sorted(((r["n"], bytes(r["token"])) for r in words.where(F.col("n") >= v.least).collect()), key=lambda x: (-x[0], x[1]))
+        if held <= HEAD:
+            head_from = r["least"]
+    every = sorted(((r["n"], bytes(r["token"])) for r in words.where(F.col("n") >= v.least).collect()), key=lambda x: (-x[0], x[1]))
+    top, more = [x for x in every if x[0] >= head_from], [x for x in every if x[0] < head_from]
     v.head = {word: i for i, (_, word) in enumerate(top)}
     v.counts = np.array([n for n, _ in top], float)
+    v.more = {word: j for j, (_, word) in enumerate(more)}
+    v.more_counts, v.more_class = np.array([n for n, _ in more], float), np.array([word_class(w) for _, w in more], np.int64)
     for r in words.groupBy(class_column(F.col("token")).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         v.class_totals[r["class"]], v.class_words[r["class"]] = r["n"], r["words"]
     for n, word in top:
@@ -198,7 +208,7 @@ class Net:
         found = np.empty(len(unit))
         for at in range(0, len(unit), AT_ONCE):
             u = unit[at : at + AT_ONCE]
-            order = np.argsort(u, kind="stable")
+            order = _order(u, len(self.unigram))
             u = u[order]
             group = u // self.size
             h = self.context(far[at : at + AT_ONCE][order], near[at : at + AT_ONCE][order])
@@ -211,7 +221,7 @@ class Net:
 
     def train(self, far: np.ndarray, near: np.ndarray, unit: np.ndarray, rng: np.random.Generator) -> None:
         """One step of noise-contrastive estimation over all tokens given: groups against drawn groups, units against units drawn from their group."""
-        order = np.argsort(unit, kind="stable")
+        order = _order(unit, len(self.unigram))
         far, near, unit = far[order], near[order], unit[order]
         group = unit // self.size
         h = self.context(far, near)
@@ -251,7 +261,7 @@ class Net:
 
     def _move(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
         """A step along summed gradients, by Adagrad with one sum of squares a row."""
-        order = np.argsort(rows, kind="stable")
+        order = _order(rows, len(getattr(self, name)))
         rows = rows[order]
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         rows, sums = rows[starts], np.add.reduceat(grads[order], starts, axis=0)
@@ -260,6 +270,11 @@ class Net:
         getattr(self, name)[rows] += RATE * sums / np.sqrt(squares[rows])[:, None]
 
 
+def _order(x: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers below ``most``; short ones are sorted by their digits, which is faster."""
+    return np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.clip(x, -30, 30, out=x)
     np.negative(x, out=x)
@@ -281,10 +296,10 @@ class Reader:
     """Units of texts and their predecessors, from the vocabulary's places."""
 
     def __init__(self, v: Vocabulary, units: np.ndarray) -> None:
-        self.places, self.units, self.n_head = _Places(v.head), units, len(v.head)
+        self.places, self.units, self.n_head, self.more_class = _Places(v), units, len(v.head), v.more_class
 
     def read(self, texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per token, ends included: its place, and the units before and before that, and its own; before a text stand ends."""
+        """Per token, ends included: its place as ``_Places`` has it, and the units before and before that, and its own; before a text stand ends."""
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         last = np.cumsum(sizes) - 1
         place = np.empty(int(sizes.sum()), np.int64)
@@ -292,7 +307,10 @@ class Reader:
         inside[last] = False
         place[inside] = np.fromiter(map(self.places.__getitem__, chain.from_iterable(texts)), np.int64, len(place) - len(texts))
         place[last] = self.n_head + CLASSES
-        unit = self.units[np.where(place < 0, self.n_head - 1 - place, place)]
+        at = np.where(place < 0, self.n_head - 1 - place, place)
+        more = np.flatnonzero(place < -CLASSES)
+        at[more] = self.n_head + self.more_class[-1 - CLASSES - place[more]]
+        unit = self.units[at]
         end, first = self.units[-1], last - sizes + 1
         near = np.r_[end, unit[:-1]][: len(unit)]
         near[first] = end
@@ -371,18 +389,26 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         base = np.r_[np.log10(v.counts + 0.1), np.zeros(CLASSES), math.log10(v.ends + 0.1)] - v.base_denominator
         known = np.r_[np.ones(len(v.counts)), np.zeros(CLASSES), v.ends > 0]
         within = np.r_[np.zeros(len(v.counts)), -v.class_denominators, 0.0]
+        log_more = np.log10(v.more_counts + 0.1)
         for batch in slices(batches, "text"):
             texts = [tokens(t) for t in utf8(batch, "text")]
             place, far, near, unit = reader.read(texts)
-            tail = place < 0
+            inside = place != len(v.counts) + CLASSES
+            tail, more = (place < 0) & (place >= -CLASSES), np.flatnonzero(place < -CLASSES)
+            held = -1 - CLASSES - place[more]
+            counted = np.zeros(len(place))
+            counted[more] = log_more[held]
+            place[more] = len(v.counts) + v.more_class[held]
             place[tail] = len(v.counts) - 1 - place[tail]
             sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
             first = np.cumsum(sizes) - sizes
-            logs = net.log_probabilities(far, near, unit) / math.log(10) + within[place]
-            sums = [np.add.reduceat(x, first) if len(texts) else np.zeros(0) for x in (known[place], base[place], logs)]
+            logs = net.log_probabilities(far, near, unit) / math.log(10) + within[place] + counted
+            is_known = known[place]
+            is_known[more] = 1
+            sums = [np.add.reduceat(x, first) if len(texts) else np.zeros(0) for x in (is_known, base[place] + counted, logs)]
             ends = np.r_[0, np.cumsum(np.add.reduceat(tail.astype(np.int64), first))] if len(texts) else np.zeros(1, np.int64)
-            all_words = [w for t in texts for w in (*t, END)]
-            rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array([all_words[i] for i in np.flatnonzero(tail).tolist()], pa.binary()))
+            words = list(chain.from_iterable(texts))
+            rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array([words[i] for i in np.flatnonzero(tail[inside]).tolist()], pa.binary()))
             columns = [pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), rare]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_tokens", "known", "base", "model", "tail"])
 
