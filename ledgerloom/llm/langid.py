@@ -33,6 +33,8 @@ from ledgerloom.llm._common import id_crc, parts, rows_in, schema_with, shared_t
 
 #: Documents per language that the fit reads on average.
 PER_LANGUAGE = 400
+#: Names of languages that are sent to all tasks at most.
+NAMED = 10_000
 #: Sampled documents whose cross products a task sums.
 EACH = 2000
 #: Hash slots of n-grams, and their lengths.
@@ -192,7 +194,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     spark, lang = docs.sparkSession, F.col(lang_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
     known = rows.where(F.col("lang").isNotNull() & (F.trim("lang") != "") & (id_crc(F.col("id")) % 3 != 1))
-    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), each / F.count("*")).alias("share"))
+    shares = shared_table(known.groupBy("lang").agg(F.least(F.lit(1.0), each / F.count("*")).alias("share")), "language-shares")
+    # A row a language; were there more than ``NAMED``, texts would be dealt out by language.
+    shares = F.broadcast(shares) if rows_in(shares) <= NAMED else shares
     # Rows are drawn one by one, so the sample is bounded whatever ids repeat; what was drawn is stored.
     drawn = known.join(shares, "lang").where(F.rand(SEED) < F.col("share")).select("lang", "text")
 
