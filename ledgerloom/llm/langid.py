@@ -132,12 +132,19 @@ class Sums:
     def __add__(self, other: Sums) -> Sums:
         return Sums(self.products + other.products, self.by_class + other.by_class)
 
+    def __iadd__(self, other: Sums) -> Sums:
+        self.products += other.products
+        self.by_class += other.by_class
+        return self
+
     def solve(self, code: np.ndarray) -> np.ndarray:
         """Linear classifiers for all bits at once; the last row is the intercept, which is not held small."""
         n = max(self.products[-1, -1], 1.0)
         mean_x, mean_y = self.products[-1, :-1] / n, self.by_class[:, -1] @ code / n
-        centred = self.products[:-1, :-1] - n * np.outer(mean_x, mean_x)
-        w = np.linalg.solve(centred + RIDGE * np.eye(len(centred)), self.by_class[:, :-1].T @ code - n * np.outer(mean_x, mean_y))
+        centred = np.outer(mean_x, -n * mean_x)
+        centred += self.products[:-1, :-1]
+        centred.flat[:: len(centred) + 1] += RIDGE
+        w = np.linalg.solve(centred, self.by_class[:, :-1].T @ code - n * np.outer(mean_x, mean_y))
         return np.vstack([w, mean_y - mean_x @ w])
 
 
@@ -219,7 +226,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if kept.products[-1, -1] and left_out.products[-1, -1] and kept.products[-1, -1] + left_out.products[-1, -1] >= 10:
         rate = np.clip(right_bits(sample, kept.solve(code), code), 0.51, 0.999)
         trust = np.log(rate / (1 - rate))
-    return Model(names, code, (kept + left_out).solve(code), trust)
+    kept += left_out
+    del left_out
+    return Model(names, code, kept.solve(code), trust)
 
 
 def with_language(docs: DataFrame, model: Model | None, text: str, prefix: str = "lang_") -> DataFrame:
