@@ -40,14 +40,16 @@ HEAD = 32_768
 #: Classes of all other words.
 CLASSES = 256
 #: Words after the head, by frequency, whose counts every task holds, too; those of all others are joined.
-MORE = 131_072
+MORE = 262_144
 #: Distinct tokens that a counting task holds before it passes them on.
-HELD = 200_000
+HELD = 400_000
 DIMENSIONS = 16
 #: Noise drawn for the tokens of a step: groups, and units of each group.
 NOISE = (64, 16)
 #: Tokens of a training step, and tokens that are scored at once.
-STEP, AT_ONCE = 8192, 16_384
+STEP, AT_ONCE = 8192, 65_536
+#: Tokens whose scores of all groups are held at once: they stay in a core's cache.
+BLOCK = 1024
 RATE = 0.05
 #: Tokens that the driver's first fit reads on average, and how often; it gives all copies the same start.
 WARM, EPOCHS = 1_000_000, 2
@@ -212,7 +214,7 @@ class Net:
             u = u[order]
             group = u // self.size
             h = self.context(far[at : at + AT_ONCE][order], near[at : at + AT_ONCE][order])
-            logs = _normalised(h @ self.group.T, group)
+            logs = np.concatenate([_normalised(h[i : i + BLOCK] @ self.group.T, group[i : i + BLOCK]) for i in range(0, len(u), BLOCK)])
             for g, a, b in self.segments(group):
                 first = g * self.size
                 logs[a:b] += _normalised(h[a:b] @ self.out[first : first + self.size].T, u[a:b] - first)
@@ -227,17 +229,25 @@ class Net:
         h = self.context(far, near)
         noise = np.searchsorted(self.steps[self.starts[1:] - 1], rng.random(NOISE[0]), "right")
         shift = np.log(NOISE[0] * self.group_unigram[noise]).astype(np.float32)
-        drawn = self.group[noise]
-        false = _sigmoid(h @ drawn.T - shift)
-        back = -(false @ drawn)
+        drawn, back = self.group[noise], np.empty_like(h)
+        pushed = np.zeros(drawn.shape, np.float32)
+        for i in range(0, len(h), BLOCK):
+            own = h[i : i + BLOCK]
+            false = _sigmoid(own @ drawn.T - shift)
+            back[i : i + BLOCK] = -(false @ drawn)
+            pushed += false.T @ own
         grads = self._real(h, self.group, group, NOISE[0] * self.group_unigram, back)
-        self._move("group", np.r_[group, noise], np.concatenate([grads, -(false.T @ h)]))
+        segments = list(self.segments(group))
+        present, firsts = np.array([g for g, _, _ in segments]), np.array([a for _, a, _ in segments])
+        sums = np.zeros(self.group.shape, np.float32)
+        np.subtract.at(sums, noise, pushed)
+        sums[present] += np.add.reduceat(grads, firsts, axis=0)
+        self._step("group", np.union1d(present, noise), sums)
         low = np.r_[0.0, self.steps[self.starts[1:] - 1]]
         noise = np.searchsorted(self.steps, low[:, None] + rng.random((self.groups, NOISE[1])) * self.group_unigram[:, None], "right")
         noise = np.clip(noise, self.starts[:, None], np.minimum(self.starts[:, None] + self.size, len(self.unigram)) - 1)
         shift = np.log(NOISE[1] * self.unigram[noise]).astype(np.float32)
         drawn, false = self.out[noise], np.empty((len(unit), NOISE[1]), np.float32)
-        segments = list(self.segments(group))
         for g, a, b in segments:
             np.matmul(h[a:b], drawn[g].T, out=false[a:b])
             false[a:b] -= shift[g]
@@ -247,7 +257,6 @@ class Net:
             back[a:b] -= false[a:b] @ drawn[g]
             np.matmul(false[a:b].T, h[a:b], out=pushed[g])
         grads = self._real(h, self.out, unit, NOISE[1] * self.unigram, back)
-        present = np.array([g for g, _, _ in segments])
         self._move("out", np.r_[unit, noise[present].ravel()], np.concatenate([grads, -pushed[present].reshape(-1, pushed.shape[2])]))
         self._move("far", far, back[:, :-1])
         self._move("near", near, back[:, :-1])
@@ -264,7 +273,11 @@ class Net:
         order = _order(rows, len(getattr(self, name)))
         rows = rows[order]
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        rows, sums = rows[starts], np.add.reduceat(grads[order], starts, axis=0)
+        self._step(name, rows[starts], np.add.reduceat(grads[order], starts, axis=0))
+
+    def _step(self, name: str, rows: np.ndarray, sums: np.ndarray) -> None:
+        """A step of distinct rows along their sums; ``sums`` are of these rows, or of all."""
+        sums = sums if len(sums) == len(rows) else sums[rows]
         squares = self.squares[name]
         squares[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
         getattr(self, name)[rows] += RATE * sums / np.sqrt(squares[rows])[:, None]
