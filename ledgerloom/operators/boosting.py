@@ -23,7 +23,7 @@ from ledgerloom.plans.stored import discard, stored
 #: Bins of a feature; the last one holds missing values.
 BINS, MISSING = 256, 255
 #: Rows that one task fits on its own; larger tables are passed over by all tasks for each level of each tree.
-HELD = 200_000
+HELD = 1_000_000
 #: Trees after which the scores of a larger table are written anew, so that a pass evaluates no more than that.
 STORED_EVERY = 10
 #: Accuracy of the sketches from which edges of bins are taken.

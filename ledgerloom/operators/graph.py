@@ -158,18 +158,25 @@ def high_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(account, component): every account takes the least name around it as label, then labels are joined in turn until none differ."""
+    """(account, component): every account takes the least name around it as label, and links between labels form the next, smaller graph, until none are left; then labels of all rounds are joined.
+
+    An island that has one label has no links any more and takes no part in later rounds.
+    """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = kept(both.union(both.select("b", "a")).where("a <> b").distinct(), "links")
+    links = kept(both.union(both.select("b", "a")).where("a <> b").distinct(), "links")
     lone = edges.select(F.explode(F.array("src", "dst")).alias("account")).distinct()
-    total = None
-    while True:
-        near = kept(both.groupBy(F.col("a").alias("account")).agg(F.min("b").alias("b")).select("account", F.least("account", "b").alias("label")), "labels")
-        total = near if total is None else kept(total.join(near.select(F.col("account").alias("label"), F.col("label").alias("next")), "label", "left").select("account", F.coalesce("next", "label").alias("label")), "labels")
-        step = both.join(near.select(F.col("account").alias("a"), F.col("label").alias("la")), "a").join(near.select(F.col("account").alias("b"), F.col("label").alias("lb")), "b")
-        both = kept(step.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
-        if both.isEmpty():
-            return lone.join(total, "account", "left").select("account", F.coalesce("label", "account").alias("component"))
+    rounds: list[DataFrame] = []
+    while not rounds or not links.isEmpty():
+        near = kept(links.groupBy(F.col("a").alias("account")).agg(F.min("b").alias("b")).select("account", F.least("account", "b").alias("label")), "labels")
+        rounds.append(near)
+        step = links.join(near.select(F.col("account").alias("a"), F.col("label").alias("la")), "a").join(near.select(F.col("account").alias("b"), F.col("label").alias("lb")), "b")
+        before, links = links, kept(step.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+        discard(before)
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("account").alias("label"), F.col("label").alias("next"))
+        found = rounds.pop().join(later, "label", "left").select("account", F.coalesce("next", "label").alias("label"))
+    return lone.join(found, "account", "left").select("account", F.coalesce("label", "account").alias("component"))
 
 
 #: The least account that each account reaches, by labels that spread until none falls.

@@ -173,6 +173,13 @@ def calibrated(scored: DataFrame) -> DataFrame:
     return rows.select("part", "label", "p", platt.alias("platt"))
 
 
+def scored_credit(rows: DataFrame, model: boosting.Model, columns: list[str]) -> DataFrame:
+    """Applications and their ``score``; a column that is missing, or a number that is there but below 0 or not finite, raises an error. Missing numbers are scored as such."""
+    rules = {f"{c} is missing or 0 or more": F.col(c).isNull() | (finite(c) & (F.col(c) >= 0)) for c in columns}
+    asserted(rows, rules, [*columns, "c_mktsegment"])
+    return boosting.with_score(of_segments(rows), model).select(*rows.columns, "score")
+
+
 def credit_candidates(split: DataFrame, settings: boosting.Settings = CREDIT_TREES) -> list[tuple[str, str, DataFrame]]:
     """(kind, columns, stored rows with part, label, p and platt) of the prior, and of logistic regression and boosted trees on both sets of columns."""
     train = split.where("part = 'train'")
@@ -367,6 +374,13 @@ def regression_candidates(train: DataFrame, settings: boosting.Settings = REGRES
     return [("median_by_type", lambda rows: rows.withColumn("guess", median)), *[(name, lambda rows, m=m: m.transform(rows).withColumn("guess", guess)) for name, m in models], ("boosted", boost)]
 
 
+def guessed_amounts(rows: DataFrame, trees: boosting.Model) -> DataFrame:
+    """Transactions (type, oldbalanceOrg) and ``prediction``, their amount by the trees, at least 0; a row that breaks a rule, or a column that is missing, raises an error."""
+    asserted(rows, {"type is known": F.col("type").isin(TYPES), "oldbalanceOrg is a number of 0 or more": finite("oldbalanceOrg") & (F.col("oldbalanceOrg") >= 0)}, ["type", "oldbalanceOrg"])
+    wide = of_types(rows.withColumns({"log_balance": F.log1p("oldbalanceOrg"), "zero": (F.col("oldbalanceOrg") == 0).cast("double")}))
+    return boosting.with_score(wide, trees, "log_amount").select(*rows.columns, F.greatest(F.lit(0.0), F.expm1("log_amount")).alias("prediction"))
+
+
 def first_best(errors: list[float]) -> int:
     """The place of the first error that is the least, but for 1e-9."""
     return next(i for i, e in enumerate(errors) if e <= min(errors) + 1e-9)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.stored import stored
 
 #: Values that the driver takes at most for one order statistic; those of larger tables are bracketed first.
-HELD = 1_000_000
+HELD = 100_000
 #: Accuracy of the sketch that brackets; its rank error is one part of so many.
 ACCURACY = 10_000
 #: Rows that one task numbers.
