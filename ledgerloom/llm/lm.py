@@ -25,7 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,7 @@ WARM, EPOCHS = 1_000_000, 2
 COPIES, ROWS = 1024, 64
 SEED = 11
 END = b""  # no word is empty
+UNKNOWN = 1 << 40  # no place
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -128,19 +129,12 @@ class Vocabulary:
         return units, counts[order]
 
 
-class _Places(dict):
-    """A word's place in the head, -1 - its class, or from -1 - CLASSES downwards its place after the head; what it remembers of other words is bounded."""
+class _Classes(dict):
+    """The class of each ending of two bytes that has been seen."""
 
-    def __init__(self, v: Vocabulary) -> None:
-        self.known = v.head | {word: -1 - CLASSES - j for word, j in v.more.items()}
-        super().__init__(self.known)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.known) + HELD:
-            self.clear()
-            self.update(self.known)
-        self[word] = place = -1 - word_class(word)
-        return place
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = found = word_class(ending)
+        return found
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -309,16 +303,22 @@ class Reader:
     """Units of texts and their predecessors, from the vocabulary's places."""
 
     def __init__(self, v: Vocabulary, units: np.ndarray) -> None:
-        self.places, self.units, self.n_head, self.more_class = _Places(v), units, len(v.head), v.more_class
+        # A word's place in the head, or from -1 - CLASSES downwards its place after the head.
+        self.places = v.head | {word: -1 - CLASSES - j for word, j in v.more.items()}
+        self.classes, self.units, self.n_head, self.more_class = _Classes(), units, len(v.head), v.more_class
 
     def read(self, texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per token, ends included: its place as ``_Places`` has it, and the units before and before that, and its own; before a text stand ends."""
+        """Per token, ends included: its place (-1 - its class if the word is in no table), and the units before and before that, and its own; before a text stand ends."""
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         last = np.cumsum(sizes) - 1
         place = np.empty(int(sizes.sum()), np.int64)
         inside = np.ones(len(place), bool)
         inside[last] = False
-        place[inside] = np.fromiter(map(self.places.__getitem__, chain.from_iterable(texts)), np.int64, len(place) - len(texts))
+        words = list(chain.from_iterable(texts))
+        found = np.fromiter(map(self.places.get, words, repeat(UNKNOWN)), np.int64, len(words))
+        other = np.flatnonzero(found == UNKNOWN)
+        found[other] = [-1 - self.classes[words[i][-2:]] for i in other.tolist()]
+        place[inside] = found
         place[last] = self.n_head + CLASSES
         at = np.where(place < 0, self.n_head - 1 - place, place)
         more = np.flatnonzero(place < -CLASSES)
