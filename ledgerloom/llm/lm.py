@@ -190,8 +190,9 @@ class Net:
         self.squares = {k: np.full(len(getattr(self, k)), 1e-3, np.float32) for k in self.NAMES}
 
     def context(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
-        h = np.ones((len(far), DIMENSIONS + 1), np.float32)
-        np.add(self.far[far], self.near[near], out=h[:, :-1])
+        h = np.empty((len(far), DIMENSIONS + 1), np.float32)
+        h[:, -1] = 1
+        np.add(np.take(self.far, far, axis=0), np.take(self.near, near, axis=0), out=h[:, :-1])
         return h
 
     def segments(self, group: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -225,9 +226,10 @@ class Net:
         shift = np.log(NOISE[0] * self.group_unigram[noise]).astype(np.float32)
         drawn, back = self.group[noise], np.empty_like(h)
         pushed = np.zeros(drawn.shape, np.float32)
+        against = _shifted(drawn, shift).T
         for i in range(0, len(h), BLOCK):
             own = h[i : i + BLOCK]
-            false = _sigmoid(own @ drawn.T - shift)
+            false = _sigmoid_of_negative(own @ against)
             back[i : i + BLOCK] = -(false @ drawn)
             pushed += false.T @ own
         grads = self._real(h, self.group, group, NOISE[0] * self.group_unigram, back)
@@ -242,10 +244,10 @@ class Net:
         noise = np.clip(noise, self.starts[:, None], np.minimum(self.starts[:, None] + self.size, len(self.unigram)) - 1)
         shift = np.log(NOISE[1] * self.unigram[noise]).astype(np.float32)
         drawn, false = self.out[noise], np.empty((len(unit), NOISE[1]), np.float32)
+        against = _shifted(drawn, shift).transpose(0, 2, 1)
         for g, a, b in segments:
-            np.matmul(h[a:b], drawn[g].T, out=false[a:b])
-            false[a:b] -= shift[g]
-        false = _sigmoid(false)
+            np.matmul(h[a:b], against[g], out=false[a:b])
+        false = _sigmoid_of_negative(false)
         pushed = np.zeros(drawn.shape, np.float32)
         for g, a, b in segments:
             back[a:b] -= false[a:b] @ drawn[g]
@@ -257,17 +259,18 @@ class Net:
 
     def _real(self, h: np.ndarray, table: np.ndarray, target: np.ndarray, expected: np.ndarray, back: np.ndarray) -> np.ndarray:
         """Ascent of the log-likelihood that targets are data: added to ``back`` by context, and returned by target."""
-        vectors = table[target]
-        real = 1 - _sigmoid(np.einsum("ij,ij->i", h, vectors) - np.log(expected).astype(np.float32)[target])
-        back += real[:, None] * vectors
-        return real[:, None] * h
+        vectors = np.take(table, target, axis=0)
+        real = _sigmoid_of_negative(np.einsum("ij,ij->i", h, vectors) - np.take(np.log(expected).astype(np.float32), target))[:, None]
+        vectors *= real
+        back += vectors
+        return real * h
 
     def _move(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
         """A step along summed gradients, by Adagrad with one sum of squares a row."""
         order = _order(rows, len(getattr(self, name)))
         rows = rows[order]
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        self._step(name, rows[starts], np.add.reduceat(grads[order], starts, axis=0))
+        self._step(name, rows[starts], np.add.reduceat(np.take(grads, order, axis=0), starts, axis=0))
 
     def _step(self, name: str, rows: np.ndarray, sums: np.ndarray) -> None:
         """A step of distinct rows along their sums; ``sums`` are of these rows, or of all."""
@@ -282,10 +285,17 @@ def _order(x: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+def _shifted(vectors: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Vectors, bias last, whose products with contexts are those of the given ones less a shift, negated."""
+    out = -vectors
+    out[..., -1] += shift
+    return out
+
+
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place; 0 where the exponential is infinite."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
