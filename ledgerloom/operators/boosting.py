@@ -1,8 +1,11 @@
 """Boosted trees that grow leaf by leaf on histograms of quantised features; the histograms are summed in tasks.
 
 A tree splits the leaf of greatest gain until it has its number of leaves. Histograms of all leaves that may be split next are
-counted in one pass over the rows, so a tree takes about as many passes as it is deep. Gradients are rounded to whole
-numbers of a fixed unit, so that sums don't depend on their order and any split of the rows into tasks gives the same trees.
+counted together. Gradients are rounded to whole numbers of a fixed unit, so that sums don't depend on their order and any
+split of the rows into tasks gives the same trees.
+
+Rows of equal bins and label have equal scores after any tree, so they are one row with a weight: their number is bounded by the
+bins, not by the table. Up to ``HELD`` of them are fitted by one task, more by passes of all tasks, with the same result.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from ledgerloom.plans.stored import discard, stored
 
 #: Bins of a feature; the last one holds missing values.
 BINS, MISSING = 256, 255
-#: Rows that one task fits on its own; larger tables are passed over by all tasks for each level of each tree.
-HELD = 1_000_000
+#: Different rows of bins that one task fits on its own, at about 100 bytes each; more are passed over by all tasks for each level of each tree.
+HELD = 4_000_000
 #: Trees after which the scores of a larger table are written anew, so that a pass evaluates no more than that.
 STORED_EVERY = 10
+#: Rows for which a tree is evaluated at once, so that they stay in a core's cache.
+AT_ONCE = 16_384
 #: Accuracy of the sketches from which edges of bins are taken.
 ACCURACY = 10_000
 #: Least sum of second derivatives on either side of a split.
@@ -82,8 +87,23 @@ class Tree:
             rows = rows[feature[at[rows]] >= 0]
         return at
 
+    def goes_left(self, node: int, b: np.ndarray) -> np.ndarray:
+        """Which of the bins of a split's feature go left; a cut lies below the bin of missing values."""
+        return (b <= self.cut[node]) | (b == MISSING) if self.missing_left[node] else b <= self.cut[node]
+
     def values(self, bins: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.leaf_of(bins)]
+        """The value of each row, chosen from the leaves up: children have higher numbers than their parent."""
+        out = np.empty(len(bins))
+        for start in range(0, len(bins), AT_ONCE):
+            part = bins[start : start + AT_ONCE]
+            found: dict[int, np.ndarray | float] = {}
+            for n in reversed(range(len(self.feature))):
+                if self.feature[n] < 0:
+                    found[n] = self.value[n]
+                else:
+                    found[n] = np.where(self.goes_left(n, part[:, self.feature[n]]), found.pop(self.left[n]), found.pop(self.right[n]))
+            out[start : start + AT_ONCE] = found[0]
+        return out
 
 
 @dataclass
@@ -125,7 +145,7 @@ def edges_of(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
 
 def bins_of(batch: pa.RecordBatch, features: Sequence[str], edges: Sequence[np.ndarray]) -> np.ndarray:
     """The bins of a batch's rows, one byte a feature: how many edges lie below a value."""
-    out = np.empty((batch.num_rows, len(features)), np.uint8)
+    out = np.empty((batch.num_rows, len(features)), np.uint8, order="F")
     for j, (name, edge) in enumerate(zip(features, edges, strict=True)):
         values = batch.column(batch.schema.get_field_index(name)).cast(pa.float64()).to_numpy(zero_copy_only=False)
         out[:, j] = np.where(np.isnan(values), MISSING, np.searchsorted(edge, values))
@@ -134,51 +154,69 @@ def bins_of(batch: pa.RecordBatch, features: Sequence[str], edges: Sequence[np.n
 
 @dataclass
 class Rows:
-    """Rows as one task holds them: bins, labels, raw scores."""
+    """Rows as one task holds them: bins, labels, raw scores, and how many rows each stands for."""
 
     bins: np.ndarray
     label: np.ndarray
     raw: np.ndarray
+    weight: np.ndarray
 
-    def histograms(self, tree: Tree, targets: list[int], settings: Settings, unit: float) -> np.ndarray:
-        """For each target leaf, feature and bin: sums of both derivatives in ``unit``, and rows; whole numbers."""
-        place = np.full(len(tree.feature), -1)
-        place[targets] = np.arange(len(targets))
-        at = place[tree.leaf_of(self.bins)]
-        own = np.flatnonzero(at >= 0)
+    def derivatives(self, settings: Settings, unit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Both derivatives of each row in whole numbers of ``unit``, times its weight."""
         if settings.loss == "log":
-            p = 1 / (1 + np.exp(-self.raw[own]))
-            first, second = p - self.label[own], p * (1 - p)
+            p = 1 / (1 + np.exp(-self.raw))
+            first, second = p - self.label, p * (1 - p)
         else:
-            first, second = self.raw[own] - self.label[own], np.ones(len(own))
-        weights = (np.rint(first * unit), np.rint(second * unit), None)
-        out = np.zeros((len(targets), self.bins.shape[1], BINS, 3), np.int64)
-        size = len(targets) * BINS
-        for f in range(self.bins.shape[1]):
-            key = at[own] * BINS + self.bins[own, f]
-            for k, w in enumerate(weights):
-                out[:, f, :, k] = np.rint(np.bincount(key, w, size)).astype(np.int64).reshape(-1, BINS)
-        return out
+            first, second = self.raw - self.label, np.ones(len(self.raw))
+        return np.rint(first * unit) * self.weight, np.rint(second * unit) * self.weight
 
     def add(self, tree: Tree) -> None:
         self.raw = self.raw + tree.values(self.bins)
 
 
 class HeldRows:
-    """Rows of a table that one task holds whole."""
+    """Rows that one task holds for a whole fit: bins by column, and the rows of each node of the tree that grows."""
 
     def __init__(self, rows: Rows):
-        self.rows = rows
+        self.rows = replace(rows, bins=np.asfortranarray(rows.bins))
+        self.members: dict[int, np.ndarray | slice] = {}
+        self.first = self.second = np.empty(0)
 
     def histograms(self, tree: Tree, targets: list[int], settings: Settings, unit: float) -> np.ndarray:
-        return self.rows.histograms(tree, targets, settings, unit)
+        """For each target leaf, feature and bin: sums of both derivatives in ``unit``, and rows; whole numbers."""
+        if targets == [0]:
+            self.begin(settings, unit)
+        out = np.zeros((len(targets), self.rows.bins.shape[1], BINS, 3), np.int64)
+        for place, node in enumerate(targets):
+            own = self.members_of(tree, node)
+            weights = (self.first[own], self.second[own], self.rows.weight[own])
+            for f in range(self.rows.bins.shape[1]):
+                key = self.rows.bins[:, f][own].astype(np.intp)
+                for k, w in enumerate(weights):
+                    out[place, f, :, k] = np.rint(np.bincount(key, w, BINS))
+        return out
+
+    def begin(self, settings: Settings, unit: float) -> None:
+        """Start a tree."""
+        self.first, self.second = self.rows.derivatives(settings, unit)
+        self.members = {0: slice(None)}
+
+    def members_of(self, tree: Tree, node: int) -> np.ndarray | slice:
+        if node not in self.members:
+            parent = parent_of(tree, node)
+            whole = self.members_of(tree, parent)
+            del self.members[parent]  # its children have its rows from now on
+            left = tree.goes_left(parent, self.rows.bins[:, tree.feature[parent]][whole])
+            for child, side in ((tree.left[parent], left), (tree.right[parent], ~left)):
+                self.members[child] = np.flatnonzero(side) if isinstance(whole, slice) else whole[side]
+        return self.members[node]
 
     def add(self, tree: Tree) -> None:
         self.rows.add(tree)
 
 
 class DealtRows:
-    """Rows of a stored table (bins, label, raw) that all tasks pass over."""
+    """Rows of a stored table (bins, label, raw, weight) that all tasks pass over."""
 
     def __init__(self, table: DataFrame):
         self.table, self.fresh = table, []
@@ -192,7 +230,9 @@ class DealtRows:
                 rows = rows_of(batch)
                 for t in fresh:
                     rows.add(t)
-                found = rows.histograms(tree, targets, settings, unit)
+                held = HeldRows(rows)
+                held.begin(settings, unit)
+                found = held.histograms(tree, targets, settings, unit)
                 total = found if total is None else total + found
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["state"])
@@ -210,16 +250,23 @@ class DealtRows:
                 rows = rows_of(batch)
                 for t in fresh:
                     rows.add(t)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows.raw)], ["bins", "label", "raw"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows.raw), batch.column(3)], ["bins", "label", "raw", "weight"])
 
         self.table, self.fresh = stored(before.mapInArrow(scored, before.schema), "boosted-rows"), []
         discard(before)
 
 
 def rows_of(batch: pa.RecordBatch) -> Rows:
-    """A batch of (bins, label, raw)."""
+    """A batch of (bins, label, raw, weight)."""
     bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    return Rows(bins, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
+    label, raw, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+    return Rows(bins, label, raw, weight.astype(float))
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Rows:
+    """All rows of a task."""
+    parts = [rows_of(b) for b in batches if b.num_rows]
+    return Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("bins", "label", "raw", "weight")))
 
 
 @dataclass(frozen=True)
@@ -228,6 +275,8 @@ class Split:
     feature: int
     cut: int
     missing_left: bool
+    rows_left: int
+    rows_right: int
 
 
 def best_split(histogram: np.ndarray, settings: Settings, unit: float) -> Split | None:
@@ -249,7 +298,7 @@ def best_split(histogram: np.ndarray, settings: Settings, unit: float) -> Split
         f, cut = np.unravel_index(int(gain.argmax()), gain.shape)
         if gain[f, cut] > 0 and (best is None or gain[f, cut] > best.gain):
             unseen = histogram[f, MISSING, 2] == 0
-            best = Split(float(gain[f, cut]), int(f), int(cut), bool(l_rows[f, cut] > r_rows[f, cut]) if unseen else missing_left)
+            best = Split(float(gain[f, cut]), int(f), int(cut), bool(l_rows[f, cut] > r_rows[f, cut]) if unseen else missing_left, int(l_rows[f, cut]), int(r_rows[f, cut]))
     return best
 
 
@@ -269,8 +318,11 @@ def grown(rows: HeldRows | DealtRows, settings: Settings, unit: float) -> Tree:
             left_over = settings.leaves - 1 - len(chosen)
             new = [n for n in sorted(open_, key=lambda n: (-split[n].gain, n))[:left_over] if trial.feature[n] < 0]
             lefts = {n: trial.split(n, split[n].feature, split[n].cut, split[n].missing_left)[0] for n in new}
-            for n, found in zip(new, rows.histograms(trial, list(lefts.values()), settings, unit), strict=True):
-                for child, h in ((lefts[n], found), (lefts[n] + 1, histogram[n] - found)):
+            # The child of fewer rows is counted, the other one is what remains.
+            counted = [lefts[n] + (split[n].rows_left > split[n].rows_right) for n in new]
+            for n, target, found in zip(new, counted, rows.histograms(trial, counted, settings, unit), strict=True):
+                other = histogram[n] - found
+                for child, h in zip((lefts[n], lefts[n] + 1), (found, other) if target == lefts[n] else (other, found), strict=True):
                     histogram[child] = h
                     split[child] = best_split(h, settings, unit) if h[0, :, 2].sum() >= 2 * settings.least else None
         chosen.append(best)
@@ -308,7 +360,7 @@ def boosted(rows: HeldRows | DealtRows, settings: Settings, unit: float) -> list
 def fit(rows: DataFrame, features: Sequence[str], label: str, settings: Settings, held: int = HELD) -> Model:
     """Trees fitted on all rows that have a label; features are numbers, null and NaN are missing.
 
-    Tables of up to ``held`` rows are fitted by one task, larger ones by passes of all tasks, with the same result.
+    Tables of up to ``held`` different rows of bins are fitted by one task, larger ones by passes of all tasks, with the same result.
     """
     rows = rows.where(F.col(label).isNotNull())
     edges = edges_of(rows, features)
@@ -329,22 +381,23 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, settings: Settings
 
     def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = bins_of(batch, names, edges)
-            lines = pa.array([b.tobytes() for b in bins], pa.binary())
-            yield pa.RecordBatch.from_arrays([lines, batch.column(len(names)), pa.array(np.full(batch.num_rows, base))], ["bins", "label", "raw"])
+            bins = np.ascontiguousarray(bins_of(batch, names, edges))
+            lines = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(names)), len(bins), [None, pa.py_buffer(bins)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([lines, batch.column(len(names))], ["bins", "label"])
 
     numbers = rows.select(*[F.col(f"`{f}`").cast("double").alias(k) for f, k in zip(features, names, strict=True)], F.col(label).cast("double").alias("label"))
-    table = numbers.mapInArrow(quantised, "bins binary, label double, raw double")
-    if n > held:
-        trees = boosted(DealtRows(stored(table, "boosted-rows")), settings, unit)
+    table = numbers.mapInArrow(quantised, "bins binary, label double")
+    table = stored(table.groupBy("bins", "label").agg(F.count("*").alias("weight")).select("bins", "label", F.lit(base).alias("raw"), "weight"), "boosted-rows")
+    if table.count() > held:
+        trees = boosted(DealtRows(table), settings, unit)
     else:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [rows_of(b) for b in batches if b.num_rows]
-            together = Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("bins", "label", "raw")))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(boosted(HeldRows(together), settings, unit))], pa.binary())], ["trees"])
+            found = boosted(HeldRows(together(batches)), settings, unit)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["trees"])
 
         trees = pickle.loads(table.coalesce(1).mapInArrow(whole, "trees binary").first()["trees"])
+        discard(table)
     return Model(list(features), edges, settings.loss, base, trees)
 
 
