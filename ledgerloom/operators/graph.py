@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
@@ -62,6 +62,18 @@ def node_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("account", C.fan_type(F.col("account")).alias("kind"), F.col("out").alias("unique_destinations"), F.col("in").alias("unique_sources"), "w_out", "w_in", *[F.round(C.ratio(F.col(c), F.col("n") - 1), 9).alias(f"{c}_centrality") for c in ("out", "in")], F.round("sent", 2).alias("sent"), F.round("received", 2).alias("received"), "net_flow")
 
 
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and their counts only: what ranks go by."""
+    return transactions(spark, sf_dir).groupBy(F.col("nameOrig").alias("src"), F.col("nameDest").alias("dst")).agg(F.count("*").alias("weight"))
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    """Per account: sources, and transactions sent."""
+    none = F.lit(0).cast("long")
+    both = edges.select(F.inline(F.array(F.struct(F.col("src").alias("account"), none.alias("in"), F.col("weight").alias("w_out")), F.struct(F.col("dst").alias("account"), F.lit(1).cast("long").alias("in"), none.alias("w_out")))))
+    return both.groupBy("account").agg(F.sum("in").alias("in"), F.sum("w_out").alias("w_out"))
+
+
 #: A run to its end stops once a round moves less than this in all, or after so many rounds.
 CONVERGED, MOST_ROUNDS = 1e-6, 100
 
@@ -70,31 +82,43 @@ def pagerank(edges: DataFrame, found: DataFrame, rounds: int = ROUNDS, tolerance
     """Weighted PageRank with evenly spread dangling mass; each round is written, so plans stay short.
 
     It ends after ``rounds``, or before that once a round moves less than ``tolerance`` in all, if one is given.
-    Shares lie in buckets of their source and ranks in buckets of their account, so that a round exchanges
-    nothing but what accounts are given, summed by each task before.
+    Accounts that receive nothing all have one rank in each round, so what they give to an account is one sum of shares,
+    and only pairs between accounts that receive take part in the rounds. Shares lie in buckets of their source and ranks in
+    buckets of their account, so that a round exchanges nothing but what accounts are given, summed by each task before.
     """
-    n = found.count()
+    found = kept(found.select("account", "w_out", (F.col("in") > 0).alias("receives")), "ranked-nodes")
+    seen = found.agg(F.count("*").alias("n"), F.count_if(~F.col("receives")).alias("only_give")).first()
+    n, only_give = seen["n"], seen["only_give"]
     if not n:
         return found.select("account", F.lit(0.0).alias("rank"))
     buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = bucketed(edges.join(found.select(F.col("account").alias("src"), "w_out"), "src").select("src", "dst", (F.col("weight") / F.col("w_out")).alias("share")), "shares", "src", buckets)
-    dangling = found.select("account", (F.col("w_out") == 0).alias("dangling"))
-    ranks = bucketed(dangling.withColumns({"rank": F.lit(1.0 / n), "moved": F.lit(None).cast("double")}), "ranks", "account", buckets)
+    source = F.when(F.col("receives"), F.col("src")).alias("src")  # null: one of those that only give
+    each = edges.select("src", "dst", "weight").join(found.select(F.col("account").alias("src"), "w_out", "receives"), "src").select(source, "dst", (F.col("weight") / F.col("w_out")).alias("share"))
+    summed = kept(each.groupBy("src", "dst").agg(F.sum("share").alias("share")), "shares")
+    shares = bucketed(summed.where("src is not null"), "shares", "src", buckets)
+    fixed = summed.where("src is null").select(F.col("dst").alias("account"), F.col("share").alias("fixed"))
+    start = found.where("receives").select("account", (F.col("w_out") == 0).alias("dangling")).join(fixed, "account", "left")
+    ranks = bucketed(start.select("account", "dangling", F.coalesce("fixed", F.lit(0.0)).alias("fixed"), F.lit(1.0 / n).alias("rank"), F.lit(None).cast("double").alias("moved")), "ranks", "account", buckets)
+    discard(summed)
+    giver, giver_moved = 1.0 / n, 0.0
     for _ in range(rounds):
         seen = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.sum("moved").alias("moved")).first()
-        if tolerance is not None and seen["moved"] is not None and seen["moved"] < tolerance:
+        if tolerance is not None and seen["moved"] is not None and seen["moved"] + only_give * giver_moved < tolerance:
             break
-        before, ranks = ranks, bucketed(round_of(shares, ranks, n, seen["lost"]), "ranks", "account", buckets)
+        before, ranks = ranks, bucketed(round_of(shares, ranks, n, seen["lost"], giver), "ranks", "account", buckets)
+        new = (1 - DAMPING) / n + DAMPING * (seen["lost"] / n)
+        giver, giver_moved = new, abs(new - giver)
         discard(before)
     discard(shares)
-    return ranks.select("account", "rank")
+    return ranks.select("account", "rank").union(found.where("not receives").select("account", F.lit(giver)))
 
 
-def round_of(shares: DataFrame, ranks: DataFrame, n: int, lost: float) -> DataFrame:
-    """Ranks after one more round, and how far each has moved."""
+def round_of(shares: DataFrame, ranks: DataFrame, n: int, lost: float, giver: float | None = None) -> DataFrame:
+    """Ranks after one more round, and how far each has moved; ``giver`` is the rank of accounts that only give, if their shares are summed in ``fixed``."""
+    fixed = F.lit(0.0) if giver is None else F.lit(giver) * F.col("fixed")
     given = shares.join(ranks.select(F.col("account").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("account")).agg(F.sum(F.col("share") * F.col("rank")).alias("given"))
-    new = (1 - DAMPING) / n + DAMPING * (F.lit(lost) / n + F.coalesce("given", F.lit(0.0)))
-    return ranks.join(given, "account", "left").select("account", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
+    new = (1 - DAMPING) / n + DAMPING * (F.lit(lost) / n + fixed + F.coalesce("given", F.lit(0.0)))
+    return ranks.join(given, "account", "left").select(*[c for c in ranks.columns if c not in ("rank", "moved")], new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
 
 
 RANKED = f"""RECURSIVE {NODES}, shares AS MATERIALIZED (SELECT src, dst, weight::DOUBLE / w_out AS share FROM pairs JOIN nodes ON src = account), n AS (SELECT count(*)::DOUBLE AS n FROM nodes),
@@ -107,15 +131,15 @@ r{k + 1} AS MATERIALIZED (SELECT account, dangling, {1 - DAMPING!r} / n + {DAMPI
 
 @query("gr03_pagerank", f"WITH {RANKED} SELECT account, round(rank, 12) AS pagerank FROM r{ROUNDS}")
 def pagerank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = kept(graph(spark, sf_dir), "pairs")
-    return pagerank(edges, nodes(edges)).select("account", F.round("rank", 12).alias("pagerank"))
+    edges = kept(weights(spark, sf_dir), "pairs")
+    return pagerank(edges, ends(edges)).select("account", F.round("rank", 12).alias("pagerank"))
 
 
 @query("gr03_pagerank_converged")
 def converged_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks run to their end."""
-    edges = kept(graph(spark, sf_dir), "pairs")
-    return pagerank(edges, nodes(edges), MOST_ROUNDS, CONVERGED).select("account", F.col("rank").alias("pagerank"))
+    edges = kept(weights(spark, sf_dir), "pairs")
+    return pagerank(edges, ends(edges), MOST_ROUNDS, CONVERGED).select("account", F.col("rank").alias("pagerank"))
 
 
 FLAG_STEPS = f""", t AS (SELECT quantile_cont("out", {FAN / 100}) AS o, quantile_cont("in", {FAN / 100}) AS i, quantile_cont(net_flow, {FLOW / 100}) AS hi, quantile_cont(net_flow, {1 - FLOW / 100:.2f}) AS lo FROM nodes),
@@ -137,7 +161,7 @@ def indicators(found: DataFrame, fan: int = FAN, high: int = FLOW) -> DataFrame:
 
 @query("gr06_gr07_gr10_gr11_indicators", f"WITH {RANKED}{FLAG_STEPS} SELECT account, array_to_string(patterns, ',') AS patterns, CAST(len(patterns) AS BIGINT) AS n_patterns, frauds, round(rank, 12) AS pagerank FROM flags JOIN r{ROUNDS} USING (account) WHERE len(patterns) > 0")
 def suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = kept(graph(spark, sf_dir), "pairs")
+    edges = kept(graph(spark, sf_dir).drop("types", "largest"), "pairs")
     found = kept(nodes(edges), "nodes")
     flags = indicators(found).where(F.size("patterns") > 0)
     joined = flags.join(pagerank(edges, found), "account")
@@ -157,26 +181,42 @@ def high_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.where(F.col("total") > F.lit(limit).cast("double")).select("src", "dst", F.round("total", 2).alias("total"), "weight")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(account, component): every account takes the least name around it as label, and links between labels form the next, smaller graph, until none are left; then labels of all rounds are joined.
+def islands(edges: DataFrame) -> DataFrame:
+    """(account, label): accounts of one component have one label.
 
+    Accounts are numbered by hash; their names serve where two of them share a hash. Every account takes the least number around
+    it as label, and links between labels form the next, smaller graph, until none are left; then labels of all rounds are joined.
     An island that has one label has no links any more and takes no part in later rounds.
     """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    links = kept(both.union(both.select("b", "a")).where("a <> b").distinct(), "links")
-    lone = edges.select(F.explode(F.array("src", "dst")).alias("account")).distinct()
+    accounts = kept(edges.select(F.explode(F.array("src", "dst")).alias("account")).distinct(), "accounts")
+    seen = accounts.agg(F.count("*").alias("n"), F.count_distinct(number("account")).alias("numbers")).first()
+    of = number if seen["n"] == seen["numbers"] else F.col
+    link = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = kept(edges.where("src <> dst").select(*link(of("src"), of("dst"))).distinct(), "links")
     rounds: list[DataFrame] = []
     while not rounds or not links.isEmpty():
-        near = kept(links.groupBy(F.col("a").alias("account")).agg(F.min("b").alias("b")).select("account", F.least("account", "b").alias("label")), "labels")
+        both = links.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
+        near = kept(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
         rounds.append(near)
-        step = links.join(near.select(F.col("account").alias("a"), F.col("label").alias("la")), "a").join(near.select(F.col("account").alias("b"), F.col("label").alias("lb")), "b")
-        before, links = links, kept(step.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+        step = links.join(near.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(near.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        before, links = links, kept(step.where("la <> lb").select(*link(F.col("la"), F.col("lb"))).distinct(), "links")
         discard(before)
     found = rounds.pop()
     while rounds:
-        later = found.select(F.col("account").alias("label"), F.col("label").alias("next"))
-        found = rounds.pop().join(later, "label", "left").select("account", F.coalesce("next", "label").alias("label"))
-    return lone.join(found, "account", "left").select("account", F.coalesce("label", "account").alias("component"))
+        later = found.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        found = rounds.pop().join(later, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return accounts.withColumn("node", of("account")).join(found, "node", "left").select("account", F.coalesce("label", "node").alias("label"))
+
+
+def number(account: str) -> Column:
+    return F.xxhash64(account)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(account, component): the least name that each account reaches."""
+    labelled = kept(islands(edges), "islands")
+    least = labelled.groupBy("label").agg(F.min("account").alias("component"))
+    return labelled.join(least, "label").select("account", "component")
 
 
 #: The least account that each account reaches, by labels that spread until none falls.
@@ -187,7 +227,7 @@ sizes AS (SELECT count(*) AS n FROM reach GROUP BY component)"""
 
 def component_sizes(edges: DataFrame) -> DataFrame:
     """One row: how many weak components there are, the accounts of the largest and their share of all."""
-    sizes = components(edges).groupBy("component").agg(F.count("*").alias("n"))
+    sizes = islands(edges).groupBy("label").agg(F.count("*").alias("n"))
     found = sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"))
     share = F.coalesce(C.ratio(F.col("largest_component"), F.col("nodes")), F.lit(0.0))
     return found.select("components", "largest_component", F.round(share, 9).alias("largest_share"))
@@ -196,7 +236,7 @@ def component_sizes(edges: DataFrame) -> DataFrame:
 @query("gr04_summary", f"""WITH {COMPONENTS} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM pairs) AS edges, round((SELECT count(*) FROM pairs) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1.0)), 9) AS density, (SELECT count(*) FROM sizes) AS components, (SELECT max(n) FROM sizes) AS largest_component, round((SELECT max(n) / sum(n) FROM sizes), 9) AS largest_share, round((SELECT avg("in" + "out") FROM nodes), 6) AS mean_degree, CAST((SELECT max("in" + "out") FROM nodes) AS BIGINT) AS max_degree, (SELECT count(*) FROM nodes WHERE account LIKE 'M%') AS merchants, (SELECT count(*) FROM pairs WHERE frauds > 0) AS fraud_pairs""")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the graph, its degrees and weak components."""
-    edges = kept(graph(spark, sf_dir), "pairs")
+    edges = kept(graph(spark, sf_dir).select("src", "dst", "weight", "total", "frauds"), "pairs")
     found = nodes(edges)
     degree = F.col("in") + F.col("out")
     of_nodes = found.agg(F.count("*").alias("nodes"), F.round(F.avg(degree), 6).alias("mean_degree"), F.max(degree).alias("max_degree"), F.count_if(F.col("account").startswith("M")).alias("merchants"))
@@ -374,7 +414,7 @@ SELECT w.*, {", ".join(f"CASE WHEN w.method = 'network' THEN round(w.{n} - o.{n}
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts ranked by number of patterns (ties by PageRank) against accounts ranked by volume; a row counts once for both its ends."""
     rows = transactions(spark, sf_dir)
-    edges = kept(pairs(rows), "pairs")
+    edges = kept(pairs(rows).drop("types", "largest"), "pairs")
     found = kept(nodes(edges), "nodes")
     flags = kept(network_order(indicators(found), pagerank(edges, found)), "flags")
     # The first rows of each ranking are taken without a sort of all accounts.
