@@ -246,18 +246,17 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("nodes", "edges", density.alias("density"), "components", "largest_component", "largest_share", "mean_degree", "max_degree", "merchants", "fraud_pairs")
 
 
-#: An account graph of several islands: every customer links two of the few accounts of its nation.
-ISLANDS = "links AS (SELECT 'C' || c_nationkey || '-' || c_custkey % 40 AS src, 'C' || c_nationkey || '-' || (c_custkey % 40 + c_custkey % 3) AS dst FROM customer)"
+#: An account graph of several islands: every customer is an account of its own and links to one 25, 50 or 75 further.
+ISLANDS = "links AS (SELECT 'C' || c_custkey AS src, 'C' || (c_custkey + 25 * (1 + c_custkey % 3)) AS dst FROM customer)"
 
 
 @query("gr04_components", f"WITH RECURSIVE {ISLANDS}, link AS MATERIALIZED (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), reach(account, component) USING KEY (account) AS (SELECT DISTINCT a, a FROM link UNION SELECT link.b, min(reach.component) FROM reach JOIN link ON link.a = reach.account JOIN recurring.reach AS now ON now.account = link.b WHERE reach.component < now.component GROUP BY link.b), sizes AS (SELECT count(*) AS n FROM reach GROUP BY component) SELECT count(*) AS components, max(n) AS largest_component, round(max(n) / sum(n), 9) AS largest_share FROM sizes")
 def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a graph that has many."""
+    """Components of a graph of all customers that has many."""
     from ledgerloom.sources.adapters import table
 
     key = F.col("c_custkey")
-    account = lambda c: F.concat(F.lit("C"), "c_nationkey", F.lit("-"), c)
-    return component_sizes(table(spark, sf_dir, "customer").select(account(key % 40).alias("src"), account(key % 40 + key % 3).alias("dst")))
+    return component_sizes(table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), key).alias("src"), F.concat(F.lit("C"), key + 25 * (1 + key % 3)).alias("dst")))
 
 
 def cycle_core(edges: DataFrame, rounds: int = 3) -> DataFrame:
