@@ -34,11 +34,21 @@ ITERATIONS = 80
 
 #: Rows of a block of the split.
 EACH = 20_000
+#: Leading bits of a hash that make a block of a sample.
+BLOCK_BITS = 12
 
 
 def by_hash(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """A reproducible uniform sample without replacement: the rows of least key hash."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(SEED)), *keys).limit(n)
+    """A reproducible uniform sample without replacement: the rows of least key hash.
+
+    Blocks of the hash are counted first, and only rows of the leading blocks that hold ``n`` are ordered.
+    """
+    hashed = rows.withColumn("__h", F.xxhash64(*keys, F.lit(SEED)))
+    block = F.shiftright("__h", 64 - BLOCK_BITS)
+    upto = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    counts = hashed.groupBy(block.alias("__b")).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(upto, F.lit(0)))
+    last = counts.where(F.col("__before") < n).agg(F.max("__b")).first()[0]
+    return hashed.where(block <= F.lit(last)).orderBy("__h", *keys).drop("__h").limit(n)
 
 
 def fraud_frame(rows: DataFrame) -> DataFrame:
