@@ -31,6 +31,8 @@ HELD = 4_000_000
 STORED_EVERY = 10
 #: Rows for which a tree is evaluated at once, so that they stay in a core's cache.
 AT_ONCE = 16_384
+#: Combinations of bins at most that are counted together, rows for each of them at least, and how many more than occur may be looked at.
+CODES, ROWS_A_CODE, SPARE = 16_384, 256, 16
 #: Accuracy of the sketches from which edges of bins are taken.
 ACCURACY = 10_000
 #: Least sum of second derivatives on either side of a split.
@@ -174,11 +176,49 @@ class Rows:
         self.raw = self.raw + tree.values(self.bins)
 
 
+@dataclass
+class Bundle:
+    """Features that are counted together: each row's combination of their bins, and the bin of each feature in each combination."""
+
+    features: list[int]
+    code: np.ndarray
+    bins: np.ndarray
+
+
+def bundles_of(bins: np.ndarray) -> list[Bundle]:
+    """Features dealt to bundles, those of fewest bins first, as long as a bundle has few combinations for its rows."""
+    most = min(CODES, len(bins) // ROWS_A_CODE)
+    if most < BINS:
+        return [Bundle([f], bins[:, f], np.arange(BINS)[None, :]) for f in range(bins.shape[1])]
+    found: list[Bundle] = []
+    seen = [np.flatnonzero(np.bincount(bins[:, f], minlength=BINS)) for f in range(bins.shape[1])]
+    for f in sorted(range(bins.shape[1]), key=lambda f: (len(seen[f]), f)):
+        place = np.zeros(BINS, np.uint16)
+        place[seen[f]] = np.arange(len(seen[f]))
+        own = place[bins[:, f]]
+        for b in found:
+            if b.bins.shape[1] * len(seen[f]) > most * SPARE:
+                continue
+            code = b.code.astype(np.int32) * len(seen[f]) + own
+            there = np.flatnonzero(np.bincount(code, minlength=1))
+            if len(there) <= most:  # only combinations that occur are counted
+                number = np.zeros(there[-1] + 1, np.uint16)
+                number[there] = np.arange(len(there))
+                b.code = number[code]
+                b.bins = np.vstack([b.bins[:, there // len(seen[f])], seen[f][there % len(seen[f])]])
+                b.features.append(f)
+                break
+        else:
+            found.append(Bundle([f], own, seen[f][None, :]))
+    return found
+
+
 class HeldRows:
-    """Rows that one task holds for a whole fit: bins by column, and the rows of each node of the tree that grows."""
+    """Rows that one task holds for a whole fit: bins by column and by bundle, and the rows of each node of the tree that grows."""
 
     def __init__(self, rows: Rows):
         self.rows = replace(rows, bins=np.asfortranarray(rows.bins))
+        self.bundles = bundles_of(self.rows.bins)  # of few rows each feature is one
         self.members: dict[int, np.ndarray | slice] = {}
         self.first = self.second = np.empty(0)
 
@@ -190,10 +230,12 @@ class HeldRows:
         for place, node in enumerate(targets):
             own = self.members_of(tree, node)
             weights = (self.first[own], self.second[own], self.rows.weight[own])
-            for f in range(self.rows.bins.shape[1]):
-                key = self.rows.bins[:, f][own].astype(np.intp)
+            for b in self.bundles:
+                key = b.code[own].astype(np.intp)
                 for k, w in enumerate(weights):
-                    out[place, f, :, k] = np.rint(np.bincount(key, w, BINS))
+                    sums = np.bincount(key, w, b.bins.shape[1])
+                    for f, each in zip(b.features, b.bins, strict=True):
+                        out[place, f, :, k] = np.rint(np.bincount(each, sums, BINS))
         return out
 
     def begin(self, settings: Settings, unit: float) -> None:
