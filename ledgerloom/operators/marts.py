@@ -96,9 +96,8 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg06_set01_accounts", f"WITH {TX} SELECT count(DISTINCT nameOrig) AS origins, count(DISTINCT nameDest) AS destinations, (SELECT count(*) FROM (SELECT nameOrig FROM tx UNION SELECT nameDest FROM tx)) AS accounts FROM tx")
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account names are reduced to one row each before they are counted."""
-    rows = transactions(spark, sf_dir)
-    roles = rows.select(F.col("nameOrig").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("d")).union(rows.select("nameDest", F.lit(0), F.lit(1)))
-    names = roles.groupBy("name").agg(F.max("o").alias("o"), F.max("d").alias("d"))
+    ends = F.array(F.struct(F.col("nameOrig").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("d")), F.struct(F.col("nameDest").alias("name"), F.lit(0).alias("o"), F.lit(1).alias("d")))
+    names = transactions(spark, sf_dir).select(F.inline(ends)).groupBy("name").agg(F.max("o").alias("o"), F.max("d").alias("d"))
     return names.agg(F.sum("o").cast("long").alias("origins"), F.sum("d").cast("long").alias("destinations"), F.count("*").alias("accounts"))
 
 
