@@ -105,7 +105,11 @@ def running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
     Rows are dealt to ranges of the order and stored with their range; ranges are summed, their offsets run over one
     row a range, and each range is summed on its own.
     """
-    kept = stored(rows, "running")
+    return _running(stored(rows, "running"), order, sums)
+
+
+def _running(kept: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``running`` of rows that are stored."""
     parts = max(1, math.ceil(kept.count() / RANGE))
     ranges = stored(kept.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()), "ranges")
     totals = ranges.groupBy("range_").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
@@ -114,12 +118,12 @@ def running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
     within = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = ranges.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
     joined = inside.join(F.broadcast(offsets), "range_")  # a row a range, so one for every ``RANGE`` rows
-    return joined.select(*rows.columns, *[(F.col(f"before_{c}") + F.col(f"all_{c}")).alias(f"before_{c}") for c in sums])
+    return joined.select(*kept.columns, *[(F.col(f"before_{c}") + F.col(f"all_{c}")).alias(f"before_{c}") for c in sums])
 
 
 def equal_groups(rows: DataFrame, order: list[str], groups: int, out: str) -> DataFrame:
     """``rows`` and their group of equal frequency by rank in a total order, from 0."""
-    ranked = running(rows.withColumn("one_", F.lit(1)), [F.col(c) for c in order], ["one_"])
-    n = F.broadcast(rows.agg(F.count("*").alias("n_")))  # one row
-    place = F.ceil(F.col("before_one_") * groups / F.greatest(F.col("n_") - 1, F.lit(1))) - 1
-    return ranked.crossJoin(n).withColumn(out, F.greatest(F.lit(0), place).cast("long")).drop("one_", "before_one_", "n_")
+    kept = stored(rows.withColumn("one_", F.lit(1)), "grouped")
+    ranked = _running(kept, [F.col(c) for c in order], ["one_"])
+    place = F.ceil(F.col("before_one_") * groups / max(kept.count() - 1, 1)) - 1
+    return ranked.withColumn(out, F.greatest(F.lit(0), place).cast("long")).drop("one_", "before_one_")
