@@ -135,8 +135,13 @@ def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_effects(rows: DataFrame, keys: list[str], score: Callable[[str | None], Column], columns: list[str], top: int = 5) -> DataFrame:
     """Per record the features whose replacement moves the score most: (keys, place, feature, effect); ties in the order of ``columns``."""
-    effects = F.array(*[F.struct((-F.abs(score(None) - score(c))).alias("size"), F.lit(i).alias("order"), F.lit(c).alias("feature"), (score(None) - score(c)).alias("effect")) for i, c in enumerate(columns)])
-    return rows.select(*keys, F.posexplode(F.slice(F.array_sort(effects), 1, top)).alias("place", "e")).select(*keys, "place", "e.feature", "e.effect")
+    scored_ = rows.select(*keys, score(None).alias("score_"), *[score(c).alias(f"without_{i}_") for i, c in enumerate(columns)])
+    moved = scored_.select(*keys, *[(F.col("score_") - F.col(f"without_{i}_")).alias(f"effect_{i}_") for i in range(len(columns))])
+    # A feature's place is how many come before it, so nothing is sorted.
+    rank = [F.struct(-F.abs(F.col(f"effect_{i}_")), F.lit(i)) for i in range(len(columns))]
+    place = [sum([(other < own).cast("int") for other in rank if other is not own], F.lit(0)) for own in rank]
+    each = F.array(*[F.struct(p.alias("place"), F.lit(c).alias("feature"), F.col(f"effect_{i}_").alias("effect")) for i, (c, p) in enumerate(zip(columns, place, strict=True))])
+    return moved.select(*keys, F.inline(F.filter(each, lambda x: x["place"] < top)))
 
 
 @query(
@@ -147,15 +152,14 @@ def top_effects(rows: DataFrame, keys: list[str], score: Callable[[str | None],
 )
 def leading_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which features lead each record's explanation, counted over all records."""
-    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    rows = stored(transactions(spark, sf_dir).select(*keys, *WEIGHTS), "explained-rows")
+    rows = stored(transactions(spark, sf_dir).select(*WEIGHTS), "explained-rows")
     medians = {c: quantiles(rows, c, [0.5])[None][0] for c in WEIGHTS}
 
     def score(replaced: str | None) -> Column:
         terms = [w * F.log1p(F.lit(medians[c]).cast("double") if c == replaced else F.col(c)) for c, w in WEIGHTS.items()]
         return F.round(1 / (1 + F.exp(-(sum(terms[1:], terms[0]) - 1))), 15)
 
-    return top_effects(rows, keys, score, list(WEIGHTS), 2).groupBy("feature", "place").agg(F.count("*").alias("n"), F.round(F.avg("effect"), 9).alias("mean_effect"))
+    return top_effects(rows, [], score, list(WEIGHTS), 2).groupBy("feature", "place").agg(F.count("*").alias("n"), F.round(F.avg("effect"), 9).alias("mean_effect"))
 
 
 def same_confusion(counts: dict[str, int], expected: dict[str, int]) -> None:
