@@ -123,10 +123,12 @@ def bayes(train: DataFrame, rest: DataFrame, key: str, text: str, label: str, sm
     A class's score of a text is linear in the text's counts, and all terms that the class lacks weigh the same; so only terms that it has are joined.
     Of equal scores (by nine digits) the first class is taken; a text without a known term has the score of the classes' shares.
     """
-    seen = stored(term_counts(train.select(key, text), key, text).join(train.select(key, label), key), "bayes-counts")
+    seen = term_counts(train.select(key, text), key, text).join(train.select(key, label), key)
     n = train.count()
-    known = seen.groupBy("term").agg(F.count("*").alias("texts")).where((F.col("texts") >= least) & (F.col("texts") <= most * n)).select("term")
-    of_class = stored(seen.join(known, "term").groupBy(label, "term").agg(F.sum("times").alias("times")), "bayes-classes")
+    # Counts of texts are summed by class before anything is joined by term: that is a row a term and class, not one a term and text.
+    sums = stored(seen.groupBy(label, "term").agg(F.sum("times").alias("times"), F.count("*").alias("texts")), "bayes-counts")
+    known = stored(sums.groupBy("term").agg(F.sum("texts").alias("texts")).where((F.col("texts") >= least) & (F.col("texts") <= most * n)).select("term"), "bayes-known")
+    of_class = stored(sums.join(known, "term").select(label, "term", "times"), "bayes-classes")
     size = of_class.select("term").distinct().count()
     totals = train.groupBy(label).agg(F.log(F.count("*") / F.lit(n)).alias("share"))
     sums = of_class.groupBy(label).agg(F.sum("times").alias("total"))
