@@ -190,6 +190,8 @@ def scorable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Similarities by which the search for the nearest text comes down; below the last of them an item is held to its best so far.
 STEPS_DOWN = (0.5, 0.2)
+#: Words whose weights every task holds.
+COMMON = 262_144
 #: Ratio of the norms between which documents share a list.
 BAND = 1.25
 #: Similarities are compared as rounded; a bound has to leave room for that.
@@ -201,27 +203,44 @@ def terms(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias(key), F.explode(words).alias("w"))
 
 
-def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored (doc_id, w, square, norm, band): inverted lists of all documents, cut by bands of the norm; and stored (w, square), the squared weights of all words."""
+def norms(doc_terms: DataFrame, squares: DataFrame, most: int = COMMON) -> DataFrame:
+    """Stored (doc_id, norm) of stored terms of documents. Weights of the commonest words, ``most`` at most, go to all tasks; only rows of rarer words are exchanged."""
+    steps = squares.groupBy(F.floor(F.log2("texts") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("texts").alias("least")).collect()  # a few hundred rows
+    held, least = 0, 1 << 62
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        held += r["words"]
+        if held > most:
+            break
+        least = r["least"]
+    common, rare = squares.where(F.col("texts") >= least).select("w", "square"), squares.where(F.col("texts") < least).select("w", "square")
+    near = doc_terms.join(F.broadcast(common), "w")
+    far = doc_terms.join(F.broadcast(common.select("w")), "w", "left_anti").join(rare, "w")
+    parts = [x.groupBy("doc_id").agg(F.sum("square").alias("square")) for x in (near, far)]
+    return stored(parts[0].union(parts[1]).groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("norm")), "document-norms")
+
+
+def postings(docs: DataFrame, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, w, norm, band): inverted lists of all documents, cut by bands of the norm, of the words of ``items`` (None: of all words); and stored (w, texts, square), the squared weights of all words."""
     doc_terms = stored(terms(docs, "doc_id"), "document-terms")
     total = docs.count()
-    squares = stored(doc_terms.groupBy("w").agg(F.pow(F.log(F.lit(float(total)) / F.count("*")) + 1, F.lit(2.0)).alias("square")), "word-squares")
-    weighted = doc_terms.join(squares, "w")
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("norm"))
-    return stored(weighted.join(norms, "doc_id").withColumn("band", F.floor(F.log("norm") / math.log(BAND)).cast("int")), "postings"), squares
+    squares = stored(doc_terms.groupBy("w").agg(F.count("*").alias("texts")).withColumn("square", F.pow(F.log(F.lit(float(total)) / F.col("texts")) + 1, F.lit(2.0))), "word-squares")
+    wanted = doc_terms if items is None else doc_terms.join(stored(terms(items, "item_id").select("w").distinct(), "item-words"), "w", "left_semi")
+    lists = wanted.join(norms(doc_terms, squares), "doc_id").withColumn("band", F.floor(F.log("norm") / math.log(BAND)).cast("int"))
+    return stored(lists.select("doc_id", "w", "norm", "band"), "postings"), squares
 
 
 def item_terms(items: DataFrame, squares: DataFrame) -> DataFrame:
     """Stored (item_id, w, square, rest, item_norm) of the words that documents have, too; ``rest`` sums the squares of a word and of those that come after it, rarest first."""
-    of_item = terms(items, "item_id").join(squares, "w")
+    of_item = terms(items, "item_id").join(squares.select("w", "square"), "w")
     whole = Window.partitionBy("item_id")
     later = whole.orderBy(F.desc("square"), "w").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return stored(of_item.withColumns({"rest": F.sum("square").over(later), "item_norm": F.sqrt(F.sum("square").over(whole))}), "item-terms")
 
 
 def similarities(pairs: DataFrame, of_item: DataFrame, lists: DataFrame) -> DataFrame:
-    """(item_id, doc_id, similarity) of pairs: the squares of shared words over both norms."""
-    shared = pairs.join(of_item.select("item_id", "w", "square", "item_norm"), "item_id").join(lists.select("doc_id", "w", "norm"), ["doc_id", "w"])
+    """(item_id, doc_id, similarity) of pairs: the squares of shared words over both norms. Few pairs, whose size is known once they are stored, go to the lists instead of the lists to them."""
+    of_pair = lists.select("doc_id", "w", "norm").join(stored(pairs, "pairs"), "doc_id")
+    shared = of_pair.join(of_item.select("item_id", "w", "square", "item_norm"), ["item_id", "w"])
     dots = shared.groupBy("item_id", "doc_id").agg(F.sum("square").alias("dot"), F.first("norm").alias("norm"), F.first("item_norm").alias("item_norm"))
     return dots.select("item_id", "doc_id", F.round(F.col("dot") / F.col("norm") / F.col("item_norm"), 9).alias("similarity"))
 
@@ -240,7 +259,7 @@ def candidates(wanted: DataFrame, of_item: DataFrame, bands: DataFrame, lists: D
     asked = of_item.join(wanted, "item_id").where(F.sqrt("rest") / F.col("item_norm") >= F.col("least") - ROOM)
     reach = F.col("rest") / F.col("item_norm")
     read = asked.join(bands, "w").where(reach / F.col("shortest") >= F.col("least") - ROOM).select("item_id", "w", "band", reach.alias("reach"), "least")
-    return read.join(lists, ["w", "band"]).where(F.col("reach") / F.col("norm") >= F.col("least") - ROOM).select("item_id", "doc_id").distinct()
+    return lists.join(stored(read, "reads"), ["w", "band"]).where(F.col("reach") / F.col("norm") >= F.col("least") - ROOM).select("item_id", "doc_id").distinct()
 
 
 def nearest(docs: DataFrame, items: DataFrame, steps: tuple[float, ...] = STEPS_DOWN) -> DataFrame:
@@ -250,7 +269,7 @@ def nearest(docs: DataFrame, items: DataFrame, steps: tuple[float, ...] = STEPS_
     that may hold a document of a similarity of at least a step and of the item's best so far; an item whose best reaches that is done,
     the others go on to the next step, and last to their own best, which ends it.
     """
-    lists, squares = postings(docs)
+    lists, squares = postings(docs, items)
     of_item = item_terms(items, squares)
     bands = stored(lists.groupBy("w", "band").agg(F.min(F.struct("norm", "doc_id")).alias("first")).select("w", "band", F.col("first.norm").alias("shortest"), F.col("first.doc_id").alias("doc_id")), "list-maxima")
     champions = bands.groupBy("w").agg(F.min_by("doc_id", F.struct("shortest", "doc_id")).alias("doc_id"))
