@@ -212,7 +212,10 @@ class Net:
             logs = np.concatenate([_normalised(h[i : i + BLOCK] @ self.group.T, group[i : i + BLOCK]) for i in range(0, len(u), BLOCK)])
             for g, a, b in self.segments(group):
                 first = g * self.size
-                logs[a:b] += _normalised(h[a:b] @ self.out[first : first + self.size].T, u[a:b] - first)
+                own = self.out[first : first + self.size].T
+                for i in range(a, b, BLOCK):
+                    end = min(i + BLOCK, b)
+                    logs[i:end] += _normalised(h[i:end] @ own, u[i:end] - first)
             found[at : at + AT_ONCE][order] = logs
         return found
 
