@@ -4,8 +4,9 @@ A tree splits the leaf of greatest gain until it has its number of leaves. Histo
 counted together. Gradients are rounded to whole numbers of a fixed unit, so that sums don't depend on their order and any
 split of the rows into tasks gives the same trees.
 
-Rows of equal bins and label have equal scores after any tree, so they are one row with a weight: their number is bounded by the
-bins, not by the table. Up to ``HELD`` of them are fitted by one task, more by passes of all tasks, with the same result.
+Rows of equal bins have equal scores after any tree, so those of equal label, too, are one row with a weight; of squared loss, whose
+derivatives are sums of labels, all of them are one row with their mean. So the number of rows is bounded by the bins, not by the
+table. Up to ``HELD`` of them are fitted by one task, more by passes of all tasks, with the same result.
 """
 
 from __future__ import annotations
@@ -429,7 +430,12 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, settings: Settings
 
     numbers = rows.select(*[F.col(f"`{f}`").cast("double").alias(k) for f, k in zip(features, names, strict=True)], F.col(label).cast("double").alias("label"))
     table = numbers.mapInArrow(quantised, "bins binary, label double")
-    table = stored(table.groupBy("bins", "label").agg(F.count("*").alias("weight")).select("bins", "label", F.lit(base).alias("raw"), "weight"), "boosted-rows")
+    if settings.loss == "log":
+        table = table.groupBy("bins", "label").agg(F.count("*").alias("weight"))
+    else:
+        above = F.sum(F.rint((F.col("label") - base) * unit).cast("long"))  # in whole numbers, so that their order doesn't matter
+        table = table.groupBy("bins").agg(F.count("*").alias("weight"), (base + above / (F.count("*") * unit)).alias("label"))
+    table = stored(table.select("bins", "label", F.lit(base).alias("raw"), "weight"), "boosted-rows")
     if table.count() > held:
         trees = boosted(DealtRows(table), settings, unit)
     else:

@@ -26,8 +26,6 @@ from ledgerloom.sources.adapters import CUTS, TX, TYPES, table, transactions
 from ledgerloom.sources.artifacts import without_summary
 
 SEED = 42
-#: Train rows of the regression at most, of least key hash: a setting of the reference task, not of the engine; the fraud and credit models take all rows.
-SAMPLE = 200_000
 #: Rounds of boosting.
 ITERATIONS = 80
 
@@ -397,10 +395,11 @@ def first_best(errors: list[float]) -> int:
 
 
 def regression_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stored transactions with label, numbers and partition, and the train rows that are fitted on: up to ``SAMPLE`` of least key hash."""
-    rows = transactions(spark, sf_dir).withColumns({"label": F.log1p("amount"), "log_balance": F.log1p("oldbalanceOrg"), "zero": (F.col("oldbalanceOrg") == 0).cast("double"), "part": C.partition_of(F.col("step"), CUTS)})
+    """Stored transactions with label, numbers and partition, and those of the train partition, all of which are fitted on."""
+    numbers = {"label": F.log1p("amount"), "log_balance": F.log1p("oldbalanceOrg"), "zero": (F.col("oldbalanceOrg") == 0).cast("double"), "part": C.partition_of(F.col("step"), CUTS)}
+    rows = transactions(spark, sf_dir).withColumns(numbers).select("l_orderkey", "l_linenumber", "l_partkey", "step", "type", "amount", *numbers)
     rows = stored(rows, "regression-rows")
-    return rows, stored(by_hash(rows.where("part = 'train'"), SAMPLE, "l_orderkey", "l_linenumber", "l_partkey"), "regression-train")
+    return rows, rows.where("part = 'train'")
 
 
 def judged_candidates(rows: DataFrame, train: DataFrame, settings: boosting.Settings) -> tuple[list[tuple], str, dict[str, Callable]]:
